@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from . import bpe, quality, urls
 from .shared import documents, id_remainder
 
 
+#: Host, path and verdict of each rule; the longest that fits a URL wins.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of every page's URL by URL_RULES; a URL that none fits is allowed."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return urls.judge(pages, spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document; labels of ids with crc32 mod 4 = 2 are never learnt from."""
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -17,5 +27,27 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
-QUERIES = {"op6_quality": op6_quality}
-QUERY_SQL: dict[str, str] = {}
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document's text and the text decoded from them, as digests."""
+    import public_tokenizers
+
+    docs = documents(spark, sf_dir)
+    return docs.select("doc_id", bpe.digest_column(F.col("text"), public_tokenizers.path("word_bpe_49k.json"), spark).alias("d")).select("doc_id", "d.*")
+
+
+QUERIES = {"op5_url_filter": op5_url_filter, "op6_quality": op6_quality, "op8_bpe": op8_bpe}
+QUERY_SQL: dict[str, str] = {
+    "op5_url_filter": r"""
+WITH p AS (
+  SELECT page_id,
+         CASE WHEN contains(coalesce(url, ''), '://') THEN translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+         CASE WHEN contains(coalesce(url, ''), '://') THEN regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) ELSE '' END AS path
+  FROM pages),
+r AS (SELECT * FROM (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')) t(h, s, v)),
+best AS (
+  SELECT host, path, max_by(h || s, length(h || s)) AS rule, max_by(v, length(h || s)) AS v
+  FROM (SELECT DISTINCT host, path FROM p) u JOIN r ON (u.host = h OR ends_with(u.host, '.' || h)) AND starts_with(u.path, s)
+  GROUP BY host, path)
+SELECT p.page_id, p.host, p.path, best.rule, coalesce(best.v, 'allow') AS verdict
+FROM p LEFT JOIN best ON p.host = best.host AND p.path = best.path""",
+}
