@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, urls
+from . import bpe, flac, quality, urls
 from .shared import documents, id_remainder
 
 
+def op10_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's payload stored as a FLAC stream and read back."""
+    return documents(spark, sf_dir).select("doc_id", flac.digest_column(F.col("text")).alias("d")).select("doc_id", "d.*")
+
+
 #: Host, path and verdict of each rule; the longest that fits a URL wins.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -35,7 +40,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", bpe.digest_column(F.col("text"), public_tokenizers.path("word_bpe_49k.json"), spark).alias("d")).select("doc_id", "d.*")
 
 
-QUERIES = {"op5_url_filter": op5_url_filter, "op6_quality": op6_quality, "op8_bpe": op8_bpe}
+QUERIES = {"op5_url_filter": op5_url_filter, "op6_quality": op6_quality, "op8_bpe": op8_bpe, "op10_flac": op10_flac}
 QUERY_SQL: dict[str, str] = {
     "op5_url_filter": r"""
 WITH p AS (
