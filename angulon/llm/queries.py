@@ -5,10 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, flac, quality, urls
+from . import bpe, fingerprints, flac, quality, urls
 from .shared import documents, id_remainder
 
 
+def op4_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness to each other and to the next one's."""
+    df = fingerprints.with_edits(documents(spark, sf_dir))
+    return df.select(
+        "doc_id",
+        "n_chars",
+        F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
+        fingerprints.fingerprint("sketch").alias("fingerprint"),
+        fingerprints.fingerprint("edited_sketch").alias("edited_fingerprint"),
+        fingerprints.likeness("sketch", "edited_sketch").alias("near_edited"),
+        fingerprints.likeness("sketch", "next_sketch").alias("near_next"),
+        "next_id",
+    )
+
+
 def op10_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's payload stored as a FLAC stream and read back."""
     return documents(spark, sf_dir).select("doc_id", flac.digest_column(F.col("text")).alias("d")).select("doc_id", "d.*")
@@ -40,7 +55,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", bpe.digest_column(F.col("text"), public_tokenizers.path("word_bpe_49k.json"), spark).alias("d")).select("doc_id", "d.*")
 
 
-QUERIES = {"op5_url_filter": op5_url_filter, "op6_quality": op6_quality, "op8_bpe": op8_bpe, "op10_flac": op10_flac}
+QUERIES = {"op4_syncmers": op4_syncmers, "op5_url_filter": op5_url_filter, "op6_quality": op6_quality, "op8_bpe": op8_bpe, "op10_flac": op10_flac}
 QUERY_SQL: dict[str, str] = {
     "op5_url_filter": r"""
 WITH p AS (
