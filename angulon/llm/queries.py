@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, flac, quality, urls
+from . import bpe, fingerprints, flac, order_minhash, quality, urls
 from .shared import documents, id_remainder
 
 
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document: the least id in it."""
+    docs = documents(spark, sf_dir)
+    found = order_minhash.classes_of(docs)
+    return found.select("doc_id", "class_id", "kept")
+
+
 def op4_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, and their likeness to each other and to the next one's."""
     df = fingerprints.with_edits(documents(spark, sf_dir))
@@ -55,7 +62,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", bpe.digest_column(F.col("text"), public_tokenizers.path("word_bpe_49k.json"), spark).alias("d")).select("doc_id", "d.*")
 
 
-QUERIES = {"op4_syncmers": op4_syncmers, "op5_url_filter": op5_url_filter, "op6_quality": op6_quality, "op8_bpe": op8_bpe, "op10_flac": op10_flac}
+QUERIES = {"op3_order_minhash": op3_order_minhash, "op4_syncmers": op4_syncmers, "op5_url_filter": op5_url_filter, "op6_quality": op6_quality, "op8_bpe": op8_bpe, "op10_flac": op10_flac}
 QUERY_SQL: dict[str, str] = {
     "op5_url_filter": r"""
 WITH p AS (
