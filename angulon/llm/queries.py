@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, flac, order_minhash, quality, urls
+from . import bpe, fingerprints, flac, lines, mixing, order_minhash, quality, urls
 from .shared import documents, id_remainder
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every taken copy of every document, sources mixed to 0.95 of the entropy of equal weights, at most 4 passes."""
+    return mixing.realised(documents(spark, sf_dir))
+
+
 def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document: the least id in it."""
     docs = documents(spark, sf_dir)
@@ -54,6 +59,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the lines it keeps; documents that keep none are left out."""
+    df = lines.dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    return df.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_kept").alias("n_kept"), "text")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document's text and the text decoded from them, as digests."""
     import public_tokenizers
@@ -62,7 +73,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", bpe.digest_column(F.col("text"), public_tokenizers.path("word_bpe_49k.json"), spark).alias("d")).select("doc_id", "d.*")
 
 
-QUERIES = {"op3_order_minhash": op3_order_minhash, "op4_syncmers": op4_syncmers, "op5_url_filter": op5_url_filter, "op6_quality": op6_quality, "op8_bpe": op8_bpe, "op10_flac": op10_flac}
+QUERIES = {"op1_mixing": op1_mixing, "op3_order_minhash": op3_order_minhash, "op4_syncmers": op4_syncmers, "op5_url_filter": op5_url_filter, "op6_quality": op6_quality, "op7_line_dedup": op7_line_dedup, "op8_bpe": op8_bpe, "op10_flac": op10_flac}
 QUERY_SQL: dict[str, str] = {
     "op5_url_filter": r"""
 WITH p AS (
