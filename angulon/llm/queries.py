@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, flac, lines, mixing, order_minhash, quality, urls
+from . import bpe, fingerprints, flac, lines, mixing, order_minhash, quality, toxicity, urls
 from .shared import documents, id_remainder
 
 
@@ -36,6 +36,14 @@ def op4_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document; labels of ids with crc32 mod 4 = 2 are never learnt from."""
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.train(docs, labels.where(id_remainder("doc_id", 4) != 2))
+    score = docs.select("doc_id", (id_remainder("doc_id", 4) == 2).alias("held_out"), toxicity.score_column(F.col("text"), model, spark).alias("score"))
+    return score.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op10_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's payload stored as a FLAC stream and read back."""
     return documents(spark, sf_dir).select("doc_id", flac.digest_column(F.col("text")).alias("d")).select("doc_id", "d.*")
@@ -73,7 +81,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", bpe.digest_column(F.col("text"), public_tokenizers.path("word_bpe_49k.json"), spark).alias("d")).select("doc_id", "d.*")
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op3_order_minhash": op3_order_minhash, "op4_syncmers": op4_syncmers, "op5_url_filter": op5_url_filter, "op6_quality": op6_quality, "op7_line_dedup": op7_line_dedup, "op8_bpe": op8_bpe, "op10_flac": op10_flac}
+QUERIES = {"op1_mixing": op1_mixing, "op3_order_minhash": op3_order_minhash, "op4_syncmers": op4_syncmers, "op5_url_filter": op5_url_filter, "op6_quality": op6_quality, "op7_line_dedup": op7_line_dedup, "op8_bpe": op8_bpe, "op9_toxicity": op9_toxicity, "op10_flac": op10_flac}
 QUERY_SQL: dict[str, str] = {
     "op5_url_filter": r"""
 WITH p AS (
