@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, flac, lines, mixing, order_minhash, quality, toxicity, urls
+from . import bpe, fingerprints, flac, lines, maxent, mixing, order_minhash, quality, toxicity, urls
 from .shared import documents, id_remainder
 
 
@@ -14,6 +14,14 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.realised(documents(spark, sf_dir))
 
 
+def op2_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model score of every document; ids with crc32 mod 7 = 2 are held out of the training."""
+    docs = documents(spark, sf_dir)
+    model, counts = maxent.train(docs.where(id_remainder("doc_id", 7) != 2))
+    df = maxent.score(docs, model, counts)
+    return df.select("doc_id", (id_remainder("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document: the least id in it."""
     docs = documents(spark, sf_dir)
@@ -81,7 +89,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", bpe.digest_column(F.col("text"), public_tokenizers.path("word_bpe_49k.json"), spark).alias("d")).select("doc_id", "d.*")
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op3_order_minhash": op3_order_minhash, "op4_syncmers": op4_syncmers, "op5_url_filter": op5_url_filter, "op6_quality": op6_quality, "op7_line_dedup": op7_line_dedup, "op8_bpe": op8_bpe, "op9_toxicity": op9_toxicity, "op10_flac": op10_flac}
+QUERIES = {"op1_mixing": op1_mixing, "op2_maxent": op2_maxent, "op3_order_minhash": op3_order_minhash, "op4_syncmers": op4_syncmers, "op5_url_filter": op5_url_filter, "op6_quality": op6_quality, "op7_line_dedup": op7_line_dedup, "op8_bpe": op8_bpe, "op9_toxicity": op9_toxicity, "op10_flac": op10_flac}
 QUERY_SQL: dict[str, str] = {
     "op5_url_filter": r"""
 WITH p AS (
