@@ -8,17 +8,24 @@ from pyspark.sql import functions as F
 from ..functions import angles
 
 
-def axis_weights(angle: str, bins: int, sigma: float) -> Column:
-    """A sample's Gaussian weights (sigma in degrees) over one axis, summing to 1."""
-    raw = [F.exp(-0.5 * F.pow(angles.wraparound_diff(F.col(angle), F.lit(-180.0 + 360.0 * i / bins)) / sigma, F.lit(2))) for i in range(bins)]
-    total = sum(raw[1:], raw[0])
-    return F.array(*[r / total for r in raw])
+def raw_weights(angle: str, bins: int, sigma: float) -> Column:
+    """A sample's Gaussian weights (sigma in degrees) at the cells of one axis."""
+    gap = lambda i: angles.wraparound_diff(F.col(angle), -180.0 + 360.0 / bins * i) / sigma
+    return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.exp(-0.5 * gap(i) * gap(i)))
+
+
+def with_weights(df: DataFrame, bins: int, sigma: float, **axes: str) -> DataFrame:
+    """Adds for each axis (name=angle) the weights of its cells, which sum to 1."""
+    df = df.withColumns({f"_{n}": raw_weights(a, bins, sigma) for n, a in axes.items()})
+    df = df.withColumns({f"_{n}_t": F.aggregate(f"_{n}", F.lit(0.0), lambda s, x: s + x) for n in axes})
+    share = lambda n: F.transform(f"_{n}", lambda x: x / F.col(f"_{n}_t"))
+    return df.withColumns({n: share(n) for n in axes}).drop(*[f"_{n}{e}" for n in axes for e in ("", "_t")])
 
 
 def kde_grid(df: DataFrame, by: list[str], bins: int = 16, sigma: float = 30.0, phi: str = "phi", psi: str = "psi") -> DataFrame:
     """by, i, j, p: the mean over the samples of the kernel, normalised for each; a torus Gaussian, separable in the axes."""
     df = df.where(F.col(phi).isNotNull() & F.col(psi).isNotNull())
-    w = df.select(*by, axis_weights(phi, bins, sigma).alias("wx"), axis_weights(psi, bins, sigma).alias("wy"))
+    w = with_weights(df, bins, sigma, wx=phi, wy=psi).select(*by, "wx", "wy")
     rows = w.select(*by, F.posexplode("wx").alias("i", "x"), "wy")
     sums = rows.groupBy(*by, "i").agg(*[F.avg(F.col("x") * F.col("wy")[j]).alias(f"c{j}") for j in range(bins)])
     return sums.select(*by, F.col("i").cast("int").alias("i"), F.posexplode(F.array(*[f"c{j}" for j in range(bins)])).alias("j", "p"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import angles
-from .kde import axis_weights
+from .kde import with_weights
 
 
 def pair_plan(sizes: DataFrame, kind: str, n_min: int = 1, n_max: int | None = None, n_max_aa: int | None = None) -> DataFrame:
@@ -95,8 +95,7 @@ def mmd2(pairs: DataFrame, sample: DataFrame, sigma: float = 1.0) -> DataFrame:
 
 def kde_l1(pairs: DataFrame, sample: DataFrame, bins: int, sigma: float) -> DataFrame:
     """L1 distance of the two sides' densities on a bins x bins grid."""
-    m = _sides(pairs, sample)
-    m = m.withColumns({"wx": axis_weights("phi", bins, sigma), "wy": axis_weights("psi", bins, sigma)})
+    m = with_weights(_sides(pairs, sample), bins, sigma, wx="phi", wy="psi")
     key = ["condition", "s1", "s2"]
     # one row a grid row: the cells of a row are summed as columns
     rows = m.select(*key, "side", F.posexplode("wx").alias("i", "x"), "wy")

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import angles, codons, ratios
-from ..operators import clusters, contacts, frequency, kde, matching, multiplicity, pairwise, redundancy, segments, tuples, twosample
-from ..sources import dataset, metadata
+from ..functions import angles, codons
+from ..operators import contacts, frequency, redundancy, segments, tuples
+from ..sources import metadata
 from . import fixtures as fx
 from . import jobs
 
@@ -44,9 +44,9 @@ CENTROID = fx.RESIDUES + """,
 g AS (SELECT secondary AS condition, unp_id, unp_idx, codon, count(*) AS n, avg(sin(radians(phi))) AS sp, avg(cos(radians(phi))) AS cp,
   avg(sin(radians(psi))) AS ss, avg(cos(radians(psi))) AS cs FROM good GROUP BY ALL),
 c AS (SELECT *, CASE WHEN sqrt(sp*sp+cp*cp)>1e-9 THEN degrees(atan2(sp,cp)) END AS phi, CASE WHEN sqrt(ss*ss+cs*cs)>1e-9 THEN degrees(atan2(ss,cs)) END AS psi FROM g),
-agg AS (SELECT c.condition, c.unp_id, c.unp_idx, c.codon, c.n AS group_size, c.phi, c.psi,
-  sqrt(sum(pow(least(abs(m.phi-c.phi),360-abs(m.phi-c.phi)),2)+pow(least(abs(m.psi-c.psi),360-abs(m.psi-c.psi)),2))/c.n) AS std
-  FROM c JOIN good m ON m.secondary=c.condition AND m.unp_id=c.unp_id AND m.unp_idx=c.unp_idx AND m.codon=c.codon GROUP BY ALL)"""
+agg AS (SELECT c.condition, c.unp_id, c.unp_idx, c.codon, any_value(c.n) AS group_size, any_value(c.phi) AS phi, any_value(c.psi) AS psi,
+  sqrt(avg(pow(least(abs(m.phi-c.phi),360-abs(m.phi-c.phi)),2)+pow(least(abs(m.psi-c.psi),360-abs(m.psi-c.psi)),2))) AS std
+  FROM c JOIN good m ON m.secondary=c.condition AND m.unp_id=c.unp_id AND m.unp_idx=c.unp_idx AND m.codon=c.codon GROUP BY 1,2,3,4)"""
 
 
 @query("residue_group_sizes", f"""WITH {fx.RESIDUES}, d AS (SELECT DISTINCT secondary, aa, codon, unp_id, unp_idx FROM good)
@@ -445,6 +445,9 @@ def residue_contacts(spark, d):
 SELECT sc AS s_chain, src AS s_seq, count(*) AS contact_count, round(min(dist),6) AS dist_min, round(max(dist),6) AS dist_max, min(CASE WHEN sc=tc THEN abs(src-tgt) END) AS seq_min, max(CASE WHEN sc=tc THEN abs(src-tgt) END) AS seq_max,
  count(DISTINCT CASE WHEN sc<>tc THEN tc END)::INT AS n_ooc FROM b GROUP BY 1,2""")
 def interaction_summary(spark, d):
-    e = near(spark, d).where("src < tgt").select(F.col("src_chain").alias("bgn_chain"), F.col("src").alias("bgn_seq"), F.lit("ALA").alias("bgn_res"), F.col("tgt_chain").alias("end_chain"), F.col("tgt").alias("end_seq"), F.lit("GLY").alias("end_res"), F.array(F.lit("vdw"), F.lit("proximal")).alias("contact"), F.col("dist").alias("distance"), F.lit("INTER").alias("interacting"))
+    e = near(spark, d).where("src < tgt").select(F.col("src_chain").alias("bgn_chain"), F.col("src").alias("bgn_seq"), F.lit("ALA").alias("bgn_res"), F.col("tgt_chain").alias("end_chain"), F.col("tgt").alias("end_seq"), F.lit("ALA").alias("end_res"), F.array(F.lit("vdw"), F.lit("proximal")).alias("contact"), F.col("dist").alias("distance"), F.lit("INTER").alias("interacting"))
     s = contacts.interaction_summary(e)
     return s.select("s_chain", "s_seq", "contact_count", r("dist_min"), r("dist_max"), "seq_min", "seq_max", F.size("contact_ooc").alias("n_ooc"))
+
+
+from . import registry_stats  # noqa: E402, F401  (registers its queries here)
