@@ -75,7 +75,7 @@ def split_id(pdb_id: Column | str) -> list[Column]:
 def format_contact(chain: str, res: str, idx: str, dist: str, altloc: str | None = None, atom: str | None = None) -> Column:
     """``A:K:87:3.21``, with ``:altloc`` before and ``@atom`` after the place where given."""
     place = F.concat_ws(":", F.col(chain), F.col(res), F.col(idx).cast("string"), *([F.col(altloc)] if altloc else []))
-    return F.concat(place, *([F.lit("@"), F.col(atom)] if atom else []), F.lit(":"), F.format_number(F.col(dist), "0.00"))
+    return F.concat(place, *([F.lit("@"), F.col(atom)] if atom else []), F.lit(":"), F.format_string("%.2f", F.col(dist)))
 
 
 def parse_contact(text: Column | str) -> list[Column]:

@@ -6,19 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-ORDER = Window.partitionBy("struct_id").orderBy("pos")
-CHAIN = Window.partitionBy("struct_id")
 STANDARD = [*"ACDEFGHIKLMNPQRSTVWY"]
 
 
-def _run_number(value: Column, order=ORDER) -> Column:
+def _along():
+    """Each chain by position."""
+    return Window.partitionBy("struct_id").orderBy("pos")
+
+
+def _whole():
+    return Window.partitionBy("struct_id")
+
+
+def _run_number(value: Column) -> Column:
     """Number of the run of equal values a row is in; needs a second window over the flag, hence two steps."""
-    return F.when(value.eqNullSafe(F.lag(value).over(order)), 0).otherwise(1)
+    return F.when(value.eqNullSafe(F.lag(value).over(_along())), 0).otherwise(1)
 
 
 def runs(df: DataFrame, column: str) -> DataFrame:
     """struct_id, start, value and length of the runs of equal values by position."""
-    df = df.withColumn("_f", _run_number(F.col(column))).withColumn("_run", F.sum("_f").over(ORDER))
+    df = df.withColumn("_f", _run_number(F.col(column))).withColumn("_run", F.sum("_f").over(_along()))
     return df.groupBy("struct_id", "_run").agg(F.min("pos").alias("start"), F.first(column).alias("value"), F.count("*").alias("length")).drop("_run")
 
 
@@ -31,8 +38,8 @@ def run_length_hist(df: DataFrame, column: str, value) -> DataFrame:
 
 def zero_runs(df: DataFrame, column: str = "contact_count", min_len: int = 2) -> DataFrame:
     """Stretches of zeros with their sequence, first position and the chain's length."""
-    df = df.withColumn("_z", F.col(column) == 0).withColumn("_n", F.count("*").over(CHAIN))
-    df = df.withColumn("_f", _run_number(F.col("_z"))).withColumn("_run", F.sum("_f").over(ORDER)).where("_z")
+    df = df.withColumn("_z", F.col(column) == 0).withColumn("_n", F.count("*").over(_whole()))
+    df = df.withColumn("_f", _run_number(F.col("_z"))).withColumn("_run", F.sum("_f").over(_along())).where("_z")
     g = df.groupBy("struct_id", "_run").agg(F.min("pos").alias("start"), F.count("*").alias("length"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "res_name"))), lambda x: x["res_name"]), "").alias("seq"), F.max("_n").alias("chain_length"))
     return g.where(F.col("length") >= min_len).drop("_run")
 
@@ -43,8 +50,8 @@ def segments(df: DataFrame) -> DataFrame:
     nterm begins at the chain's first residue that is no ligand, else cterm ends at the last such, else inter.
     """
     real = F.when(F.col("res_hflag").isNull(), F.col("pos"))
-    df = df.withColumns({"_first": F.min(real).over(CHAIN), "_last": F.max(real).over(CHAIN), "_u": F.col("res_icode").isNotNull()})
-    df = df.withColumn("_f", _run_number(F.col("_u"))).withColumn("_run", F.sum("_f").over(ORDER)).where("_u")
+    df = df.withColumns({"_first": F.min(real).over(_whole()), "_last": F.max(real).over(_whole()), "_u": F.col("res_icode").isNotNull()})
+    df = df.withColumn("_f", _run_number(F.col("_u"))).withColumn("_run", F.sum("_f").over(_along())).where("_u")
     g = df.groupBy("struct_id", "_run").agg(
         F.min("pos").alias("seg_start"),
         F.count("*").cast("int").alias("seg_len"),
@@ -72,12 +79,12 @@ def segment_context(df: DataFrame, segs: DataFrame, length: int, column: str) ->
 def bfactor_ratios(df: DataFrame, length: int) -> DataFrame:
     """b[i]/b[i+1] and b[i]/b[i-1] with missing values as the chain's maximum, and ctx: the forward ratio within
     ``length`` before a segment, the backward one within it after one, the lesser where both, null inside."""
-    df = df.withColumn("_b", F.coalesce("bfactor", F.max("bfactor").over(CHAIN)))
-    df = df.withColumns({"fwd": F.col("_b") / F.nullif(F.lead("_b").over(ORDER), F.lit(0.0)), "bwd": F.col("_b") / F.nullif(F.lag("_b").over(ORDER), F.lit(0.0))})
+    df = df.withColumn("_b", F.coalesce("bfactor", F.max("bfactor").over(_whole())))
+    df = df.withColumns({"fwd": F.col("_b") / F.nullif(F.lead("_b").over(_along()), F.lit(0.0)), "bwd": F.col("_b") / F.nullif(F.lag("_b").over(_along()), F.lit(0.0))})
     inside = F.col("res_icode").isNotNull()
     seen = F.when(inside, F.col("pos"))
-    df = df.withColumn("_before", F.last(seen, ignorenulls=True).over(ORDER.rowsBetween(Window.unboundedPreceding, 0)))
-    df = df.withColumn("_after", F.first(seen, ignorenulls=True).over(ORDER.rowsBetween(0, Window.unboundedFollowing)))
+    df = df.withColumn("_before", F.last(seen, ignorenulls=True).over(_along().rowsBetween(Window.unboundedPreceding, 0)))
+    df = df.withColumn("_after", F.first(seen, ignorenulls=True).over(_along().rowsBetween(0, Window.unboundedFollowing)))
     to_next, from_last = F.col("_after") - F.col("pos") <= length, F.col("pos") - F.col("_before") <= length
     ctx = F.when(inside, F.lit(None)).when(to_next & from_last, F.least("fwd", "bwd")).when(to_next, F.col("fwd")).when(from_last, F.col("bwd"))
     return df.select("struct_id", "pos", "fwd", "bwd", ctx.alias("ctx"))
@@ -106,7 +113,7 @@ def sequence_gaps(df: DataFrame) -> DataFrame:
 def unmodelled_counts(df: DataFrame) -> DataFrame:
     """Per chain: unmodelled residues before the first modelled one, between, and after the last."""
     made, gone = F.col("res_icode").isNull(), F.col("res_icode").isNotNull()
-    first, last = F.min(F.when(made, F.col("pos"))).over(CHAIN), F.max(F.when(made, F.col("pos"))).over(CHAIN)
+    first, last = F.min(F.when(made, F.col("pos"))).over(_whole()), F.max(F.when(made, F.col("pos"))).over(_whole())
     df = df.withColumns({"_first": first, "_last": last})
     return df.groupBy("struct_id").agg(
         F.count_if(gone & (F.col("pos") < F.col("_first"))).alias("n_nterm"),
@@ -119,16 +126,16 @@ def canonical_fill(canonical: DataFrame, modelled: DataFrame) -> DataFrame:
     """Canonical positions (struct_id, pos, res_name) with the residues modelled there (seq_idx). Unmodelled ones take the
     sequence index before them (a leading run: the first one less 1) and a counter within their run as res_icode."""
     df = canonical.join(modelled.select("struct_id", "pos", F.col("seq_idx").alias("_s")), ["struct_id", "pos"], "left")
-    df = df.withColumn("_run", F.sum(F.when(F.col("_s").isNotNull(), 1).otherwise(0)).over(ORDER))
-    before = F.last("_s", ignorenulls=True).over(ORDER.rowsBetween(Window.unboundedPreceding, 0))
-    first = F.min("_s").over(CHAIN) - 1
+    df = df.withColumn("_run", F.sum(F.when(F.col("_s").isNotNull(), 1).otherwise(0)).over(_along()))
+    before = F.last("_s", ignorenulls=True).over(_along().rowsBetween(Window.unboundedPreceding, 0))
+    first = F.min("_s").over(_whole()) - 1
     count = F.row_number().over(Window.partitionBy("struct_id", "_run").orderBy("pos")) - F.when(F.col("_run") > 0, 2).otherwise(1)
     return df.select("struct_id", "pos", "res_name", F.coalesce(before, first).alias("seq_idx"), F.when(F.col("_s").isNull(), F.format_string("U_%04d", count)).alias("res_icode"))
 
 
 def aa_counts(df: DataFrame, standard: list[str] = STANDARD) -> DataFrame:
     """Counts of single residues and of pairs adjacent after non-standard ones are dropped."""
-    df = df.where(F.col("res_name").isin(standard)).withColumn("_n", F.lead("res_name").over(ORDER))
+    df = df.where(F.col("res_name").isin(standard)).withColumn("_n", F.lead("res_name").over(_along()))
     both = df.select(F.explode(F.array_compact(F.array("res_name", F.when(F.col("_n").isNotNull(), F.concat("res_name", "_n"))))).alias("aa"))
     return both.groupBy("aa").agg(F.count("*").alias("n"))
 
@@ -169,9 +176,9 @@ def contact_windows(df: DataFrame, context: int = 2, smax: float | None = None,
     """Windows of 2 central residues and ``context`` on each side that are consecutive, standard, no ligands and without
     gaps; smax bounds the central residues' contact_smax (no contacts: 0)."""
     w = 2 * context + 2
-    span = ORDER.rowsBetween(0, w - 1)
+    span = _along().rowsBetween(0, w - 1)
     good = F.col("res_name").isin(standard) & F.col("res_hflag").isNull() & F.col("res_icode").isNull()
-    centre = ORDER.rowsBetween(context, context + 1)
+    centre = _along().rowsBetween(context, context + 1)
     df = df.withColumns({"_n": F.count("*").over(span), "_ok": F.min(good).over(span), "_span": F.max("pos").over(span) - F.col("pos"), "smax": F.coalesce(F.max(F.coalesce("contact_smax", F.lit(0))).over(centre), F.lit(0))})
     df = df.withColumn("seq", F.array_join(F.collect_list("res_name").over(span), ""))
     df = df.where((F.col("_n") == w) & F.col("_ok") & (F.col("_span") == w - 1))
@@ -193,7 +200,7 @@ def contact_window_sweep(df: DataFrame, contexts: list[int], bounds: list[float]
 
 def neighbourhood_filter(df: DataFrame, margin: int, columns: list[str]) -> DataFrame:
     """Rows whose neighbours up to margin on both sides are there, contiguous (pos) and complete in the columns."""
-    span = ORDER.rowsBetween(-margin, margin)
+    span = _along().rowsBetween(-margin, margin)
     whole = F.lit(True)
     for c in columns:
         whole = whole & F.col(c).isNotNull()
@@ -203,7 +210,7 @@ def neighbourhood_filter(df: DataFrame, margin: int, columns: list[str]) -> Data
 
 def same_ss_pairs(df: DataFrame) -> DataFrame:
     """Adds pair_ss: the structure class that a residue and the one before share, else null."""
-    return df.withColumn("pair_ss", F.when(F.lag("secondary").over(ORDER) == F.col("secondary"), F.col("secondary")))
+    return df.withColumn("pair_ss", F.when(F.lag("secondary").over(_along()) == F.col("secondary"), F.col("secondary")))
 
 
 def his_tags(segs: DataFrame) -> DataFrame:
