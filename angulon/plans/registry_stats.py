@@ -235,14 +235,14 @@ D2 = fx.RESIDUES + """, pm AS (SELECT a.secondary AS condition, a.unp_id, a.unp_
 d2 AS (SELECT condition, c1, c2, avg(d2) AS d2_mean, stddev_pop(d2) AS d2_std, count(*) AS n FROM pm GROUP BY ALL)"""
 
 
-@query("codon_pair_d2_all", f"WITH {D2} SELECT condition, c1, c2, round(d2_mean,4)+0.0 AS d2_mean, round(d2_std,4)+0.0 AS d2_std, n FROM d2")
+@query("codon_pair_d2_all", f"WITH {D2} SELECT condition, c1, c2, round(d2_mean,6)+0.0 AS d2_mean, round(d2_std,6)+0.0 AS d2_std, n FROM d2")
 def codon_pair_d2_all(spark, d):
-    return pairwise.codon_pair_d2(jobs.match_pairs(good(spark, d))).select("condition", "c1", "c2", r("d2_mean", 4), r("d2_std", 4), "n")
+    return pairwise.codon_pair_d2(jobs.match_pairs(good(spark, d))).select("condition", "c1", "c2", r("d2_mean"), r("d2_std"), "n")
 
 
-@query("codon_pair_d2_corrected", f"WITH {D2} SELECT d.condition, d.c1, d.c2, round(d.d2_mean-(a.d2_mean+b.d2_mean)/2,4)+0.0 AS delta FROM d2 d JOIN d2 a ON a.condition=d.condition AND a.c1=d.c1 AND a.c2=d.c1 JOIN d2 b ON b.condition=d.condition AND b.c1=d.c2 AND b.c2=d.c2")
+@query("codon_pair_d2_corrected", f"WITH {D2} SELECT d.condition, d.c1, d.c2, round(d.d2_mean-(a.d2_mean+b.d2_mean)/2,6)+0.0 AS delta FROM d2 d JOIN d2 a ON a.condition=d.condition AND a.c1=d.c1 AND a.c2=d.c1 JOIN d2 b ON b.condition=d.condition AND b.c1=d.c2 AND b.c2=d.c2")
 def codon_pair_d2_corrected(spark, d):
-    return jobs.pairwise_distances(fx.residues(spark, d)).select("condition", "c1", "c2", r("delta", 4))
+    return jobs.pairwise_distances(fx.residues(spark, d)).select("condition", "c1", "c2", r("delta"))
 
 
 @query("codon_pair_d2_norm", f"WITH {D2} SELECT d.condition, d.c1, d.c2, round(d.d2_mean/(sqrt(a.d2_mean*b.d2_mean)+1e-12),6)+0.0 AS norm FROM d2 d JOIN d2 a ON a.condition=d.condition AND a.c1=d.c1 AND a.c2=d.c1 JOIN d2 b ON b.condition=d.condition AND b.c1=d.c2 AND b.c2=d.c2")

@@ -23,7 +23,7 @@ def db():
 
 
 def text(v):
-    if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
         return ""
     return repr(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
