@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -25,7 +26,7 @@ def db():
 def text(v):
     if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
         return ""
-    return repr(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+    return repr(float(v)) if isinstance(v, (int, float, np.number)) and not isinstance(v, bool) else str(v)
 
 
 def rows(frame):
