@@ -34,7 +34,7 @@ WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{L}\p{N}]+")
 #: The white space that the tokenizer drops; str.split takes four control characters more.
 BLANK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 NOT_BLANK = re.compile("[\x1c-\x1f]")
-CACHE = 300_000
+CACHE = 150_000
 
 
 def shown_bytes() -> list[str]:
@@ -145,6 +145,11 @@ class Bpe:
         parts = self.special_pattern.split(text)
         return np.frombuffer(b"".join(np.array([self.special[p]], "<u4").tobytes() if k % 2 else self._plain(p) for k, p in enumerate(parts)), "<u4")
 
+    def forget(self) -> None:
+        """Empties the caches: a worker process outlives its task."""
+        for cache in (self.fits, self.word, self.stretch):
+            cache.clear()
+
     def decode(self, ids: np.ndarray) -> str:
         return " ".join(map(self.strings.__getitem__, ids.tolist()))
 
@@ -186,6 +191,7 @@ def encode_column(text: Column, path: str, spark) -> Column:
             ids = [bpe.encode(t.as_py()) for t in b]
             at = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             yield pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, "<u4"), *ids]).astype(np.int32)))
+        bpe.forget()
 
     return _text_udf(encoded, "array<int>")(text)
 
@@ -217,5 +223,6 @@ def digest_column(text: Column, path: str, spark) -> Column:
                 ids = bpe.encode(t.as_py())
                 rows.append((len(ids), sha256(ids.tobytes()).hexdigest(), sha256(bpe.decode(ids).encode()).hexdigest()))
             yield pa.StructArray.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(DIGEST)], fields=list(DIGEST))
+        bpe.forget()
 
     return _text_udf(digested, "struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>")(text)
