@@ -1,10 +1,13 @@
 """What near-duplicate operators share: classes of similar nodes from buckets of candidates.
 
-A bucket holds nodes that may be similar. All pairs within a bucket are either compared or already in one class, without
-listing all pairs of a group: in round r the next 2**r nodes of each bucket, its leaders, are compared with the later
-ones that are not yet in the leader's class, and classes that a found link joins become one. A bucket is done when its
-remaining nodes share a class, so a group of thousands of copies takes about as many comparisons as it has nodes, and a
-bucket of nodes that are all different takes log2 of its size rounds. No link between different classes is lost.
+A bucket holds nodes that may be similar. All pairs within a bucket are either compared, or shown not to be similar, or
+already in one class, without listing all pairs of a group: in round r the next 2 * 8**r nodes of each bucket, its
+leaders, are compared with the later ones that are not yet in the leader's class, and classes that a found link joins
+become one. A bucket is done when its remaining nodes share a class, so a group of thousands of copies takes about as
+many comparisons as it has nodes. In buckets of more than LARGE nodes, the parts (shingles) that only one of all nodes of
+large buckets has are counted: at most the others can be shared, which bounds the likeness of a pair from above, and
+pairs whose bound is below the threshold are left out. Nodes with the fewest such parts, the middle of their group, lead
+first. No link between different classes is lost.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from pyspark.sql.window import Window
 
 from .shared import stored
 
-SALTS = 16
+SALTS, FIRST_LEADERS, LARGE = 16, 2, 4
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -39,26 +42,47 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def shared_buckets(placed: DataFrame) -> DataFrame:
-    """The rows (bucket, node) of buckets with at least two nodes. The rows must be distinct."""
+    """The rows (bucket, node) of buckets with at least two nodes, and n, the number of these. The rows must be distinct."""
     size = F.count("*").over(Window.partitionBy("bucket"))
-    return placed.repartition("bucket").withColumn("n", size).where("n > 1").drop("n")
+    return placed.repartition("bucket").withColumn("n", size).where("n > 1")
 
 
-def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def own_parts(members: DataFrame, parts: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """node, size, own: for nodes of large buckets, how many parts each has, and how many no other such node has."""
+    nodes = members.where(F.col("n") > LARGE).select("node").distinct()
+    rows = stored(parts(nodes), "parts")
+    single = rows.groupBy("part").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
+    own = single.groupBy("node").agg(F.count("*").alias("own"))
+    return rows.groupBy("node").agg(F.count("*").alias("size")).join(own, "node", "left").select("node", "size", F.coalesce("own", F.lit(0)).alias("own"))
+
+
+def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame], parts: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
     """node, label for every node that has a link: label is the least node of its class, which is not listed itself.
 
-    members: distinct (bucket, node), numbers. verify: of pairs (a, b), those that are similar.
+    members: distinct (bucket, node, n), as shared_buckets gives them. verify: of pairs (a, b), those that are similar.
+    parts: of nodes (node), their distinct parts (node, part), of which similar pairs share the threshold's share.
     """
-    members = stored(members.select("bucket", "node", F.xxhash64("node").alias("turn"), F.col("node").alias("label")), "members")
+    members = members.withColumn("large", F.col("n") > LARGE)
+    if not members.where("large").isEmpty():
+        members = members.join(own_parts(members, parts), "node", "left")
+    else:
+        members = members.withColumns({"size": F.lit(0).cast("bigint"), "own": F.lit(0).cast("bigint")})
+    turn = F.shiftleft(F.coalesce("own", F.lit(0)).cast("bigint"), 40) + F.xxhash64("node").bitwiseAND(F.lit((1 << 40) - 1))
+    # a node of a large bucket, too few of whose parts any other such node has, is like none of them
+    hopeless = F.col("large") & (F.col("size") - F.col("own") < threshold * F.col("size") - 1e-9)
+    members = members.where(~hopeless).select("bucket", "node", "large", "size", "own", turn.alias("turn"), F.col("node").alias("label"))
+    members = stored(members.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where("n > 1").drop("n"), "members")
     found: DataFrame | None = None
-    leaders_wanted = 1
+    leaders_wanted = FIRST_LEADERS
     while True:
         first = F.row_number().over(Window.partitionBy("bucket", "salt").orderBy("turn", "node"))
-        leaders = members.withColumn("salt", F.pmod(F.shiftright("turn", 7), F.lit(SALTS))).withColumn("r", first).where(F.col("r") <= leaders_wanted)
+        leaders = members.withColumn("salt", F.pmod(F.col("turn"), F.lit(SALTS))).withColumn("r", first).where(F.col("r") <= leaders_wanted)
         leaders = leaders.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy("turn", "node"))).where(F.col("r") <= leaders_wanted)
-        leaders = stored(leaders.select("bucket", F.col("node").alias("a"), F.col("turn").alias("a_turn"), F.col("label").alias("a_label")), "leaders")
+        leaders = stored(leaders.select("bucket", F.col("node").alias("a"), F.col("turn").alias("a_turn"), F.col("label").alias("a_label"), F.col("size").alias("a_size"), F.col("own").alias("a_own")), "leaders")
         later = (F.col("turn") > F.col("a_turn")) | ((F.col("turn") == F.col("a_turn")) & (F.col("node") > F.col("a")))
-        pairs = members.join(leaders, "bucket").where(later & (F.col("label") != F.col("a_label")))
+        common = F.least(F.col("size") - F.col("own"), F.col("a_size") - F.col("a_own"))
+        possible = ~F.col("large") | (common >= threshold * (F.col("size") + F.col("a_size") - common) - 1e-9)
+        pairs = members.join(leaders, "bucket").where(later & (F.col("label") != F.col("a_label")) & possible)
         pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         links = stored(verify(pairs), "links")
         if not links.isEmpty():
@@ -67,14 +91,15 @@ def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> Dat
             moved = components(joined.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("to"))
             found = moved.select(F.col("label").alias("node"), F.col("to").alias("label")) if found is None else _follow(found, moved)
             found = stored(found, "found")
-            members = members.join(moved, "label", "left").select("bucket", "node", "turn", F.coalesce("to", "label").alias("label"))
+            members = members.join(moved, "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to")
+        mixed = lambda m: m.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
+        open_still = stored(members.join(mixed(members), "bucket", "left_semi"), "members")
         last = leaders.groupBy("bucket").agg(F.max(F.struct("a_turn", "a")).alias("last"))
-        left = members.join(last, "bucket").where(F.struct("turn", "node") > F.col("last")).drop("last")
-        mixed = left.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-        members = stored(left.join(mixed, "bucket", "left_semi"), "members")
+        members = open_still.join(last, "bucket").where(F.struct("turn", "node") > F.col("last")).drop("last")
+        members = stored(members.join(mixed(members), "bucket", "left_semi"), "members")
         if members.isEmpty():
             break
-        leaders_wanted *= 2
+        leaders_wanted *= 8
     return found if found is not None else members.select("node", "label")
 
 

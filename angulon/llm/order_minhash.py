@@ -3,8 +3,8 @@
 A document is its sequence of shingles (K words; fewer words make one shingle), each labelled with its occurrence
 number, so that labelled shingles are distinct. A sketch takes the L labelled shingles with the least hashes under its
 seed and hashes these in the order of the text: two documents share it with the chance that they share, in the same
-order, what is least; SKETCHES of them, any of which makes a candidate, miss a pair at likeness 0.8 with a chance of
-1e-5. Candidates are verified by aligning their labelled shingles in order, within the band of diagonals that a similar
+order, what is least, likeness to the power L; SKETCHES of them, any of which makes a candidate, miss a pair at
+likeness 0.8 with a chance of 1e-4, one at 0.9 never to speak of. Candidates are verified by aligning their labelled shingles in order, within the band of diagonals that a similar
 pair can use: with m aligned of n1 and n2, likeness m / (n1 + n2 - m) must be at least the threshold.
 
 Words are runs of bytes other than white space, A-Z in lower case. Null and empty texts have no words and are copies of
@@ -26,7 +26,9 @@ from . import neardup
 from .shared import stored
 from .textio import LOWER_CODES, chunks, mix, row_of, span_hashes, words
 
-K, L, SKETCHES, THRESHOLD = 5, 3, 16, 0.8
+K, L, SKETCHES, THRESHOLD = 5, 6, 30, 0.8
+#: Short documents' sketches take fewer shingles; a pair whose sizes the threshold allows has one kind in common.
+L_SHORT, SHORT = 2, (12, 14)
 _TIMES = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -57,34 +59,44 @@ def labelled(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.where(times > 0, mix(keys + times * _TIMES), keys)
 
 
-def sketches(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """rows x SKETCHES hashes (int64). Rows without shingles have the same sketches."""
-    rows = len(counts)
-    out = np.zeros((rows, SKETCHES), np.uint64)
-    full = np.flatnonzero(counts)
-    own = counts[full]
-    starts = np.cumsum(own) - own
-    top = np.uint64(0xFFFFFFFFFFFFFFFF)
+def _least(h: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
+    """rows x size places of the least values of each row; rows with fewer have the largest integer for the rest."""
+    none = np.iinfo(np.int64).max
+    places = np.full((len(counts), size), none)
+    todo = np.flatnonzero(counts)
+    first = np.cumsum(counts) - counts
+    room = 5.0 * size
+    while len(todo):  # values below a bound that lets about 5 * size of a row pass; again with more room where that was too few
+        n = counts[todo]
+        bound = np.where(n <= room, 2.0**64, room / n * 2.0**64)
+        at = np.repeat(first[todo], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) if len(todo) < len(counts) else np.arange(len(h))
+        hit = np.flatnonzero(h[at] < np.repeat(np.minimum(bound, 2.0**64 - 4096).astype(np.uint64), n)) if (n > room).any() else np.arange(len(at))
+        row = np.repeat(np.arange(len(todo)), n)[hit]
+        order = np.lexsort((h[at[hit]], row))
+        row, hit = row[order], at[hit[order]]
+        found = np.bincount(row, minlength=len(todo))
+        rank = np.arange(len(row)) - np.repeat(np.cumsum(found) - found, found)
+        keep = rank < size
+        places[todo[row[keep]], rank[keep]] = hit[keep]
+        short = (found < np.minimum(size, n)) & (n > room)
+        todo, room = todo[short], room * 8
+    return places
+
+
+def sketches(keys: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
+    """rows x SKETCHES hashes (int64) of ``size`` labelled shingles each. Rows without shingles have the same sketches."""
+    out = np.zeros((len(counts), SKETCHES), np.uint64)
+    seeds = mix(np.arange(2 * SKETCHES, dtype=np.uint64), 11)
     for s in range(SKETCHES):
-        h = (keys ^ mix(np.array([s], np.uint64), 11)[0]) * mix(np.array([s], np.uint64), 12)[0] | np.uint64(1)
+        h = (keys ^ seeds[s]) * (seeds[SKETCHES + s] | np.uint64(1))
         h ^= h >> np.uint64(29)
-        places = np.full((len(full), L), np.iinfo(np.int64).max)
-        for r in range(L):
-            least = np.minimum.reduceat(h, starts) if len(full) else h[:0]
-            hit = np.flatnonzero(h == np.repeat(least, own))
-            row = np.searchsorted(starts, hit, "right") - 1
-            row, first = np.unique(row, return_index=True)
-            hit = hit[first]
-            fresh = h[hit] != top  # rows with fewer than L shingles run out
-            places[row[fresh], r] = hit[fresh]
-            h[hit] = top
-        places.sort(axis=1)
-        value = np.full(len(full), s + 1, np.uint64)
-        for r in range(L):
+        places = _least(h, counts, size)
+        places.sort(axis=1)  # the order of the text
+        value = np.full(len(counts), s * 64 + size, np.uint64)
+        for r in range(size):
             there = places[:, r] < len(keys)
-            value = mix(value * _TIMES + np.where(there, keys[np.minimum(places[:, r], max(len(keys) - 1, 0))] if len(keys) else np.uint64(0), np.uint64(7)))
-        out[full, s] = value
-    out[counts == 0] = mix(np.arange(SKETCHES, dtype=np.uint64), 5)
+            value = mix(value * _TIMES + (np.where(there, keys[np.minimum(places[:, r], len(keys) - 1)], np.uint64(7)) if len(keys) else np.uint64(7)))
+        out[:, s] = value
     return out.view(np.int64)
 
 
@@ -93,9 +105,14 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi, data, offsets in chunks(b.column("text")):
             start, end, counts = words(data, offsets)
             keys, n = shingles(span_hashes(data, start, end, LOWER_CODES), counts)
-            made = sketches(labelled(keys, n), n)
-            at = pa.array(np.arange(0, (hi - lo + 1) * SKETCHES, SKETCHES, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), b.column("node").slice(lo, hi - lo), pa.ListArray.from_arrays(at, pa.array(made.ravel()))], ["doc_id", "node", "sketches"])
+            keys = labelled(keys, n)
+            of_many, of_few = n >= SHORT[0], n <= SHORT[1]
+            many, few = np.zeros((2, hi - lo, SKETCHES), np.int64)
+            for made, pick, size in ((many, of_many, L), (few, of_few, L_SHORT)):
+                made[pick] = sketches(keys[np.repeat(pick, n)], n[pick], size)
+            both = np.concatenate([many, few], axis=1)[np.repeat(np.column_stack([of_many, of_few]), SKETCHES, axis=1)]
+            at = pa.array(np.concatenate([[0], np.cumsum(SKETCHES * (of_many.astype(np.int64) + of_few))]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), b.column("node").slice(lo, hi - lo), pa.ListArray.from_arrays(at, pa.array(both))], ["doc_id", "node", "sketches"])
 
 
 def _contents(sieve: neardup.Sieve):
@@ -144,6 +161,13 @@ def _labelled_shingles(row_words: np.ndarray) -> np.ndarray:
     return labelled(keys, n)
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        node, own = b.column("node").to_numpy(), b.column("words")
+        made = [_labelled_shingles(own[k].values.to_numpy()) for k in range(len(node))]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node, [len(x) for x in made])), pa.array(np.concatenate([np.zeros(0, np.uint64), *made]).view(np.int64))], ["node", "part"])
+
+
 def _verified(threshold: float):
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, np.ndarray] = {}
@@ -183,7 +207,10 @@ def classes_of(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         both = pairs.join(right, "b").join(left, "a").select("a", "b", "words_a", "words_b")
         return both.sortWithinPartitions("a").mapInArrow(_verified(threshold), "a bigint, b bigint")
 
-    labels = neardup.classes(members, verify)
+    def parts(nodes: DataFrame) -> DataFrame:
+        return contents.join(nodes, "node", "left_semi").mapInArrow(_parts, "node bigint, part bigint")
+
+    labels = neardup.classes(members, verify, parts, threshold)
     ids = sketched.select("doc_id", "node").distinct().join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     first = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "node")
     heads = ids.groupBy("label").agg(F.min(first).alias("head"))
