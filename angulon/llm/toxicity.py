@@ -8,7 +8,7 @@ most toxic window. Null and empty texts are one window without words: their scor
 
 Trained in numpy by back-propagation through time on at most ``sample`` labelled texts (a documented bound; lowest hash
 first): each step takes texts of both classes, scores all windows of at most MOST_WINDOWS of each text drawn for
-training, and follows the gradient of the most toxic one. Word vectors start from the words' smoothed log odds in that
+training, and follows the gradient of the most toxic one; a text without words is among the clean ones. Word vectors start from the words' smoothed log odds in that
 sample. Scoring covers every window of every row. Ids, labels, language and source are never inputs.
 """
 
@@ -191,12 +191,15 @@ def fit(texts: list[bytes], labels: np.ndarray, steps: int = 400, each: int = 8,
         ids, pairs, n_pairs, back, _ = word_ids(np.frombuffer(t, np.uint8), np.array([0, len(t)]))
         data.append(_Text(ids, pairs, n_pairs, back))
         seen[int(y > 0.5), np.unique(ids)] += 1
+    empty = np.zeros(0, np.int64)
+    data.append(_Text(empty, empty, empty, empty))
+    labels = np.append(labels, 0.0)
     share = (seen + 0.5) / (np.array([[len(clean)], [len(toxic)]]) + 1)
     m.p["word"][:, 0] = np.clip(np.log(share[1] / share[0]), -4, 4) / 4 * (seen.sum(axis=0) >= 3)
     first, second = {k: np.zeros_like(v) for k, v in m.p.items()}, {k: np.zeros_like(v) for k, v in m.p.items()}
     prior = np.log(len(toxic) / len(clean))
     for step in range(1, steps + 1):
-        pick = np.concatenate([rng.choice(toxic, each), rng.choice(clean, 2 * each)])
+        pick = np.concatenate([rng.choice(toxic, each), rng.choice(clean, 2 * each), [len(data) - 1]])
         ids, pairs, n_pairs, back, begin, size, n = [], [], [], [], [], [], []
         words_before = unique_before = 0
         for i in pick:
