@@ -54,14 +54,20 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, end, number, text
 
 
-def signatures(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """lines x BANDS bucket keys (int64) of lines that are not blank. Characters are told apart by their first bytes."""
+def shingle_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the shingles of lines that are not blank, in order, and their number in each line."""
     head = (data & 0xC0) != 0x80  # bytes that begin a character
     place = np.append(np.flatnonzero(head), len(data))
     a, b = np.searchsorted(place, start), np.searchsorted(place, end)
     n = np.maximum(b - a - SHINGLE + 1, 1)
     at = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    h = (span_hashes(data, place[at], place[np.minimum(at + SHINGLE, np.repeat(b, n))]) >> np.uint64(32)).astype(np.uint32)
+    return span_hashes(data, place[at], place[np.minimum(at + SHINGLE, np.repeat(b, n))]), n
+
+
+def signatures(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """lines x BANDS bucket keys (int64) of lines that are not blank."""
+    h, n = shingle_hashes(data, start, end)
+    h = (h >> np.uint64(32)).astype(np.uint32)
     begins = np.cumsum(n) - n
     out = np.empty((len(start), BANDS), np.uint64)
     for band in range(BANDS):
@@ -112,15 +118,28 @@ def likeness(x: set[str], y: set[str]) -> float:
     return both / (len(x) + len(y) - both)
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        node = b.column("node").to_numpy()
+        for lo, hi, data, offsets in chunks(b.column("text")):
+            h, n = shingle_hashes(data, offsets[:-1], offsets[1:])
+            row = row_of(n)
+            order = np.lexsort((h, row))
+            h, row = h[order], row[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(node[lo:hi][row[new]]), pa.array(h[new].view(np.int64))], ["node", "part"])
+
+
 def _verified(threshold: float):
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, set()
         for batch in batches:
             good = []
-            for a, x, y in zip(batch.column("a").to_pylist(), batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
+            for a, x, y in zip(batch.column("a").to_numpy(), batch.column("text_a"), batch.column("text_b"), strict=True):
                 if a != last:  # pairs come sorted by a
-                    last, own = a, shingle_set(x)
-                good.append(likeness(own, shingle_set(y)) >= threshold)
+                    last, own = a, shingle_set(x.as_py())
+                good.append(likeness(own, shingle_set(y.as_py())) >= threshold)
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
@@ -148,7 +167,10 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
         return both.sortWithinPartitions("a").mapInArrow(_verified(threshold), "a bigint, b bigint")
 
-    labels = neardup.classes(members, verify)
+    def parts(nodes: DataFrame) -> DataFrame:
+        return contents.join(nodes, "node", "left_semi").mapInArrow(_parts, "node bigint, part bigint")
+
+    labels = neardup.classes(members, verify, parts, threshold)
     first = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "t", "line")
     heads = lines.groupBy("node").agg(F.min(first).alias("head"), F.count("*").alias("times"))
     heads = heads.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -183,8 +205,8 @@ def dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     again = _keyed(docs).groupBy("doc_id", "t").count().where("count > 1").select("doc_id", "t", F.array().cast("array<int>").alias("lines"))
     lost = removed_lines(docs, threshold).union(again).groupBy("doc_id", "t").agg(F.flatten(F.collect_list("lines")).alias("lines"))
-    lost = stored(lost.select(F.xxhash64("doc_id", "t").alias("key"), F.col("t").alias("lost_t"), "lines"), "lost")
-    sieve = neardup.Sieve(lost, "key")
+    lost = stored(lost.select(F.xxhash64("doc_id", "t").alias("_lost_key"), F.col("t").alias("_lost_t"), F.col("lines").alias("_lines")), "lost")
+    sieve = neardup.Sieve(lost, "_lost_key")
 
     def may_lose(keys: pa.Array) -> pa.Array:
         return pa.array(sieve.may_hold(keys.to_numpy(zero_copy_only=False)))
@@ -193,7 +215,7 @@ def dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     names = docs.columns
     rows = docs.withColumn("_t", F.xxhash64("text")).withColumn("_key", F.xxhash64("doc_id", "_t")).withColumn("_may", F.arrow_udf(may_lose, "boolean")("_key"))
     cut = F.arrow_udf(_cut, "struct<n_lines:bigint,n_kept:bigint,text:string>")
-    some = rows.where("_may").join(lost.select("key", "lost_t", F.col("lines").alias("_lines")), (F.col("_key") == F.col("key")) & (F.col("_t") == F.col("lost_t")), "left")
+    some = rows.where("_may").join(lost, (F.col("_key") == F.col("_lost_key")) & (F.col("_t") == F.col("_lost_t")), "left")
     rest = rows.where("NOT _may").withColumn("_lines", F.lit(None).cast("array<int>"))
     once = some.dropDuplicates(["_key"]).select(*names, "_lines").union(rest.select(*names, "_lines"))
     done = once.withColumn("_cut", cut("text", "_lines")).where("_cut.n_kept > 0 OR _cut.n_lines = 0")
