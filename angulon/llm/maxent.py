@@ -33,7 +33,7 @@ from pyspark.sql.window import Window
 from .shared import stored
 from .textio import LOWER_CODES, chunks, mix, row_of, span_hashes, sums_by_row, words
 
-CLASSES, ROW_BITS, HEAD, UPDATES, SLICE = 32, 15, 1 << 18, 2, 1 << 15
+CLASSES, ROW_BITS, HEAD, UPDATES, SLICE, WIDE = 32, 15, 1 << 18, 2, 1 << 15, 1 << 17
 ROWS, BLOCK_ROWS, FAN_IN = 1 << ROW_BITS, 512, 32
 _END, _START = np.uint64(0), mix(np.array([1], np.uint64), 41)[0]
 _DAMPING = np.array([0.6, 0.4, 0.3])
@@ -108,20 +108,17 @@ def updated(w: Weights, observed: np.ndarray, expected: np.ndarray) -> Weights:
 
 def _observe(table: np.ndarray, keys: np.ndarray, rows: list[np.ndarray]) -> None:
     kind = (keys & np.uint64(CLASSES - 1)).astype(np.int64)
-    for r in rows:
-        table += np.bincount(r * CLASSES + kind, minlength=table.size).reshape(table.shape)
+    table += np.bincount(np.concatenate([r * CLASSES + kind for r in rows]), minlength=table.size).reshape(table.shape)
 
 
 def _expect(table: np.ndarray, w: Weights, rows: list[np.ndarray]) -> None:
-    for k in range(0, len(rows[0]), SLICE):
-        some = [r[k : k + SLICE] for r in rows]
+    for k in range(0, len(rows[0]), WIDE):
+        some = [r[k : k + WIDE] for r in rows]
         e, total = w.exponentials(some)
-        e /= total[:, None]
-        for r in some:
-            order = np.argsort(r, kind="stable")
-            r = r[order]
-            first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-            table[r[first]] += np.add.reduceat(e[order], first, axis=0)
+        share = np.ascontiguousarray((e / total[:, None]).T)
+        for c in range(CLASSES):
+            for r in some:
+                table[c] += np.bincount(r, share[c], minlength=ROWS)
 
 
 _TABLES = "block int, part int, sums binary"
@@ -133,7 +130,7 @@ def _tables(shipped):
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        table = np.zeros((ROWS, CLASSES))
+        table, expected = np.zeros((ROWS, CLASSES)), np.zeros((CLASSES, ROWS))
         for b in batches:
             for _, _, data, offsets in chunks(b.column("text")):
                 keys, counts = tokens(data, offsets)
@@ -141,7 +138,9 @@ def _tables(shipped):
                 if shipped is None:
                     _observe(table, keys, rows)
                 else:
-                    _expect(table, shipped.value, rows)
+                    _expect(expected, shipped.value, rows)
+        if shipped is not None:
+            table = expected.T
         blocks = [(k // BLOCK_ROWS, table[k : k + BLOCK_ROWS].astype(np.float32).tobytes()) for k in range(0, ROWS, BLOCK_ROWS)]
         part = TaskContext.get().partitionId()
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in blocks], pa.int32()), pa.array([part] * len(blocks), pa.int32()), pa.array([x[1] for x in blocks], pa.binary())], ["block", "part", "sums"])
