@@ -64,7 +64,8 @@ def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame], parts:
     """
     members = members.withColumn("large", F.col("n") > LARGE)
     if not members.where("large").isEmpty():
-        members = members.join(own_parts(members, parts), "node", "left")
+        # a node without parts has no row there: none of its parts is its own
+        members = members.join(own_parts(members, parts), "node", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("size", "own")})
     else:
         members = members.withColumns({"size": F.lit(0).cast("bigint"), "own": F.lit(0).cast("bigint")})
     turn = F.shiftleft(F.coalesce("own", F.lit(0)).cast("bigint"), 40) + F.xxhash64("node").bitwiseAND(F.lit((1 << 40) - 1))

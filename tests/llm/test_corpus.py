@@ -86,6 +86,13 @@ def test_near_duplicates(spark, monkeypatch, large):
     assert order_minhash.classes_of(df.where("false")).count() == 0
 
 
+def test_many_texts_without_words_are_one_class(spark):
+    texts = ["", " ", "\n", "  ", "\t", "one two three four five six", None, " \n ", "x"]
+    got = {r.doc_id: (r.class_id, r.kept) for r in order_minhash.classes_of(frame(spark, texts)).collect()}
+    assert got == {i: (i, True) if i in (0, 5, 8) else (0, False) for i in range(9)} | {6: (0, False)}
+    assert sorted(r.doc_id for r in order_minhash.keep_one(frame(spark, texts)).collect()) == [0, 5, 8]
+
+
 @pytest.mark.parametrize("large", [2, 32])
 def test_lines(spark, monkeypatch, large):
     monkeypatch.setattr(neardup, "LARGE", large)
