@@ -113,6 +113,23 @@ def test_lines(spark, monkeypatch, large):
     assert lines.dedup(frame(spark, []).where("false")).count() == 0
 
 
+def test_lines_of_usual_length_with_one_edit_are_alike(spark):
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    pairs = []
+    for n in range(40, 121, 2):
+        own = " ".join(word(6) for _ in range(18))[:n]
+        at = rng.randrange(8, n - 8)
+        pairs.append((own, own[:at] + "#" + own[at + 1 :]))
+        if n >= 90:
+            own = " ".join(word(6) for _ in range(18))[:n]
+            pairs.append((own, own[:35] + word(6).upper() + own[41:]))
+    texts = [x for pair in pairs for x in pair]
+    got = {r.doc_id for r in lines.dedup(frame(spark, texts)).collect()}
+    assert got == set(range(0, len(texts), 2))
+
+
 def test_fingerprints(spark):
     texts = corpus(7)
     rows = [(i * 700, t) for i, t in enumerate(texts)]
