@@ -6,7 +6,8 @@ statistics in STATISTICS an indicator of the bin it falls in. The score is
 linear in the entries of x. Null and empty texts have no words and the lowest bin of each statistic; their score
 is what the model gives that vector. Ids, labels, language and source are never inputs.
 
-The model is fitted on a bounded sample (``sample`` labelled rows, lowest hash first); scoring covers every row.
+The model is fitted on a bounded sample (``sample`` labelled ids, lowest hash first; of several texts of an id that of
+the lowest hash); scoring covers every row.
 """
 
 from __future__ import annotations
@@ -115,7 +116,9 @@ def sample_labels(labels: DataFrame, label: str, sample: int) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = 6000) -> Model:
     """Fit on the documents of at most ``sample`` labelled ids. Without any, every score is that of an even prior."""
     some = F.broadcast(sample_labels(labels, label, sample))
-    got = docs.select("doc_id", "text").join(some, "doc_id").select("label", "text").mapInArrow(_featurise, "label double, ids array<int>, values array<float>").toArrow()
+    # one row an id: its copies are reduced where they are read
+    once = docs.select("doc_id", "text").join(some, "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "label")).alias("x"))
+    got = once.orderBy("doc_id").select("x.label", "x.text").mapInArrow(_featurise, "label double, ids array<int>, values array<float>").toArrow()
     rows = [(np.asarray(i.values.to_numpy()), np.asarray(v.values.to_numpy())) for i, v in zip(got["ids"], got["values"], strict=True)]
     return fit(rows, got["label"].to_numpy())
 

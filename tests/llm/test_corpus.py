@@ -217,6 +217,14 @@ def test_quality_learns_and_scores_odd_texts(spark):
     assert docs.select(quality.score_column(F.col("text"), empty, spark).alias("s")).agg(F.min("s"), F.max("s")).first()[:] == pytest.approx((0.5, 0.5), abs=0.02)
 
 
+def test_quality_learns_from_one_row_an_id(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda rows, labels: seen.append((len(rows), labels.tolist())))
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, "other"), (2, "other"), (3, None)], "doc_id long, text string")
+    quality.train(docs, spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int"))
+    assert seen == [(3, [1.0, 0.0, 1.0])]
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     bad = ["vilewordx", "nastyfoo"]
