@@ -3,7 +3,8 @@
 An entry is a host and the start of a path. A URL is tried with every suffix of its host that begins at a label, and
 with every start of its path that is as long as some entry's; each such key's digest is looked up in the sorted array
 by vectorised binary search, and the entry's stored full string must equal the key, so that equal digests do no harm.
-The longest entry that fits decides; a URL that none fits is allowed.
+The longest entry (host and path together) that fits decides, of equally long ones that with the longer host; a URL
+that none fits is allowed.
 
 The array is written as a ``.npy`` file to the worker's temporary folder and memory-mapped from there. A list of up to
 ``most`` entries is shipped to the workers whole; a longer one is cut into shards by digest, each shard is mapped
@@ -76,14 +77,14 @@ class DigestArray:
 
 
 def tried_keys(host: str, path: str, path_lengths: list[int]) -> list[str]:
-    """The keys that would fit a URL, the longest first."""
+    """The keys that would fit a URL, the longest first, of equally long ones that with the longer host."""
     suffixes = [host] if host else []
     at = host.find(".")
     while at >= 0:
         suffixes.append(host[at + 1 :])
         at = host.find(".", at + 1)
     keys = [f"{s} {path[:n]}" for s in suffixes for n in path_lengths if n <= len(path)]
-    return sorted(keys, key=lambda k: (-len(k), k))
+    return sorted(keys, key=lambda k: (len(k), k.find(" "), k), reverse=True)
 
 
 KIND = pa.struct([("rule", pa.string()), ("verdict", pa.string())])
@@ -132,7 +133,7 @@ def _judge_sharded(parts: DataFrame, entries: DataFrame) -> DataFrame:
     urls = parts.select("host", "path").distinct().select("host", "path", F.explode(keys("host", "path")).alias("key"))
     tried = urls.select("key").distinct().withColumn("shard", shard("key"))
     hits = keyed.groupBy("shard").cogroup(tried.groupBy("shard")).applyInPandas(_probe, "key string, verdict string")
-    best = urls.join(hits, "key").groupBy("host", "path").agg(F.max_by(F.struct("key", "verdict"), F.struct(F.length("key"), "key")).alias("b"))
+    best = urls.join(hits, "key").groupBy("host", "path").agg(F.max_by(F.struct("key", "verdict"), F.struct(F.length("key"), F.length(F.substring_index("key", " ", 1)), "key")).alias("b"))
     best = best.select("host", "path", F.regexp_replace("b.key", "^([^ ]*) ", "$1").alias("rule"), "b.verdict")
     return parts.join(best, ["host", "path"], "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"))
 

@@ -170,6 +170,14 @@ def test_url_filter(spark, most):
     assert got == {i: judged(u) for i, u in [*enumerate(urls_), (99, urls_[0])]}
 
 
+@pytest.mark.parametrize("most", [100, 1])
+def test_of_equally_long_url_entries_the_longer_host_decides(spark, most):
+    entries = spark.createDataFrame([("a.net", "/", "allow"), ("net", "/ab", "block"), ("net", "/a", "block")], "host string, path string, verdict string")
+    pages = spark.createDataFrame([(1, "http://a.net/ab"), (2, "http://b.net/ab"), (3, "http://z.net/ac")], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.judge(pages, entries, most).collect()}
+    assert got == {1: ("a.net/", "allow"), 2: ("net/ab", "block"), 3: ("net/a", "block")}
+
+
 def test_digest_collisions(monkeypatch):
     monkeypatch.setattr(urls, "digest", lambda key: len(key) % 2)
     index = urls.DigestArray(["a x", "bb x", "cc y"], ["1", "2", "3"])
