@@ -1,13 +1,17 @@
 """Fuzzy line dedup: of all lines of the corpus that are alike, one stays.
 
 A line (between line ends, without the white space around it) is the set of its shingles of SHINGLE characters; a
-shorter line is one shingle. BANDS bands of ROWS minimum hashes make candidates: at likeness 0.8 all bands miss with a
-chance of 8e-4, at 0.9 of 2e-6. One replaced character leaves lines of 39 characters and more alike, one replaced
-six-letter word those of 84 and more. Candidates are verified by the exact Jaccard likeness of their shingle sets, distributed
-union-find makes components of the links, and in each the line with the least (doc_id, hash of the text, line number)
-stays; ids that are null come last. Blank lines always stay. A document keeps its remaining lines in order; one that
-loses all its lines with characters goes, one that had none stays as it is. Null texts stay null. Rows with equal id
-and text are one document: the first stays. Lines are told apart by a 64-bit hash of their characters.
+shorter line is one shingle. Its MinHash signature has one value for each of BINS bins in each of PASSES passes: a pass
+hashes every shingle once, and each bin keeps the least of the hashes that fall into it (one permutation hashing);
+empty bins take the value of the nearest filled one after them, in a circle. BANDS bands of ROWS values make
+candidates: at likeness 0.8 all bands miss with a chance of 1e-3, at 0.9 of 3e-8; at a likeness of 0.1, as of unrelated
+lines, a pair meets with a chance of 2e-5. One replaced character leaves lines of 49 characters and more alike.
+Candidates are verified by the exact Jaccard likeness of their shingle sets, distributed union-find makes components of
+the links, and in each the line with the least (doc_id, hash of the text, line number) stays; ids that are null come
+last. Blank lines always stay. A document keeps its remaining lines in order; one that loses all its lines with
+characters goes, one that had none stays as it is. Null texts stay null. Rows with equal id and text are one document:
+one of them stays, with its other columns. Lines are told apart by a 64-bit hash of their characters. Extra columns may
+have any names.
 """
 
 from __future__ import annotations
@@ -20,13 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import neardup
-from .shared import stored
+from .shared import scratch, stored
 from .textio import chunks, mix, row_of, span_hashes
 
-SHINGLE, ROWS, BANDS, THRESHOLD = 4, 3, 10, 0.8
-_SEEDS = mix(np.arange(2 * ROWS * BANDS, dtype=np.uint64), 21)
-_XOR = (_SEEDS[: ROWS * BANDS] >> np.uint64(32)).astype(np.uint32)
-_TIMES = (_SEEDS[ROWS * BANDS :] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+SHINGLE, ROWS, BANDS, PASSES, BINS, THRESHOLD = 5, 6, 23, 3, 46, 0.8
+_TIMES = mix(np.arange(PASSES, dtype=np.uint64), 21) | np.uint64(1)
+_PLACES = mix(np.arange(SHINGLE, dtype=np.uint64), 22) | np.uint64(1)
+_EMPTY = np.uint32(0xFFFFFFFF)
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -57,59 +62,98 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def shingle_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the shingles of lines that are not blank, in order, and their number in each line."""
-    head = (data & 0xC0) != 0x80  # bytes that begin a character
-    place = np.append(np.flatnonzero(head), len(data))
-    a, b = np.searchsorted(place, start), np.searchsorted(place, end)
+    if len(data) and data.max() >= 128:
+        place = np.cumsum((data & 0xC0) != 0x80)  # characters begun up to each byte
+        a, b = place[start] - 1, place[end - 1]
+        codes = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+    else:
+        a, b, codes = start, end, data
+    spread = np.append(codes, np.zeros(SHINGLE, codes.dtype)).astype(np.uint64)
+    every = np.zeros(len(codes), np.uint64)
+    for j in range(SHINGLE):
+        every += spread[j : j + len(codes)] * _PLACES[j]
     n = np.maximum(b - a - SHINGLE + 1, 1)
-    at = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    return span_hashes(data, place[at], place[np.minimum(at + SHINGLE, np.repeat(b, n))]), n
+    h = every[np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())]
+    short = np.flatnonzero(b - a < SHINGLE)
+    if len(short):  # whole lines: what follows them counts as one and the same character
+        own = np.zeros(len(short), np.uint64)
+        for j in range(SHINGLE):
+            own += np.where(a[short] + j < b[short], spread[np.minimum(a[short] + j, len(codes))], np.uint64(0x110000)) * _PLACES[j]
+        h[(np.cumsum(n) - n)[short]] = own
+    return mix(h), n
 
 
 def signatures(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """lines x BANDS bucket keys (int64) of lines that are not blank."""
     h, n = shingle_hashes(data, start, end)
-    h = (h >> np.uint64(32)).astype(np.uint32)
-    begins = np.cumsum(n) - n
-    out = np.empty((len(start), BANDS), np.uint64)
-    for band in range(BANDS):
-        key = np.full(len(start), band + 1, np.uint64)
-        for k in range(band * ROWS, (band + 1) * ROWS):
-            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat((h ^ _XOR[k]) * _TIMES[k], begins))
-        out[:, band] = key
-    return out.view(np.int64)
+    first = np.repeat(np.arange(len(n)) * BINS, n)
+    least = np.full((PASSES, len(n) * BINS), _EMPTY, np.uint32)
+    for p in range(PASSES):
+        x = h * _TIMES[p]
+        x ^= x >> np.uint64(32)
+        np.minimum.at(least[p], first + (((x >> np.uint64(40)) * np.uint64(BINS)) >> np.uint64(24)).astype(np.int64), x.astype(np.uint32))
+    least = least.reshape(PASSES * len(n), BINS)
+    short = np.flatnonzero((least == _EMPTY).any(axis=1))
+    if len(short):
+        whole = least[short]
+        filled = whole != _EMPTY
+        place = np.where(np.hstack([filled, filled]), np.arange(2 * BINS), 2 * BINS)
+        after = np.minimum.accumulate(place[:, ::-1], axis=1)[:, ::-1][:, :BINS]  # of the nearest filled bin from each on
+        away = (after - np.arange(BINS)).astype(np.uint32)
+        least[short] = np.take_along_axis(whole, after % BINS, axis=1) + away * np.uint32(0x9E3779B1)
+    values = np.moveaxis(least.reshape(PASSES, len(n), BINS), 0, 2).reshape(len(n), BANDS, ROWS).astype(np.uint64)
+    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(n), BANDS))
+    for k in range(ROWS):
+        key = mix(key * _GOLDEN + values[:, :, k])
+    return key.view(np.int64)
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for lo, hi, data, offsets in chunks(b.column("text"), 1 << 19):
+        for lo, _, data, offsets in chunks(b.column("text"), 1 << 17):
             start, end, number, text = spans(data, offsets)
             keep = np.flatnonzero(end > start)
             if not len(keep):
                 continue
             start, end, number, text = start[keep], end[keep], number[keep], text[keep]
             node = span_hashes(data, start, end).view(np.int64)
-            bands = signatures(data, start, end)
+            bands = pa.FixedSizeListArray.from_arrays(pa.array(signatures(data, start, end).ravel()), BANDS).cast(pa.list_(pa.int64()))
             take = pa.array(text + lo)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(take), b.column("t").take(take), pa.array(number.astype(np.int32)), pa.array(node), *(pa.array(np.ascontiguousarray(bands[:, k])) for k in range(BANDS))], ["doc_id", "t", "line", "node", *_BANDS])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(take), b.column("t").take(take), pa.array(number.astype(np.int32)), pa.array(node), bands], ["doc_id", "t", "line", "node", "buckets"])
 
 
-_BANDS = [f"b{k}" for k in range(BANDS)]
-_SCHEMA = "doc_id bigint, t bigint, line int, node bigint, " + ", ".join(f"{b} bigint" for b in _BANDS)
+_SCHEMA = "doc_id bigint, t bigint, line int, node bigint, buckets array<bigint>"
 
 
 def _contents(sieve: neardup.Sieve):
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, _, data, offsets in chunks(b.column("text")):
+            for _, _, data, offsets in chunks(b.column("text"), 1 << 17):
                 start, end, _, _ = spans(data, offsets)
                 node = span_hashes(data, start, end).view(np.int64)
                 keep = np.flatnonzero((end > start) & sieve.may_hold(node))
                 keep = keep[np.unique(node[keep], return_index=True)[1]]
-                yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array([data[i:j].tobytes().decode("utf-8") for i, j in zip(start[keep], end[keep], strict=True)], pa.string())], ["node", "text"])
+                if not len(keep):
+                    continue
+                start, end, node = start[keep], end[keep], node[keep]
+                h, n = distinct_shingles(data, start, end)
+                text = pa.array([data[i:j].tobytes().decode("utf-8") for i, j in zip(start, end, strict=True)], pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(node), text, *neardup.described(h, n)], ["node", "text", *neardup.ABOUT])
 
     return contents
 
 
+def distinct_shingles(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingle hashes of each line, and their number."""
+    h, n = shingle_hashes(data, start, end)
+    row = row_of(n)
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    return h[new], np.bincount(row[new], minlength=len(n))
+
+
 def shingle_set(line: str) -> set[str]:
     return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
 
@@ -119,19 +163,6 @@ def likeness(x: set[str], y: set[str]) -> float:
     return both / (len(x) + len(y) - both)
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        node = b.column("node").to_numpy()
-        for lo, hi, data, offsets in chunks(b.column("text")):
-            h, n = shingle_hashes(data, offsets[:-1], offsets[1:])
-            row = row_of(n)
-            order = np.lexsort((h, row))
-            h, row = h[order], row[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(node[lo:hi][row[new]]), pa.array(h[new].view(np.int64))], ["node", "part"])
-
-
 def _verified(threshold: float):
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, set()
@@ -141,8 +172,7 @@ def _verified(threshold: float):
                 if a != last:  # pairs come sorted by a
                     last, own = a, shingle_set(x.as_py())
                 good.append(likeness(own, shingle_set(y.as_py())) >= threshold)
-            keep = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
+            yield batch.select(["a", "b", "la", "lb"]).filter(pa.array(good, pa.bool_()))
 
     return verified
 
@@ -155,23 +185,18 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, t (hash of the text), lines: for each document that loses lines, their numbers from 0, ascending."""
     rows = _keyed(docs)
     lines = stored(rows.mapInArrow(_lines, _SCHEMA), "lines")
-    nodes = lines.groupBy("node").agg(*[F.first(b).alias(b) for b in _BANDS])
-    placed = nodes.select("node", F.explode(F.array(*_BANDS)).alias("bucket"))
-    members = stored(neardup.shared_buckets(placed), "buckets")
+    members = neardup.shared_buckets(lines)
     sieve = neardup.Sieve(members, "node")
-    contents = rows.select("text").mapInArrow(_contents(sieve), "node bigint, text string")
-    contents = stored(contents.groupBy("node").agg(F.first("text").alias("text")), "line_texts")
+    contents = rows.select("text").mapInArrow(_contents(sieve), f"node bigint, text string, {neardup.ABOUT_SCHEMA}")
+    contents = stored(contents.groupBy("node").agg(*[F.first(c).alias(c) for c in ("text", *neardup.ABOUT)]), "line_texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
         left = contents.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
         right = contents.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-        both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
-        return both.sortWithinPartitions("a").mapInArrow(_verified(threshold), "a bigint, b bigint")
-
-    def parts(nodes: DataFrame) -> DataFrame:
-        return contents.join(nodes, "node", "left_semi").mapInArrow(_parts, "node bigint, part bigint")
+        both = pairs.join(right, "b").join(left, "a").select("a", "b", "la", "lb", "text_a", "text_b")
+        return both.sortWithinPartitions("a").mapInArrow(_verified(threshold), "a bigint, b bigint, la bigint, lb bigint")
 
-    labels = neardup.classes(members, verify, parts, threshold)
+    labels = neardup.classes(members, contents, verify, threshold)
     first = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "t", "line")
     heads = lines.groupBy("node").agg(F.min(first).alias("head"), F.count("*").alias("times"))
     heads = heads.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -185,39 +210,49 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 RESULT = pa.struct([("n_lines", pa.int64()), ("n_kept", pa.int64()), ("text", pa.string())])
 
 
-def _cut(texts: pa.Array, lines: pa.Array) -> pa.Array:
-    out = []
-    for text, lost in zip(texts.to_pylist(), lines.to_pylist(), strict=True):
-        own = (text or "").split("\n")
-        inked = [k for k, x in enumerate(own) if x.strip(" \t\r\x0b\x0c")]
-        gone = set(lost or ())
-        kept = [x for k, x in enumerate(own) if k not in gone]
-        out.append((len(inked), len(inked) - len(gone), "\n".join(kept) if text is not None else None))
-    return pa.StructArray.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(RESULT)], fields=list(RESULT))
+def _cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for texts, lost in batches:
+        out = []
+        for lo, hi, data, offsets in chunks(texts, 1 << 18):
+            start, end, _, text = spans(data, offsets)
+            inked = np.bincount(text[end > start], minlength=hi - lo)
+            own, gone = texts.slice(lo, hi - lo), lost.slice(lo, hi - lo)
+            n_gone = np.zeros(hi - lo, np.int64)
+            some = np.flatnonzero(gone.is_valid().to_numpy(zero_copy_only=False))
+            if len(some):
+                cut = own.to_pylist()
+                for i in some:
+                    out_of = set(gone[int(i)].values.to_pylist())
+                    n_gone[i] = len(out_of)
+                    cut[i] = "\n".join([x for k, x in enumerate(cut[i].split("\n")) if k not in out_of])
+                own = pa.array(cut, pa.string())
+            out.append(pa.StructArray.from_arrays([pa.array(inked.astype(np.int64)), pa.array(inked - n_gone), own.cast(pa.string())], fields=list(RESULT)))
+        yield pa.concat_arrays(out) if out else pa.array([], RESULT)
 
 
-_cut.__annotations__ = {"texts": pa.Array, "lines": pa.Array, "return": pa.Array}
+_cut.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
 
 
 def dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` (doc_id, text, more) with the remaining text, n_lines and n_kept: the lines with characters before and after.
+    """``docs`` (doc_id, text, more) with the remaining text, and the columns _n_lines and _n_kept: the lines with
+    characters before and after.
 
     Documents that lose no line pass by the exchange, as far as a bitmap of fixed size can tell.
     """
+    names = docs.columns
+    t, key, may, lost_t, lost_id, lost_key, gone, cut = scratch(names, "t", "key", "may", "lost_t", "lost_id", "lost_key", "gone", "cut")
     again = _keyed(docs).groupBy("doc_id", "t").count().where("count > 1").select("doc_id", "t", F.array().cast("array<int>").alias("lines"))
     lost = removed_lines(docs, threshold).union(again).groupBy("doc_id", "t").agg(F.flatten(F.collect_list("lines")).alias("lines"))
-    lost = stored(lost.select(F.xxhash64("doc_id", "t").alias("_lost_key"), F.col("t").alias("_lost_t"), F.col("lines").alias("_lines")), "lost")
-    sieve = neardup.Sieve(lost, "_lost_key")
+    lost = stored(lost.select(F.xxhash64("doc_id", "t").alias(lost_key), F.col("doc_id").alias(lost_id), F.col("t").alias(lost_t), F.col("lines").alias(gone)), "lost")
+    sieve = neardup.Sieve(lost, lost_key)
 
     def may_lose(keys: pa.Array) -> pa.Array:
         return pa.array(sieve.may_hold(keys.to_numpy(zero_copy_only=False)))
 
     may_lose.__annotations__ = {"keys": pa.Array, "return": pa.Array}
-    names = docs.columns
-    rows = docs.withColumn("_t", F.xxhash64("text")).withColumn("_key", F.xxhash64("doc_id", "_t")).withColumn("_may", F.arrow_udf(may_lose, "boolean")("_key"))
-    cut = F.arrow_udf(_cut, "struct<n_lines:bigint,n_kept:bigint,text:string>")
-    some = rows.where("_may").join(lost, (F.col("_key") == F.col("_lost_key")) & (F.col("_t") == F.col("_lost_t")), "left")
-    rest = rows.where("NOT _may").withColumn("_lines", F.lit(None).cast("array<int>"))
-    once = some.dropDuplicates(["_key"]).select(*names, "_lines").union(rest.select(*names, "_lines"))
-    done = once.withColumn("_cut", cut("text", "_lines")).where("_cut.n_kept > 0 OR _cut.n_lines = 0")
-    return done.select(*[F.col("_cut.text").alias("text") if n == "text" else F.col(n) for n in names], F.col("_cut.n_lines").alias("_n_lines"), F.col("_cut.n_kept").alias("_n_kept"))
+    rows = docs.withColumn(t, F.xxhash64("text")).withColumn(key, F.xxhash64("doc_id", t)).withColumn(may, F.arrow_udf(may_lose, "boolean")(key))
+    some = rows.where(may).join(lost, (F.col(key) == F.col(lost_key)) & F.col("doc_id").eqNullSafe(F.col(lost_id)) & (F.col(t) == F.col(lost_t)), "left")
+    rest = rows.where(f"NOT `{may}`").withColumn(gone, F.lit(None).cast("array<int>"))
+    once = some.dropDuplicates(["doc_id", t]).select(*names, gone).union(rest.select(*names, gone))
+    done = once.withColumn(cut, F.arrow_udf(_cut, "struct<n_lines:bigint,n_kept:bigint,text:string>")("text", gone)).where(f"`{cut}`.n_kept > 0 OR `{cut}`.n_lines = 0")
+    return done.select(*[F.col(f"{cut}.text").alias("text") if n == "text" else F.col(n) for n in names], F.col(f"{cut}.n_lines").alias("_n_lines"), F.col(f"{cut}.n_kept").alias("_n_kept"))

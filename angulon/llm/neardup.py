@@ -1,27 +1,57 @@
 """What near-duplicate operators share: classes of similar nodes from buckets of candidates.
 
-A bucket holds nodes that may be similar. All pairs within a bucket are either compared, or shown not to be similar, or
+A bucket holds nodes that may be similar. Every pair within a bucket is either shown not to be similar, or verified, or
 already in one class, without listing all pairs of a group: in round r the next 2 * 8**r nodes of each bucket, its
-leaders, are compared with the later ones that are not yet in the leader's class, and classes that a found link joins
-become one. A bucket is done when its remaining nodes share a class, so a group of thousands of copies takes about as
-many comparisons as it has nodes. In buckets of more than LARGE nodes, the parts (shingles) that only one of all nodes of
-large buckets has are counted: at most the others can be shared, which bounds the likeness of a pair from above, and
-pairs whose bound is below the threshold are left out. Nodes with the fewest such parts, the middle of their group, lead
-first. No link between different classes is lost.
+leaders, meet the later ones that are not yet in the leader's class, and classes that a found link joins become one. A
+bucket is done when its remaining nodes share a class, so a group of thousands of copies takes about as many
+comparisons as it has nodes.
+
+Where a leader meets a node, a bitmap filter decides first: each node has a bitmap of BITS bits, with bit ``hash mod
+BITS`` set for each of its parts (shingles). Each bit that only one of two nodes has stands for at least one part that
+the other lacks, which bounds their common parts, and so their likeness, from above; pairs whose bound is below the
+threshold never leave the join. The bound is exact: no link between different classes is lost. Large buckets are dealt
+out by a salt of the node, to which their leaders are copied.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import stored
+from .shared import discard, stored
+from .textio import row_of
 
-SALTS, FIRST_LEADERS, LARGE = 16, 2, 4
+FIRST_LEADERS, MORE_LEADERS, SALT_ROWS, WORDS = 2, 8, 256, 8
+BITS = 64 * WORDS
+#: The columns that describe a node: number of its parts, and their bitmap.
+ABOUT = ["size", *(f"w{k}" for k in range(WORDS))]
+ABOUT_SCHEMA = ", ".join(f"{c} bigint" for c in ABOUT)
+
+
+def described(keys: np.ndarray, counts: np.ndarray) -> list[pa.Array]:
+    """The columns ABOUT of nodes with the given part hashes (distinct within a node) and numbers of parts."""
+    at = (keys >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    words = []
+    for k in range(0, max(len(counts), 1), 1 << 13):
+        some = counts[k : k + (1 << 13)]
+        bits = np.zeros((len(some), BITS), bool)
+        bits[row_of(some), at[ends[k] : ends[k + len(some)]]] = True
+        words.append(np.packbits(bits, axis=1, bitorder="little").view("<i8"))
+    words = np.concatenate(words).reshape(len(counts), WORDS)
+    return [pa.array(counts.astype(np.int64)), *(pa.array(np.ascontiguousarray(words[:, k])) for k in range(WORDS))]
+
+
+def _within(threshold: float) -> Column:
+    """Whether the bitmaps leave room for the threshold, of columns ABOUT and the same with ``a_``."""
+    lacks = lambda x, y: sum((F.bit_count(F.col(f"{x}w{k}").bitwiseAND(F.bitwise_not(f"{y}w{k}"))) for k in range(1, WORDS)), F.bit_count(F.col(f"{x}w0").bitwiseAND(F.bitwise_not(f"{y}w0"))))
+    common = F.least(F.col("size") - lacks("", "a_"), F.col("a_size") - lacks("a_", ""))
+    return common >= threshold * (F.col("size") + F.col("a_size") - common) - 1e-9
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -38,69 +68,68 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        stars = stored(small.distinct(), "stars")
+        old, stars = stars, stored(small.distinct(), "stars")
+        discard(old)
 
 
 def shared_buckets(placed: DataFrame) -> DataFrame:
-    """The rows (bucket, node) of buckets with at least two nodes, and n, the number of these. The rows must be distinct."""
-    size = F.count("*").over(Window.partitionBy("bucket"))
-    return placed.repartition("bucket").withColumn("n", size).where("n > 1")
+    """bucket, node, n: the distinct pairs of buckets that hold n > 1 nodes, from rows of node and buckets (an array).
 
+    Counts by bucket are summed before the exchange, so a bucket of which a third of all rows have a copy is no heavier
+    than others. Rows of other buckets are left out where they are read, as far as a bitmap of fixed size can tell.
+    """
+    counts = placed.select(F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    repeated = stored(counts.select("bucket"), "repeated")
+    sieve = Sieve(repeated, "bucket")
 
-def own_parts(members: DataFrame, parts: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """node, size, own: for nodes of large buckets, how many parts each has, and how many no other such node has."""
-    nodes = members.where(F.col("n") > LARGE).select("node").distinct()
-    rows = stored(parts(nodes), "parts")
-    single = rows.groupBy("part").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
-    own = single.groupBy("node").agg(F.count("*").alias("own"))
-    return rows.groupBy("node").agg(F.count("*").alias("size")).join(own, "node", "left").select("node", "size", F.coalesce("own", F.lit(0)).alias("own"))
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("buckets")
+            flat, n = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+            keep = sieve.may_hold(flat)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("node").to_numpy(), n)[keep]), pa.array(flat[keep])], ["node", "bucket"])
 
+    pairs = stored(placed.select("node", "buckets").mapInArrow(passing, "node bigint, bucket bigint").distinct(), "placed")
+    sizes = pairs.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    members = stored(pairs.join(sizes, "bucket").select("bucket", "node", "n"), "buckets")
+    discard(repeated, pairs)
+    return members
 
-def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame], parts: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """The buckets whose nodes do not all share one label."""
+    return members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
+
+
+def classes(members: DataFrame, about: DataFrame, verify: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
     """node, label for every node that has a link: label is the least node of its class, which is not listed itself.
 
-    members: distinct (bucket, node, n), as shared_buckets gives them. verify: of pairs (a, b), those that are similar.
-    parts: of nodes (node), their distinct parts (node, part), of which similar pairs share the threshold's share.
+    members: distinct (bucket, node, n), as shared_buckets gives them. about: node and the columns ABOUT, one row a
+    node. verify: of pairs (a, b, la, lb), those whose nodes a and b are similar.
     """
-    members = members.withColumn("large", F.col("n") > LARGE)
-    if not members.where("large").isEmpty():
-        # a node without parts has no row there: none of its parts is its own
-        members = members.join(own_parts(members, parts), "node", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("size", "own")})
-    else:
-        members = members.withColumns({"size": F.lit(0).cast("bigint"), "own": F.lit(0).cast("bigint")})
-    turn = F.shiftleft(F.coalesce("own", F.lit(0)).cast("bigint"), 40) + F.xxhash64("node").bitwiseAND(F.lit((1 << 40) - 1))
-    # a node of a large bucket, too few of whose parts any other such node has, is like none of them
-    hopeless = F.col("large") & (F.col("size") - F.col("own") < threshold * F.col("size") - 1e-9)
-    members = members.where(~hopeless).select("bucket", "node", "large", "size", "own", turn.alias("turn"), F.col("node").alias("label"))
-    members = stored(members.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where("n > 1").drop("n"), "members")
+    salts = F.greatest(F.ceil(F.col("n") / SALT_ROWS), F.lit(1)).cast("int")
+    members = members.join(about.select("node", *ABOUT), "node").select("bucket", salts.alias("salts"), F.pmod(F.hash("node"), salts).alias("salt"), "node", F.col("node").alias("label"), *ABOUT)
+    members = stored(members, "members")
     found: DataFrame | None = None
-    leaders_wanted = FIRST_LEADERS
-    while True:
-        first = F.row_number().over(Window.partitionBy("bucket", "salt").orderBy("turn", "node"))
-        leaders = members.withColumn("salt", F.pmod(F.col("turn"), F.lit(SALTS))).withColumn("r", first).where(F.col("r") <= leaders_wanted)
-        leaders = leaders.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy("turn", "node"))).where(F.col("r") <= leaders_wanted)
-        leaders = stored(leaders.select("bucket", F.col("node").alias("a"), F.col("turn").alias("a_turn"), F.col("label").alias("a_label"), F.col("size").alias("a_size"), F.col("own").alias("a_own")), "leaders")
-        later = (F.col("turn") > F.col("a_turn")) | ((F.col("turn") == F.col("a_turn")) & (F.col("node") > F.col("a")))
-        common = F.least(F.col("size") - F.col("own"), F.col("a_size") - F.col("a_own"))
-        possible = ~F.col("large") | (common >= threshold * (F.col("size") + F.col("a_size") - common) - 1e-9)
-        pairs = members.join(leaders, "bucket").where(later & (F.col("label") != F.col("a_label")) & possible)
-        pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        links = stored(verify(pairs), "links")
+    wanted = FIRST_LEADERS
+    while not members.isEmpty():
+        first = members.withColumn("r", F.row_number().over(Window.partitionBy("bucket", "salt").orderBy("node"))).where(F.col("r") <= wanted)
+        leaders = first.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy("node"))).where(F.col("r") <= wanted)
+        leaders = stored(leaders.select("bucket", "salts", *[F.col(c).alias(f"a_{c}") for c in ("node", "label", *ABOUT)]), "leaders")
+        everywhere = leaders.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+        pairs = members.join(everywhere, ["bucket", "salt"]).where((F.col("node") > F.col("a_node")) & (F.col("label") != F.col("a_label")) & _within(threshold))
+        links = stored(verify(pairs.select(F.col("a_node").alias("a"), F.col("node").alias("b"), F.col("a_label").alias("la"), F.col("label").alias("lb")).distinct()), "links")
+        old = [members, leaders, links]
         if not links.isEmpty():
-            label = members.select("node", "label").distinct()
-            joined = links.join(label.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(label.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
-            moved = components(joined.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("to"))
-            found = moved.select(F.col("label").alias("node"), F.col("to").alias("label")) if found is None else _follow(found, moved)
-            found = stored(found, "found")
+            moved = components(links.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("to"))
+            old += [found]
+            found = stored(moved.select(F.col("label").alias("node"), F.col("to").alias("label")) if found is None else _follow(found, moved), "found")
             members = members.join(moved, "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to")
-        mixed = lambda m: m.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-        open_still = stored(members.join(mixed(members), "bucket", "left_semi"), "members")
-        last = leaders.groupBy("bucket").agg(F.max(F.struct("a_turn", "a")).alias("last"))
-        members = open_still.join(last, "bucket").where(F.struct("turn", "node") > F.col("last")).drop("last")
-        members = stored(members.join(mixed(members), "bucket", "left_semi"), "members")
-        if members.isEmpty():
-            break
-        leaders_wanted *= 8
+        last = leaders.groupBy("bucket").agg(F.max("a_node").alias("last"))
+        rest = stored(members.join(last, "bucket").where("node > last").drop("last"), "rest")
+        members = stored(rest.join(_mixed(rest), "bucket", "left_semi"), "members")
+        discard(*old, rest)
+        wanted *= MORE_LEADERS
     return found if found is not None else members.select("node", "label")
 
 
@@ -116,7 +145,7 @@ class Sieve:
     which a later join removes.
     """
 
-    def __init__(self, keys: DataFrame, column: str, bits: int = 1 << 25) -> None:
+    def __init__(self, keys: DataFrame, column: str, bits: int = 1 << 26) -> None:
         at = keys.select((F.pmod(F.col(column), F.lit(bits)) + 1).alias("at"))
         rows = at.groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bitmap")).collect()
         size = 1 << 15

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import neardup
-from .shared import stored
+from .shared import scratch, stored
 from .textio import LOWER_CODES, chunks, mix, row_of, span_hashes, words
 
 K, L, SKETCHES, THRESHOLD = 5, 6, 30, 0.8
@@ -120,12 +120,14 @@ def _contents(sieve: neardup.Sieve):
         for b in batches:
             node = b.column("node").to_numpy(zero_copy_only=False)
             keep = np.flatnonzero(sieve.may_hold(node))
+            keep = keep[np.unique(node[keep], return_index=True)[1]]
             texts = b.column("text").take(pa.array(keep))
             for lo, hi, data, offsets in chunks(texts):
                 start, end, counts = words(data, offsets)
-                at = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                hashes = span_hashes(data, start, end, LOWER_CODES).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(node[keep[lo:hi]]), pa.ListArray.from_arrays(pa.array(at), pa.array(hashes))], ["node", "words"])
+                keys, n = shingles(span_hashes(data, start, end, LOWER_CODES), counts)
+                keys = labelled(keys, n)
+                at = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(node[keep[lo:hi]]), pa.ListArray.from_arrays(at, pa.array(keys.view(np.int64))), *neardup.described(mix(keys, 13), n)], ["node", "parts", *neardup.ABOUT])
 
     return contents
 
@@ -155,34 +157,16 @@ def aligned(x: np.ndarray, y: np.ndarray, least: float) -> float:
     return m / (n1 + n2 - m)
 
 
-def _labelled_shingles(row_words: np.ndarray) -> np.ndarray:
-    counts = np.array([len(row_words)])
-    keys, n = shingles(row_words.view(np.uint64), counts)
-    return labelled(keys, n)
-
-
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        node, own = b.column("node").to_numpy(), b.column("words")
-        made = [_labelled_shingles(own[k].values.to_numpy()) for k in range(len(node))]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node, [len(x) for x in made])), pa.array(np.concatenate([np.zeros(0, np.uint64), *made]).view(np.int64))], ["node", "part"])
-
-
 def _verified(threshold: float):
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, np.ndarray] = {}
+        last, x = None, None
         for batch in batches:
-            a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
-            wa, wb = batch.column("words_a"), batch.column("words_b")
             good = []
-            for k in range(len(a)):
-                x = kept.get(a[k])
-                if x is None:
-                    kept.clear()  # pairs come sorted by a
-                    x = kept[a[k]] = _labelled_shingles(wa[k].values.to_numpy())
-                good.append(aligned(x, _labelled_shingles(wb[k].values.to_numpy()), threshold) >= threshold)
-            good = np.array(good, bool)
-            yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], ["a", "b"])
+            for a, own, other in zip(batch.column("a").to_numpy(), batch.column("parts_a"), batch.column("parts_b"), strict=True):
+                if a != last:  # pairs come sorted by a
+                    last, x = a, own.values.to_numpy()
+                good.append(aligned(x, other.values.to_numpy(), threshold) >= threshold)
+            yield batch.select(["a", "b", "la", "lb"]).filter(pa.array(good, pa.bool_()))
 
     return verified
 
@@ -195,22 +179,18 @@ def classes_of(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, node (hash of the text), class_id of each distinct (doc_id, text): the least id of its class; kept is true for one of each class."""
     rows = with_node(docs)
     sketched = stored(rows.mapInArrow(_sketched, "doc_id bigint, node bigint, sketches array<bigint>"), "sketches")
-    placed = sketched.select("node", F.explode("sketches").alias("bucket")).distinct()
-    members = stored(neardup.shared_buckets(placed), "buckets")
+    members = neardup.shared_buckets(sketched.select("node", F.col("sketches").alias("buckets")))
     sieve = neardup.Sieve(members, "node")
-    contents = rows.select("node", "text").mapInArrow(_contents(sieve), "node bigint, words array<bigint>")
-    contents = stored(contents.groupBy("node").agg(F.first("words").alias("words")), "words")
+    contents = rows.select("node", "text").mapInArrow(_contents(sieve), f"node bigint, parts array<bigint>, {neardup.ABOUT_SCHEMA}")
+    contents = stored(contents.groupBy("node").agg(*[F.first(c).alias(c) for c in ("parts", *neardup.ABOUT)]), "parts")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        left = contents.select(F.col("node").alias("a"), F.col("words").alias("words_a"))
-        right = contents.select(F.col("node").alias("b"), F.col("words").alias("words_b"))
-        both = pairs.join(right, "b").join(left, "a").select("a", "b", "words_a", "words_b")
-        return both.sortWithinPartitions("a").mapInArrow(_verified(threshold), "a bigint, b bigint")
-
-    def parts(nodes: DataFrame) -> DataFrame:
-        return contents.join(nodes, "node", "left_semi").mapInArrow(_parts, "node bigint, part bigint")
+        left = contents.select(F.col("node").alias("a"), F.col("parts").alias("parts_a"))
+        right = contents.select(F.col("node").alias("b"), F.col("parts").alias("parts_b"))
+        both = pairs.join(right, "b").join(left, "a").select("a", "b", "la", "lb", "parts_a", "parts_b")
+        return both.sortWithinPartitions("a").mapInArrow(_verified(threshold), "a bigint, b bigint, la bigint, lb bigint")
 
-    labels = neardup.classes(members, verify, parts, threshold)
+    labels = neardup.classes(members, contents, verify, threshold)
     ids = sketched.select("doc_id", "node").distinct().join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     first = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "node")
     heads = ids.groupBy("label").agg(F.min(first).alias("head"))
@@ -221,7 +201,8 @@ def classes_of(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, more) without all but one document of each class."""
     names = docs.columns
-    kept = classes_of(docs, threshold).where("kept").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"))
-    rows = docs.withColumn("_node_here", F.xxhash64(F.coalesce("text", F.lit(""))))
-    rows = rows.join(kept, rows["_node_here"].eqNullSafe(kept["_node"]) & rows["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
-    return rows.dropDuplicates(["_node_here", "doc_id"]).select(*names)
+    own, key, node = scratch(names, "own", "key", "node")
+    kept = classes_of(docs.select("doc_id", "text"), threshold).where("kept").select(F.col("doc_id").alias(key), F.col("node").alias(node))
+    rows = docs.withColumn(own, F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = rows.join(kept, F.col(own).eqNullSafe(F.col(node)) & F.col("doc_id").eqNullSafe(F.col(key)), "left_semi")
+    return rows.dropDuplicates([own, "doc_id"]).select(*names)
