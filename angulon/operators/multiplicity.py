@@ -10,14 +10,22 @@ from ..functions import angles
 
 
 def bh(df: DataFrame, p: str, q: float, by: list[str]) -> DataFrame:
-    """Adds threshold (the greatest i*q/m with the i-th p-value no greater; 0 without one or for m < 2) and significant."""
+    """Adds threshold (the greatest i*q/m with the i-th p-value no greater; 0 without one or for m < 2) and significant.
+
+    Groups (``by``, not null) may be of any size: equal p-values are counted first, and their ranks are summed up in
+    blocks of the p-values' range.
+    """
     if not 0 < q < 1:
         raise ValueError("q must lie between 0 and 1")
+    counts = df.where(F.col(p).isNotNull()).groupBy(*by, F.col(p).cast("double").alias("_p")).agg(F.count("*").alias("_c")).withColumn("_b", F.floor(F.col("_p") * 4096))
+    sizes = counts.groupBy(*by, "_b").agg(F.sum("_c").alias("_s"))
     group = Window.partitionBy(*by)
-    line = F.row_number().over(group.orderBy(F.col(p).asc_nulls_last())) * F.lit(q) / F.count(p).over(group)
-    df = df.withColumn("_line", F.when(F.col(p).isNotNull(), line)).withColumn("_m", F.count(p).over(group))
-    least = F.max(F.when((F.col(p) <= F.col("_line")) & (F.col("_m") >= 2), F.col("_line"))).over(group)
-    return df.withColumn("threshold", F.coalesce(least, F.lit(0.0))).withColumn("significant", F.col(p) <= F.col("threshold")).drop("_line", "_m")
+    before = F.coalesce(F.sum("_s").over(group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(*by, "_b", before.alias("_before"), F.sum("_s").over(group).alias("_m"))
+    upto = F.sum("_c").over(Window.partitionBy(*by, "_b").orderBy("_p"))
+    lines = counts.withColumn("_upto", upto).join(sizes, [*by, "_b"]).withColumn("_line", (F.col("_before") + F.col("_upto")) * F.lit(q) / F.col("_m"))
+    least = lines.where("_m >= 2 AND _p <= _line").groupBy(*by).agg(F.max("_line").alias("threshold"))
+    return df.join(least, by, "left").withColumn("threshold", F.coalesce("threshold", F.lit(0.0))).withColumn("significant", F.col(p) <= F.col("threshold")).select(*df.columns, "threshold", "significant")
 
 
 def significance_table(pairs: DataFrame, members: DataFrame, q: float = 0.05) -> DataFrame:

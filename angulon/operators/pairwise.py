@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import angles
 
@@ -64,7 +63,7 @@ def correlation(x: DataFrame, y: DataFrame, aa1: Column, aa2: Column, value: str
 
 def linear_fit(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """Slope, intercept and R2 of y on x after both are scaled to [0, 1] within the group."""
-    w = Window.partitionBy(*by)
-    scale = lambda c: (F.col(c) - F.min(c).over(w)) / F.nullif(F.max(c).over(w) - F.min(c).over(w), F.lit(0.0))
-    s = df.select(*by, scale(x).alias("x"), scale(y).alias("y"))
+    ends = df.groupBy(*by).agg(*[f(c).alias(f"_{n}_{k}") for k, c in (("x", x), ("y", y)) for n, f in (("lo", F.min), ("hi", F.max))])
+    scale = lambda c, k: ((F.col(c) - F.col(f"_lo_{k}")) / F.nullif(F.col(f"_hi_{k}") - F.col(f"_lo_{k}"), F.lit(0.0))).alias(k)
+    s = df.join(ends, by).select(*by, scale(x, "x"), scale(y, "y"))
     return s.groupBy(*by).agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.regr_r2("y", "x").alias("r2"))

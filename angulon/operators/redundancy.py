@@ -76,18 +76,24 @@ def dedup_keep_first(df: DataFrame, by: list[str], order: list[str]) -> DataFram
 
 
 def ngram_similarity(tokens: DataFrame, threshold: float, key: str = "doc_id", gram: str = "tok") -> DataFrame:
-    """Pairs a < b of sequences whose sets of grams have a cosine of at least the threshold (above 0).
+    """Pairs a < b of sequences whose sets of grams have a cosine of at least the threshold t (above 0).
 
-    Such a pair shares a gram among the rarest n - ceil(t * t * n) + 1 of the n of either, so pairs are found through
-    these alone; common grams are mostly never joined, and no pair is lost.
+    Grams are ordered by rarity. Of a pair with n <= m grams, at least t * n and t * t * m are common, so the two share
+    a gram among the rarest n - ceil(t * n) + 1 of the smaller and m - ceil(t * t * m) + 1 of the larger one, and n is
+    at least t * t * m. Where they meet, the grams that follow in either bound what they can have in common. No pair is
+    lost, and common grams are mostly never joined.
     """
     sets = tokens.where(F.col(gram).isNotNull()).select(key, gram).distinct()
     held = sets.groupBy(gram).agg(F.count("*").alias("h"))
     every = Window.partitionBy(key)
     ranked = sets.join(held, gram).withColumns({"r": F.row_number().over(every.orderBy("h", gram)), "n": F.count("*").over(every)})
-    prefix = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.lit(threshold * threshold) * F.col("n") - 1e-9) + 1).select(key, gram)
-    a, b = prefix.select(F.col(key).alias("a"), gram), prefix.select(F.col(key).alias("b"), gram)
-    pairs = a.join(b, gram).where("a < b").select("a", "b").distinct()
+    prefix = lambda share: ranked.where(F.col("r") <= F.col("n") - F.ceil(F.lit(share) * F.col("n") - 1e-9) + 1)
+    small = prefix(threshold).select(gram, F.col(key).alias("x"), F.col("r").alias("rx"), F.col("n").alias("nx"))
+    large = prefix(threshold * threshold).select(gram, F.col(key).alias("y"), F.col("r").alias("ry"), F.col("n").alias("ny"))
+    ordered = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
+    close = F.col("nx") >= threshold * threshold * F.col("ny") - 1e-9
+    enough = 1 + F.least(F.col("nx") - F.col("rx"), F.col("ny") - F.col("ry")) >= threshold * F.sqrt((F.col("nx") * F.col("ny")).cast("double")) - 1e-9
+    pairs = small.join(large, gram).where(ordered & close & enough).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     size = sets.groupBy(key).agg(F.count("*").alias("n"), F.collect_set(gram).alias("grams"))
     sa = size.select(F.col(key).alias("a"), F.col("n").alias("na"), F.col("grams").alias("ga"))
     sb = size.select(F.col(key).alias("b"), F.col("n").alias("nb"), F.col("grams").alias("gb"))

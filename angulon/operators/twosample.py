@@ -1,7 +1,8 @@
 """Two-sample statistics on the torus, planned over pairs of subgroups, and permutation tests.
 
-Samples are rows (condition, subgroup, phi, psi); pairs are rows (condition, s1, s2, cap). A capped sample is the first
-``cap`` members of a subgroup in a stated total order, so the rows that meet in a pair are bounded by the cap.
+Members are rows (condition, subgroup, phi, psi); pairs are rows (condition, s1, s2, cap). Statistics take all members,
+but for the kernel statistic, whose pairs of members cannot be summed up by moments: it takes, as the plan's cap asks,
+the first ``cap`` members of a subgroup in a stated total order. Tests draw their resamples from all members.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import angles
-from .kde import with_weights
+from .kde import kde_grid
+from .ranks import block_rank, hash_rank
 
 
 def pair_plan(sizes: DataFrame, kind: str, n_min: int = 1, n_max: int | None = None, n_max_aa: int | None = None) -> DataFrame:
@@ -52,21 +54,25 @@ def pair_plan(sizes: DataFrame, kind: str, n_min: int = 1, n_max: int | None = N
     return out.where(big & (F.col("n2") >= n_min)).select("condition", "s1", "s2", "n1", "n2", cap.alias("cap"))
 
 
-def capped(members: DataFrame, n_max: int, order: list[Column | str]) -> DataFrame:
-    """The first n_max members of each subgroup, with their rank."""
-    rank = F.row_number().over(Window.partitionBy("condition", "subgroup").orderBy(*order))
-    return members.withColumn("rank", rank).where(F.col("rank") <= n_max)
+def capped(members: DataFrame, n_max: int, block: Column, order: list[Column | str]) -> DataFrame:
+    """The first n_max members of each subgroup, with their rank; ``block`` does not fall along ``order``."""
+    return block_rank(members, ["condition", "subgroup"], block, order).where(F.col("rank") <= n_max)
 
 
 def _sides(pairs: DataFrame, sample: DataFrame) -> DataFrame:
     """Members of both sides of each pair: side 1 or 2."""
-    both = pairs.select("condition", "s1", "s2", F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("s1").alias("subgroup")), F.struct(F.lit(2).alias("side"), F.col("s2").alias("subgroup")))).alias("x"))
-    return both.select("condition", "s1", "s2", "x.*").join(sample, ["condition", "subgroup"])
+    key = ["condition", "s1", "s2"]
+    both = pairs.select(*key, F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("s1").alias("subgroup")), F.struct(F.lit(2).alias("side"), F.col("s2").alias("subgroup")))).alias("x"))
+    return both.select(*key, "x.*").join(sample, ["condition", "subgroup"])
 
 
 def pooled(pairs: DataFrame, sample: DataFrame, value: Callable[[Column], Column]) -> DataFrame:
-    """Per pair n1, n2 and the sums of value(squared distance) within each side (each pair of members once) and between."""
-    m = _sides(pairs, sample).select("condition", "s1", "s2", "side", "rank", "phi", "psi")
+    """Per pair n1, n2 and the sums of value(squared distance) within each side (each pair of members once) and between.
+
+    sample: ranked members, of which the first ``cap`` of the pair meet.
+    """
+    m = _sides(pairs, sample).join(pairs.select("condition", "s1", "s2", "cap"), ["condition", "s1", "s2"]).where("cap IS NULL OR rank <= cap")
+    m = m.select("condition", "s1", "s2", "side", "rank", "phi", "psi")
     key = ["condition", "s1", "s2"]
     n = m.groupBy(*key).agg(F.count_if(F.col("side") == 1).alias("n1"), F.count_if(F.col("side") == 2).alias("n2"))
     other = m.select(*key, *[F.col(c).alias(f"{c}_o") for c in ("side", "rank", "phi", "psi")])
@@ -76,9 +82,50 @@ def pooled(pairs: DataFrame, sample: DataFrame, value: Callable[[Column], Column
     return n.join(both.groupBy(*key).agg(part(1, 1).alias("w1"), part(2, 2).alias("w2"), part(1, 2).alias("b")), key)
 
 
-def tw2(pairs: DataFrame, sample: DataFrame) -> DataFrame:
-    """Welch-like T2 from pooled squared distances (radians); 0 for a vanishing denominator."""
-    p = pooled(pairs, sample, lambda d2: d2 * (pi / 180) ** 2)
+#: Arcs that torus_sums cuts an axis into; even.
+ARCS = 72
+
+
+def torus_sums(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Per pair n1, n2 and the sums of the squared torus distance (squared degrees) within each side (each pair of
+    members once) and between, over all members, without listing their pairs.
+
+    The distance is a sum over the axes. Each is cut into ARCS arcs; for members of two arcs that are not opposite, it
+    is known which way round is shorter, so the sum follows from the arcs' counts and moments. Members of opposite arcs
+    are summed up as if the way up were shorter; where it exceeds 180 by x, that is 720 x too much, and these excesses
+    are sums over the order within the two arcs.
+    """
+    width, half = 360.0 / ARCS, ARCS // 2
+    axes = members.select("condition", "subgroup", F.explode(F.array(*[F.struct(F.lit(k).alias("axis"), F.pmod(F.col(c).cast("double") + 180.0, F.lit(360.0)).alias("u")) for k, c in enumerate(("phi", "psi"))])).alias("x"))
+    axes = axes.select("condition", "subgroup", "x.axis", F.least(F.floor(F.col("x.u") / width), F.lit(ARCS - 1)).cast("int").alias("arc"), "x.u").withColumn("e", F.col("u") - F.col("arc") * width).drop("u")
+    moments = axes.groupBy("condition", "subgroup", "axis", "arc").agg(F.count("*").alias("n"), F.sum("e").alias("e1"), F.sum(F.col("e") * F.col("e")).alias("e2"))
+    wanted = pairs.select("condition", "s1", "s2")
+    every = wanted.union(wanted.select("condition", "s1", "s1")).union(wanted.select("condition", "s2", "s2")).distinct()
+    key = ["condition", "s1", "s2"]
+    one = every.join(moments.select("condition", F.col("subgroup").alias("s1"), "axis", *[F.col(c).alias(f"{c}_a") for c in ("arc", "n", "e1", "e2")]), ["condition", "s1"])
+    both = one.join(moments.select("condition", F.col("subgroup").alias("s2"), "axis", *[F.col(c).alias(f"{c}_b") for c in ("arc", "n", "e1", "e2")]), ["condition", "s2", "axis"])
+    up = F.pmod(F.col("arc_b") - F.col("arc_a"), F.lit(ARCS))
+    way = F.when(up > half, up - ARCS).otherwise(up) * width
+    smooth = F.col("n_a") * F.col("n_b") * way * way + 2 * way * (F.col("n_a") * F.col("e1_b") - F.col("n_b") * F.col("e1_a")) + F.col("n_a") * F.col("e2_b") + F.col("n_b") * F.col("e2_a") - 2 * F.col("e1_a") * F.col("e1_b")
+    total = both.groupBy(*key).agg(F.sum(smooth).alias("total"))
+    # opposite arcs: members of side 2 under the arc across from theirs
+    m = _sides(every, axes).withColumn("at", F.when(F.col("side") == 1, F.col("arc")).otherwise(F.pmod(F.col("arc") + half, F.lit(ARCS))))
+    below = Window.partitionBy(*key, "axis", "at").orderBy("e").rangeBetween(Window.unboundedPreceding, 0)
+    first = F.col("side") == 1
+    m = m.withColumns({"n_below": F.count_if(first).over(below), "e_below": F.coalesce(F.sum(F.when(first, F.col("e"))).over(below), F.lit(0.0))})
+    excess = m.where("side = 2").groupBy(*key).agg(F.sum(F.col("n_below") * F.col("e") - F.col("e_below")).alias("excess"))
+    sums = total.join(excess, key, "left").select(*key, (F.col("total") - 720.0 * F.coalesce("excess", F.lit(0.0))).alias("v"))
+    n = members.groupBy("condition", "subgroup").agg(F.count("*").alias("n"))
+    for k in "12":
+        own = sums.where("s1 = s2").join(n.withColumnRenamed("subgroup", "s1"), ["condition", "s1"]).select("condition", F.col("s1").alias(f"s{k}"), F.col("n").alias(f"n{k}"), (F.col("v") / 2).alias(f"w{k}"))
+        wanted = wanted.join(own, ["condition", f"s{k}"])
+    return wanted.join(sums.withColumnRenamed("v", "b"), key).select(*key, "n1", "n2", "w1", "w2", "b")
+
+
+def tw2(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Welch-like T2 of all members from sums of squared distances (radians); 0 for a vanishing denominator."""
+    rad2 = (pi / 180) ** 2
+    p = torus_sums(pairs, members).withColumns({c: F.col(c) * rad2 for c in ("w1", "w2", "b")})
     n1, n2 = F.col("n1"), F.col("n2")
     between = F.col("b") / (n1 * n2) - F.col("w1") / (n1 * n1) - F.col("w2") / (n2 * n2)
     spread = F.col("w1") / (n1 * n1 * (n1 - 1)) + F.col("w2") / (n2 * n2 * (n2 - 1))
@@ -93,42 +140,47 @@ def mmd2(pairs: DataFrame, sample: DataFrame, sigma: float = 1.0) -> DataFrame:
     return p.select("condition", "s1", "s2", "n1", "n2", stat.alias("stat"))
 
 
-def kde_l1(pairs: DataFrame, sample: DataFrame, bins: int, sigma: float) -> DataFrame:
-    """L1 distance of the two sides' densities on a bins x bins grid."""
-    m = with_weights(_sides(pairs, sample), bins, sigma, wx="phi", wy="psi")
-    key = ["condition", "s1", "s2"]
-    # one row a grid row: the cells of a row are summed as columns
-    rows = m.select(*key, "side", F.posexplode("wx").alias("i", "x"), "wy")
-    sums = rows.groupBy(*key, "side", "i").agg(*[F.avg(F.col("x") * F.col("wy")[j]).alias(f"c{j}") for j in range(bins)])
-    a = sums.where("side = 1").drop("side")
-    b = sums.where("side = 2").drop("side").select(*key, "i", *[F.col(f"c{j}").alias(f"d{j}") for j in range(bins)])
-    gap = sum((F.abs(F.col(f"c{j}") - F.col(f"d{j}")) for j in range(bins)), F.lit(0.0))
-    return a.join(b, [*key, "i"]).groupBy(*key).agg(F.sum(gap).alias("stat"))
+def kde_l1(pairs: DataFrame, members: DataFrame, bins: int, sigma: float) -> DataFrame:
+    """L1 distance of the two sides' densities on a bins x bins grid; one density a subgroup, of all its members."""
+    grid = kde_grid(members, ["condition", "subgroup"], bins, sigma)
+    side = lambda k: grid.select("condition", F.col("subgroup").alias(f"s{k}"), "i", "j", F.col("p").alias(f"p{k}"))
+    both = pairs.select("condition", "s1", "s2").join(side(1), ["condition", "s1"]).join(side(2), ["condition", "s2", "i", "j"])
+    return both.groupBy("condition", "s1", "s2").agg(F.sum(F.abs(F.col("p1") - F.col("p2"))).alias("stat"))
 
 
-def axis_wasserstein(pairs: DataFrame, sample: DataFrame, axis: str) -> DataFrame:
+def axis_wasserstein(pairs: DataFrame, members: DataFrame, axis: str, blocks: int = 1024) -> DataFrame:
     """Circular Wasserstein statistic of one axis: n m / (n + m) times the variance over t of F_y(Q_x(t)) - t.
 
-    F_y(Q_x(t)) is a step function of t over the sorted sample x, so both moments are sums over its ranks.
+    F_y(Q_x(t)) is a step function of t over the sorted members x, so both moments are sums over its ranks. Ranks are
+    counted in blocks of the axis, before and within the block.
     """
     key = ["condition", "s1", "s2"]
-    m = _sides(pairs, sample).withColumn("u", F.col(axis) / 360.0 + 0.5)
-    g = Window.partitionBy(*key)
-    upto = F.sum(F.when(F.col("side") == 2, 1).otherwise(0)).over(g.orderBy("u").rangeBetween(Window.unboundedPreceding, 0))
-    m = m.withColumns({"below": upto, "n": F.count_if(F.col("side") == 1).over(g), "m": F.count_if(F.col("side") == 2).over(g)})
-    x = m.where("side = 1").withColumn("k", F.row_number().over(g.orderBy("u", "rank")))
-    f, n = F.col("below") / F.col("m"), F.col("n")
-    lo, hi = (F.col("k") - 1) / n, F.col("k") / n
+    m = _sides(pairs, members).select(*key, "side", (F.col(axis) / 360.0 + 0.5).alias("u")).withColumn("block", F.floor(F.col("u") * blocks))
+    sizes = m.groupBy(*key, "block").agg(F.count_if(F.col("side") == 1).alias("n_x"), F.count_if(F.col("side") == 2).alias("n_y"))
+    whole = Window.partitionBy(*key)
+    upto = whole.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*key, "block", *[F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(f"{c}_before") for c in ("n_x", "n_y")], F.sum("n_x").over(whole).alias("n"), F.sum("n_y").over(whole).alias("m"))
+    here = Window.partitionBy(*key, "block")
+    m = m.withColumn("below", F.count_if(F.col("side") == 2).over(here.orderBy("u").rangeBetween(Window.unboundedPreceding, 0)))
+    x = m.where("side = 1").withColumn("k", F.row_number().over(here.orderBy("u"))).join(sizes, [*key, "block"])
+    f, n, k = (F.col("n_y_before") + F.col("below")) / F.col("m"), F.col("n"), F.col("n_x_before") + F.col("k")
+    lo, hi = (k - 1) / n, k / n
     first = f / n - (hi * hi - lo * lo) / 2
     second = f * f / n - f * (hi * hi - lo * lo) + (hi * hi * hi - lo * lo * lo) / 3
     s = x.groupBy(*key).agg(F.max("n").alias("n1"), F.max("m").alias("n2"), F.sum(first).alias("a"), F.sum(second).alias("b"))
     return s.select(*key, "n1", "n2", (F.col("n1") * F.col("n2") / (F.col("n1") + F.col("n2")) * (F.col("b") - F.col("a") * F.col("a"))).alias("stat"))
 
 
-def projection_test(pairs: DataFrame, sample: DataFrame, null: DataFrame) -> DataFrame:
+#: The most values of a null sample that a projection test ships to every task.
+NULL_MOST = 1_000_000
+
+
+def projection_test(pairs: DataFrame, members: DataFrame, null: DataFrame) -> DataFrame:
     """Both axes' circular Wasserstein tests against a null sample (value): p of each, min(1, 2 min p) and mean statistic."""
-    null = F.broadcast(null.agg(F.sort_array(F.collect_list("value")).alias("null")))  # a stated null sample, of fixed size
-    parts = [axis_wasserstein(pairs, sample, a).select("condition", "s1", "s2", F.col("stat").alias(f"stat_{a}")) for a in ("phi", "psi")]
+    if null.count() > NULL_MOST:
+        raise ValueError(f"a null sample of more than {NULL_MOST} values")
+    null = F.broadcast(null.agg(F.sort_array(F.collect_list("value")).alias("null")))
+    parts = [axis_wasserstein(pairs, members, a).select("condition", "s1", "s2", F.col("stat").alias(f"stat_{a}")) for a in ("phi", "psi")]
     both = parts[0].join(parts[1], ["condition", "s1", "s2"]).crossJoin(null)
     p = lambda a: F.size(F.filter("null", lambda x: x >= F.col(f"stat_{a}"))) / F.size("null")
     both = both.withColumns({"p_phi": p("phi"), "p_psi": p("psi")})
@@ -141,66 +193,107 @@ def _distances(x: np.ndarray) -> np.ndarray:
     return (d * d).sum(axis=2)
 
 
-def _stat_tw(d2: np.ndarray, one: np.ndarray) -> float:
-    a, b = np.flatnonzero(one), np.flatnonzero(~one)
-    n, m = len(a), len(b)
-    w1, w2, c = d2[np.ix_(a, a)].sum() / 2, d2[np.ix_(b, b)].sum() / 2, d2[np.ix_(a, b)].sum()
-    spread = w1 / (n * n * (n - 1)) + w2 / (m * m * (m - 1)) if n > 1 and m > 1 else 0.0
-    return (c / (n * m) - w1 / n**2 - w2 / m**2) / spread if spread > 1e-12 else 0.0
+def _tw(x: np.ndarray) -> Callable[[np.ndarray], float]:
+    d2 = _distances(x)
+
+    def statistic(one: np.ndarray) -> float:
+        n, m = one.sum(), (~one).sum()
+        if n < 2 or m < 2:
+            return 0.0
+        w1, w2, c = d2[np.ix_(one, one)].sum() / 2, d2[np.ix_(~one, ~one)].sum() / 2, d2[np.ix_(one, ~one)].sum()
+        spread = w1 / (n * n * (n - 1)) + w2 / (m * m * (m - 1))
+        return (c / (n * m) - w1 / n**2 - w2 / m**2) / spread if spread > 1e-12 else 0.0
 
+    return statistic
 
-def _stat_mmd(d2: np.ndarray, one: np.ndarray) -> float:
-    k = np.exp(-0.5 * d2 * d2)
-    a, b = np.flatnonzero(one), np.flatnonzero(~one)
-    return k[np.ix_(a, a)].mean() + k[np.ix_(b, b)].mean() - 2 * k[np.ix_(a, b)].mean()
 
+def _mmd(x: np.ndarray) -> Callable[[np.ndarray], float]:
+    k = np.exp(-0.5 * _distances(x) ** 2)
 
-STATISTICS = {"tw": _stat_tw, "mmd": _stat_mmd}
+    def statistic(one: np.ndarray) -> float:
+        sign = np.where(one, 1 / max(one.sum(), 1), -1 / max((~one).sum(), 1))
+        return float(sign @ k @ sign)
 
+    return statistic
 
-def bootstrap_permutation(pairs: DataFrame, sample: DataFrame, statistic: str = "tw", bootstraps: int = 1, permutations: int = 200, k_min: int = 100, k_th: int = 50, n_max: int | None = None, seed: int = 0) -> DataFrame:
+
+def _kde_g(bins: int, sigma: float) -> Callable[[np.ndarray], Callable[[np.ndarray], float]]:
+    centres = -180.0 + 360.0 / bins * np.arange(bins)
+
+    def of(x: np.ndarray) -> Callable[[np.ndarray], float]:
+        gap = np.abs(x[:, :, None] - centres)
+        w = np.exp(-0.5 * (np.minimum(gap, 360 - gap) / sigma) ** 2)
+        w /= w.sum(axis=2, keepdims=True)
+
+        def statistic(one: np.ndarray) -> float:
+            sign = np.where(one, 1 / max(one.sum(), 1), -1 / max((~one).sum(), 1))
+            return float(np.abs((w[:, 0] * sign[:, None]).T @ w[:, 1]).sum())
+
+        return statistic
+
+    return of
+
+
+#: Of the angles of a resample (n x 2), the function from labels (true: side 1) to the statistic.
+STATISTICS = {"tw": _tw, "mmd": _mmd, "kde_g": _kde_g(128, 2.0)}
+
+
+def draws(pairs: DataFrame, members: DataFrame, bootstraps: int, n_max: int, key: list[str], seed: int) -> DataFrame:
+    """condition, s1, s2, b, side, k, phi, psi: for each pair and resample b the k-th member drawn for each side, with
+    replacement, from all members of the subgroup; as many a side as the lesser of the sizes and n_max.
+
+    A draw is a hash of seed, pair, b, side and k; members are numbered in the order of a hash of ``key``.
+    """
+    ranked = hash_rank(members, ["condition", "subgroup"], key, seed).select("condition", "subgroup", "rank", "phi", "psi")
+    size = members.groupBy("condition", "subgroup").agg(F.count("*").alias("n"))
+    p = pairs.select("condition", "s1", "s2")
+    for k in "12":
+        p = p.join(size.select("condition", F.col("subgroup").alias(f"s{k}"), F.col("n").alias(f"n{k}")), ["condition", f"s{k}"])
+    upto = lambda n: F.sequence(F.lit(1), n)
+    p = p.withColumn("b", F.explode(upto(F.lit(bootstraps)))).withColumn("k", F.explode(upto(F.least("n1", "n2", F.lit(n_max)).cast("int"))))
+    p = p.select("*", F.explode(F.array(*[F.struct(F.lit(k).alias("side"), F.col(f"s{k}").alias("subgroup"), F.col(f"n{k}").alias("n")) for k in (1, 2)])).alias("x"))
+    at = F.pmod(F.xxhash64(F.lit(seed), "condition", "s1", "s2", "b", "x.side", "k"), F.col("x.n")) + 1
+    p = p.select("condition", "s1", "s2", "b", "k", "x.side", "x.subgroup", at.alias("rank"))
+    return p.join(ranked, ["condition", "subgroup", "rank"]).drop("subgroup", "rank")
+
+
+def bootstrap_permutation(pairs: DataFrame, members: DataFrame, key: list[str], statistic: str = "tw", bootstraps: int = 1, permutations: int = 200, k_min: int = 100, k_th: int = 50, n_max: int = 200, seed: int = 0) -> DataFrame:
     """Mean statistic and pooled permutation p of each pair.
 
-    Each resample draws, with replacement, the lesser of the sizes and n_max from both sides (one resample: all members
-    as they are); labels are permuted; p = (exceeding + 1) / (permutations + 1), and a resample stops once k_min
-    permutations are done and p is at least k_th / (permutations + 1). The seed of a pair comes from its names. Samples
-    must be capped: a pair's members are one group.
+    Each resample draws from all members of both sides (``draws``); labels are permuted; a resample stops once k_min
+    permutations are done and its p is at least k_th / (permutations done + 1). The counts of all resamples are pooled,
+    p = (exceeding + 1) / (done + 1), and no further resample is taken once the pooled count and p meet the same rule.
+    The seed of a pair comes from its names. A group of the Python function holds 2 * bootstraps * n_max rows at most.
     """
 
     def test(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["side", "rank"])
+        pdf = pdf.sort_values(["b", "side", "k"])
         c, a, b = pdf[["condition", "s1", "s2"]].iloc[0]
         rng = np.random.default_rng(zlib.crc32(f"{c}|{a}|{b}".encode()) + seed)
-        x, side = pdf[["phi", "psi"]].to_numpy(float), pdf["side"].to_numpy() == 1
-        one, two = x[side], x[~side]
-        if not len(one) or not len(two):
-            return pd.DataFrame({"condition": [c], "s1": [a], "s2": [b], "ddist": [None], "pval": [None]})
         stats, hits, done = [], 0, 0
-        for _ in range(bootstraps):
-            p, q = one, two
-            if bootstraps > 1:
-                n = min(len(one), len(two), n_max or len(one))
-                p, q = one[rng.integers(0, len(one), n)], two[rng.integers(0, len(two), n)]
-            d2 = _distances(np.vstack([p, q]))
-            label = np.arange(len(d2)) < len(p)
-            seen = STATISTICS[statistic](d2, label)
+        for _, one in pdf.groupby("b", sort=True):
+            label = one["side"].to_numpy() == 1
+            of = STATISTICS[statistic](one[["phi", "psi"]].to_numpy(float))
+            seen = of(label)
             stats.append(seen)
-            own = 0
+            own = i = 0
             for i in range(1, permutations + 1):
-                own += STATISTICS[statistic](d2, rng.permutation(label)) >= seen
+                own += of(rng.permutation(label)) >= seen
                 if i >= k_min and (own + 1) / (i + 1) >= k_th / (i + 1):
                     break
             hits, done = hits + own, done + i
+            if done >= k_min and (hits + 1) / (done + 1) >= k_th / (done + 1):
+                break
         return pd.DataFrame({"condition": [c], "s1": [a], "s2": [b], "ddist": [float(np.mean(stats))], "pval": [(hits + 1) / (done + 1)]})
 
     names = pairs.schema
     kind = lambda c: names[c].dataType.simpleString()
     schema = f"condition {kind('condition')}, s1 {kind('s1')}, s2 {kind('s2')}, ddist double, pval double"
-    return _sides(pairs, sample).groupBy("condition", "s1", "s2").applyInPandas(test, schema)
+    return draws(pairs, members, bootstraps, n_max, key, seed).groupBy("condition", "s1", "s2").applyInPandas(test, schema)
 
 
 def shuffle_labels(df: DataFrame, column: str, by: list[str], key: list[str], seed: int = 0) -> DataFrame:
-    """Permutes a label within groups: the order by a seeded hash meets the order by key."""
-    a = df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*key)))
-    b = df.select(*by, F.col(column).alias("_label"), F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64(F.lit(seed), *key), *key)).alias("_r"))
+    """Permutes a label within groups: the order by one seeded hash of the key meets the order by another."""
+    a = hash_rank(df, by, key, seed, "_r")
+    b = hash_rank(df.select(*by, *key, F.col(column).alias("_label")), by, key, seed + 1, "_r").select(*by, "_label", "_r")
     return a.join(b, [*by, "_r"]).withColumn(column, F.col("_label")).drop("_label", "_r").select(*df.columns)

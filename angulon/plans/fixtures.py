@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -110,9 +110,14 @@ tokens AS (SELECT doc_id, CAST(p-1 AS INT) AS pos, tok FROM (SELECT doc_id, unne
   FROM (SELECT doc_id, string_split(text,' ') AS l FROM documents)))"""
 
 
+def is_reference(struct_id: str = "struct_id") -> Column:
+    """The chains that all are aligned with: those whose number is divisible by 20."""
+    return F.substring(struct_id, 2, 20).cast("bigint") % 20 == 0
+
+
 def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = chain(spark, sf_dir)
-    r = c.where(F.col("struct_id").isin("u0", "u1", "u2")).select(F.col("struct_id").alias("ref_id"), "pos", F.col("res_name").alias("ref_name"), F.col("res_icode").alias("ri"), F.col("bfactor").alias("rb"))
+    r = c.where(is_reference()).select(F.col("struct_id").alias("ref_id"), "pos", F.col("res_name").alias("ref_name"), F.col("res_icode").alias("ri"), F.col("bfactor").alias("rb"))
     q = c.select(F.col("struct_id").alias("query_id"), "pos", F.col("res_name").alias("query_name"), F.col("res_icode").alias("qi"))
     star = F.when(F.col("ri").isNotNull() | F.col("qi").isNotNull(), " ").when(F.col("ref_name") == F.col("query_name"), "*").when(F.col("rb") <= 20, "*").otherwise(".")
     return r.join(q, "pos").where("ref_id <> query_id").select("ref_id", "query_id", F.col("pos").alias("col"), "ref_name", "query_name", star.alias("star"))
@@ -121,4 +126,4 @@ def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
 ALIGNMENTS = CHAIN + """,
 alignments AS (SELECT r.struct_id AS ref_id, q.struct_id AS query_id, r.pos AS col, r.res_name AS ref_name, q.res_name AS query_name,
   CASE WHEN r.res_icode IS NOT NULL OR q.res_icode IS NOT NULL THEN ' ' WHEN r.res_name=q.res_name THEN '*' WHEN r.bfactor<=20 THEN '*' ELSE '.' END AS star
-  FROM chain r JOIN chain q ON r.pos=q.pos AND r.struct_id<>q.struct_id WHERE r.struct_id IN ('u0','u1','u2'))"""
+  FROM chain r JOIN chain q ON r.pos=q.pos AND r.struct_id<>q.struct_id WHERE CAST(substr(r.struct_id,2) AS BIGINT)%20=0)"""

@@ -20,18 +20,23 @@ def collection_summary(df: DataFrame) -> DataFrame:
     return df.agg(*[F.sum(c).alias(c) for c in df.columns if c.startswith("n_")])
 
 
-def pointwise(residues: DataFrame, k: int = 1, kind: str = "cc", n_min: int = 5, n_max: int = 50, statistic: str = "tw", permutations: int = 100, q: float = 0.05, bins: int = 16, sigma: float = 30.0, seed: int = 0) -> dict[str, DataFrame]:
-    """Filter, collapse redundancy, build tuples, count, test all planned pairs and control false discoveries."""
+def pointwise(residues: DataFrame, k: int = 1, kind: str = "cc", n_min: int = 5, n_max: int = 50, statistic: str = "tw", bootstraps: int = 1, permutations: int = 100, q: float = 0.05, bins: int = 16, sigma: float = 30.0, seed: int = 0) -> dict[str, DataFrame]:
+    """Filter, collapse redundancy, build tuples, count, test all planned pairs and control false discoveries.
+
+    Besides each condition, all residues together are the condition ANY. n_max bounds the size of a resample only.
+    """
     one = redundancy.aggregate_redundant(redundancy.quality_filter(residues))
     made = tuples.build_tuples(one.where("phi IS NOT NULL AND psi IS NOT NULL"), k)
     made = made.select(F.col("secondary").alias("condition"), F.col("codon").alias("subgroup"), F.regexp_replace("codon", r"-[^_]*", "").alias("aa"), "phi", "psi", "unp_id", "unp_idx")
+    codons = made.select("condition", "aa", F.col("subgroup").alias("codon"))
+    likely = tuples.likelihoods(codons, codons.select("codon").distinct(), "codon", "condition")
+    made = made.select("*", F.explode(F.array("condition", F.lit("ANY"))).alias("_c")).withColumn("condition", F.col("_c")).drop("_c")
     sizes = made.groupBy("condition", "aa", F.col("subgroup").alias("codon")).agg(F.count("*").alias("n"))
     plan = twosample.pair_plan(sizes, kind, n_min, n_max)
-    members = made if kind == "cc" else made.select("condition", F.col("aa").alias("subgroup"), "phi", "psi", "unp_id", "unp_idx")
-    sample = twosample.capped(members, n_max, [F.xxhash64(F.lit(seed), "unp_id", "unp_idx"), "unp_id", "unp_idx", "phi", "psi"]).select("condition", "subgroup", "rank", "phi", "psi")
-    tests = twosample.bootstrap_permutation(plan, sample, statistic, permutations=permutations, seed=seed)
-    table = multiplicity.significance_table(tests.where("pval IS NOT NULL"), members, q)
-    return {"sizes": sizes, "plan": plan, "tests": tests, "significance": table, "density": kde_grid(members, ["condition", "subgroup"], bins, sigma)}
+    members = {"cc": made, "aa": made.withColumn("subgroup", F.col("aa")), "aac": made.unionByName(made.withColumn("subgroup", F.col("aa")))}[kind]
+    tests = twosample.bootstrap_permutation(plan, members, ["unp_id", "unp_idx", "subgroup", "phi", "psi"], statistic, bootstraps, permutations, n_max=n_max, seed=seed)
+    table = multiplicity.significance_table(tests, members, q)
+    return {"sizes": sizes, "likelihoods": likely, "plan": plan, "tests": tests, "significance": table, "density": kde_grid(members, ["condition", "subgroup"], bins, sigma)}
 
 
 def match_pairs(residues: DataFrame) -> DataFrame:

@@ -13,7 +13,9 @@ from . import fixtures as fx
 from . import jobs
 from .registry import good, query, r
 
-CAP, BINS, SIGMA = 200, 16, 30.0
+CAP, BINS, SIGMA, BLOCKS = 200, 16, 30.0, 16
+#: What tells a residue's rows apart.
+IDENTITY = ["struct_id", "unp_id", "unp_idx"]
 
 
 def members(spark, d) -> DataFrame:
@@ -24,9 +26,12 @@ def sizes(spark, d) -> DataFrame:
     return members(spark, d).groupBy("condition", "aa", F.col("subgroup").alias("codon")).agg(F.count("*").alias("n"))
 
 
+#: A stated total order of a subgroup's members, and whole thousands of its first term.
+ORDER = [(F.col("struct_id") * 7919 + F.col("unp_id") * 104729) % 1000003, "struct_id", "unp_id", "unp_idx"]
+
+
 def sample(spark, d) -> DataFrame:
-    order = [(F.col("struct_id") * 7919 + F.col("unp_id") * 104729) % 1000003, "struct_id", "unp_id", "unp_idx"]
-    return twosample.capped(members(spark, d), CAP, order).select("condition", "subgroup", "rank", "phi", "psi")
+    return twosample.capped(members(spark, d), CAP, F.floor(ORDER[0] / 1000), ORDER).select("condition", "subgroup", "rank", "phi", "psi")
 
 
 def plan(spark, d) -> DataFrame:
@@ -35,15 +40,17 @@ def plan(spark, d) -> DataFrame:
 
 SIZES = fx.RESIDUES + """, sz AS (SELECT secondary AS condition, aa, codon, count(*) AS n FROM good GROUP BY ALL),
 ac AS (SELECT condition, aa, sum(n)::BIGINT AS n, min(n) AS least FROM sz GROUP BY ALL)"""
-PAIRS = fx.RESIDUES + f""", samp AS (SELECT secondary AS condition, codon AS subgroup, phi, psi, rn AS rank FROM (SELECT *, row_number() OVER (PARTITION BY secondary, codon ORDER BY (struct_id*7919+unp_id*104729)%1000003, struct_id, unp_id, unp_idx) AS rn FROM good) WHERE rn<={CAP}),
+PAIRS = fx.RESIDUES + """, samp AS (SELECT secondary AS condition, codon AS subgroup, phi, psi, row_number() OVER (PARTITION BY secondary, codon ORDER BY (struct_id*7919+unp_id*104729)%1000003, struct_id, unp_id, unp_idx) AS rank FROM good),
 sub AS (SELECT condition, subgroup, count(*) AS n FROM samp GROUP BY ALL),
 pr AS (SELECT a.condition, a.subgroup AS s1, b.subgroup AS s2, a.n AS n1, b.n AS n2 FROM sub a JOIN sub b ON a.condition=b.condition AND split_part(a.subgroup,'-',1)=split_part(b.subgroup,'-',1) AND a.subgroup<=b.subgroup)"""
+#: The same with sizes, and ranks, of at most the pair's cap.
+CAPPED = PAIRS.replace("a.n AS n1, b.n AS n2", f"least(a.n, b.n, {CAP}) AS n1, least(a.n, b.n, {CAP}) AS n2")
 
 
-def _sums(value: str) -> str:
+def _sums(value: str, pairs: str = PAIRS, upto: str = "") -> str:
     rows = lambda a, b, more: f"""SELECT pr.condition, s1, s2, sum({value}) AS v FROM (SELECT pr.condition, s1, s2, pow(least(abs(x.phi-y.phi),360-abs(x.phi-y.phi)),2)+pow(least(abs(x.psi-y.psi),360-abs(x.psi-y.psi)),2) AS d2
- FROM pr JOIN samp x ON x.condition=pr.condition AND x.subgroup={a} JOIN samp y ON y.condition=pr.condition AND y.subgroup={b} {more}) pr GROUP BY ALL"""
-    return f"""{PAIRS}, w1 AS ({rows('s1', 's1', 'AND x.rank<y.rank')}), w2 AS ({rows('s2', 's2', 'AND x.rank<y.rank')}), b AS ({rows('s1', 's2', '')}),
+ FROM pr JOIN samp x ON x.condition=pr.condition AND x.subgroup={a} JOIN samp y ON y.condition=pr.condition AND y.subgroup={b} {more} WHERE true {upto}) pr GROUP BY ALL"""
+    return f"""{pairs}, w1 AS ({rows('s1', 's1', 'AND x.rank<y.rank')}), w2 AS ({rows('s2', 's2', 'AND x.rank<y.rank')}), b AS ({rows('s1', 's2', '')}),
 p AS (SELECT pr.condition, pr.s1, pr.s2, n1, n2, coalesce(w1.v,0) AS w1, coalesce(w2.v,0) AS w2, b.v AS b FROM pr LEFT JOIN w1 USING (condition, s1, s2) LEFT JOIN w2 USING (condition, s1, s2) JOIN b USING (condition, s1, s2))"""
 
 
@@ -67,10 +74,10 @@ def pair_plan_aac(spark, d):
 
 @query("pair_tw2", f"""WITH {_sums(RAD2)} SELECT condition, s1, s2, n1, n2, round(CASE WHEN n1>1 AND n2>1 AND w1/(n1*n1*(n1-1))+w2/(n2*n2*(n2-1))>1e-12 THEN (b/(n1*n2)-w1/(n1*n1)-w2/(n2*n2))/(w1/(n1*n1*(n1-1))+w2/(n2*n2*(n2-1))) ELSE 0 END,6)+0.0 AS stat FROM p""")
 def pair_tw2(spark, d):
-    return twosample.tw2(plan(spark, d), sample(spark, d)).select("condition", "s1", "s2", "n1", "n2", r("stat"))
+    return twosample.tw2(plan(spark, d), members(spark, d)).select("condition", "s1", "s2", "n1", "n2", r("stat"))
 
 
-@query("pair_mmd", f"""WITH {_sums(f'exp(-0.5*pow({RAD2},2))')} SELECT condition, s1, s2, n1, n2, round((2*w1+n1)/(n1*n1)+(2*w2+n2)/(n2*n2)-2*b/(n1*n2),7)+0.0 AS stat FROM p""")
+@query("pair_mmd", f"""WITH {_sums(f'exp(-0.5*pow({RAD2},2))', CAPPED, 'AND x.rank<=n1 AND y.rank<=n1')} SELECT condition, s1, s2, n1, n2, round((2*w1+n1)/(n1*n1)+(2*w2+n2)/(n2*n2)-2*b/(n1*n2),7)+0.0 AS stat FROM p""")
 def pair_mmd(spark, d):
     return twosample.mmd2(plan(spark, d), sample(spark, d)).select("condition", "s1", "s2", "n1", "n2", r("stat", 7))
 
@@ -84,7 +91,7 @@ grid AS (SELECT {by}, i, j, avg(wx.v/wx.t*wy.v/wy.t) AS p FROM src JOIN wx USING
 
 @query("pair_kde_l1", f"""WITH {PAIRS}, {_grid('samp', 'condition, subgroup')} SELECT pr.condition, s1, s2, round(sum(abs(a.p-b.p)),6)+0.0 AS stat FROM pr JOIN grid a ON a.condition=pr.condition AND a.subgroup=s1 JOIN grid b ON b.condition=pr.condition AND b.subgroup=s2 AND a.i=b.i AND a.j=b.j GROUP BY ALL""")
 def pair_kde_l1(spark, d):
-    return twosample.kde_l1(plan(spark, d), sample(spark, d), BINS, SIGMA).select("condition", "s1", "s2", r("stat"))
+    return twosample.kde_l1(plan(spark, d), members(spark, d), BINS, SIGMA).select("condition", "s1", "s2", r("stat"))
 
 
 @query("pair_axis_wasserstein", f"""WITH {PAIRS}, x AS (SELECT pr.condition, s1, s2, n1, n2, x.psi/360.0+0.5 AS u, row_number() OVER (PARTITION BY pr.condition, s1, s2 ORDER BY x.psi/360.0+0.5, x.rank) AS k FROM pr JOIN samp x ON x.condition=pr.condition AND x.subgroup=s1),
@@ -92,7 +99,7 @@ f AS (SELECT x.condition, x.s1, x.s2, n1, n2, k, count(y.rank)/any_value(x.n2) A
 m AS (SELECT condition, s1, s2, n1, n2, sum(f/n1-(pow(k/n1,2)-pow((k-1)/n1,2))/2) AS a, sum(f*f/n1-f*(pow(k/n1,2)-pow((k-1)/n1,2))+(pow(k/n1,3)-pow((k-1)/n1,3))/3) AS b FROM f GROUP BY ALL)
 SELECT condition, s1, s2, n1, n2, round(n1*n2/(n1+n2)*(b-a*a),6)+0.0 AS stat FROM m""")
 def pair_axis_wasserstein(spark, d):
-    return twosample.axis_wasserstein(plan(spark, d), sample(spark, d), "psi").select("condition", "s1", "s2", "n1", "n2", r("stat"))
+    return twosample.axis_wasserstein(plan(spark, d), members(spark, d), "psi").select("condition", "s1", "s2", "n1", "n2", r("stat"))
 
 
 @query("kde_grid_16", f"WITH {fx.RESIDUES}, {_grid('good', 'secondary')} SELECT secondary, i, j, round(p,9)+0.0 AS p FROM grid")
@@ -130,8 +137,8 @@ l AS (SELECT *, row_number() OVER (PARTITION BY condition ORDER BY pval)*0.9::DO
 h AS (SELECT *, coalesce(max(CASE WHEN pval<=line THEN line END) OVER (PARTITION BY condition),0) AS th FROM l)
 SELECT condition, s1, s2, n1, n2, round(d12,5)+0.0 AS d12, round(pval,9) AS pval, pval<=th AS significant, round(th,9)+0.0 AS threshold, n_tests, count(*) FILTER (pval<=th) OVER (PARTITION BY condition) AS n_rejected FROM h""")
 def significance_table(spark, d):
-    m, s = members(spark, d), sample(spark, d)
-    p = twosample.pooled(plan(spark, d), s, lambda d2: d2 * (3.141592653589793 / 180) ** 2)
+    m = members(spark, d)
+    p = twosample.torus_sums(plan(spark, d), m).withColumn("b", F.col("b") * (3.141592653589793 / 180) ** 2)
     tests = p.select("condition", "s1", "s2", (F.col("n1") * F.col("n2") / (F.col("n1") * F.col("n2") + F.col("b"))).alias("pval"), F.col("b").alias("ddist"))
     t = multiplicity.significance_table(tests, m, 0.9)
     return t.select("condition", "s1", "s2", "n1", "n2", r("d12", 5), F.round("pval", 9).alias("pval"), "significant", r("threshold", 9), "n_tests", "n_rejected")
@@ -345,11 +352,11 @@ def ngram_similarity(spark, d):
 
 @query("aligned_similarity")
 def aligned_similarity(spark, d):
-    """Structures compared with the three reference chains by their sequences."""
-    order = Window.partitionBy("struct_id").orderBy("pos")
-    c = fx.chain(spark, d).withColumn("seq", F.array_join(F.collect_list("res_name").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "")).where("pos = 0").select("struct_id", "seq")
-    refs = F.broadcast(c.where(F.col("struct_id").isin("u0", "u1", "u2")).toDF("ref_id", "ref_seq"))
-    return redundancy.aligned_similarity(c.crossJoin(refs), "seq", "ref_seq").select("ref_id", "struct_id", "similarity")
+    """Every structure's sequence compared with those of the references, in blocks."""
+    c = fx.chain(spark, d).groupBy("struct_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "res_name"))), lambda x: x["res_name"]), "").alias("seq"))
+    c = c.withColumn("block", F.pmod(F.xxhash64("struct_id"), F.lit(BLOCKS)))
+    refs = c.where(fx.is_reference()).select(F.col("struct_id").alias("ref_id"), F.col("seq").alias("ref_seq"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(BLOCKS - 1).cast("bigint"))).alias("block"))
+    return redundancy.aligned_similarity(c.join(refs, "block"), "seq", "ref_seq").select("ref_id", "struct_id", "similarity")
 
 
 @query("nonredundant_set")
@@ -360,11 +367,14 @@ def nonredundant_set(spark, d):
 
 
 def ensure_checkpoints(spark) -> None:
-    """Checkpoints go to spark.checkpoint.dir; only where that is unset (in tests) to a folder of its own."""
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        import tempfile
+    """Checkpoints go to spark.checkpoint.dir; only where that is unset in a local session, as in tests, to a folder of its own."""
+    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
+        return
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    import tempfile
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
 
 
 @query("canonize", """WITH e AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM embeddings),
@@ -408,18 +418,18 @@ def sub_clusters(spark, d):
 
 @query("permutation_pvalues")
 def permutation_pvalues(spark, d):
-    return twosample.bootstrap_permutation(plan(spark, d), sample(spark, d), "tw", permutations=100)
+    return twosample.bootstrap_permutation(plan(spark, d), members(spark, d), IDENTITY, "tw", permutations=100)
 
 
 @query("bootstrap_pvalues")
 def bootstrap_pvalues(spark, d):
-    return twosample.bootstrap_permutation(plan(spark, d), sample(spark, d), "mmd", bootstraps=5, permutations=50, n_max=100)
+    return twosample.bootstrap_permutation(plan(spark, d), members(spark, d), IDENTITY, "mmd", bootstraps=5, permutations=50, k_min=30, k_th=20, n_max=100)
 
 
 @query("projection_test")
 def projection_test(spark, d):
     null = spark.range(1, 200).select((F.lit(0.02) * F.log(200.0 / F.col("id"))).alias("value"))
-    return twosample.projection_test(plan(spark, d), sample(spark, d), null)
+    return twosample.projection_test(plan(spark, d), members(spark, d), null)
 
 
 @query("shuffled_labels", f"WITH {fx.RESIDUES} SELECT aa, codon, count(*) AS n FROM residues GROUP BY ALL")
@@ -444,10 +454,10 @@ def structure_job(spark, d):
 
 
 @query("match_types", f"""WITH {CHAIN_RES} SELECT CASE WHEN r.struct_id=q.struct_id THEN 'REFERENCE' WHEN r.unp_id=q.unp_id AND r.res_name=q.res_name AND r.codon=q.codon THEN 'VARIANT' WHEN r.unp_id=q.unp_id AND r.res_name=q.res_name THEN NULL WHEN r.unp_id=q.unp_id THEN 'ALTERATION'
- WHEN r.codon=q.codon THEN 'SAME' WHEN r.res_name=q.res_name THEN 'SILENT' ELSE 'MUTATION' END AS type, count(*) AS n FROM cr r JOIN cr q ON r.pos=q.pos WHERE r.struct_id='u0' GROUP BY 1""")
+ WHEN r.codon=q.codon THEN 'SAME' WHEN r.res_name=q.res_name THEN 'SILENT' ELSE 'MUTATION' END AS type, count(*) AS n FROM cr r JOIN cr q ON r.pos=q.pos WHERE CAST(substr(r.struct_id,2) AS BIGINT)%20=0 GROUP BY 1""")
 def match_types(spark, d):
     c = chain_residues(spark, d)
-    ref = c.where("struct_id = 'u0'").select(F.col("struct_id").alias("rs"), "pos", F.col("unp_id").alias("ru"), F.col("res_name").alias("rn"), F.col("codon").alias("rc"))
+    ref = c.where(fx.is_reference()).select(F.col("struct_id").alias("rs"), "pos", F.col("unp_id").alias("ru"), F.col("res_name").alias("rn"), F.col("codon").alias("rc"))
     both = ref.join(c, "pos")
     kind = codons.match_type(F.col("rs") == F.col("struct_id"), F.col("ru") == F.col("unp_id"), F.col("rn") == F.col("res_name"), F.col("rc") == F.col("codon"))
     return both.groupBy(kind.alias("type")).agg(F.count("*").alias("n"))
