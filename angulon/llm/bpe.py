@@ -9,7 +9,11 @@ The vocabulary is that of a public tokenizer file (JSON): normalisation to NFC,
 words split by the pattern below, bytes shown as printable characters, ``</w>`` at a word's end. The special tokens'
 strings in a text are tokens themselves. ``decode`` joins the tokens' strings with blanks, as that file, which names
 no decoder, asks for. Null counts as the empty text: no ids, empty decoded text. Memory is bounded whatever the text's
-length but for the text and its ids: caches of words and of token pairs are emptied when full.
+length but for the text and its ids: caches of words and of token pairs are emptied when full, and what a task has
+built goes with it. Repeated rows get equal ids; other columns play no part.
+
+The matcher is an Aho-Corasick automaton over the vocabulary, that is, a trie with suffix links: like a suffix
+automaton of the vocabulary it gives all tokens that end at a position, but it holds whole tokens only.
 """
 
 from __future__ import annotations
@@ -28,13 +32,16 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .shared import releasing
+
 END = "\U0010fffe"
 #: The words of this vocabulary's text, in a stretch without white space.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{L}\p{N}]+")
 #: The white space that the tokenizer drops; str.split takes four control characters more.
 BLANK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 NOT_BLANK = re.compile("[\x1c-\x1f]")
-CACHE = 150_000
+#: Entries and characters that a cache holds at most; longer keys are not kept.
+CACHE, CACHE_CHARACTERS, LONG = 150_000, 2_000_000, 200
 
 
 def shown_bytes() -> list[str]:
@@ -45,15 +52,21 @@ def shown_bytes() -> list[str]:
 
 
 class _Remembered(dict):
-    """A bounded memory of a function's values."""
+    """A memory of a function's values, bounded in keys and, where these are strings, in their characters together."""
 
     def __init__(self, make, most: int = CACHE) -> None:
-        self.make, self.most = make, most
+        self.make, self.most, self.held = make, most, 0
 
     def __missing__(self, key):
-        if len(self) >= self.most:
+        value = self.make(key)
+        size = len(key)
+        if size > LONG:
+            return value
+        self.held += size
+        if len(self) >= self.most or self.held > CACHE_CHARACTERS:
             self.clear()
-        value = self[key] = self.make(key)
+            self.held = size
+        self[key] = value
         return value
 
 
@@ -140,45 +153,28 @@ class Bpe:
         """The ids of a text, unsigned 32-bit, little-endian."""
         if not text:
             return np.zeros(0, "<u4")
-        if self.special_pattern is None or "<|" not in text:
+        if self.special_pattern is None or not self.special_pattern.search(text):
             return np.frombuffer(self._plain(text), "<u4")
         parts = self.special_pattern.split(text)
         return np.frombuffer(b"".join(np.array([self.special[p]], "<u4").tobytes() if k % 2 else self._plain(p) for k, p in enumerate(parts)), "<u4")
 
-    def forget(self) -> None:
-        """Empties the caches: a worker process outlives its task."""
-        for cache in (self.fits, self.word, self.stretch):
-            cache.clear()
-
     def decode(self, ids: np.ndarray) -> str:
         return " ".join(map(self.strings.__getitem__, ids.tolist()))
 
 
-_BUILT: dict[int, Bpe] = {}
-
-
-def _bpe(shipped) -> Bpe:
-    """The tokenizer of this worker process, built once."""
-    if shipped.id not in _BUILT:
-        _BUILT.clear()
-        _BUILT[shipped.id] = Bpe(shipped.value)
-    return _BUILT[shipped.id]
-
-
 class _Shipped:
     def __init__(self, spark, path: str) -> None:
         with open(path, encoding="utf-8") as f:  # a file of the driver's machine, of fixed size
             self.broadcast = spark.sparkContext.broadcast(f.read())
-        self.id = hash((path, id(self)))
 
-    @property
-    def value(self) -> str:
-        return self.broadcast.value
+    def built(self) -> Bpe:
+        """The tokenizer, for one task: a worker process, which runs other tasks later, does not keep it."""
+        return Bpe(self.broadcast.value)
 
 
 def _text_udf(of, kind: str):
     of.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(of, kind)
+    return F.arrow_udf(releasing(of), kind)
 
 
 def encode_column(text: Column, path: str, spark) -> Column:
@@ -186,12 +182,11 @@ def encode_column(text: Column, path: str, spark) -> Column:
     shipped = _Shipped(spark, path)
 
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        bpe = _bpe(shipped)
+        bpe = shipped.built()
         for b in batches:
             ids = [bpe.encode(t.as_py()) for t in b]
             at = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             yield pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, "<u4"), *ids]).astype(np.int32)))
-        bpe.forget()
 
     return _text_udf(encoded, "array<int>")(text)
 
@@ -201,7 +196,7 @@ def decode_column(ids: Column, path: str, spark) -> Column:
     shipped = _Shipped(spark, path)
 
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        bpe = _bpe(shipped)
+        bpe = shipped.built()
         for b in batches:
             yield pa.array([bpe.decode(np.asarray(x.values if x.is_valid else [], np.int64)) for x in b], pa.string())
 
@@ -216,13 +211,12 @@ def digest_column(text: Column, path: str, spark) -> Column:
     shipped = _Shipped(spark, path)
 
     def digested(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        bpe = _bpe(shipped)
+        bpe = shipped.built()
         for b in batches:
             rows = []
             for t in b:
                 ids = bpe.encode(t.as_py())
                 rows.append((len(ids), sha256(ids.tobytes()).hexdigest(), sha256(bpe.decode(ids).encode()).hexdigest()))
             yield pa.StructArray.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(DIGEST)], fields=list(DIGEST))
-        bpe.forget()
 
     return _text_udf(digested, "struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>")(text)

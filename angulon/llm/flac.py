@@ -1,15 +1,18 @@
 """FLAC: mono 8-bit streams written from bytes, and read back frame by frame in step.
 
 A payload's bytes become signed samples (byte - 128). Writing cuts them into frames of BLOCK samples; each frame is
-constant, Rice-coded after a fixed linear predictor of order 0 to 2, or verbatim, whichever is least. A stream has a
+constant, Rice-coded after a linear predictor, or verbatim, whichever is least. The predictor is a fixed one of order 0
+to 2 or one of order LPC fitted to the frame (autocorrelation, Levinson recursion, TAP_BITS a coefficient). A stream has a
 STREAMINFO block (with the MD5 of the samples), a SEEKTABLE with a point for every frame, and the frames with CRC-8
 and CRC-16. Reading parses headers, verifies both checksums of every frame and the MD5, decodes constant, verbatim,
 fixed and LPC subframes with partitioned Rice residuals (both parameter sizes, and escaped raw ones), and yields PCM
 blocks with the offset of their first sample. All frames of a group advance together, one sample a step, so that the
-work is numpy's; streams without a seek table are walked frame after frame. Other channel counts, sample sizes and
-wasted bits raise ValueError, as damaged streams do. Memory is bounded by GROUP frames besides the stream itself.
+work is numpy's; where there is no seek point the frames are walked one after the other. Other channel counts, sample
+sizes, wasted bits and blocks of various sizes raise ValueError, as damaged streams do. Memory is bounded by GROUP frames
+besides the stream itself.
 
-Null counts as the empty text; bytes 0 are appended up to a positive multiple of 64. Equal texts give equal streams.
+Null counts as the empty text; bytes 0 are appended up to a positive multiple of 64. Equal texts, in whatever rows, give
+equal streams; texts may be of any length. Ids may be null or repeated; other columns play no part.
 """
 
 from __future__ import annotations
@@ -24,9 +27,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import releasing
 from .textio import chunks
 
-BLOCK, GROUP, RATE = 512, 2048, 8000
+BLOCK, GROUP, RATE, LPC, TAP_BITS = 512, 2048, 8000, 4, 12
 #: Block sizes by code (0: reserved; 6 and 7: in the header's own bytes).
 BLOCK_SIZES = np.array([0, 192, 576, 1152, 2304, 4608, -1, -2, 256, 512, 1024, 2048, 4096, 8192, 16384, 32768])
 #: Coefficients of the fixed predictors by order.
@@ -86,6 +90,30 @@ def _frame_head(number: int, size: int) -> bytes:
     return bytes([0xFF, 0xF8, code << 4, 0x02]) + _number(number) + extra
 
 
+def _predictors(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each frame (a row): LPC quantised taps, their shift, and the residual after the first LPC samples."""
+    x = s.astype(np.float64)
+    r = np.column_stack([(x[:, k:] * x[:, : x.shape[1] - k]).sum(axis=1) for k in range(LPC + 1)])
+    taps, left = np.zeros((len(x), LPC)), np.maximum(r[:, 0], 1e-9) * (1 + 1e-9)
+    for m in range(LPC):  # Levinson recursion, all frames at once
+        turn = (r[:, m + 1] - (taps[:, :m] * r[:, m:0:-1]).sum(axis=1)) / left
+        taps[:, :m] -= turn[:, None] * taps[:, :m][:, ::-1]
+        taps[:, m] = turn
+        left = np.maximum(left * (1 - turn * turn), 1e-9)
+    shift = np.clip(TAP_BITS - 2 - np.ceil(np.log2(np.abs(taps).max(axis=1) + 1e-9)), 0, 15).astype(np.int64)
+    most = (1 << (TAP_BITS - 1)) - 1
+    whole = np.clip(np.rint(taps * (1 << shift)[:, None]), -most, most).astype(np.int32)
+    guess = sum(whole[:, j, None] * s[:, LPC - 1 - j : s.shape[1] - 1 - j] for j in range(LPC))
+    return whole, shift, s[:, LPC:] - (guess >> shift[:, None].astype(np.int32))
+
+
+def _rice_bits(u: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of each row's folded residuals under the best parameter, and that parameter."""
+    bits = np.column_stack([count * (k + 1) + (u >> k).sum(axis=1) for k in range(8)])
+    k = np.argmin(bits, axis=1)
+    return bits[np.arange(len(u)), k], k
+
+
 def _encode_group(samples: np.ndarray, start: np.ndarray, size: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and sizes of up to GROUP frames of ``samples`` (int8)."""
     n = len(start)
@@ -105,12 +133,17 @@ def _encode_group(samples: np.ndarray, start: np.ndarray, size: np.ndarray, numb
     for o in range(3):
         pick = order == o
         u[pick, o:] = folded[o][pick]
-    count = size - order
-    bits = np.column_stack([count * (k + 1) + (u >> k).sum(axis=1) for k in range(8)])
-    k = np.argmin(bits, axis=1)
-    bits = bits[np.arange(n), k]
+    bits, k = _rice_bits(u, size - order)
+    taps, shift, residual = _predictors(s)
+    u_lpc = np.where(inside[:, LPC:], (residual << 1) ^ (residual >> 31), 0)
+    bits_lpc, k_lpc = _rice_bits(u_lpc, size - LPC)
+    extra = np.int64(9 + LPC * TAP_BITS)  # bits that describe the taps
+    fitted = (size > 2 * LPC) & (extra + bits_lpc + 8 * LPC < bits + 8 * order)
+    u[fitted, :LPC], u[fitted, LPC:] = 0, u_lpc[fitted]
+    order, bits, k = np.where(fitted, LPC, order), np.where(fitted, extra + bits_lpc, bits), np.where(fitted, k_lpc, k)
     constant = (np.where(inside, s, s[:, :1]) == s[:, :1]).all(axis=1)
     verbatim = ~constant & (10 + bits + 8 * order >= 8 * size)
+    fitted &= ~constant & ~verbatim
     rice = ~constant & ~verbatim
     heads = [_frame_head(int(a), int(b)) for a, b in zip(number, size, strict=True)]
     head_size = np.array([len(h) for h in heads]) + 1
@@ -119,6 +152,12 @@ def _encode_group(samples: np.ndarray, start: np.ndarray, size: np.ndarray, numb
     at = np.concatenate([[0], np.cumsum(whole)])
     written = np.zeros(at[-1] * 8, np.uint8)
     code_at = (at[:-1] + head_size + 1 + order) * 8
+    packed = np.int64(TAP_BITS - 1) << 5 | shift
+    for j in range(LPC):
+        packed = packed << TAP_BITS | (taps[:, j] & ((1 << TAP_BITS) - 1))
+    for j in range(extra):
+        written[code_at[fitted] + j] = (packed[fitted] >> (extra - 1 - j)) & 1
+    code_at += extra * fitted
     for j in range(4):
         written[code_at[rice] + 2 + 4 + j] = (k[rice] >> (3 - j)) & 1
     valid = inside & (np.arange(BLOCK) >= order[:, None])
@@ -139,10 +178,10 @@ def _encode_group(samples: np.ndarray, start: np.ndarray, size: np.ndarray, numb
     out[where] = head
     out[at[:-1] + head_size - 1] = crc8(out, at[:-1], head_size - 1)
     first = at[:-1] + head_size
-    out[first] = np.where(constant, 0, np.where(verbatim, 2, (8 + order) << 1))
+    out[first] = np.where(constant, 0, np.where(verbatim, 2, np.where(fitted, 31 + order, 8 + order) << 1))
     byte = s.astype(np.int8).view(np.uint8)
     out[first[constant] + 1] = byte[constant, 0]
-    for o in range(2):
+    for o in range(LPC):
         pick = rice & (order > o)
         out[first[pick] + 1 + o] = byte[pick, o]
     if verbatim.any():
@@ -200,9 +239,11 @@ def encode(payloads: list[bytes]) -> list[bytes]:
 
 @dataclass
 class Stream:
-    """What the metadata of a stream says. frames: where the frames begin; points: bytes after that, ascending."""
+    """What the metadata of a stream says. block: samples a frame; frames: where the frames begin; points: bytes after
+    that, ascending, and firsts: the samples there."""
 
     samples: int
+    block: int
     digest: bytes
     frames: int
     points: np.ndarray
@@ -229,10 +270,12 @@ def parse(stream: bytes) -> Stream:
     _need(info is not None and len(info) == 34, "no STREAMINFO")
     packed = int.from_bytes(info[10:18], "big")
     _need((packed >> 41) & 7 == 0 and (packed >> 36) & 31 == 7, "more than one channel, or not 8 bits")
+    block = int.from_bytes(info[0:2], "big")
+    _need(block == int.from_bytes(info[2:4], "big"), "blocks of various sizes")
     table = np.concatenate(points)
     first, offset = (np.ascontiguousarray(table[:, a : a + 8]).view(">i8").ravel().astype(np.int64) for a in (0, 8))
     real = first >= 0  # placeholders have all bits set
-    return Stream(packed & ((1 << 36) - 1), info[18:34], at, offset[real], first[real])
+    return Stream(packed & ((1 << 36) - 1), block, info[18:34], at, offset[real], first[real])
 
 
 class _Bits:
@@ -366,31 +409,39 @@ def _decode_group(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
     return number, size, out[width:].T, end + 2
 
 
-def pcm_blocks(streams: list[bytes]) -> Iterator[tuple[int, int, int, np.ndarray]]:
-    """Stream, block number, offset of the block's first sample, and its samples (int8), in no given order."""
-    parsed = [parse(s) for s in streams]
-    base = np.concatenate([[0], np.cumsum([len(s) for s in streams])])
-    data = np.frombuffer(b"".join(streams), np.uint8)
-    cursors = [(i, base[i] + s.frames + p) for i, s in enumerate(parsed) for p in (s.points if len(s.points) else [0]) if s.frames < len(streams[i])]
-    stops = {int(c[1]) for c in cursors}
-    whose, at = np.array([c[0] for c in cursors], np.int64), np.array([c[1] for c in cursors], np.int64)
+def _walk(data: np.ndarray, whose: np.ndarray, at: np.ndarray, ends: np.ndarray, last: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Stream, number and samples of the frames from each place on: up to the next place, the stream's end or the frame
+    number ``last`` of the stream, which is left out."""
+    stops = set(at.tolist())
     while len(at):
         order = np.argsort(at)
         whose, at, later_whose, later_at = whose[order], at[order], [], []
         for g in range(0, len(at), GROUP):
             pick, mine = at[g : g + GROUP], whose[g : g + GROUP]
             lo = int(pick[0])
-            hi = int(min(base[mine[-1] + 1], pick[-1] + (1 << 17)))  # no frame is longer
+            hi = int(min(ends[mine[-1]], pick[-1] + (1 << 17)))  # no frame is longer
             number, size, samples, end = _decode_group(data[lo:hi], pick - lo)
             for j, i in enumerate(mine):
-                yield int(i), int(number[j]), int(number[j]) * BLOCK, samples[j, : size[j]].astype(np.int8)
+                yield int(i), int(number[j]), samples[j, : size[j]].astype(np.int8)
             end = end + lo
-            go = [j for j in range(len(pick)) if end[j] < base[mine[j] + 1] and int(end[j]) not in stops]
+            go = [j for j in range(len(pick)) if end[j] < ends[mine[j]] and int(end[j]) not in stops and number[j] + 1 < last[mine[j]]]
             later_whose += [mine[j] for j in go]
             later_at += [end[j] for j in go]
         whose, at = np.array(later_whose, np.int64), np.array(later_at, np.int64)
 
 
+def pcm_blocks(streams: list[bytes]) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """Stream, block number, offset of the block's first sample, and its samples (int8), in no given order."""
+    parsed = [parse(s) for s in streams]
+    base = np.concatenate([[0], np.cumsum([len(s) for s in streams])])
+    data = np.frombuffer(b"".join(streams), np.uint8)
+    at = [np.unique(np.append(s.points, 0)) + s.frames + base[i] if s.frames < len(streams[i]) else np.zeros(0, np.int64) for i, s in enumerate(parsed)]
+    whose = np.repeat(np.arange(len(streams)), [len(x) for x in at])
+    never = np.full(len(streams), np.iinfo(np.int64).max)
+    for i, number, samples in _walk(data, whose, np.concatenate([np.zeros(0, np.int64), *at]), base[1:], never):
+        yield i, number, number * parsed[i].block, samples
+
+
 def decode(streams: list[bytes]) -> list[tuple[bytes, int]]:
     """Payload and number of frames of each stream. The count of samples and their MD5 must be right."""
     blocks: list[list] = [[] for _ in streams]
@@ -406,16 +457,19 @@ def decode(streams: list[bytes]) -> list[tuple[bytes, int]]:
 
 
 def read_samples(stream: bytes, lo: int, hi: int) -> np.ndarray:
-    """Samples lo..hi through the seek table: only the frames that hold them are decoded."""
+    """Samples lo..hi: only frames from the last seek point before them on are decoded, or from the first frame."""
     info = parse(stream)
-    hi = min(hi, info.samples)
-    pick = (info.firsts < hi) & (np.append(info.firsts[1:], info.samples) > lo)
-    if not pick.any():
+    lo, hi = max(lo, 0), min(hi, info.samples)
+    if lo >= hi:
         return np.zeros(0, np.int8)
+    firsts, points = np.append(info.firsts, 0), np.append(info.points, 0)
+    begin = firsts[firsts <= lo].max()
+    at = np.unique(points[(firsts >= begin) & (firsts < hi)])
     data = np.frombuffer(stream, np.uint8)[info.frames :]
-    _, size, samples, _ = _decode_group(data, info.points[pick])
-    first = int(info.firsts[pick][0])
-    return np.concatenate([s[:n] for s, n in zip(samples, size, strict=True)])[lo - first : hi - first].astype(np.int8)
+    last = np.array([-(-hi // info.block)])
+    got = sorted(((number, samples) for _, number, samples in _walk(data, np.zeros(len(at), np.int64), at, np.array([len(data)]), last)), key=lambda x: x[0])
+    first = got[0][0] * info.block
+    return np.concatenate([samples for _, samples in got])[lo - first : hi - first]
 
 
 def encode_column(text: Column) -> Column:
@@ -426,7 +480,7 @@ def encode_column(text: Column) -> Column:
             yield pa.array([s for part in _payloads(b) for s in encode([p for _, p in part])], pa.binary())
 
     encoded.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(encoded, "binary")(text)
+    return F.arrow_udf(releasing(encoded), "binary")(text)
 
 
 def _payloads(texts: pa.Array) -> Iterator[list[tuple[int, bytes]]]:
@@ -472,4 +526,4 @@ def digest_column(text: Column) -> Column:
             yield pa.StructArray.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(FIELDS.values())], names=list(FIELDS))
 
     digested.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(digested, "struct<" + ",".join(f"{k}:{'string' if t == pa.string() else 'bigint'}" for k, t in FIELDS.items()) + ">")(text)
+    return F.arrow_udf(releasing(digested), "struct<" + ",".join(f"{k}:{'string' if t == pa.string() else 'bigint'}" for k, t in FIELDS.items()) + ">")(text)

@@ -9,8 +9,8 @@ lines, a pair meets with a chance of 2e-5. One replaced character leaves lines o
 Candidates are verified by the exact Jaccard likeness of their shingle sets, distributed union-find makes components of
 the links, and in each the line with the least (doc_id, hash of the text, line number) stays; ids that are null come
 last. Blank lines always stay. A document keeps its remaining lines in order; one that loses all its lines with
-characters goes, one that had none stays as it is. Null texts stay null. Rows with equal id and text are one document:
-one of them stays, with its other columns. Lines are told apart by a 64-bit hash of their characters. Extra columns may
+characters goes, one that had none stays as it is. Null texts stay null, each row of them. Rows with equal id and text are one
+document: one of them stays, with its other columns. Lines are told apart by a 64-bit hash of their characters. Extra columns may
 have any names.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import neardup
-from .shared import scratch, stored
+from .shared import releasing, scratch, stored
 from .textio import chunks, mix, row_of, span_hashes
 
 SHINGLE, ROWS, BANDS, PASSES, BINS, THRESHOLD = 5, 6, 23, 3, 46, 0.8
@@ -184,64 +184,54 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, t (hash of the text), lines: for each document that loses lines, their numbers from 0, ascending."""
     rows = _keyed(docs)
-    lines = stored(rows.mapInArrow(_lines, _SCHEMA), "lines")
+    lines = stored(rows.mapInArrow(releasing(_lines), _SCHEMA), "lines")
     members = neardup.shared_buckets(lines)
     sieve = neardup.Sieve(members, "node")
-    contents = rows.select("text").mapInArrow(_contents(sieve), f"node bigint, text string, {neardup.ABOUT_SCHEMA}")
+    contents = rows.select("text").mapInArrow(releasing(_contents(sieve)), f"node bigint, text string, {neardup.ABOUT_SCHEMA}")
     contents = stored(contents.groupBy("node").agg(*[F.first(c).alias(c) for c in ("text", *neardup.ABOUT)]), "line_texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
         left = contents.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
         right = contents.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
         both = pairs.join(right, "b").join(left, "a").select("a", "b", "la", "lb", "text_a", "text_b")
-        return both.sortWithinPartitions("a").mapInArrow(_verified(threshold), "a bigint, b bigint, la bigint, lb bigint")
+        return both.sortWithinPartitions("a").mapInArrow(releasing(_verified(threshold)), "a bigint, b bigint, la bigint, lb bigint")
 
     labels = neardup.classes(members, contents, verify, threshold)
-    first = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "t", "line")
-    heads = lines.groupBy("node").agg(F.min(first).alias("head"), F.count("*").alias("times"))
-    heads = heads.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    best = heads.groupBy("label").agg(F.min("head").alias("best"), F.sum("times").alias("all")).where("all > 1")
-    heads = heads.join(best, "label").select("node", "best")  # only lines that have others like them
-    lost = lines.select("doc_id", "t", "line", "node").join(heads, "node")
-    lost = lost.where(~first.eqNullSafe(F.col("best")))
+    # A line that has others like it: its group (its class's label, else itself) and the least id in the group.
+    own = lines.groupBy("node").agg(F.count("*").alias("times"), F.min("doc_id").alias("least"))
+    classed = stored(labels.union(labels.select("label", "label").distinct()), "classed")
+    own = own.join(classed, "node", "left")
+    many = own.where("label IS NOT NULL").groupBy("label").agg(F.min("least").alias("least"))
+    heads = own.where("label IS NULL AND times > 1").select("node", F.col("node").alias("group"), "least")
+    heads = heads.union(classed.join(many, "label").select("node", F.col("label").alias("group"), "least"))
+    some = stored(lines.select("doc_id", "t", "line", "node").join(heads, "node"), "repeated_lines")
+    best = some.where(F.col("doc_id").eqNullSafe(F.col("least"))).groupBy("group").agg(F.min(F.struct("t", "line")).alias("best"))
+    lost = some.join(best, "group").where(~F.struct("doc_id", "t", "line").eqNullSafe(F.struct("least", "best.t", "best.line")))
     return lost.groupBy("doc_id", "t").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
 
-RESULT = pa.struct([("n_lines", pa.int64()), ("n_kept", pa.int64()), ("text", pa.string())])
-
-
 def _cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """The remaining text; null where lines with characters were lost and none remains."""
     for texts, lost in batches:
         out = []
-        for lo, hi, data, offsets in chunks(texts, 1 << 18):
-            start, end, _, text = spans(data, offsets)
-            inked = np.bincount(text[end > start], minlength=hi - lo)
-            own, gone = texts.slice(lo, hi - lo), lost.slice(lo, hi - lo)
-            n_gone = np.zeros(hi - lo, np.int64)
-            some = np.flatnonzero(gone.is_valid().to_numpy(zero_copy_only=False))
-            if len(some):
-                cut = own.to_pylist()
-                for i in some:
-                    out_of = set(gone[int(i)].values.to_pylist())
-                    n_gone[i] = len(out_of)
-                    cut[i] = "\n".join([x for k, x in enumerate(cut[i].split("\n")) if k not in out_of])
-                own = pa.array(cut, pa.string())
-            out.append(pa.StructArray.from_arrays([pa.array(inked.astype(np.int64)), pa.array(inked - n_gone), own.cast(pa.string())], fields=list(RESULT)))
-        yield pa.concat_arrays(out) if out else pa.array([], RESULT)
+        for own, gone in zip(texts.to_pylist(), lost.to_pylist(), strict=True):
+            gone = set(gone or ())
+            kept = [x for k, x in enumerate(own.split("\n")) if k not in gone]
+            out.append("\n".join(kept) if not gone or any(x.strip(" \t\r\x0b\x0c") for x in kept) else None)
+        yield pa.array(out, pa.string())
 
 
 _cut.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
 
 
 def dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` (doc_id, text, more) with the remaining text, and the columns _n_lines and _n_kept: the lines with
-    characters before and after.
+    """``docs`` (doc_id, text, more) with the remaining text.
 
-    Documents that lose no line pass by the exchange, as far as a bitmap of fixed size can tell.
+    Documents that lose no line pass by the exchange, as far as a bitmap of fixed size can tell, and by Python.
     """
     names = docs.columns
     t, key, may, lost_t, lost_id, lost_key, gone, cut = scratch(names, "t", "key", "may", "lost_t", "lost_id", "lost_key", "gone", "cut")
-    again = _keyed(docs).groupBy("doc_id", "t").count().where("count > 1").select("doc_id", "t", F.array().cast("array<int>").alias("lines"))
+    again = _keyed(docs).where("t IS NOT NULL").groupBy("doc_id", "t").count().where("count > 1").select("doc_id", "t", F.array().cast("array<int>").alias("lines"))
     lost = removed_lines(docs, threshold).union(again).groupBy("doc_id", "t").agg(F.flatten(F.collect_list("lines")).alias("lines"))
     lost = stored(lost.select(F.xxhash64("doc_id", "t").alias(lost_key), F.col("doc_id").alias(lost_id), F.col("t").alias(lost_t), F.col("lines").alias(gone)), "lost")
     sieve = neardup.Sieve(lost, lost_key)
@@ -251,8 +241,7 @@ def dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     may_lose.__annotations__ = {"keys": pa.Array, "return": pa.Array}
     rows = docs.withColumn(t, F.xxhash64("text")).withColumn(key, F.xxhash64("doc_id", t)).withColumn(may, F.arrow_udf(may_lose, "boolean")(key))
-    some = rows.where(may).join(lost, (F.col(key) == F.col(lost_key)) & F.col("doc_id").eqNullSafe(F.col(lost_id)) & (F.col(t) == F.col(lost_t)), "left")
-    rest = rows.where(f"NOT `{may}`").withColumn(gone, F.lit(None).cast("array<int>"))
-    once = some.dropDuplicates(["doc_id", t]).select(*names, gone).union(rest.select(*names, gone))
-    done = once.withColumn(cut, F.arrow_udf(_cut, "struct<n_lines:bigint,n_kept:bigint,text:string>")("text", gone)).where(f"`{cut}`.n_kept > 0 OR `{cut}`.n_lines = 0")
-    return done.select(*[F.col(f"{cut}.text").alias("text") if n == "text" else F.col(n) for n in names], F.col(f"{cut}.n_lines").alias("_n_lines"), F.col(f"{cut}.n_kept").alias("_n_kept"))
+    apart = rows.where(F.col("text").isNull() | ~F.col(may)).select(*names)
+    some = rows.where(F.col("text").isNotNull() & F.col(may)).join(lost, (F.col(key) == F.col(lost_key)) & F.col("doc_id").eqNullSafe(F.col(lost_id)) & (F.col(t) == F.col(lost_t)), "left")
+    some = some.dropDuplicates(["doc_id", t]).withColumn(cut, F.arrow_udf(releasing(_cut), "string")("text", gone)).where(F.col(cut).isNotNull())
+    return apart.union(some.select(*[F.col(cut).alias("text") if n == "text" else F.col(n) for n in names]))

@@ -12,7 +12,7 @@ sums of the blocks' tokens, then within one block of one block, so that no sourc
 
 Tokens are runs of characters other than white space. Null sources are a source of their own; a source without tokens
 has weight 0 and its documents, null or empty texts, are taken once. Rows with equal id and text share their hash and
-are taken together, as often as each fits.
+are taken together, as often as each fits. Texts may be of any length; extra columns may have any names.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import stored
+from .shared import scratch, stored
 
 STEPS, ROUNDS, SMALL = 6, 5, 10_000
 
@@ -101,9 +101,9 @@ def plan(docs: DataFrame, evenness: float = 0.95, repeats: float = 4.0, budget:
     return stored(done, "plan"), rows
 
 
-def turn(epoch: Column, seed: int) -> Column:
-    """A document's place in the permutation of a pass: 60 bits."""
-    return F.xxhash64(F.lit(seed), epoch.cast("int"), "source", "doc_id", "t").bitwiseAND(F.lit((1 << 60) - 1))
+def turn(epoch: Column, seed: int, t: str = "t") -> Column:
+    """A document's place in the permutation of a pass: 60 bits. t: the column of the text's hash."""
+    return F.xxhash64(F.lit(seed), epoch.cast("int"), "source", "doc_id", t).bitwiseAND(F.lit((1 << 60) - 1))
 
 
 def joined(rows: DataFrame, by_source: DataFrame) -> DataFrame:
@@ -114,9 +114,9 @@ def joined(rows: DataFrame, by_source: DataFrame) -> DataFrame:
     return rows.join(table, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
 
 
-def copies(passes: Column, cut: Column, seed: int) -> Column:
-    """How often a row (with columns source, doc_id, t) is taken."""
-    return passes + F.when(turn(passes + 1, seed) < cut, 1).otherwise(0)
+def copies(passes: Column, cut: Column, seed: int, t: str = "t") -> Column:
+    """How often a row (with columns source, doc_id and the text's hash) is taken."""
+    return passes + F.when(turn(passes + 1, seed, t) < cut, 1).otherwise(0)
 
 
 def realised(docs: DataFrame, seed: int = 1, **how) -> DataFrame:
@@ -129,10 +129,12 @@ def realised(docs: DataFrame, seed: int = 1, **how) -> DataFrame:
 
 def mix(docs: DataFrame, seed: int = 1, **how) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, source, more), each as often as its source's budget takes it."""
-    table, _ = plan(docs, seed=seed, **how)
+    table, _ = plan(docs.select("doc_id", "text", "source"), seed=seed, **how)
     names = docs.columns
-    rows = docs.withColumn("t", F.xxhash64("text")) if "t" not in names else docs.select(*[F.col(n) for n in names if n != "t"], F.xxhash64("text").alias("t"), F.col("t").alias("_own_t"))
-    rows = joined(rows, table.select("source", F.col("passes").alias("_passes"), F.col("cut").alias("_cut")))
-    rows = rows.withColumn("_times", copies(F.col("_passes"), F.col("_cut"), seed)).where("_times > 0")
-    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return rows.select(*[F.col("_own_t").alias("t") if n == "t" else F.col(n) for n in names])
+    hashed, passes, cut, times, copy, source = scratch(names, "hashed", "passes", "cut", "times", "copy", "source_of")
+    table = table.select(F.col("source").alias(source), F.col("passes").alias(passes), F.col("cut").alias(cut))
+    if table.limit(SMALL + 1).count() <= SMALL:
+        table = F.broadcast(table)
+    rows = docs.withColumn(hashed, F.xxhash64("text")).join(table, F.col("source").eqNullSafe(F.col(source)))
+    rows = rows.withColumn(times, copies(F.col(passes), F.col(cut), seed, hashed)).where(F.col(times) > 0)
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*names)

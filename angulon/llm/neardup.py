@@ -1,16 +1,17 @@
 """What near-duplicate operators share: classes of similar nodes from buckets of candidates.
 
 A bucket holds nodes that may be similar. Every pair within a bucket is either shown not to be similar, or verified, or
-already in one class, without listing all pairs of a group: in round r the next 2 * 8**r nodes of each bucket, its
-leaders, meet the later ones that are not yet in the leader's class, and classes that a found link joins become one. A
-bucket is done when its remaining nodes share a class, so a group of thousands of copies takes about as many
-comparisons as it has nodes.
-
-Where a leader meets a node, a bitmap filter decides first: each node has a bitmap of BITS bits, with bit ``hash mod
-BITS`` set for each of its parts (shingles). Each bit that only one of two nodes has stands for at least one part that
-the other lacks, which bounds their common parts, and so their likeness, from above; pairs whose bound is below the
-threshold never leave the join. The bound is exact: no link between different classes is lost. Large buckets are dealt
-out by a salt of the node, to which their leaders are copied.
+already in one class, without listing all pairs of a group. First, in a part of the buckets, every node meets the
+bucket's least: this finds the large classes, and buckets whose nodes share a class are done. In the others the next
+2 * 8**r nodes, their leaders, meet in round r the later ones that are not yet in the leader's class; classes that a
+found link joins become one, and a bucket is done when its remaining nodes share a class. A group of thousands of
+copies takes about as many comparisons as it has nodes.
+
+Where a leader meets a node, an odd sketch decides first: BITS bits, of which bit ``hash mod BITS`` is turned over for
+each of a node's parts (shingles). Each bit in which two sketches differ stands for at least one part that only one of
+the nodes has, which bounds their likeness from above; pairs whose bound is below the threshold never leave the join.
+The bound is exact: no link between different classes is lost. Large buckets are dealt out by a salt of the node, to
+which their leaders are copied.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ from .shared import discard, stored
 from .textio import row_of
 
 FIRST_LEADERS, MORE_LEADERS, SALT_ROWS, WORDS = 2, 8, 256, 8
+#: One of so many buckets takes part in the first round.
+EARLY = 6
 BITS = 64 * WORDS
-#: The columns that describe a node: number of its parts, and their bitmap.
+#: The columns that describe a node: number of its parts, and their odd sketch.
 ABOUT = ["size", *(f"w{k}" for k in range(WORDS))]
 ABOUT_SCHEMA = ", ".join(f"{c} bigint" for c in ABOUT)
 
@@ -40,18 +43,19 @@ def described(keys: np.ndarray, counts: np.ndarray) -> list[pa.Array]:
     words = []
     for k in range(0, max(len(counts), 1), 1 << 13):
         some = counts[k : k + (1 << 13)]
-        bits = np.zeros((len(some), BITS), bool)
-        bits[row_of(some), at[ends[k] : ends[k + len(some)]]] = True
+        cells = row_of(some) * BITS + at[ends[k] : ends[k + len(some)]]
+        bits = (np.bincount(cells, minlength=len(some) * BITS) & 1).astype(np.uint8).reshape(len(some), BITS)
         words.append(np.packbits(bits, axis=1, bitorder="little").view("<i8"))
     words = np.concatenate(words).reshape(len(counts), WORDS)
     return [pa.array(counts.astype(np.int64)), *(pa.array(np.ascontiguousarray(words[:, k])) for k in range(WORDS))]
 
 
 def _within(threshold: float) -> Column:
-    """Whether the bitmaps leave room for the threshold, of columns ABOUT and the same with ``a_``."""
-    lacks = lambda x, y: sum((F.bit_count(F.col(f"{x}w{k}").bitwiseAND(F.bitwise_not(f"{y}w{k}"))) for k in range(1, WORDS)), F.bit_count(F.col(f"{x}w0").bitwiseAND(F.bitwise_not(f"{y}w0"))))
-    common = F.least(F.col("size") - lacks("", "a_"), F.col("a_size") - lacks("a_", ""))
-    return common >= threshold * (F.col("size") + F.col("a_size") - common) - 1e-9
+    """Whether the odd sketches leave room for the threshold, of columns ABOUT and the same with ``a_``."""
+    apart = sum((F.bit_count(F.col(f"w{k}").bitwiseXOR(F.col(f"a_w{k}"))) for k in range(1, WORDS)), F.bit_count(F.col("w0").bitwiseXOR(F.col("a_w0"))))
+    both = F.col("size") + F.col("a_size")
+    apart = F.greatest(apart, F.abs(F.col("size") - F.col("a_size")))
+    return both - apart >= threshold * (both + apart) - 1e-9
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -107,30 +111,46 @@ def classes(members: DataFrame, about: DataFrame, verify: Callable[[DataFrame],
     members: distinct (bucket, node, n), as shared_buckets gives them. about: node and the columns ABOUT, one row a
     node. verify: of pairs (a, b, la, lb), those whose nodes a and b are similar.
     """
+    about = about.select("node", *ABOUT)
     salts = F.greatest(F.ceil(F.col("n") / SALT_ROWS), F.lit(1)).cast("int")
-    members = members.join(about.select("node", *ABOUT), "node").select("bucket", salts.alias("salts"), F.pmod(F.hash("node"), salts).alias("salt"), "node", F.col("node").alias("label"), *ABOUT)
-    members = stored(members, "members")
-    found: DataFrame | None = None
-    wanted = FIRST_LEADERS
+    dealt = members.select("bucket", salts.alias("salts"), F.pmod(F.hash("node"), salts).alias("salt"), "node")
+
+    def links_of(members: DataFrame, leaders: DataFrame) -> DataFrame:
+        """Verified pairs of leaders (bucket, salts, a_...) and later members in other classes."""
+        everywhere = leaders.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+        pairs = members.join(everywhere, ["bucket", "salt"]).where((F.col("node") > F.col("a_node")) & (F.col("label") != F.col("a_label")) & _within(threshold))
+        return stored(verify(pairs.select(F.col("a_node").alias("a"), F.col("node").alias("b"), F.col("a_label").alias("la"), F.col("label").alias("lb")).distinct()), "links")
+
+    def moves(links: DataFrame) -> DataFrame:
+        return components(links.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("to"))
+
+    early = stored(dealt.where(F.pmod("bucket", F.lit(EARLY)) == 0).join(about, "node").withColumn("label", F.col("node")), "early")
+    least = early.groupBy("bucket").agg(F.min("node").alias("node"))
+    leaders = early.join(least, ["bucket", "node"], "left_semi").select("bucket", "salts", *[F.col(c).alias(f"a_{c}") for c in ("node", "label", *ABOUT)])
+    links = links_of(early, leaders)
+    found = stored(moves(links).select(F.col("label").alias("node"), F.col("to").alias("label")), "found")
+    members = stored(dealt.join(found, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+    discard(early, links)
+    open_still = stored(members.join(_mixed(members), "bucket", "left_semi").join(about, "node"), "members")
+    discard(members)
+    members, wanted = open_still, FIRST_LEADERS
     while not members.isEmpty():
         first = members.withColumn("r", F.row_number().over(Window.partitionBy("bucket", "salt").orderBy("node"))).where(F.col("r") <= wanted)
         leaders = first.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy("node"))).where(F.col("r") <= wanted)
         leaders = stored(leaders.select("bucket", "salts", *[F.col(c).alias(f"a_{c}") for c in ("node", "label", *ABOUT)]), "leaders")
-        everywhere = leaders.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-        pairs = members.join(everywhere, ["bucket", "salt"]).where((F.col("node") > F.col("a_node")) & (F.col("label") != F.col("a_label")) & _within(threshold))
-        links = stored(verify(pairs.select(F.col("a_node").alias("a"), F.col("node").alias("b"), F.col("a_label").alias("la"), F.col("label").alias("lb")).distinct()), "links")
+        links = links_of(members, leaders)
         old = [members, leaders, links]
         if not links.isEmpty():
-            moved = components(links.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("to"))
+            moved = moves(links)
             old += [found]
-            found = stored(moved.select(F.col("label").alias("node"), F.col("to").alias("label")) if found is None else _follow(found, moved), "found")
+            found = stored(_follow(found, moved), "found")
             members = members.join(moved, "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to")
         last = leaders.groupBy("bucket").agg(F.max("a_node").alias("last"))
         rest = stored(members.join(last, "bucket").where("node > last").drop("last"), "rest")
         members = stored(rest.join(_mixed(rest), "bucket", "left_semi"), "members")
         discard(*old, rest)
         wanted *= MORE_LEADERS
-    return found if found is not None else members.select("node", "label")
+    return found
 
 
 def _follow(found: DataFrame, moved: DataFrame) -> DataFrame:

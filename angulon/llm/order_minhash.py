@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import neardup
-from .shared import scratch, stored
+from .shared import releasing, scratch, stored
 from .textio import LOWER_CODES, chunks, mix, row_of, span_hashes, words
 
 K, L, SKETCHES, THRESHOLD = 5, 6, 30, 0.8
@@ -102,7 +102,7 @@ def sketches(keys: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for lo, hi, data, offsets in chunks(b.column("text")):
+        for lo, hi, data, offsets in chunks(b.column("text"), 1 << 18):
             start, end, counts = words(data, offsets)
             keys, n = shingles(span_hashes(data, start, end, LOWER_CODES), counts)
             keys = labelled(keys, n)
@@ -122,7 +122,7 @@ def _contents(sieve: neardup.Sieve):
             keep = np.flatnonzero(sieve.may_hold(node))
             keep = keep[np.unique(node[keep], return_index=True)[1]]
             texts = b.column("text").take(pa.array(keep))
-            for lo, hi, data, offsets in chunks(texts):
+            for lo, hi, data, offsets in chunks(texts, 1 << 18):
                 start, end, counts = words(data, offsets)
                 keys, n = shingles(span_hashes(data, start, end, LOWER_CODES), counts)
                 keys = labelled(keys, n)
@@ -178,17 +178,17 @@ def with_node(docs: DataFrame) -> DataFrame:
 def classes_of(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, node (hash of the text), class_id of each distinct (doc_id, text): the least id of its class; kept is true for one of each class."""
     rows = with_node(docs)
-    sketched = stored(rows.mapInArrow(_sketched, "doc_id bigint, node bigint, sketches array<bigint>"), "sketches")
+    sketched = stored(rows.mapInArrow(releasing(_sketched), "doc_id bigint, node bigint, sketches array<bigint>"), "sketches")
     members = neardup.shared_buckets(sketched.select("node", F.col("sketches").alias("buckets")))
     sieve = neardup.Sieve(members, "node")
-    contents = rows.select("node", "text").mapInArrow(_contents(sieve), f"node bigint, parts array<bigint>, {neardup.ABOUT_SCHEMA}")
+    contents = rows.select("node", "text").mapInArrow(releasing(_contents(sieve)), f"node bigint, parts array<bigint>, {neardup.ABOUT_SCHEMA}")
     contents = stored(contents.groupBy("node").agg(*[F.first(c).alias(c) for c in ("parts", *neardup.ABOUT)]), "parts")
 
     def verify(pairs: DataFrame) -> DataFrame:
         left = contents.select(F.col("node").alias("a"), F.col("parts").alias("parts_a"))
         right = contents.select(F.col("node").alias("b"), F.col("parts").alias("parts_b"))
         both = pairs.join(right, "b").join(left, "a").select("a", "b", "la", "lb", "parts_a", "parts_b")
-        return both.sortWithinPartitions("a").mapInArrow(_verified(threshold), "a bigint, b bigint, la bigint, lb bigint")
+        return both.sortWithinPartitions("a").mapInArrow(releasing(_verified(threshold)), "a bigint, b bigint, la bigint, lb bigint")
 
     labels = neardup.classes(members, contents, verify, threshold)
     ids = sketched.select("doc_id", "node").distinct().join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))

@@ -20,9 +20,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import releasing
 from .textio import LOWER_CODES, chunks, row_of, span_hashes, sums_by_row, words
 
-WORD_BITS, BINS, FACTORS = 14, 12, 8
+WORD_BITS, BINS, FACTORS, CHUNK = 14, 12, 8, 1 << 18
 #: Kinds of bytes whose shares are statistics: other, lower, upper, digit, blank, line end, .,;:, !?, other marks, beyond ASCII.
 _KIND = np.zeros(256, np.int64)
 for _k, _bytes in enumerate([range(97, 123), range(65, 91), range(48, 58), b" \t\r\x0b\x0c", b"\n", b".,;:", b"!?", b"\"#$%&'()*+-/<=>@[\\]^_`{|}~", range(128, 256)], 1):
@@ -100,7 +101,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, steps: in
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for lo, hi, data, offsets in chunks(b.column("text")):
+        for lo, hi, data, offsets in chunks(b.column("text"), CHUNK):
             ids, values, counts = features(data, offsets)
             at = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
@@ -118,7 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     some = F.broadcast(sample_labels(labels, label, sample))
     # one row an id: its copies are reduced where they are read
     once = docs.select("doc_id", "text").join(some, "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "label")).alias("x"))
-    got = once.orderBy("doc_id").select("x.label", "x.text").mapInArrow(_featurise, "label double, ids array<int>, values array<float>").toArrow()
+    got = once.orderBy("doc_id").select("x.label", "x.text").mapInArrow(releasing(_featurise), "label double, ids array<int>, values array<float>").toArrow()
     rows = [(np.asarray(i.values.to_numpy()), np.asarray(v.values.to_numpy())) for i, v in zip(got["ids"], got["values"], strict=True)]
     return fit(rows, got["label"].to_numpy())
 
@@ -129,8 +130,8 @@ def score_column(text: Column, model: Model, spark) -> Column:
 
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
-            out = [shipped.value.score(*features(data, offsets)) for _, _, data, offsets in chunks(b)]
+            out = [shipped.value.score(*features(data, offsets)) for _, _, data, offsets in chunks(b, CHUNK)]
             yield pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
 
     scored.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(scored, "double")(text)
+    return F.arrow_udf(releasing(scored), "double")(text)

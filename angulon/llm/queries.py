@@ -77,8 +77,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the lines it keeps; documents that keep none are left out."""
-    df = lines.dedup(documents(spark, sf_dir).select("doc_id", "text"))
-    return df.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_kept").alias("n_kept"), "text")
+    return lines.dedup(documents(spark, sf_dir).select("doc_id", "text"))
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,6 +59,19 @@ def release_memory() -> None:
         return
 
 
+def releasing(of: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function of a task's batches that gives its memory back when the task is done."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from of(batches)
+        finally:
+            release_memory()
+
+    wrapped.__annotations__ = dict(of.__annotations__)
+    return wrapped
+
+
 def id_remainder(doc_id: Column | str, n: int) -> Column:
     """crc32 of the id as text, modulo n. A null id counts as the empty text."""
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id
