@@ -1,15 +1,19 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, over character and word inputs.
 
 A text is its words (runs of bytes other than white space, A-Z in lower case). A word's input is the sum of the vector
-of its hash and the mean of the vectors of its character pairs, its edges being characters too. Windows of WINDOW words
-overlap by half and cover the whole text, however long; in each, a gated recurrent network reads the words in both
-directions, attention weights pool the states, and a logistic unit scores the pool. The text's score is that of its
-most toxic window. Null and empty texts are one window without words: their score is that of the zero pool.
-
-Trained in numpy by back-propagation through time on at most ``sample`` labelled texts (a documented bound; lowest hash
-first): each step takes texts of both classes, scores all windows of at most MOST_WINDOWS of each text drawn for
-training, and follows the gradient of the most toxic one; a text without words is among the clean ones. Word vectors start from the words' smoothed log odds in that
-sample. Scoring covers every window of every row. Ids, labels, language and source are never inputs.
+of its hash and the mean of the vectors of its character pairs, its edges being characters too; the pairs of words of
+more than LONG bytes are counted first, so that a word of any length costs no more than its distinct pairs. Windows of
+WINDOW words overlap by half and cover the whole text, however long; in each, a gated recurrent network reads the words
+in both directions, attention weights pool the states, and a logistic unit scores the pool. The text's score is that of
+its most toxic window (of equal ones the first). Null and empty texts are one window without words: their score is that
+of the zero pool. Equal texts have equal scores, in whatever rows; ids may be null; other columns play no part.
+
+Trained in numpy by back-propagation through time on at most ``sample`` labelled ids (lowest hash first; of several
+texts of an id that of the lowest hash), of these as many as have ``most_bytes`` of text together: both are documented
+bounds of the labelled sample. Each step takes texts of both classes, scores all their windows, and follows the
+gradient of the most toxic one; a text without words is among the clean ones. Word vectors start from the words'
+smoothed log odds in that sample. Scoring covers every window of every row. Ids, labels, language and source are never
+inputs.
 """
 
 from __future__ import annotations
@@ -23,18 +27,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .quality import sample_labels
+from .shared import releasing
 from .textio import LOWER_CODES, SPACE, chunks, mix, row_of, span_hashes, words
 
 WORD_BITS, PAIR_BITS, WIDTH, HIDDEN = 15, 10, 8, 8
-WINDOW, STRIDE, MOST_WINDOWS = 32, 16, 16
+WINDOW, STRIDE, LONG, SLICE = 32, 16, 64, 2048
 _MARKS = b".,;:!?\"'()[]*#$%&|-"
 _INKED = np.zeros(256, bool)
 _INKED[[b for b in range(256) if b not in _MARKS]] = True
 _INKED &= ~SPACE
 
 
-def word_ids(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each word: bucket of its hash without marks at its ends, pair buckets (flat) and their number; and words per row."""
+@dataclass
+class Words:
+    """The words of texts. ids: bucket of each word's hash, without marks at its ends; back: its place among the distinct
+    words, of which each has ``entries`` pair buckets (flat in ``pairs``, with ``times`` each) and ``total`` pairs."""
+
+    ids: np.ndarray
+    back: np.ndarray
+    pairs: np.ndarray
+    times: np.ndarray
+    entries: np.ndarray
+    total: np.ndarray
+
+    @classmethod
+    def joined(cls, some: list[Words]) -> Words:
+        before = np.cumsum([0, *(len(w.total) for w in some)])
+        whole = lambda name: np.concatenate([getattr(w, name) for w in some])
+        return cls(whole("ids"), np.concatenate([w.back + n for w, n in zip(some, before, strict=False)]), *map(whole, ("pairs", "times", "entries", "total")))
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray]:
+    """The words, and their number in each row."""
     start, end, counts = words(data, offsets)
     inked = np.flatnonzero(_INKED[data])
     a, b = np.searchsorted(inked, start), np.searchsorted(inked, end)
@@ -47,18 +71,30 @@ def word_ids(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     hashes = span_hashes(data, s, e, LOWER_CODES)
     ids = (hashes >> np.uint64(64 - WORD_BITS)).astype(np.int64)
     _, at, back = np.unique(hashes, return_index=True, return_inverse=True)
-    return ids, *_pairs(data, s[at], e[at]), back, counts
+    return Words(ids, back, *_pairs(data, s[at], e[at])), counts
 
 
-def _pairs(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the neighbouring byte pairs of each span, its edges included."""
+def _pairs(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each span the buckets of its neighbouring byte pairs, edges included, and how often each counts; their number
+    and that of all pairs."""
     n = end - start + 1
     at = np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     low = np.append(data, np.uint8(0)).astype(np.int64)
     low += 32 * ((low >= 65) & (low <= 90))
     left = np.where(at > np.repeat(start, n), low[at - 1], 0)
     right = np.where(at < np.repeat(end, n), low[at], 1)
-    return (mix((left * 257 + right).astype(np.uint64), 31) >> np.uint64(64 - PAIR_BITS)).astype(np.int64), n
+    pairs = (mix((left * 257 + right).astype(np.uint64), 31) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+    times, entries = np.ones(len(pairs), np.float32), n
+    if (n > LONG).any():
+        row = row_of(n)
+        far = n[row] > LONG
+        counted, again = np.unique(row[far] << PAIR_BITS | pairs[far], return_counts=True)
+        rows = np.concatenate([row[~far], counted >> PAIR_BITS])
+        order = np.argsort(rows, kind="stable")
+        pairs = np.concatenate([pairs[~far], counted & ((1 << PAIR_BITS) - 1)])[order]
+        times = np.concatenate([times[~far], again.astype(np.float32)])[order]
+        entries = np.bincount(rows, minlength=len(n))
+    return pairs, times, entries, n
 
 
 def windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,11 +125,15 @@ class Model:
             p |= {f"Wx_{d}": normal(0.4, WIDTH, 3 * HIDDEN), f"Wh_{d}": normal(0.3, HIDDEN, 3 * HIDDEN), f"b_{d}": np.zeros(3 * HIDDEN, np.float32)}
         return cls(p | {"att": normal(0.3, 2 * HIDDEN), "out": normal(0.3, 2 * HIDDEN), "bias": np.zeros(1, np.float32)})
 
-    def inputs(self, ids: np.ndarray, pairs: np.ndarray, n_pairs: np.ndarray, back: np.ndarray) -> np.ndarray:
-        if not len(ids):
+    def inputs(self, w: Words) -> np.ndarray:
+        if not len(w.ids):
             return np.zeros((0, WIDTH), np.float32)
-        chars = np.add.reduceat(self.p["pair"][pairs], np.cumsum(n_pairs) - n_pairs, axis=0) / n_pairs[:, None].astype(np.float32)
-        return self.p["word"][ids] + chars[back]
+        chars = np.add.reduceat(self.p["pair"][w.pairs] * w.times[:, None], np.cumsum(w.entries) - w.entries, axis=0) / w.total[:, None].astype(np.float32)
+        return self.p["word"][w.ids] + chars[w.back]
+
+    def odds(self, x: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Score (log odds) of each window, SLICE of them at a time."""
+        return np.concatenate([np.zeros(0, np.float32), *(self.forward(x, begin[k : k + SLICE], size[k : k + SLICE]) for k in range(0, len(begin), SLICE))])
 
     def forward(self, x: np.ndarray, begin: np.ndarray, size: np.ndarray, keep: bool = False):
         """Score (log odds) of each window; with ``keep`` also what back-propagation needs."""
@@ -158,25 +198,13 @@ class Model:
         return g, at.T, inside.T, to_x
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        ids, pairs, n_pairs, back, counts = word_ids(data, offsets)
+        own, counts = words_of(data, offsets)
         begin, size, n = windows(counts)
-        odds = self.forward(self.inputs(ids, pairs, n_pairs, back), begin, size)
+        odds = self.odds(self.inputs(own), begin, size)
         best = np.maximum.reduceat(odds, np.cumsum(n) - n) if len(n) else odds
         return 1 / (1 + np.exp(-np.clip(best.astype(np.float64), -40, 40)))
 
 
-@dataclass
-class _Text:
-    ids: np.ndarray
-    pairs: np.ndarray
-    n_pairs: np.ndarray
-    back: np.ndarray
-
-    def pairs_of(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = self.n_pairs[own]
-        return self.pairs[np.repeat(np.cumsum(self.n_pairs)[own] - n, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)], n
-
-
 def fit(texts: list[bytes], labels: np.ndarray, steps: int = 400, each: int = 8, rate: float = 0.02, seed: int = 5) -> Model:
     """Adam on the log loss of each text's most toxic window; each step takes ``each`` texts of either class."""
     rng = np.random.default_rng(seed)
@@ -187,12 +215,11 @@ def fit(texts: list[bytes], labels: np.ndarray, steps: int = 400, each: int = 8,
         return m
     data = []
     seen = np.zeros((2, 1 << WORD_BITS))
-    for t, y in zip(texts, labels, strict=True):
-        ids, pairs, n_pairs, back, _ = word_ids(np.frombuffer(t, np.uint8), np.array([0, len(t)]))
-        data.append(_Text(ids, pairs, n_pairs, back))
-        seen[int(y > 0.5), np.unique(ids)] += 1
-    empty = np.zeros(0, np.int64)
-    data.append(_Text(empty, empty, empty, empty))
+    for t, y in zip([*texts, b""], [*labels, 0.0], strict=True):
+        own, counts = words_of(np.frombuffer(t, np.uint8), np.array([0, len(t)]))
+        data.append((own, *windows(counts)[:2]))
+        if t:
+            seen[int(y > 0.5), np.unique(own.ids)] += 1
     labels = np.append(labels, 0.0)
     share = (seen + 0.5) / (np.array([[len(clean)], [len(toxic)]]) + 1)
     m.p["word"][:, 0] = np.clip(np.log(share[1] / share[0]), -4, 4) / 4 * (seen.sum(axis=0) >= 3)
@@ -200,45 +227,23 @@ def fit(texts: list[bytes], labels: np.ndarray, steps: int = 400, each: int = 8,
     prior = np.log(len(toxic) / len(clean))
     for step in range(1, steps + 1):
         pick = np.concatenate([rng.choice(toxic, each), rng.choice(clean, 2 * each), [len(data) - 1]])
-        ids, pairs, n_pairs, back, begin, size, n = [], [], [], [], [], [], []
-        words_before = unique_before = 0
-        for i in pick:
-            t = data[i]
-            b, s, _ = windows(np.array([len(t.ids)]))
-            if len(b) > MOST_WINDOWS:
-                some = rng.choice(len(b), MOST_WINDOWS, replace=False)
-                if labels[i] > 0.5:  # keep the window that the start favours
-                    best = int(np.argmax([m.p["word"][t.ids[x : x + y], 0].max(initial=-9) for x, y in zip(b, s, strict=True)]))
-                    some[0] = best
-                b, s = b[some], s[some]
-            used = np.repeat(b, s) + np.arange(s.sum()) - np.repeat(np.cumsum(s) - s, s)
-            own, again = np.unique(t.back[used], return_inverse=True)
-            some_pairs, some_n = t.pairs_of(own)
-            ids.append(t.ids[used])
-            pairs.append(some_pairs)
-            n_pairs.append(some_n)
-            back.append(again + unique_before)
-            begin.append(np.cumsum(s) - s + words_before)
-            size.append(s)
-            n.append(len(b))
-            words_before += len(used)
-            unique_before += len(own)
-        ids, pairs, n_pairs, back, begin, size = map(np.concatenate, (ids, pairs, n_pairs, back, begin, size))
-        starts = np.cumsum(n) - n
-        x = m.inputs(ids, pairs, n_pairs, back)
-        odds = m.forward(x, begin, size)
-        best = np.array([a + int(np.argmax(odds[a : a + c])) for a, c in zip(starts, n, strict=True)])
+        some = [data[i] for i in pick]
+        own, n = Words.joined([w for w, _, _ in some]), np.array([len(b) for _, b, _ in some])
+        before = np.cumsum([0, *(len(w.ids) for w, _, _ in some)])
+        begin, size = np.concatenate([b + k for (_, b, _), k in zip(some, before, strict=False)]), np.concatenate([s for _, _, s in some])
+        x = m.inputs(own)
+        odds = m.odds(x, begin, size)
+        best = np.array([a + int(np.argmax(odds[a : a + c])) for a, c in zip(np.cumsum(n) - n, n, strict=True)])
         y = (labels[pick] > 0.5).astype(np.float32)
         odds, kept = m.forward(x, begin[best], size[best], keep=True)
         error = ((_sigmoid(odds.astype(np.float32)) - y) / len(pick)).astype(np.float32)
         g, at, inside, to_x = m.backward(x, kept, error)
-        flat = to_x[inside]
-        where = at[inside]
-        g["word"] = (ids[where], flat)
-        counts = n_pairs[back[where]]
-        ends = np.cumsum(n_pairs)
-        pos = np.repeat(ends[back[where]] - counts, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        g["pair"] = (pairs[pos], np.repeat(flat / np.maximum(counts, 1)[:, None], counts, axis=0))
+        flat, where = to_x[inside], at[inside]
+        g["word"] = (own.ids[where], flat)
+        word = own.back[where]
+        counts = own.entries[word]
+        pos = np.repeat(np.cumsum(own.entries)[word] - counts, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        g["pair"] = (own.pairs[pos], np.repeat(flat / own.total[word][:, None], counts, axis=0) * own.times[pos, None])
         slow = rate * min(1.0, 2 * (1 - step / (steps + 1)))
         for k, v in g.items():
             if isinstance(v, tuple):
@@ -257,12 +262,13 @@ def fit(texts: list[bytes], labels: np.ndarray, steps: int = 400, each: int = 8,
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 4000, most_bytes: int = 40_000_000) -> Model:
     """Fit on the whole texts of at most ``sample`` labelled ids, fewer if these pass ``most_bytes`` together."""
     some = F.broadcast(sample_labels(labels, label, sample))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(some, "doc_id").select("doc_id", "label", "text").sort(F.xxhash64("doc_id"), "doc_id")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(some, "doc_id")
+    once = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "label")).alias("x"))
     texts, got, size = [], [], 0
-    for r in rows.toLocalIterator():
-        if size + len(r.text) > most_bytes:
-            break
+    for r in once.select("doc_id", "x.label", "x.text").sort(F.xxhash64("doc_id"), "doc_id").toLocalIterator():
         size += len(r.text)
+        if size > most_bytes:
+            break
         texts.append(r.text.encode())
         got.append(r.label)
     return fit(texts, np.array(got, np.float64))
@@ -278,4 +284,4 @@ def score_column(text: Column, model: Model, spark) -> Column:
             yield pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
 
     scored.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(scored, "double")(text)
+    return F.arrow_udf(releasing(scored), "double")(text)
