@@ -32,14 +32,16 @@ def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, and their likeness to each other and to the next one's."""
     df = fingerprints.with_edits(documents(spark, sf_dir))
+    df = fingerprints.add_likeness(df, "sketch", "edited_sketch", "near_edited")
+    df = fingerprints.add_likeness(df, "sketch", "next_sketch", "near_next")
     return df.select(
         "doc_id",
         "n_chars",
         F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
         fingerprints.fingerprint("sketch").alias("fingerprint"),
         fingerprints.fingerprint("edited_sketch").alias("edited_fingerprint"),
-        fingerprints.likeness("sketch", "edited_sketch").alias("near_edited"),
-        fingerprints.likeness("sketch", "next_sketch").alias("near_next"),
+        "near_edited",
+        "near_next",
         "next_id",
     )
 
