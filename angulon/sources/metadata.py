@@ -142,7 +142,7 @@ def ena_xrefs(refs: DataFrame, molecule: str = "mrna") -> DataFrame:
 
 
 def pdb_xrefs(refs: DataFrame) -> DataFrame:
-    """unp_id, pdb_id, chain, length, resolution of X-ray PDB lines, chains as in ``A/B=1-35, A=38-164``.
+    """unp_id, pdb_id, chain, length, resolution of X-ray PDB lines, chains as in ``L/H=10-22, L=40-90``.
 
     A chain's length is the sum of end - start over its ranges (one short for each, as published tables have it).
     """

@@ -1,32 +1,57 @@
+import itertools
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from angulon.operators import altloc, contacts, kde, matching, multiplicity, redundancy, segments, tuples, twosample
+from angulon.operators import altloc, contacts, kde, matching, multiplicity, ranks, redundancy, segments, tuples, twosample
 from angulon.sources import dataset, metadata
 
 
-@pytest.mark.parametrize("q,m", [(0.05, 10), (0.1, 100)])
-def test_bh(spark, q, m):
-    line = [(i + 1) * q / m for i in range(m)]
-    last, half = line[-1], m // 2
-    cases = {"on": line, "above": [x * 1.1 for x in line], "below": [x * 0.9 for x in line], "gap": [*line[:half], line[half] * 1.01, *line[half + 1 : -1], 0.9]}
-    df = spark.createDataFrame([(k, float(p)) for k, v in cases.items() for p in v], "g string, p double")
-    got = {r.g: r.t for r in multiplicity.bh(df, "p", q, ["g"]).groupBy("g").agg(F.max("threshold").alias("t")).collect()}
-    assert got["on"] == pytest.approx(last) and got["above"] == 0 and got["below"] == pytest.approx(last) and got["gap"] == pytest.approx(line[-2])
-    with pytest.raises(ValueError):
-        multiplicity.bh(df, "p", 1.0, ["g"])
-    assert multiplicity.bh(spark.createDataFrame([("a", 0.001)], "g string, p double"), "p", q, ["g"]).first().threshold == 0
-
-
-def test_runs(spark):
-    xs = [1, 1, 1, 1, 0, 0, 0, 2, 2, 1, 3, 4, 5, 3, 3, 3, 3, 2]
-    df = spark.createDataFrame([("a", i, x) for i, x in enumerate(xs)], "struct_id string, pos int, x int")
-    got = segments.runs(df, "x").orderBy("start").collect()
-    assert [r.value for r in got] == [1, 0, 2, 1, 3, 4, 5, 3, 2] and [r.length for r in got] == [4, 3, 2, 1, 1, 1, 1, 4, 1]
-    assert sum(r.length * r.n for r in segments.run_length_hist(df, "x", 0).collect()) == 3
+def test_bh_against_a_plain_loop(spark):
+    rng = random.Random(21)
+    groups = {f"g{k}": [round(rng.random() ** power, digits) for _ in range(rng.choice([1, 2, 9, 60]))] for k, (power, digits) in enumerate([(1, 6), (3, 6), (6, 2), (9, 1)] * 4)}
+    rows = [(g, float(p)) for g, ps in groups.items() for p in ps] + [("g1", None)]
+    df = spark.createDataFrame(rows, "g string, p double")
+    for q in (0.07, 0.4):
+        got = {}
+        for r in multiplicity.bh(df, "p", q, ["g"]).collect():
+            got.setdefault(r.g, []).append(r)
+        for g, ps in groups.items():
+            want = 0.0
+            for i, p in enumerate(sorted(ps), 1):
+                if len(ps) > 1 and p <= i * q / len(ps):
+                    want = i * q / len(ps)
+            assert len(got[g]) == len(ps) + (g == "g1") and all(r.threshold == pytest.approx(want) for r in got[g])
+            assert sorted(r.significant for r in got[g] if r.p is not None) == sorted(p <= want for p in ps)
+    assert [r.significant for r in got["g1"] if r.p is None] == [None]
+    for q in (0.0, 1.0):
+        with pytest.raises(ValueError):
+            multiplicity.bh(df, "p", q, ["g"])
+
+
+def test_runs_against_groupby(spark):
+    rng = random.Random(22)
+    chains = {f"c{k}": [rng.randint(0, 2) for _ in range(rng.randint(1, 40))] for k in range(6)}
+    df = spark.createDataFrame([(c, i, x) for c, xs in chains.items() for i, x in enumerate(xs)], "struct_id string, pos int, x int")
+    got = {}
+    for r in segments.runs(df, "x").orderBy("struct_id", "start").collect():
+        got.setdefault(r.struct_id, []).append((r.value, r.length))
+    want = {c: [(v, len(list(run))) for v, run in itertools.groupby(xs)] for c, xs in chains.items()}
+    assert got == want
+    zeros = sum(x == 0 for xs in chains.values() for x in xs)
+    assert sum(r.length * r.n for r in segments.run_length_hist(df, "x", 0).collect()) == zeros
+
+
+def test_block_ranks(spark):
+    rng = random.Random(23)
+    rows = [(rng.choice("ab"), i, rng.random()) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, i int, x double")
+    for r in ranks.block_rank(df, ["g"], F.floor(F.col("x") * 7), ["x"]).collect():
+        assert r["rank"] == sum(g == r.g and x <= r.x for g, _, x in rows)
+    hashed = ranks.hash_rank(df, ["g"], ["i"], 4).collect()
+    assert all(sorted(r["rank"] for r in hashed if r.g == g) == list(range(1, sum(x[0] == g for x in rows) + 1)) for g in "ab")
 
 
 def test_ecdf_skips_nulls(spark):
@@ -44,17 +69,57 @@ def test_radius_pairs_match_brute_force(spark):
 
 def test_two_samples(spark):
     rng = np.random.default_rng(1)
-    rows = [("c", s, k + 1, float(a), float(b)) for s, m in (("x", 0), ("y", 3), ("z", 60)) for k, (a, b) in enumerate(rng.normal(m, 20, (40, 2)))]
-    sample = spark.createDataFrame(rows, "condition string, subgroup string, rank int, phi double, psi double")
-    pairs = spark.createDataFrame([("c", "x", "y"), ("c", "x", "z")], "condition string, s1 string, s2 string")
-    for stat in ("tw", "mmd"):
-        p = {r.s2: r for r in twosample.bootstrap_permutation(pairs, sample, stat, permutations=100, k_min=100).collect()}
+    rows = [("c", s, k + 1, float(a), float(b)) for s, m in (("x", 0), ("y", 0), ("z", 60)) for k, (a, b) in enumerate(rng.normal(m, 20, (400, 2)))]
+    members = spark.createDataFrame(rows, "condition string, subgroup string, rank int, phi double, psi double")
+    pairs = spark.createDataFrame([("c", "x", "y", 25), ("c", "x", "z", 25)], "condition string, s1 string, s2 string, cap int")
+    for stat in twosample.STATISTICS:
+        p = {r.s2: r for r in twosample.bootstrap_permutation(pairs, members, ["rank"], stat, bootstraps=3, permutations=60, k_min=60, n_max=30).collect()}
         assert p["z"].pval < 0.05 < p["y"].pval and p["y"].ddist < p["z"].ddist
-        native = {r.s2: r.stat for r in (twosample.tw2 if stat == "tw" else twosample.mmd2)(pairs, sample).collect()}
-        assert all(native[k] == pytest.approx(p[k].ddist, rel=1e-6) for k in native)
-    l1 = {r.s2: r.stat for r in twosample.kde_l1(pairs, sample, 16, 20.0).collect()}
-    w = {r.s2: r.stat for r in twosample.axis_wasserstein(pairs, sample, "phi").collect()}
+    drawn = twosample.draws(pairs, members, 3, 30, ["rank"], 0).collect()
+    assert len(drawn) == 2 * 2 * 3 * 30 and {(r.phi, r.psi) for r in drawn} <= {r[3:] for r in rows} and len({r.phi for r in drawn}) > 60
+    at = {s: np.array([r[3:] for r in rows if r[1] == s]) for s in "xyz"}
+    for r in twosample.tw2(pairs, members).collect():
+        both = np.vstack([at["x"], at[r.s2]])
+        assert r.stat == pytest.approx(twosample.STATISTICS["tw"](both)(np.arange(800) < 400), rel=1e-6) and (r.n1, r.n2) == (400, 400)
+    for r in twosample.mmd2(pairs, members).collect():
+        both = np.vstack([at["x"][:25], at[r.s2][:25]])
+        assert r.stat == pytest.approx(twosample.STATISTICS["mmd"](both)(np.arange(50) < 25), rel=1e-6) and (r.n1, r.n2) == (25, 25)
+    l1 = {r.s2: r.stat for r in twosample.kde_l1(pairs, members, 16, 20.0).collect()}
+    w = {r.s2: r.stat for r in twosample.axis_wasserstein(pairs, members, "phi", 5).collect()}
     assert l1["y"] < l1["z"] and w["y"] < w["z"]
+    for s2, stat in w.items():
+        x, y = np.sort(at["x"][:, 0]), at[s2][:, 0]
+        f = np.array([(y <= v).mean() for v in x])
+        t = (np.arange(40_000) + 0.5) / 40_000
+        gap = f[(t * 400).astype(int)] - t
+        assert stat == pytest.approx(200 * gap.var(), abs=1e-3)
+
+
+def test_pair_sums_by_arcs_against_all_pairs(spark):
+    rng = np.random.default_rng(24)
+    at = {s: np.vstack([rng.integers(-180, 181, (n, 2)), rng.uniform(-180, 180, (n, 2))]) for s, n in (("a", 30), ("b", 17), ("c", 1))}
+    members = spark.createDataFrame([("q", s, float(x), float(y)) for s, rows in at.items() for x, y in rows], "condition string, subgroup string, phi double, psi double")
+    pairs = spark.createDataFrame([("q", "a", "b"), ("q", "b", "c"), ("q", "a", "a")], "condition string, s1 string, s2 string")
+
+    def total(x, y):
+        d = np.abs(x[:, None] - y[None])
+        return (np.minimum(d, 360 - d) ** 2).sum()
+
+    got = {(r.s1, r.s2): r for r in twosample.torus_sums(pairs, members).collect()}
+    assert set(got) == {("a", "b"), ("b", "c"), ("a", "a")}
+    for (a, b), r in got.items():
+        x, y = at[a], at[b]
+        assert (r.n1, r.n2) == (len(x), len(y)) and r.b == pytest.approx(total(x, y), rel=1e-9)
+        assert r.w1 == pytest.approx(total(x, x) / 2, rel=1e-9) and r.w2 == pytest.approx(total(y, y) / 2, rel=1e-9)
+
+
+def test_shuffled_labels_are_a_permutation_of_each_group(spark):
+    rows = [(g, i, f"{g}{i % 7}") for g in "ab" for i in range(60)]
+    df = spark.createDataFrame(rows, "g string, i int, label string")
+    got = [tuple(r) for r in twosample.shuffle_labels(df, "label", ["g"], ["i"]).collect()]
+    assert sorted(r[:2] for r in got) == sorted(r[:2] for r in rows) and sorted((g, x) for g, _, x in got) == sorted((g, x) for g, _, x in rows)
+    assert 10 < sum(a != b for a, b in zip(sorted(got), sorted(rows)))
+    assert sorted(got) == sorted(tuple(r) for r in twosample.shuffle_labels(df.repartition(5), "label", ["g"], ["i"]).collect())
 
 
 def test_density_sums_to_one(spark):
@@ -110,8 +175,8 @@ def test_lcs():
 
 
 def test_cross_references(spark):
-    refs = spark.createDataFrame([("P1", "1ABC", "X-ray", "2.00 A", "A/B=1-35, A=38-164"), ("P1", "2XYZ", "NMR", "-", "A=1-9")], "unp_id string, pdb_id string, method string, resolution string, chains string").selectExpr("*", "'PDB' AS db")
-    assert {(r.chain, r.length) for r in metadata.pdb_xrefs(refs).collect()} == {("A", 160), ("B", 34)}
+    refs = spark.createDataFrame([("P1", "1ABC", "X-ray", "2.00 A", "L/H=10-22, L=40-90, M=7-8"), ("P1", "2XYZ", "NMR", "-", "A=1-9")], "unp_id string, pdb_id string, method string, resolution string, chains string").selectExpr("*", "'PDB' AS db")
+    assert {(r.chain, r.length) for r in metadata.pdb_xrefs(refs).collect()} == {("L", 62), ("H", 12), ("M", 1)}
     ena = spark.createDataFrame([("P1", "EMBL", ["X123", "-"], "mRNA"), ("P1", "EMBL", ["Y999"], "Genomic_DNA")], "unp_id string, db string, ids array<string>, molecule string")
     assert [r.ena_id for r in metadata.ena_xrefs(ena).collect()] == ["X123"]
 
