@@ -94,6 +94,48 @@ def match_counts(matches: DataFrame) -> DataFrame:
     return matches.groupBy("ref_id").agg(*[F.count_if(F.col("type") == t).alias(f"n_{t.lower()}") for t in types], F.countDistinct("unp_id").alias("n_unp"), F.countDistinct("query_id").alias("n_structs"))
 
 
+def match_proteins(matches: DataFrame) -> DataFrame:
+    """The structures of each protein that a reference is matched with: ref_id, unp_id, query_id, once each."""
+    return matches.select("ref_id", "unp_id", "query_id").distinct()
+
+
+def environment_columns(contacts: DataFrame, residues: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Contacts of both chains, looked up through the alignment: ref_id, query_id, ref_idx, same, outside.
+
+    contacts: struct_id, pos, other_pos (null: out of the chain or no amino acid). residues: struct_id, pos, res_name.
+    mapping: ref_id, query_id, ref_idx, query_idx. A contact of either chain's residue counts under the reference's
+    position; it is the same if the residue that its partner maps to, in the other chain, has the same name.
+    """
+    name = lambda s, p, out: residues.select(F.col("struct_id").alias(s), F.col("pos").alias(p), F.col("res_name").alias(out))
+    ways = []
+    for own, other in (("ref", "query"), ("query", "ref")):
+        c = contacts.select(F.col("struct_id").alias(f"{own}_id"), F.col("pos").alias(f"{own}_idx"), F.col("other_pos").alias("_there"))
+        m = mapping.join(c, [f"{own}_id", f"{own}_idx"])
+        across = mapping.select("ref_id", "query_id", F.col(f"{own}_idx").alias("_there"), F.col(f"{other}_idx").alias("_across"))
+        m = m.join(across, ["ref_id", "query_id", "_there"], "left").join(name(f"{own}_id", "_there", "_n1"), [f"{own}_id", "_there"], "left").join(name(f"{other}_id", "_across", "_n2"), [f"{other}_id", "_across"], "left")
+        ways.append(m.select("ref_id", "query_id", "ref_idx", (F.col("_n1") == F.col("_n2")).alias("same"), F.col("_there").isNull().alias("outside")))
+    return ways[0].union(ways[1])
+
+
+def good_residues(windows: DataFrame, residues: DataFrame, b_max: float | None = None, plddt_min: float | None = None, strict_codons: bool = False) -> DataFrame:
+    """Windows whose matched residues, in both chains, are well determined: B-factor at most b_max, or confidence at
+    least plddt_min where the structure has that instead; codon_score 1 if codons are to be strict.
+
+    residues: struct_id, pos, and bfactor, plddt, codon_score as far as asked for.
+    """
+    ok = F.lit(True)
+    if b_max is not None or plddt_min is not None:
+        by_b = F.coalesce(F.col("bfactor") <= b_max, F.lit(False)) if b_max is not None else F.lit(False)
+        by_p = F.coalesce(F.col("plddt") >= plddt_min, F.lit(False)) if plddt_min is not None else F.lit(False)
+        ok = by_b | by_p
+    if strict_codons:
+        ok = ok & (F.col("codon_score") == 1)
+    good = residues.where(ok)
+    for side in ("ref", "query"):
+        windows = windows.join(good.select(F.col("struct_id").alias(f"{side}_id"), F.col("pos").alias("ref_idx")), [f"{side}_id", "ref_idx"], "left_semi")
+    return windows
+
+
 def neighbour_table(df: DataFrame, by: list[str], position: str, columns: list[str]) -> DataFrame:
     """Columns at the positions before, at and after each (suffixes m1, p0, p1), where all three are there."""
     order = Window.partitionBy(*by).orderBy(position)

@@ -28,25 +28,31 @@ def aggregate_redundant(df: DataFrame, how: str = "cent", min_size: int = 1, con
     struct_id), ``none`` every member. std is the root mean squared torus distance to the angles given.
     """
     df = df.withColumn("condition", F.col(condition) if condition else F.lit("ANY"))
-    best = F.min(F.struct(resolution, "struct_id", "phi", "psi")).alias("best") if how == "res" else F.lit(None).alias("best")
-    members = F.collect_list(F.struct("phi", "psi")).alias("members")  # the measurements of one residue and codon
-    groups = df.groupBy(*KEY).agg(
-        F.count("*").alias("group_size"),
-        F.min(F.col("phi").isNotNull() & F.col("psi").isNotNull()).alias("whole"),
-        F.countDistinct("secondary").alias("n_ss"),
-        F.min("secondary").alias("secondary"),
-        angles.circ_mean("phi").alias("phi_c"),
-        angles.circ_mean("psi").alias("psi_c"),
-        best,
-        members,
+    part = df.groupBy(*KEY, "secondary").agg(
+        F.count("*").alias("n"),
+        F.min((F.col("phi").isNotNull() & F.col("psi").isNotNull()).cast("int")).alias("whole"),
+        *[F.sum(f(F.radians(c))).alias(f"{g}_{c}") for c in ("phi", "psi") for g, f in (("s", F.sin), ("c", F.cos))],
     )
-    groups = groups.where((F.col("group_size") >= min_size) & F.col("whole") & (F.col("n_ss") <= 1))
+    total = [F.sum(c).alias(c) for c in ("s_phi", "c_phi", "s_psi", "c_psi")]
+    groups = part.groupBy(*KEY).agg(F.sum("n").alias("group_size"), F.min("whole").alias("whole"), F.count("secondary").alias("n_ss"), F.max("secondary").alias("secondary"), *total)
+    groups = groups.where((F.col("group_size") >= min_size) & (F.col("whole") == 1) & (F.col("n_ss") <= 1))
+    mean = lambda c: F.when(F.hypot(f"s_{c}", f"c_{c}") / F.col("group_size") >= 1e-9, F.degrees(F.atan2(f"s_{c}", f"c_{c}"))).alias(f"{c}_c")
+    groups = groups.select(*[F.col(k).alias(f"_{k}") for k in KEY], F.col("secondary").alias("_secondary"), "group_size", mean("phi"), mean("psi"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in KEY]
+    own = df.join(groups, same)
     if how == "none":
-        return groups.select(*KEY, "secondary", "group_size", F.inline("members"))
-    phi, psi = ("best.phi", "best.psi") if how == "res" else ("phi_c", "psi_c")
-    d2 = F.transform("members", lambda m: angles.torus_distance(m["phi"], m["psi"], F.col(phi), F.col(psi), squared=True))
-    std = F.sqrt(F.aggregate(d2, F.lit(0.0), lambda s, x: s + x) / F.col("group_size"))
-    return groups.select(*KEY, "secondary", "group_size", F.col(phi).alias("phi"), F.col(psi).alias("psi"), std.alias("std"))
+        return own.select(*KEY, F.col("_secondary").alias("secondary"), "group_size", "phi", "psi")
+    if how == "res":
+        # the best resolution, then the least id and angles among the members that have it: numbers, so hashed aggregates
+        best = own.groupBy(*KEY).agg(F.min(F.coalesce(resolution, F.lit(float("-inf")))).alias("_best"))
+        best = best.select(*[F.col(k).alias(f"_b_{k}") for k in KEY], "_best")
+        top = own.join(best, [F.col(k).eqNullSafe(F.col(f"_b_{k}")) for k in KEY] + [F.coalesce(resolution, F.lit(float("-inf"))) == F.col("_best")])
+        top = top.groupBy(*[F.col(k).alias(f"_c_{k}") for k in KEY]).agg(F.min(F.struct("struct_id", "phi", "psi")).alias("top"))
+        own = own.join(top, [F.col(k).eqNullSafe(F.col(f"_c_{k}")) for k in KEY]).withColumns({"phi_c": F.col("top.phi"), "psi_c": F.col("top.psi")})
+    d2 = angles.torus_distance("phi", "psi", "phi_c", "psi_c", squared=True)
+    # the members share their group's values; avg and max of numbers need no list of members
+    out = own.groupBy(*KEY, F.col("_secondary").alias("secondary"), "group_size").agg(F.max("phi_c").alias("phi"), F.max("psi_c").alias("psi"), F.sqrt(F.avg(d2)).alias("std"))
+    return out.select(*KEY, "secondary", "group_size", "phi", "psi", "std")
 
 
 def group_sizes(df: DataFrame, condition: str = "secondary") -> DataFrame:

@@ -122,6 +122,17 @@ def unmodelled_counts(df: DataFrame) -> DataFrame:
     )
 
 
+def altloc_counts(df: DataFrame, column: str = "num_altlocs") -> DataFrame:
+    """Per chain the positions with more than one location, and all locations beyond the first."""
+    n = F.coalesce(column, F.lit(0))
+    return df.groupBy("struct_id").agg(F.count_if(n > 1).alias("n_altloc_positions"), F.sum(F.greatest(n - 1, F.lit(0))).cast("bigint").alias("n_altlocs"))
+
+
+def relative_location(df: DataFrame) -> DataFrame:
+    """Adds rel_loc: a residue's place in its chain, from 1/n to 1."""
+    return df.withColumn("rel_loc", F.row_number().over(_along()) / F.count("*").over(_whole()))
+
+
 def canonical_fill(canonical: DataFrame, modelled: DataFrame) -> DataFrame:
     """Canonical positions (struct_id, pos, res_name) with the residues modelled there (seq_idx). Unmodelled ones take the
     sequence index before them (a leading run: the first one less 1) and a counter within their run as res_icode."""
@@ -174,14 +185,24 @@ def propensity_pairs(df: DataFrame, segs: DataFrame, offsets=(0, 1), alphabet: l
 
 def contact_windows(df: DataFrame, context: int = 2, smax: float | None = None, standard: list[str] = STANDARD) -> DataFrame:
     """Windows of 2 central residues and ``context`` on each side that are consecutive, standard, no ligands and without
-    gaps; smax bounds the central residues' contact_smax (no contacts: 0)."""
+    gaps; smax bounds the central residues' contact_smax (no contacts: 0).
+
+    Where the table has them: no residue has contacts out of its chain (contact_ooc) or with what is no amino acid
+    (contact_non_aa), and the central codons are unambiguous (codon_score 1).
+    """
     w = 2 * context + 2
     span = _along().rowsBetween(0, w - 1)
     good = F.col("res_name").isin(standard) & F.col("res_hflag").isNull() & F.col("res_icode").isNull()
+    for c in ("contact_ooc", "contact_non_aa"):
+        good = good & (F.coalesce(c, F.lit(0)) == 0) if c in df.columns else good
     centre = _along().rowsBetween(context, context + 1)
+    if "codon_score" in df.columns:
+        df = df.withColumn("_score", F.min(F.coalesce("codon_score", F.lit(0.0))).over(centre))
     df = df.withColumns({"_n": F.count("*").over(span), "_ok": F.min(good).over(span), "_span": F.max("pos").over(span) - F.col("pos"), "smax": F.coalesce(F.max(F.coalesce("contact_smax", F.lit(0))).over(centre), F.lit(0))})
     df = df.withColumn("seq", F.array_join(F.collect_list("res_name").over(span), ""))
     df = df.where((F.col("_n") == w) & F.col("_ok") & (F.col("_span") == w - 1))
+    if "_score" in df.columns:
+        df = df.where("_score = 1")
     if smax is not None:
         df = df.where(F.col("smax") <= smax)
     return df.select("struct_id", F.col("pos").alias("start"), "seq", "smax")

@@ -103,6 +103,23 @@ def product_histogram(hist: DataFrame, k: int) -> DataFrame:
     return out
 
 
+def tuple_grid(tuples: DataFrame, aa_of, k: int) -> DataFrame:
+    """Per tuple of k codons that occur, seen or not, whose amino acids' tuple occurs: counts, share, and the product of
+    the places' shares. The codons (at most 64) are read off the tuples."""
+    t = tuples.select("codons", F.transform("codons", aa_of).alias("aas"))
+    seen = t.groupBy("codons", "aas").agg(F.count("*").alias("n_cc"))
+    n_aa = seen.groupBy("aas").agg(F.sum("n_cc").alias("n_aa"))
+    places = seen.select("aas", "n_cc", F.posexplode("codons").alias("place", "codon")).groupBy("aas", "place", "codon").agg(F.sum("n_cc").alias("n"))
+    universe = places.select("codon").distinct().select("codon", aa_of(F.col("codon")).alias("aa"))
+    grid = n_aa.withColumn("codons", F.array().cast("array<string>")).withColumn("p_ind", F.lit(1.0))
+    for i in range(k):
+        own = places.where(F.col("place") == i).select("aas", "codon", "n")
+        grid = grid.withColumn("aa", F.get("aas", F.lit(i))).join(universe, "aa").join(own, ["aas", "codon"], "left")
+        grid = grid.select("aas", "n_aa", F.array_append("codons", F.col("codon")).alias("codons"), (F.col("p_ind") * F.coalesce("n", F.lit(0)) / F.col("n_aa")).alias("p_ind"))
+    done = grid.join(seen, ["aas", "codons"], "left").withColumn("n_cc", F.coalesce("n_cc", F.lit(0)).cast("bigint"))
+    return done.select(F.array_join("codons", "_").alias("codons"), F.array_join("aas", "_").alias("aas"), "n_aa", "n_cc", (F.col("n_cc") / F.col("n_aa")).alias("p_cc"), "p_ind")
+
+
 def tuple_freq(tuples: DataFrame, aa_of) -> DataFrame:
     """Per codon tuple seen: its count, its amino acids' count, the conditional share, the product of the places' shares,
     their ratio, and z by score and by Wald. tuples: arrays ``codons``; aa_of: Column of a codon to Column of an acid."""

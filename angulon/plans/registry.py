@@ -450,4 +450,5 @@ def interaction_summary(spark, d):
     return s.select("s_chain", "s_seq", "contact_count", r("dist_min"), r("dist_max"), "seq_min", "seq_max", F.size("contact_ooc").alias("n_ooc"))
 
 
-from . import registry_stats  # noqa: E402, F401  (registers its queries here)
+from . import registry_stats  # noqa: E402, F401, I001  (these register their queries here)
+from . import registry_more  # noqa: E402, F401

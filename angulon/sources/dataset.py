@@ -85,8 +85,8 @@ def materialize(spark: SparkSession, folder: str, name: str, args: dict, make: C
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """id, description and sequence of the records of FASTA files."""
-    rows = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
+    """id, description and sequence of the records of FASTA files; a record begins at a line that begins with ``>``."""
+    rows = spark.read.option("lineSep", "\n>").text(path).withColumn("value", F.regexp_replace("value", r"^\s*>", "")).where(F.trim("value") != "")
     head = F.split_part("value", F.lit("\n"), F.lit(1))
     name = F.split_part(head, F.lit(" "), F.lit(1))
     ident = F.when(name.contains("|"), F.split_part(name, F.lit("|"), F.lit(2))).otherwise(name)

@@ -72,16 +72,26 @@ def search(df: DataFrame, predicate: Column, key: str | list[str]) -> DataFrame:
 
 
 def chains_to_collect(meta: DataFrame, level: str = "chain", single_per_entity: bool = False) -> DataFrame:
-    """Chains with exactly one protein id; one chain (the first) per entity if asked for, or per entry for level entry.
+    """Chains with exactly one protein id: all (level chain), or the first of each entity or of each entry.
+
+    single_per_entity: of level chain, too, the first of each entity.
 
     meta: entry_id, entity_id, chain_id, unp_ids (array).
     """
     df = meta.where(F.size("unp_ids") == 1).withColumn("unp_id", F.col("unp_ids")[0]).drop("unp_ids")
-    if single_per_entity or level == "entity":
-        df = df.withColumn("_r", F.row_number().over(Window.partitionBy("entry_id", "entity_id").orderBy("chain_id"))).where("_r = 1").drop("_r")
+    if level not in ("chain", "entity", "entry"):
+        raise ValueError(level)
+    by = ["entry_id"] if level == "entry" else ["entry_id", "entity_id"] if single_per_entity or level == "entity" else None
+    if by:
+        df = df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("entity_id", "chain_id"))).where("_r = 1").drop("_r")
     return df
 
 
+def first_structures(df: DataFrame, n: int, key: str = "struct_id") -> DataFrame:
+    """The rows of the first n structures by id."""
+    return df.join(df.select(key).distinct().orderBy(key).limit(n), key, "left_semi")
+
+
 def single_protein(ids: Column, strict: bool = True) -> Column:
     """The protein id of a chain: strict: null if it has several; else the first."""
     return F.when(F.size(ids) == 1, ids[0]) if strict else F.get(ids, F.lit(0))

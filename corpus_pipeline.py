@@ -4,6 +4,10 @@ Every stage takes and (but for the last) returns the columns of documents; each
 the quality classifier rejects go, lines that others repeat go (n_chars follows the text), one document of each
 near-duplicate class stays, sources are mixed to even out their shares (documents may come more than once), and the
 last stage returns the ids of every text. There is no SQL for it; the tests compare it with a plain version.
+
+Null ids and texts pass through every stage (a null text is scored as the empty one); repeated rows of id and text are
+one document from line dedup on; empty tables give empty tables; extra columns may have any names and are kept until
+the last stage.
 """
 
 from __future__ import annotations
@@ -22,12 +26,12 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier, fitted on labelled rows of the input."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(id_remainder("doc_id", 4) != 2)
     model = quality.train(docs, labels)
-    return docs.withColumn("_score", quality.score_column(F.col("text"), model, spark)).where(F.col("_score") >= ACCEPT).select(*docs.columns)
+    return docs.where(quality.score_column(F.col("text"), model, spark) >= ACCEPT)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Fuzzy line dedup."""
-    return lines.dedup(docs).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    return lines.dedup(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +45,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens, ids and digests of the ids and of the text decoded from them."""
+    """doc_id, source, n_tokens, ids, and the digest of the text decoded from them."""
     import public_tokenizers
 
     path = public_tokenizers.path("word_bpe_49k.json")

@@ -206,8 +206,8 @@ def test_files(spark, tmp_path):
     for _ in range(2):
         dataset.materialize(spark, str(tmp_path), "m", {"a": 1, "b": 2}, lambda: calls.append(1) or spark.range(3), ignore=("b",))
     assert len(calls) == 1
-    (tmp_path / "f.fa").write_text(">ENA|X1|X1.1 some gene\nACGT\nAC\n>Y2 other\nTT\n")
-    assert [(r.id, r.description, r.sequence) for r in dataset.read_fasta(spark, str(tmp_path / "f.fa")).orderBy("id").collect()] == [("X1", "some gene", "ACGTAC"), ("Y2", "other", "TT")]
+    (tmp_path / "f.fa").write_text(">ENA|X1|X1.1 some a>b gene\nACGT\nAC\n>Y2 other\nTT\n")
+    assert [(r.id, r.description, r.sequence) for r in dataset.read_fasta(spark, str(tmp_path / "f.fa")).orderBy("id").collect()] == [("X1", "some a>b gene", "ACGTAC"), ("Y2", "other", "TT")]
     u = dataset.union_normalized(spark.createDataFrame([(1, 2)], "a int, b int"), spark.createDataFrame([(3, 4)], "a int, c int"))
     assert set(u.columns) == {"a", "b", "c"} and u.count() == 2
 
