@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import neardup
-from .shared import releasing, scratch, stored
+from .shared import discard, releasing, scratch, stored
 from .textio import chunks, mix, row_of, span_hashes
 
 SHINGLE, ROWS, BANDS, PASSES, BINS, THRESHOLD = 5, 6, 23, 3, 46, 0.8
@@ -197,6 +197,7 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         return both.sortWithinPartitions("a").mapInArrow(releasing(_verified(threshold)), "a bigint, b bigint, la bigint, lb bigint")
 
     labels = neardup.classes(members, contents, verify, threshold)
+    discard(members, contents)
     # A line that has others like it: its group (its class's label, else itself) and the least id in the group.
     own = lines.groupBy("node").agg(F.count("*").alias("times"), F.min("doc_id").alias("least"))
     classed = stored(labels.union(labels.select("label", "label").distinct()), "classed")
@@ -232,8 +233,10 @@ def dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     names = docs.columns
     t, key, may, lost_t, lost_id, lost_key, gone, cut = scratch(names, "t", "key", "may", "lost_t", "lost_id", "lost_key", "gone", "cut")
     again = _keyed(docs).where("t IS NOT NULL").groupBy("doc_id", "t").count().where("count > 1").select("doc_id", "t", F.array().cast("array<int>").alias("lines"))
-    lost = removed_lines(docs, threshold).union(again).groupBy("doc_id", "t").agg(F.flatten(F.collect_list("lines")).alias("lines"))
+    removed = removed_lines(docs, threshold)
+    lost = removed.union(again).groupBy("doc_id", "t").agg(F.flatten(F.collect_list("lines")).alias("lines"))
     lost = stored(lost.select(F.xxhash64("doc_id", "t").alias(lost_key), F.col("doc_id").alias(lost_id), F.col("t").alias(lost_t), F.col("lines").alias(gone)), "lost")
+    discard(removed)
     sieve = neardup.Sieve(lost, lost_key)
 
     def may_lose(keys: pa.Array) -> pa.Array:

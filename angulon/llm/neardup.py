@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import discard, stored
+from .shared import discard, few, free_exchanges, stored
 from .textio import row_of
 
 FIRST_LEADERS, MORE_LEADERS, SALT_ROWS, WORDS = 2, 8, 256, 8
@@ -66,13 +66,13 @@ def components(edges: DataFrame) -> DataFrame:
         now = stars.agg(F.count("*"), F.sum(F.hash("u", "v").cast("bigint"))).first()
         if now == mark or not now[0]:
             return stars.select(F.col("u").alias("node"), F.col("v").alias("label"))
-        mark = now
-        both = stars.union(stars.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        mark, n = now, now[0]
+        both = few(stars, n).union(few(stars.select("v", "u"), n))
+        least = few(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), n)
+        large = few(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), n)
+        least = few(large.groupBy("u").agg(F.min("v").alias("m")), n)
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        old, stars = stars, stored(small.distinct(), "stars")
+        old, stars = stars, stored(few(few(small, n).distinct(), n), "stars")
         discard(old)
 
 
@@ -97,6 +97,7 @@ def shared_buckets(placed: DataFrame) -> DataFrame:
     sizes = pairs.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = stored(pairs.join(sizes, "bucket").select("bucket", "node", "n"), "buckets")
     discard(repeated, pairs)
+    free_exchanges(members.sparkSession)
     return members
 
 
@@ -115,11 +116,12 @@ def classes(members: DataFrame, about: DataFrame, verify: Callable[[DataFrame],
     salts = F.greatest(F.ceil(F.col("n") / SALT_ROWS), F.lit(1)).cast("int")
     dealt = members.select("bucket", salts.alias("salts"), F.pmod(F.hash("node"), salts).alias("salt"), "node")
 
-    def links_of(members: DataFrame, leaders: DataFrame) -> DataFrame:
-        """Verified pairs of leaders (bucket, salts, a_...) and later members in other classes."""
+    def links_of(members: DataFrame, leaders: DataFrame, n: int) -> DataFrame:
+        """Verified pairs of leaders (bucket, salts, a_...) and later members in other classes; n: number of members."""
         everywhere = leaders.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
         pairs = members.join(everywhere, ["bucket", "salt"]).where((F.col("node") > F.col("a_node")) & (F.col("label") != F.col("a_label")) & _within(threshold))
-        return stored(verify(pairs.select(F.col("a_node").alias("a"), F.col("node").alias("b"), F.col("a_label").alias("la"), F.col("label").alias("lb")).distinct()), "links")
+        pairs = few(pairs.select(F.col("a_node").alias("a"), F.col("node").alias("b"), F.col("a_label").alias("la"), F.col("label").alias("lb")), n)
+        return stored(verify(few(pairs.distinct(), n)), "links")
 
     def moves(links: DataFrame) -> DataFrame:
         return components(links.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("to"))
@@ -127,18 +129,19 @@ def classes(members: DataFrame, about: DataFrame, verify: Callable[[DataFrame],
     early = stored(dealt.where(F.pmod("bucket", F.lit(EARLY)) == 0).join(about, "node").withColumn("label", F.col("node")), "early")
     least = early.groupBy("bucket").agg(F.min("node").alias("node"))
     leaders = early.join(least, ["bucket", "node"], "left_semi").select("bucket", "salts", *[F.col(c).alias(f"a_{c}") for c in ("node", "label", *ABOUT)])
-    links = links_of(early, leaders)
+    links = links_of(early, leaders, early.count())
     found = stored(moves(links).select(F.col("label").alias("node"), F.col("to").alias("label")), "found")
     members = stored(dealt.join(found, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
     discard(early, links)
     open_still = stored(members.join(_mixed(members), "bucket", "left_semi").join(about, "node"), "members")
     discard(members)
+    free_exchanges(open_still.sparkSession)
     members, wanted = open_still, FIRST_LEADERS
-    while not members.isEmpty():
-        first = members.withColumn("r", F.row_number().over(Window.partitionBy("bucket", "salt").orderBy("node"))).where(F.col("r") <= wanted)
-        leaders = first.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy("node"))).where(F.col("r") <= wanted)
+    while n := members.count():  # of a stored table: read off its files
+        first = few(members.withColumn("r", F.row_number().over(Window.partitionBy("bucket", "salt").orderBy("node"))).where(F.col("r") <= wanted), n)
+        leaders = few(first.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy("node"))).where(F.col("r") <= wanted), n)
         leaders = stored(leaders.select("bucket", "salts", *[F.col(c).alias(f"a_{c}") for c in ("node", "label", *ABOUT)]), "leaders")
-        links = links_of(members, leaders)
+        links = links_of(members, leaders, n)
         old = [members, leaders, links]
         if not links.isEmpty():
             moved = moves(links)
@@ -146,9 +149,10 @@ def classes(members: DataFrame, about: DataFrame, verify: Callable[[DataFrame],
             found = stored(_follow(found, moved), "found")
             members = members.join(moved, "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to")
         last = leaders.groupBy("bucket").agg(F.max("a_node").alias("last"))
-        rest = stored(members.join(last, "bucket").where("node > last").drop("last"), "rest")
-        members = stored(rest.join(_mixed(rest), "bucket", "left_semi"), "members")
+        rest = stored(few(members.join(few(last, n), "bucket").where("node > last").drop("last"), n), "rest")
+        members = stored(few(rest.join(few(_mixed(rest), n), "bucket", "left_semi"), n), "members")
         discard(*old, rest)
+        free_exchanges(members.sparkSession)
         wanted *= MORE_LEADERS
     return found
 
@@ -166,7 +170,7 @@ class Sieve:
     """
 
     def __init__(self, keys: DataFrame, column: str, bits: int = 1 << 26) -> None:
-        at = keys.select((F.pmod(F.col(column), F.lit(bits)) + 1).alias("at"))
+        at = few(keys.select((F.pmod(F.col(column), F.lit(bits)) + 1).alias("at")), keys.count())
         rows = at.groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bitmap")).collect()
         size = 1 << 15
         whole = np.zeros(bits // 8, np.uint8)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import neardup
-from .shared import releasing, scratch, stored
+from .shared import discard, releasing, scratch, stored
 from .textio import LOWER_CODES, chunks, mix, row_of, span_hashes, words
 
 K, L, SKETCHES, THRESHOLD = 5, 6, 30, 0.8
@@ -195,7 +195,10 @@ def classes_of(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     first = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "node")
     heads = ids.groupBy("label").agg(F.min(first).alias("head"))
     ids = ids.join(heads, "label")
-    return ids.select("doc_id", "node", F.col("head.doc_id").alias("class_id"), (F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("node") == F.col("head.node"))).alias("kept"))
+    found = ids.select("doc_id", "node", F.col("head.doc_id").alias("class_id"), (F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("node") == F.col("head.node"))).alias("kept"))
+    found = stored(found, "classes")
+    discard(sketched, members, contents, labels)
+    return found
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -49,8 +49,34 @@ def discard(*tables: DataFrame | None) -> None:
             at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+def free_exchanges(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of tables that nothing refers to any more; it does so as garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+#: Rows that a task of a small table takes.
+TASK_ROWS = 20_000
+
+
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, which has about ``rows`` rows, in no more partitions than these need: iterations over small tables would
+    else spend their time on empty tasks. Tables with many rows keep their partitions."""
+    return df.coalesce(max(1, -(-rows // TASK_ROWS)))
+
+
+#: Memory of a worker process below which it keeps what it has.
+KEPT_MB = 250
+
+
 def release_memory() -> None:
     """Gives memory that a worker process no longer uses back to the machine: workers outlive their tasks."""
+    try:
+        with open("/proc/self/statm") as f:
+            if int(f.read().split()[1]) * 4096 < KEPT_MB << 20:
+                return
+    except OSError:  # a system without it
+        pass
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
