@@ -8,7 +8,8 @@ that none fits is allowed.
 
 The array is written as a ``.npy`` file to the worker's temporary folder and memory-mapped from there. A list of up to
 ``most`` entries is shipped to the workers whole; a longer one is cut into shards by digest, each shard is mapped
-where its keys are tried, and the tried keys are dealt by the same shards, hot hosts after removing repetitions.
+where its keys are tried, and the tried keys are dealt by the same shards, hot hosts after removing repetitions. The
+number of shards follows the number of keys, so that a shard has about SHARD_KEYS.
 
 Null URLs and URLs without ``://`` have empty host and path. Repeated rows are judged alike. Of entries with the same
 host and path, that whose verdict sorts first counts.
@@ -16,6 +17,7 @@ host and path, that whose verdict sorts first counts.
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 from collections.abc import Iterator
@@ -27,7 +29,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SHARDS, SHARD_BITS = 256, 56
+#: Keys of a shard, on average; a shard's keys are gathered in one task.
+SHARD_KEYS = 100_000
 
 
 def host_column(url: Column) -> Column:
@@ -126,20 +129,28 @@ def judge(pages: DataFrame, entries: DataFrame, most: int = 100_000) -> DataFram
 def _judge_sharded(parts: DataFrame, entries: DataFrame) -> DataFrame:
     """For lists of any length. Only distinct keys are dealt, so a hot host or path is tried once."""
     lengths = sorted(r[0] for r in entries.select(F.length("path")).distinct().collect())  # path lengths: at most the longest path's
-    shard = F.arrow_udf(_shard_of, "int")
     keyed = entries.select(F.concat_ws(" ", "host", "path").alias("key"), "verdict")
-    keyed = keyed.withColumn("shard", shard("key"))
     keys = F.arrow_udf(_tried(lengths), "array<string>")
-    urls = parts.select("host", "path").distinct().select("host", "path", F.explode(keys("host", "path")).alias("key"))
-    tried = urls.select("key").distinct().withColumn("shard", shard("key"))
+    named = parts.where("host <> ''")
+    urls = named.select("host", "path").distinct().select("host", "path", F.explode(keys("host", "path")).alias("key"))
+    tried = urls.select("key").distinct()
+    bits = max(8, math.ceil(math.log2(max(keyed.count(), tried.count(), 1) / SHARD_KEYS)))
+    shard = F.arrow_udf(_shard_of(bits), "int")
+    keyed, tried = keyed.withColumn("shard", shard("key")), tried.withColumn("shard", shard("key"))
     hits = keyed.groupBy("shard").cogroup(tried.groupBy("shard")).applyInPandas(_probe, "key string, verdict string")
     best = urls.join(hits, "key").groupBy("host", "path").agg(F.max_by(F.struct("key", "verdict"), F.struct(F.length("key"), F.length(F.substring_index("key", " ", 1)), "key")).alias("b"))
     best = best.select("host", "path", F.regexp_replace("b.key", "^([^ ]*) ", "$1").alias("rule"), "b.verdict")
-    return parts.join(best, ["host", "path"], "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"))
+    done = named.join(best, ["host", "path"], "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"))
+    none = parts.where("host = ''").select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"))
+    return done.union(none)
 
 
-def _shard_of(keys: pa.Array) -> pa.Array:
-    return pa.array([digest(k) >> SHARD_BITS for k in keys.to_pylist()], pa.int32())
+def _shard_of(bits: int):
+    def shard_of(keys: pa.Array) -> pa.Array:
+        return pa.array([digest(k) >> (64 - bits) for k in keys.to_pylist()], pa.int32())
+
+    shard_of.__annotations__ = {"keys": pa.Array, "return": pa.Array}
+    return shard_of
 
 
 def _tried(lengths: list[int]):
@@ -150,9 +161,6 @@ def _tried(lengths: list[int]):
     return tried
 
 
-_shard_of.__annotations__ = {"keys": pa.Array, "return": pa.Array}
-
-
 def _probe(entries: pd.DataFrame, tried: pd.DataFrame) -> pd.DataFrame:
     index = DigestArray(entries["key"].tolist(), entries["verdict"].tolist())
     found = index.find(tried["key"].tolist())
