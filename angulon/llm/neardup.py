@@ -121,7 +121,8 @@ def classes(members: DataFrame, about: DataFrame, verify: Callable[[DataFrame],
         everywhere = leaders.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
         pairs = members.join(everywhere, ["bucket", "salt"]).where((F.col("node") > F.col("a_node")) & (F.col("label") != F.col("a_label")) & _within(threshold))
         pairs = few(pairs.select(F.col("a_node").alias("a"), F.col("node").alias("b"), F.col("a_label").alias("la"), F.col("label").alias("lb")), n)
-        return stored(verify(few(pairs.distinct(), n)), "links")
+        # texts are compared in as many tasks as Spark takes: a few tasks would hold many of them at once
+        return stored(verify(pairs.distinct()), "links")
 
     def moves(links: DataFrame) -> DataFrame:
         return components(links.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("to"))
