@@ -26,12 +26,10 @@ def sizes(spark, d) -> DataFrame:
     return members(spark, d).groupBy("condition", "aa", F.col("subgroup").alias("codon")).agg(F.count("*").alias("n"))
 
 
-#: A stated total order of a subgroup's members, and whole thousands of its first term.
-ORDER = [(F.col("struct_id") * 7919 + F.col("unp_id") * 104729) % 1000003, "struct_id", "unp_id", "unp_idx"]
-
-
 def sample(spark, d) -> DataFrame:
-    return twosample.capped(members(spark, d), CAP, F.floor(ORDER[0] / 1000), ORDER).select("condition", "subgroup", "rank", "phi", "psi")
+    """The first CAP members of each subgroup in a stated total order, whose first term falls into thousands."""
+    turn = (F.col("struct_id") * 7919 + F.col("unp_id") * 104729) % 1000003
+    return twosample.capped(members(spark, d), CAP, F.floor(turn / 1000), [turn, *IDENTITY]).select("condition", "subgroup", "rank", "phi", "psi")
 
 
 def plan(spark, d) -> DataFrame:
