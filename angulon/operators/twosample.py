@@ -115,11 +115,13 @@ def torus_sums(pairs: DataFrame, members: DataFrame) -> DataFrame:
     m = m.withColumns({"n_below": F.count_if(first).over(below), "e_below": F.coalesce(F.sum(F.when(first, F.col("e"))).over(below), F.lit(0.0))})
     excess = m.where("side = 2").groupBy(*key).agg(F.sum(F.col("n_below") * F.col("e") - F.col("e_below")).alias("excess"))
     sums = total.join(excess, key, "left").select(*key, (F.col("total") - 720.0 * F.coalesce("excess", F.lit(0.0))).alias("v"))
-    n = members.groupBy("condition", "subgroup").agg(F.count("*").alias("n"))
-    for k in "12":
-        own = sums.where("s1 = s2").join(n.withColumnRenamed("subgroup", "s1"), ["condition", "s1"]).select("condition", F.col("s1").alias(f"s{k}"), F.col("n").alias(f"n{k}"), (F.col("v") / 2).alias(f"w{k}"))
-        wanted = wanted.join(own, ["condition", f"s{k}"])
-    return wanted.join(sums.withColumnRenamed("v", "b"), key).select(*key, "n1", "n2", "w1", "w2", "b")
+    n = members.groupBy("condition", F.col("subgroup").alias("x1")).agg(F.count("*").alias("n"))
+    sums = sums.withColumnsRenamed({"s1": "x1", "s2": "x2"}).join(n, ["condition", "x1"])
+    # each pair reads three of the sums: they are computed once
+    three = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(x).alias("x1"), F.col(y).alias("x2")) for k, x, y in (("b", "s1", "s2"), ("w1", "s1", "s1"), ("w2", "s2", "s2"))])
+    read = wanted.select(*key, F.explode(three).alias("x")).select(*key, "x.*").join(sums, ["condition", "x1", "x2"])
+    of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
+    return read.groupBy(*key).agg(of("w1", "n").alias("n1"), of("w2", "n").alias("n2"), (of("w1", "v") / 2).alias("w1"), (of("w2", "v") / 2).alias("w2"), of("b", "v").alias("b"))
 
 
 def tw2(pairs: DataFrame, members: DataFrame) -> DataFrame:
