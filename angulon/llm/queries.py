@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, flac, lines, maxent, mixing, order_minhash, quality, toxicity, urls
+from . import bpe, code_switch, fingerprints, flac, lines, maxent, mixing, order_minhash, quality, ranked, toxicity, urls, whitening
 from .shared import documents, id_remainder
 
 
@@ -90,7 +90,25 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", bpe.digest_column(F.col("text"), public_tokenizers.path("word_bpe_49k.json"), spark).alias("d")).select("doc_id", "d.*")
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_maxent": op2_maxent, "op3_order_minhash": op3_order_minhash, "op4_syncmers": op4_syncmers, "op5_url_filter": op5_url_filter, "op6_quality": op6_quality, "op7_line_dedup": op7_line_dedup, "op8_bpe": op8_bpe, "op9_toxicity": op9_toxicity, "op10_flac": op10_flac}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first eight whitened components of every embedding."""
+    return whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_code_switch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; ids with crc32 mod 4 = 2 are never learnt from."""
+    docs = documents(spark, sf_dir)
+    model = code_switch.train(docs.where(id_remainder("doc_id", 4) != 2))
+    lang, score = code_switch.predict_columns(F.col("text"), model, spark)
+    return docs.select("doc_id", (id_remainder("doc_id", 4) == 2).alias("held_out"), lang.alias("lang_pred"), score.alias("score"))
+
+
+def op13_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 documents that score highest for each benchmark item."""
+    return ranked.rank_all(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op2_maxent": op2_maxent, "op3_order_minhash": op3_order_minhash, "op4_syncmers": op4_syncmers, "op5_url_filter": op5_url_filter, "op6_quality": op6_quality, "op7_line_dedup": op7_line_dedup, "op8_bpe": op8_bpe, "op9_toxicity": op9_toxicity, "op10_flac": op10_flac, "op11_whitening": op11_whitening, "op12_code_switch": op12_code_switch, "op13_ranked": op13_ranked}
 QUERY_SQL: dict[str, str] = {
     "op5_url_filter": r"""
 WITH p AS (
@@ -105,4 +123,13 @@ best AS (
   GROUP BY host, path)
 SELECT p.page_id, p.host, p.path, best.rule, coalesce(best.v, 'allow') AS verdict
 FROM p LEFT JOIN best ON p.host = best.host AND p.path = best.path""",
+    "op13_ranked": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+tf AS (SELECT r, doc_id, term, count(*) AS tf FROM (SELECT r, doc_id, unnest(terms) AS term FROM d) GROUP BY ALL),
+s AS (SELECT CAST(count(*) AS BIGINT) AS nd, CAST(sum(len(terms)) AS BIGINT) AS total FROM d WHERE len(terms) > 0),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * nd + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, s GROUP BY term, nd),
+m AS (SELECT r, 50 + (50 * CAST(len(terms) AS BIGINT) * nd) // total AS m FROM d, s WHERE len(terms) > 0),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+p AS (SELECT item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score FROM i JOIN tf USING (term) JOIN w USING (term) JOIN m USING (r) GROUP BY item_id, r, doc_id)
+SELECT item_id, rank, doc_id, score FROM (SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM p WHERE score > 0) WHERE rank <= 50""",
 }

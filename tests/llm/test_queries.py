@@ -1,18 +1,24 @@
 """The registered queries on odd tables: nulls, ties, repeated rows, very long and empty texts, clashing columns, no rows."""
 
 import hashlib
+import math
+import re
 import zlib
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from angulon.llm import bpe, flac, lines, order_minhash, queries, quality, urls
+from angulon.llm import bpe, flac, lines, order_minhash, queries, quality, ranked, urls, whitening
 
 public = pytest.importorskip("public_tokenizers")
 LINES = ["one two three four five six seven eight", "nine ten eleven twelve thirteen fourteen", "alpha beta gamma delta epsilon zeta eta"]
 TEXTS = [(1, "\n".join(LINES[:2])), (2, None), (3, ""), (None, "\n".join(LINES[:2])), (4, LINES[2] + " theta"), (4, LINES[2] + " theta"), (5, "x" * 120_000), (6, "word " * 20_000), (None, None), (7, " \n\t "), (8, "Zażółć gęślą 가나다 😀\n" + LINES[2])]
 LABELS = [(1, 1, 0), (3, 0, 0), (4, 1, 1), (5, 0, 1), (6, 0, 0), (8, None, None), (None, 1, 1)]
+VECTORS = [(1, [0.5, -0.25, 1.0]), (2, [0.125, 2.0, 0.0]), (2, [0.125, 2.0, 0.0]), (3, [1.0, None, 2.0]), (4, None), (5, []), (6, [1.0, 2.0]), (7, [float("nan"), 0.0, 1.0]), (8, [float("inf"), 0.0, 1.0]), (None, [-1.5, 0.75, 3.0]), (9, [-3.0, 1e30, 0.5])]
+ITEMS = [(1, LINES[0]), (1, "zeta WORD"), (2, None), (3, ""), (4, " ?! "), (None, "gęślą theta"), (5, "no such terms"), (6, "Word"), (6, "Word")]
 PAGES = [(1, "http://a.example.net/en/x"), (2, None), (2, None), (3, "no url"), (None, "https://b.org/fr/"), (4, "ftp://" + "q." * 500 + "net/" + "p" * 9000)]
 LLM = sorted(queries.QUERIES)
 
@@ -25,6 +31,8 @@ def folders(spark, tmp_path_factory):
         docs = spark.createDataFrame([(i, t, "en", "src" if k % 3 else None, None if t is None else len(t)) for k, (i, t) in enumerate(TEXTS)], "doc_id long, text string, lang string, source string, n_chars long")
         docs = docs.withColumns({"node": F.lit("clash"), "T": F.lit(3), "_score": F.lit(0.5), "key": F.lit(9), "bucket": F.lit(1)})
         tables = {"documents": docs, "labels": spark.createDataFrame(LABELS, "doc_id long, quality int, toxic int"), "pages": spark.createDataFrame(PAGES, "page_id long, url string").withColumn("host", F.lit("clash"))}
+        tables["embeddings"] = spark.createDataFrame(VECTORS, "vec_id long, embedding array<float>").withColumns({"x": F.lit("clash"), "row": F.lit(1), "component": F.lit(2)})
+        tables["benchmark"] = spark.createDataFrame(ITEMS, "item_id long, text string").withColumns({"term": F.lit("clash"), "doc_id": F.lit(5)})
         for t, df in tables.items():
             (df if name == "odd" else df.where("false")).coalesce(2).write.parquet(f"{at}/{t}.parquet")
         out[name] = at
@@ -47,14 +55,14 @@ def text_of(t):
 
 def test_every_row_of_the_tables_is_in_the_results(got):
     ids = sorted(str(i) for i, _ in TEXTS)
-    for name in ("op2_maxent", "op4_syncmers", "op6_quality", "op8_bpe", "op9_toxicity", "op10_flac"):
+    for name in ("op2_maxent", "op4_syncmers", "op6_quality", "op8_bpe", "op9_toxicity", "op10_flac", "op12_code_switch"):
         assert sorted(str(r.doc_id) for r in got[name]) == ids, name
     assert len(got["op5_url_filter"]) == len(PAGES)
 
 
 def test_held_out_rows_and_scores(got):
     crc = lambda i: zlib.crc32(str(i).encode() if i is not None else b"")
-    for name, n in (("op2_maxent", 7), ("op6_quality", 4), ("op9_toxicity", 4)):
+    for name, n in (("op2_maxent", 7), ("op6_quality", 4), ("op9_toxicity", 4), ("op12_code_switch", 4)):
         assert all(r.held_out == (crc(r.doc_id) % n == 2) for r in got[name])
     for name, at in (("op6_quality", 0.7), ("op9_toxicity", 0.3)):
         assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= at) for r in got[name])
@@ -125,3 +133,38 @@ def test_pipeline_on_odd_tables(spark, folders):
 def test_models_and_urls_share_no_state(spark):
     assert quality.fit([], []).bias == 0.0 and order_minhash.THRESHOLD == lines.THRESHOLD == 0.8
     assert urls.tried_keys("", "/a", [1, 2]) == []
+
+
+def test_languages(got):
+    found = {(r.doc_id, r.lang_pred) for r in got["op12_code_switch"]}
+    assert all(r.lang_pred == ("en" if r.doc_id in (1, 4, 5, 6, 8) or (r.doc_id is None and r.score) else "und") for r in got["op12_code_switch"])
+    assert {(2, "und"), (3, "und"), (7, "und"), (None, "und"), (None, "en")} <= found and all(0 <= r.score <= 1 for r in got["op12_code_switch"])
+
+
+def test_whitened_vectors(got):
+    kept = [(i, v) for i, v in VECTORS if v is not None and len(v) == 3 and all(c is not None and np.isfinite(c) for c in v)]
+    x = np.array([[int(np.floor(1024 * min(max(np.float32(c), -whitening.MOST), whitening.MOST))) + 100_000 for c in v] for _, v in kept], object)
+    n, s = len(x), x.sum(axis=0)
+    rows = got["op11_whitening"]
+    assert len(rows) == 3 * n and all(r.n == n and r.identity_error <= 1e-4 for r in rows)
+    want = sorted((str(i), sum(int(n * c - t) ** 2 for c, t in zip(v, s, strict=True))) for (i, _), v in zip(kept, x, strict=True) for _ in range(3))
+    assert sorted((str(r.vec_id), r.deviation) for r in rows) == [(i, d if d < 1 << 63 else None) for i, d in want]
+
+
+def test_ranks(got):
+    words = lambda t: re.findall(ranked.TERM, (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+    docs = [(i, Counter(words(t))) for i, t in TEXTS if words(t)]
+    n, total = len(docs), sum(sum(c.values()) for _, c in docs)
+    items = {}
+    for i, t in ITEMS:
+        items.setdefault(i, set()).update(words(t))
+    want = []
+    for i, terms in items.items():
+        scored = []
+        for d, c in docs:
+            m = 50 + 50 * sum(c.values()) * n // total
+            score = sum(math.floor(1000 * math.log((2 * n + 2) / (2 * sum(t in o for _, o in docs) + 1))) * (10**9 * c[t] // (1000 * c[t] + 20 * m)) for t in terms if t in c)
+            if score > 0:
+                scored.append((-score, d is None, d))
+        want += [(i, k + 1, d, -s) for k, (s, _, d) in enumerate(sorted(scored, key=lambda x: (x[0], x[1], x[2] or 0))[:50])]
+    assert sorted(map(str, [tuple(r) for r in got["op13_ranked"]])) == sorted(map(str, want))
