@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,15 +23,41 @@ def product(x: Column, sx: Column, y: Column, sy: Column) -> tuple[Column, Colum
     return r, F.abs(r) * F.sqrt(_relative(x, sx) + _relative(y, sy))
 
 
-def norm_cdf(z: Column) -> Column:
-    """The normal distribution function; Spark has no error function, so a vectorised one."""
+#: Terms of the series and levels of the continued fraction of the normal distribution function; where they meet.
+SERIES, LEVELS, MEET = 40, 40, 3
+
+
+def _norm_tail(z, density):
+    """Upper tail of z >= MEET: density / (z + 1 / (z + 2 / (z + ...)))."""
+    below = z
+    for k in range(LEVELS, 0, -1):
+        below = z + k / below
+    return density / below
 
-    def cdf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for b in batches:
-            yield b.map(lambda v: 0.5 * (1 + math.erf(v / math.sqrt(2))) if v == v else None).astype("float64")
 
-    cdf.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(cdf, "double")(z)
+def _norm_half(z, density):
+    """What lies between 0 and z of -MEET < z < MEET: density (z + z^3 / 3 + z^5 / 15 + ...)."""
+    total = 1.0
+    for k in range(SERIES, 0, -1):
+        total = 1.0 + z * z / (2 * k + 1) * total
+    return density * z * total
+
+
+def norm_cdf(z: Column) -> Column:
+    """The normal distribution function to double precision, in generated code; tails keep their relative precision."""
+    density = F.exp(-0.5 * z * z) / math.sqrt(2 * math.pi)
+    far = _norm_tail(F.abs(z), density)
+    return F.when(z >= MEET, 1.0 - far).when(z <= -MEET, far).otherwise(0.5 + _norm_half(z, density))
+
+
+def norm_cdf_sql(z: str) -> str:
+    """The same as SQL; ``z`` is the name of a double."""
+    density, below, total = f"(exp(-0.5::DOUBLE*{z}*{z})/{math.sqrt(2 * math.pi)!r}::DOUBLE)", f"abs({z})", "1.0::DOUBLE"
+    for k in range(LEVELS, 0, -1):
+        below = f"(abs({z})+{k}/{below})"
+    for k in range(SERIES, 0, -1):
+        total = f"(1.0::DOUBLE+{z}*{z}/{2 * k + 1}*{total})"
+    return f"CASE WHEN {z}>={MEET} THEN 1-{density}/{below} WHEN {z}<=-{MEET} THEN {density}/{below} ELSE 0.5+{density}*{z}*{total} END"
 
 
 def proportion_interval(k: Column, n: Column, z: float, method: str = "wilson") -> tuple[Column, Column]:

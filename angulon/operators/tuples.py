@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import ratios
+from ..functions import hashes, ratios
 
 
 def build_tuples(df: DataFrame, k: int = 2) -> DataFrame:
@@ -65,7 +65,8 @@ def histogram(df: DataFrame, column: str, edges: list[float], normalized: bool =
 def bootstrap_histogram(df: DataFrame, column: str, key: list[str], bootstraps: int, seed: int = 1) -> DataFrame:
     """Mean and deviation of each value's share over resamples: every row enters each one a Poisson(1) number of times.
 
-    The number comes from a hash of the row's key, so results repeat; counts are summed before the exchange.
+    The number comes from one of the row's key (integers or strings) that any engine can repeat; counts are summed before
+    the exchange.
     """
     bounds = []
     p, total = 0.36787944117144233, 0.0
@@ -73,8 +74,8 @@ def bootstrap_histogram(df: DataFrame, column: str, key: list[str], bootstraps:
         total += p
         bounds.append(total)
         p /= i
-    rows = df.select(F.col(column).alias("value"), F.xxhash64(F.lit(seed), *key).alias("h")).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(bootstraps))))
-    u = F.shiftrightunsigned(F.xxhash64("h", "b"), 11) / F.lit(float(1 << 53))
+    rows = df.select(F.col(column).alias("value"), hashes.number(seed, *key).alias("h")).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(bootstraps))))
+    u = hashes.turned(F.col("h") + F.col("b") * 7919) / float(hashes.PRIME)
     rows = rows.withColumn("u", u).withColumn("w", reduce(lambda a, b: a + b, [(F.col("u") > x).cast("int") for x in bounds]))
     n = rows.groupBy("b", "value").agg(F.sum("w").alias("n"))
     n = n.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("b")))

@@ -1,15 +1,14 @@
 """Two-sample statistics on the torus, planned over pairs of subgroups, and permutation tests.
 
-Members are rows (condition, subgroup, phi, psi); pairs are rows (condition, s1, s2, cap). Statistics take all members,
-but for the kernel statistic, whose pairs of members cannot be summed up by moments: it takes, as the plan's cap asks,
-the first ``cap`` members of a subgroup in a stated total order. Tests draw their resamples from all members.
+Members are rows (condition, subgroup, phi, psi); pairs are rows (condition, s1, s2, ...). Statistics take all members:
+sums over pairs of members come from moments, Fourier sums or ranks. Tests draw their resamples from all members, by
+numbers that any engine can repeat (functions/hashes).
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable
-from math import pi
+from math import gcd, pi
 
 import numpy as np
 import pandas as pd
@@ -17,9 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import angles
+from ..functions import angles, hashes
 from .kde import kde_grid
-from .ranks import block_rank, hash_rank
+from .ranks import hash_rank
 
 
 def pair_plan(sizes: DataFrame, kind: str, n_min: int = 1, n_max: int | None = None, n_max_aa: int | None = None) -> DataFrame:
@@ -54,11 +53,6 @@ def pair_plan(sizes: DataFrame, kind: str, n_min: int = 1, n_max: int | None = N
     return out.where(big & (F.col("n2") >= n_min)).select("condition", "s1", "s2", "n1", "n2", cap.alias("cap"))
 
 
-def capped(members: DataFrame, n_max: int, block: Column, order: list[Column | str]) -> DataFrame:
-    """The first n_max members of each subgroup, with their rank; ``block`` does not fall along ``order``."""
-    return block_rank(members, ["condition", "subgroup"], block, order).where(F.col("rank") <= n_max)
-
-
 def _sides(pairs: DataFrame, sample: DataFrame) -> DataFrame:
     """Members of both sides of each pair: side 1 or 2."""
     key = ["condition", "s1", "s2"]
@@ -66,22 +60,6 @@ def _sides(pairs: DataFrame, sample: DataFrame) -> DataFrame:
     return both.select(*key, "x.*").join(sample, ["condition", "subgroup"])
 
 
-def pooled(pairs: DataFrame, sample: DataFrame, value: Callable[[Column], Column]) -> DataFrame:
-    """Per pair n1, n2 and the sums of value(squared distance) within each side (each pair of members once) and between.
-
-    sample: ranked members, of which the first ``cap`` of the pair meet.
-    """
-    m = _sides(pairs, sample).join(pairs.select("condition", "s1", "s2", "cap"), ["condition", "s1", "s2"]).where("cap IS NULL OR rank <= cap")
-    m = m.select("condition", "s1", "s2", "side", "rank", "phi", "psi")
-    key = ["condition", "s1", "s2"]
-    n = m.groupBy(*key).agg(F.count_if(F.col("side") == 1).alias("n1"), F.count_if(F.col("side") == 2).alias("n2"))
-    other = m.select(*key, *[F.col(c).alias(f"{c}_o") for c in ("side", "rank", "phi", "psi")])
-    both = m.join(other, key).where((F.col("side") < F.col("side_o")) | ((F.col("side") == F.col("side_o")) & (F.col("rank") < F.col("rank_o"))))
-    v = value(angles.torus_distance("phi", "psi", "phi_o", "psi_o", squared=True))
-    part = lambda a, b: F.coalesce(F.sum(F.when((F.col("side") == a) & (F.col("side_o") == b), v)), F.lit(0.0))
-    return n.join(both.groupBy(*key).agg(part(1, 1).alias("w1"), part(2, 2).alias("w2"), part(1, 2).alias("b")), key)
-
-
 #: Arcs that torus_sums cuts an axis into; even.
 ARCS = 72
 
@@ -134,12 +112,48 @@ def tw2(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return p.select("condition", "s1", "s2", "n1", "n2", F.when((n1 > 1) & (n2 > 1) & (spread > 1e-12), between / spread).otherwise(0.0).alias("stat"))
 
 
-def mmd2(pairs: DataFrame, sample: DataFrame, sigma: float = 1.0) -> DataFrame:
-    """Biased squared maximum mean discrepancy with the kernel exp(-(d2)^2 / (2 sigma^2)), d2 the squared distance in radians."""
-    p = pooled(pairs, sample, lambda d2: F.exp(-0.5 * F.pow(d2 * (pi / 180) ** 2, F.lit(2)) / (sigma * sigma)))
-    n1, n2 = F.col("n1"), F.col("n2")
-    stat = (2 * F.col("w1") + n1) / (n1 * n1) + (2 * F.col("w2") + n2) / (n2 * n2) - 2 * F.col("b") / (n1 * n2)
-    return p.select("condition", "s1", "s2", "n1", "n2", stat.alias("stat"))
+#: The most frequencies of an axis that mmd2 takes, and the points from which it finds their weights.
+FREQUENCIES, POINTS = 64, 512
+
+
+def kernel_weights(sigma: float, error: float) -> np.ndarray:
+    """w[p, q] with exp(-(x^2 + y^2)^2 / (2 sigma^2)) = sum of w[p, q] cos(p x) cos(q y), x and y arcs, up to ``error`` / 4.
+
+    A statistic of mean differences is off by 4 times what the weights left out sum up to at most.
+    """
+    x = np.arange(POINTS) * 2 * pi / POINTS
+    arc = np.minimum(x, 2 * pi - x) ** 2
+    w = np.real(np.fft.fft2(np.exp(-0.5 * (arc[:, None] + arc) ** 2 / sigma**2)))[: POINTS // 2 + 1, : POINTS // 2 + 1] / POINTS**2
+    twice = np.where(np.arange(len(w)) % (POINTS // 2) > 0, 2.0, 1.0)
+    w = w * twice[:, None] * twice
+    for k in range(1, FREQUENCIES + 1):
+        if 4 * (np.abs(w).sum() - np.abs(w[: k + 1, : k + 1]).sum()) <= error:
+            return w[: k + 1, : k + 1]
+    raise ValueError(f"a kernel of width {sigma} needs more than {FREQUENCIES} frequencies for an error of {error}")
+
+
+def mmd2(pairs: DataFrame, members: DataFrame, sigma: float = 1.0, error: float = 1e-9) -> DataFrame:
+    """Biased squared maximum mean discrepancy of all members with the kernel exp(-(d2)^2 / (2 sigma^2)), d2 the squared
+    distance in radians, up to ``error``.
+
+    The kernel is a function of the differences of both angles, so it is a sum of products of cosines, and the statistic
+    a weighted sum of squared differences of the two sides' mean waves: linear in the members, and no pair of them is
+    formed. A member's waves of one axis are scalars of its row; sums are partial before the exchange.
+    """
+    w = kernel_weights(sigma, error)
+    k = len(w)
+    spark = members.sparkSession
+    wave = lambda c, f, p: f(F.radians(c) * p)
+    rows = members.where("phi IS NOT NULL AND psi IS NOT NULL").select("condition", "subgroup", F.posexplode(F.array(*[F.struct(wave("phi", F.cos, p).alias("c"), wave("phi", F.sin, p).alias("s")) for p in range(k)])).alias("p", "x"), *[wave("psi", f, q).alias(f"{n}{q}") for q in range(k) for n, f in (("c", F.cos), ("s", F.sin))])
+    products = [(a, b, q) for q in range(k) for a in "cs" for b in "cs"]
+    sums = rows.groupBy("condition", "subgroup", "p").agg(F.count("*").alias("n"), *[F.sum(F.col(f"x.{a}") * F.col(f"{b}{q}")).alias(f"{a}{b}{q}") for a, b, q in products])
+    means = sums.select("condition", "subgroup", "p", "n", F.array(*[F.col(f"{a}{b}{q}") / F.col("n") for a, b, q in products]).alias("v"))
+    side = lambda j: means.select("condition", F.col("subgroup").alias(f"s{j}"), "p", F.col("n").alias(f"n{j}"), F.col("v").alias(f"v{j}"))
+    weights = spark.createDataFrame([(p, [float(w[p, q]) for _, _, q in products]) for p in range(k)], "p int, w array<double>")
+    both = pairs.select("condition", "s1", "s2").join(side(1), ["condition", "s1"]).join(side(2), ["condition", "s2", "p"]).join(F.broadcast(weights), "p")
+    gap = F.zip_with("v1", "v2", lambda a, b: (a - b) * (a - b))
+    part = F.aggregate(F.zip_with("w", gap, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    return both.groupBy("condition", "s1", "s2").agg(F.max("n1").alias("n1"), F.max("n2").alias("n2"), F.sum(part).alias("stat"))
 
 
 def kde_l1(pairs: DataFrame, members: DataFrame, bins: int, sigma: float) -> DataFrame:
@@ -150,14 +164,46 @@ def kde_l1(pairs: DataFrame, members: DataFrame, bins: int, sigma: float) -> Dat
     return both.groupBy("condition", "s1", "s2").agg(F.sum(F.abs(F.col("p1") - F.col("p2"))).alias("stat"))
 
 
-def axis_wasserstein(pairs: DataFrame, members: DataFrame, axis: str, blocks: int = 1024) -> DataFrame:
-    """Circular Wasserstein statistic of one axis: n m / (n + m) times the variance over t of F_y(Q_x(t)) - t.
+#: Directions of the closed geodesics that projection tests take unless others are given.
+GEODESICS = ((1, 0), (0, 1), (1, 1), (2, 3))
+
+
+def _winding(direction: tuple[int, int]) -> tuple[int, int, int, int]:
+    """The direction (a, b) in lowest terms, and integers (i, j) with a j - b i = 1."""
+    a, b = direction
+    if not (a or b) or a != int(a) or b != int(b):
+        raise ValueError(f"a direction is two integers, not both 0: {direction}")
+    a, b = a // gcd(a, b), b // gcd(a, b)
+    x, y, u, v = a, b, (1, 0), (0, 1)  # extended division: x = u . (a, b), y = v . (a, b)
+    while y:
+        q = x // y
+        x, y, u, v = y, x - q * y, v, (u[0] - q * v[0], u[1] - q * v[1])
+    return a, b, -u[1] * x, u[0] * x
+
+
+def geodesic_position(direction: tuple[int, int], phi: Column | str = "phi", psi: Column | str = "psi") -> Column:
+    """Where the orthogonal projection onto the closed geodesic through the origin lies along it, in [0, 1).
+
+    Angles are degrees from -180 on; the torus is the unit square. The lines of the geodesic are a unit of b x - a y
+    apart; the nearest one is found by rounding, and a shift by (i, j) leads to it from the line through the origin.
+    """
+    a, b, i, j = _winding(direction)
+    x, y = ((F.col(c) if isinstance(c, str) else c) / 360.0 + 0.5 for c in (phi, psi))
+    line = F.floor(a * y - b * x + 0.5)
+    t = (a * x + b * y - line * (a * i + b * j)) / float(a * a + b * b)
+    return t - F.floor(t)
+
+
+def circle_wasserstein(pairs: DataFrame, members: DataFrame, positions: list[Column], blocks: int = 1024) -> DataFrame:
+    """Circular Wasserstein statistic of each of the positions (in [0, 1), numbered g from 0): n m / (n + m) times the
+    variance over t of F_y(Q_x(t)) - t.
 
     F_y(Q_x(t)) is a step function of t over the sorted members x, so both moments are sums over its ranks. Ranks are
-    counted in blocks of the axis, before and within the block.
+    counted in blocks of the circle, before and within the block.
     """
-    key = ["condition", "s1", "s2"]
-    m = _sides(pairs, members).select(*key, "side", (F.col(axis) / 360.0 + 0.5).alias("u")).withColumn("block", F.floor(F.col("u") * blocks))
+    key = ["condition", "s1", "s2", "g"]
+    placed = members.select("condition", "subgroup", F.posexplode(F.array(*positions)).alias("g", "u"))
+    m = _sides(pairs, placed).withColumn("block", F.floor(F.col("u") * blocks))
     sizes = m.groupBy(*key, "block").agg(F.count_if(F.col("side") == 1).alias("n_x"), F.count_if(F.col("side") == 2).alias("n_y"))
     whole = Window.partitionBy(*key)
     upto = whole.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -173,20 +219,39 @@ def axis_wasserstein(pairs: DataFrame, members: DataFrame, axis: str, blocks: in
     return s.select(*key, "n1", "n2", (F.col("n1") * F.col("n2") / (F.col("n1") + F.col("n2")) * (F.col("b") - F.col("a") * F.col("a"))).alias("stat"))
 
 
-#: The most values of a null sample that a projection test ships to every task.
-NULL_MOST = 1_000_000
+def axis_wasserstein(pairs: DataFrame, members: DataFrame, axis: str, blocks: int = 1024) -> DataFrame:
+    """The statistic of one axis."""
+    return circle_wasserstein(pairs, members, [F.col(axis) / 360.0 + 0.5], blocks).drop("g")
+
 
+def share_above(values: DataFrame, null: DataFrame, column: str, blocks: int = 1024) -> DataFrame:
+    """Adds pval: the share of the null sample (column value) that is greater than ``column``. Either may have any size.
 
-def projection_test(pairs: DataFrame, members: DataFrame, null: DataFrame) -> DataFrame:
-    """Both axes' circular Wasserstein tests against a null sample (value): p of each, min(1, 2 min p) and mean statistic."""
-    if null.count() > NULL_MOST:
-        raise ValueError(f"a null sample of more than {NULL_MOST} values")
-    null = F.broadcast(null.agg(F.sort_array(F.collect_list("value")).alias("null")))
-    parts = [axis_wasserstein(pairs, members, a).select("condition", "s1", "s2", F.col("stat").alias(f"stat_{a}")) for a in ("phi", "psi")]
-    both = parts[0].join(parts[1], ["condition", "s1", "s2"]).crossJoin(null)
-    p = lambda a: F.size(F.filter("null", lambda x: x >= F.col(f"stat_{a}"))) / F.size("null")
-    both = both.withColumns({"p_phi": p("phi"), "p_psi": p("psi")})
-    return both.select("condition", "s1", "s2", ((F.col("stat_phi") + F.col("stat_psi")) / 2).alias("stat"), F.least(F.lit(1.0), 2 * F.least("p_phi", "p_psi")).alias("pval"))
+    Both are cut at quantiles of the null sample. Its distinct values are counted by block; the blocks' counts, at most
+    ``blocks`` rows, are summed from above by the driver. Within a block the null's values and those asked are put in
+    order together. Without a null sample pval is null.
+    """
+    cuts = sorted(set(null.agg(F.percentile_approx(F.col("value").cast("double"), [k / blocks for k in range(1, blocks)], 10 * blocks)).first()[0] or []))
+    if not cuts:
+        return values.withColumn("pval", F.lit(None).cast("double"))
+    at = lambda c: F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x <= c))
+    counted = null.where("value IS NOT NULL").groupBy(F.col("value").cast("double").alias("_v")).agg(F.count("*").alias("_k")).withColumn("_block", at(F.col("_v")))
+    held = {r._block: r.k for r in counted.groupBy("_block").agg(F.sum("_k").alias("k")).collect()}
+    above = [sum(held.get(j, 0) for j in range(i + 1, len(cuts) + 1)) for i in range(len(cuts) + 1)]
+    asked = values.withColumn("_v", F.col(column).cast("double")).withColumn("_block", at(F.col("_v")))
+    both = asked.withColumns({"_k": F.lit(0).cast("bigint"), "_asked": F.lit(True)}).unionByName(counted.withColumn("_asked", F.lit(False)), allowMissingColumns=True)
+    here = Window.partitionBy("_block")
+    over = F.sum("_k").over(here.orderBy(F.desc("_v")).rangeBetween(Window.unboundedPreceding, Window.currentRow)) - F.sum("_k").over(Window.partitionBy("_block", "_v"))
+    before = F.element_at(F.array(*[F.lit(n).cast("bigint") for n in above]), F.col("_block") + 1)
+    done = both.withColumn("pval", (before + over) / float(sum(held.values())))
+    return done.where("_asked").select(*values.columns, F.when(F.col(column).isNotNull(), F.col("pval")).alias("pval"))
+
+
+def projection_test(pairs: DataFrame, members: DataFrame, null: DataFrame, geodesics: tuple[tuple[int, int], ...] = GEODESICS) -> DataFrame:
+    """Circular Wasserstein tests of the members' projections onto closed geodesics against a null sample (value) of any
+    size: stat, the mean of the statistics, and pval = min(1, g times the least of the g shares of the null above)."""
+    every = share_above(circle_wasserstein(pairs, members, [geodesic_position(g) for g in geodesics]), null, "stat")
+    return every.groupBy("condition", "s1", "s2").agg(F.avg("stat").alias("stat"), F.least(F.lit(1.0), len(geodesics) * F.min("pval")).alias("pval"))
 
 
 def _distances(x: np.ndarray) -> np.ndarray:
@@ -195,56 +260,110 @@ def _distances(x: np.ndarray) -> np.ndarray:
     return (d * d).sum(axis=2)
 
 
-def _tw(x: np.ndarray) -> Callable[[np.ndarray], float]:
+#: Of the angles of a resample (n x 2), the function from labellings (p x n, true: side 1) to their p statistics.
+Statistic = Callable[[np.ndarray], np.ndarray]
+
+
+def _tw(x: np.ndarray) -> Statistic:
     d2 = _distances(x)
 
-    def statistic(one: np.ndarray) -> float:
-        n, m = one.sum(), (~one).sum()
-        if n < 2 or m < 2:
-            return 0.0
-        w1, w2, c = d2[np.ix_(one, one)].sum() / 2, d2[np.ix_(~one, ~one)].sum() / 2, d2[np.ix_(one, ~one)].sum()
-        spread = w1 / (n * n * (n - 1)) + w2 / (m * m * (m - 1))
-        return (c / (n * m) - w1 / n**2 - w2 / m**2) / spread if spread > 1e-12 else 0.0
+    def statistic(one: np.ndarray) -> np.ndarray:
+        one = one.astype(float)
+        n, m = one.sum(axis=1), (1 - one).sum(axis=1)
+        to_one = one @ d2
+        w1, c = (to_one * one).sum(axis=1) / 2, (to_one * (1 - one)).sum(axis=1)
+        w2 = d2.sum() / 2 - w1 - c
+        with np.errstate(divide="ignore", invalid="ignore"):
+            spread = w1 / (n * n * (n - 1)) + w2 / (m * m * (m - 1))
+            between = c / (n * m) - w1 / n**2 - w2 / m**2
+            return np.where((n > 1) & (m > 1) & (spread > 1e-12), between / spread, 0.0)
 
     return statistic
 
 
-def _mmd(x: np.ndarray) -> Callable[[np.ndarray], float]:
+def _signs(one: np.ndarray) -> np.ndarray:
+    """1 / n on side 1 and -1 / m on side 2."""
+    n, m = one.sum(axis=1, keepdims=True), (~one).sum(axis=1, keepdims=True)
+    return np.where(one, 1 / np.maximum(n, 1), -1 / np.maximum(m, 1))
+
+
+def _mmd(x: np.ndarray) -> Statistic:
     k = np.exp(-0.5 * _distances(x) ** 2)
 
-    def statistic(one: np.ndarray) -> float:
-        sign = np.where(one, 1 / max(one.sum(), 1), -1 / max((~one).sum(), 1))
-        return float(sign @ k @ sign)
+    def statistic(one: np.ndarray) -> np.ndarray:
+        sign = _signs(one)
+        return ((sign @ k) * sign).sum(axis=1)
 
     return statistic
 
 
-def _kde_g(bins: int, sigma: float) -> Callable[[np.ndarray], Callable[[np.ndarray], float]]:
+def _kde_g(bins: int, sigma: float) -> Callable[[np.ndarray], Statistic]:
     centres = -180.0 + 360.0 / bins * np.arange(bins)
 
-    def of(x: np.ndarray) -> Callable[[np.ndarray], float]:
+    def of(x: np.ndarray) -> Statistic:
         gap = np.abs(x[:, :, None] - centres)
         w = np.exp(-0.5 * (np.minimum(gap, 360 - gap) / sigma) ** 2)
         w /= w.sum(axis=2, keepdims=True)
+        return lambda one: np.array([np.abs((w[:, 0] * s[:, None]).T @ w[:, 1]).sum() for s in _signs(one)])
+
+    return of
+
 
-        def statistic(one: np.ndarray) -> float:
-            sign = np.where(one, 1 / max(one.sum(), 1), -1 / max((~one).sum(), 1))
-            return float(np.abs((w[:, 0] * sign[:, None]).T @ w[:, 1]).sum())
+def _torus_p(geodesics: tuple[tuple[int, int], ...]) -> Callable[[np.ndarray], Statistic]:
+    """Mean circular Wasserstein statistic of the projections. The pooled sample is sorted once for each direction; every
+    labelling's statistic follows from counts up to each place of that order."""
+
+    def position(direction: tuple[int, int], x: np.ndarray) -> np.ndarray:
+        a, b, i, j = _winding(direction)
+        u, v = x.T / 360.0 + 0.5
+        t = (a * u + b * v - np.floor(a * v - b * u + 0.5) * (a * i + b * j)) / (a * a + b * b)
+        return t - np.floor(t)
+
+    def of(x: np.ndarray) -> Statistic:
+        orders = []
+        for g in geodesics:
+            u = position(g, x)
+            order = np.argsort(u, kind="stable")
+            orders.append((order, np.searchsorted(u[order], u[order], "right") - 1))
+
+        def statistic(one: np.ndarray) -> np.ndarray:
+            n, m = one.sum(axis=1, keepdims=True), (~one).sum(axis=1, keepdims=True)
+            total = np.zeros(len(one))
+            for order, last in orders:
+                first = one[:, order]
+                f = np.cumsum(~first, axis=1)[:, last] / np.maximum(m, 1)  # of side 2, up to equal values
+                k = np.cumsum(first, axis=1)
+                lo, hi = (k - 1) / np.maximum(n, 1), k / np.maximum(n, 1)
+                a = (first * (f / np.maximum(n, 1) - (hi**2 - lo**2) / 2)).sum(axis=1)
+                b = (first * (f**2 / np.maximum(n, 1) - f * (hi**2 - lo**2) + (hi**3 - lo**3) / 3)).sum(axis=1)
+                total += (n * m / (n + m))[:, 0] * (b - a * a)
+            return total / len(orders)
 
         return statistic
 
     return of
 
 
-#: Of the angles of a resample (n x 2), the function from labels (true: side 1) to the statistic.
-STATISTICS = {"tw": _tw, "mmd": _mmd, "kde_g": _kde_g(128, 2.0)}
+STATISTICS: dict[str, Callable[[np.ndarray], Statistic]] = {"tw": _tw, "mmd": _mmd, "kde_g": _kde_g(128, 2.0), "torus_p": _torus_p(GEODESICS)}
+#: Labellings whose statistics are found at once, and the relative difference below which two statistics tie.
+TOGETHER, TIE = 64, 1e-9
+
+
+def labellings(seed: int, b: int, first: int, last: int, n: int, m: int) -> np.ndarray:
+    """Permutations ``first`` .. ``last`` of the labels of resample b: the n members with the least numbers are side 1."""
+    i, k = np.arange(first, last + 1)[:, None], np.arange(n + m)
+    order = np.argsort(hashes.turned(seed + b * 7919 + i * 104_729 + k * 15_485_863), axis=1, kind="stable")
+    out = np.zeros(order.shape, bool)
+    np.put_along_axis(out, order[:, :n], True, axis=1)
+    return out
 
 
 def draws(pairs: DataFrame, members: DataFrame, bootstraps: int, n_max: int, key: list[str], seed: int) -> DataFrame:
     """condition, s1, s2, b, side, k, phi, psi: for each pair and resample b the k-th member drawn for each side, with
     replacement, from all members of the subgroup; as many a side as the lesser of the sizes and n_max.
 
-    A draw is a hash of seed, pair, b, side and k; members are numbered in the order of a hash of ``key``.
+    A draw is a number of seed, pair, b, side and k; members are numbered in the order of a number of ``key`` (integers or
+    strings). Both can be repeated by any engine.
     """
     ranked = hash_rank(members, ["condition", "subgroup"], key, seed).select("condition", "subgroup", "rank", "phi", "psi")
     size = members.groupBy("condition", "subgroup").agg(F.count("*").alias("n"))
@@ -254,7 +373,7 @@ def draws(pairs: DataFrame, members: DataFrame, bootstraps: int, n_max: int, key
     upto = lambda n: F.sequence(F.lit(1), n)
     p = p.withColumn("b", F.explode(upto(F.lit(bootstraps)))).withColumn("k", F.explode(upto(F.least("n1", "n2", F.lit(n_max)).cast("int"))))
     p = p.select("*", F.explode(F.array(*[F.struct(F.lit(k).alias("side"), F.col(f"s{k}").alias("subgroup"), F.col(f"n{k}").alias("n")) for k in (1, 2)])).alias("x"))
-    at = F.pmod(F.xxhash64(F.lit(seed), "condition", "s1", "s2", "b", "x.side", "k"), F.col("x.n")) + 1
+    at = hashes.number(seed, "condition", "s1", "s2", "b", "x.side", "k") % F.col("x.n") + 1
     p = p.select("condition", "s1", "s2", "b", "k", "x.side", "x.subgroup", at.alias("rank"))
     return p.join(ranked, ["condition", "subgroup", "rank"]).drop("subgroup", "rank")
 
@@ -262,29 +381,34 @@ def draws(pairs: DataFrame, members: DataFrame, bootstraps: int, n_max: int, key
 def bootstrap_permutation(pairs: DataFrame, members: DataFrame, key: list[str], statistic: str = "tw", bootstraps: int = 1, permutations: int = 200, k_min: int = 100, k_th: int = 50, n_max: int = 200, seed: int = 0) -> DataFrame:
     """Mean statistic and pooled permutation p of each pair.
 
-    Each resample draws from all members of both sides (``draws``); labels are permuted; a resample stops once k_min
-    permutations are done and its p is at least k_th / (permutations done + 1). The counts of all resamples are pooled,
-    p = (exceeding + 1) / (done + 1), and no further resample is taken once the pooled count and p meet the same rule.
-    The seed of a pair comes from its names. A group of the Python function holds 2 * bootstraps * n_max rows at most.
+    Each resample draws from all members of both sides (``draws``); labels are permuted (``labellings``); a resample
+    stops once k_min permutations are done and its p is at least k_th / (permutations done + 1). The counts of all
+    resamples are pooled, p = (exceeding + 1) / (done + 1), and no further resample is taken once the pooled count and p
+    meet the same rule. The seed of a pair comes from its names. A group of the Python function holds
+    2 * bootstraps * n_max rows at most.
     """
 
     def test(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["b", "side", "k"])
         c, a, b = pdf[["condition", "s1", "s2"]].iloc[0]
-        rng = np.random.default_rng(zlib.crc32(f"{c}|{a}|{b}".encode()) + seed)
+        start = hashes.number_of(seed, c, a, b) % hashes.PRIME
         stats, hits, done = [], 0, 0
-        for _, one in pdf.groupby("b", sort=True):
+        for number, one in pdf.groupby("b", sort=True):
             label = one["side"].to_numpy() == 1
             of = STATISTICS[statistic](one[["phi", "psi"]].to_numpy(float))
-            seen = of(label)
+            seen = of(label[None])[0]
             stats.append(seen)
             own = i = 0
-            for i in range(1, permutations + 1):
-                own += of(rng.permutation(label)) >= seen
-                if i >= k_min and (own + 1) / (i + 1) >= k_th / (i + 1):
+            while i < permutations:
+                upto = min(permutations, i + TOGETHER)
+                own_upto = own + np.cumsum(of(labellings(start, number, i + 1, upto, label.sum(), (~label).sum())) >= seen - TIE * abs(seen))
+                at = np.flatnonzero((np.arange(i + 1, upto + 1) >= k_min) & (own_upto + 1 >= k_th))
+                last = at[0] if len(at) else len(own_upto) - 1
+                own, i = int(own_upto[last]), i + int(last) + 1
+                if len(at):
                     break
             hits, done = hits + own, done + i
-            if done >= k_min and (hits + 1) / (done + 1) >= k_th / (done + 1):
+            if done >= k_min and hits + 1 >= k_th:
                 break
         return pd.DataFrame({"condition": [c], "s1": [a], "s2": [b], "ddist": [float(np.mean(stats))], "pval": [(hits + 1) / (done + 1)]})
 
@@ -295,7 +419,7 @@ def bootstrap_permutation(pairs: DataFrame, members: DataFrame, key: list[str],
 
 
 def shuffle_labels(df: DataFrame, column: str, by: list[str], key: list[str], seed: int = 0) -> DataFrame:
-    """Permutes a label within groups: the order by one seeded hash of the key meets the order by another."""
+    """Permutes a label within groups: the order by one seeded number of the key meets the order by another."""
     a = hash_rank(df, by, key, seed, "_r")
     b = hash_rank(df.select(*by, *key, F.col(column).alias("_label")), by, key, seed + 1, "_r").select(*by, "_label", "_r")
     return a.join(b, [*by, "_r"]).withColumn(column, F.col("_label")).drop("_label", "_r").select(*df.columns)

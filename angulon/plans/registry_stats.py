@@ -6,34 +6,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import angles, codons, ratios
+from ..functions import angles, codons, hashes, ratios
 from ..operators import clusters, kde, matching, multiplicity, pairwise, redundancy, tuples, twosample
 from ..sources import metadata
 from . import fixtures as fx
 from . import jobs
 from .registry import good, query, r
 
-CAP, BINS, SIGMA, BLOCKS = 200, 16, 30.0, 16
-#: What tells a residue's rows apart.
-IDENTITY = ["struct_id", "unp_id", "unp_idx"]
+BINS, SIGMA, BLOCKS = 16, 30.0, 16
+#: What tells residues' rows apart: integers, so that numbers drawn from them are the same in any engine.
+HUNDREDTHS = {"phi_c": "phi", "psi_c": "psi"}
+IDENTITY = ["struct_id", "unp_id", "unp_idx", *HUNDREDTHS]
+IDENTITY_SQL = ["struct_id", "unp_id", "unp_idx", *(f"CAST(round({c}*100) AS BIGINT)" for c in HUNDREDTHS.values())]
+
+
+def told_apart(df: DataFrame) -> DataFrame:
+    return df.withColumns({k: F.round(F.col(c) * 100).cast("bigint") for k, c in HUNDREDTHS.items()})
 
 
 def members(spark, d) -> DataFrame:
-    return good(spark, d).select(F.col("secondary").alias("condition"), F.col("codon").alias("subgroup"), "aa", "phi", "psi", "struct_id", "unp_id", "unp_idx")
+    return told_apart(good(spark, d)).select(F.col("secondary").alias("condition"), F.col("codon").alias("subgroup"), "aa", "phi", "psi", *IDENTITY)
 
 
 def sizes(spark, d) -> DataFrame:
     return members(spark, d).groupBy("condition", "aa", F.col("subgroup").alias("codon")).agg(F.count("*").alias("n"))
 
 
-def sample(spark, d) -> DataFrame:
-    """The first CAP members of each subgroup in a stated total order, whose first term falls into thousands."""
-    turn = (F.col("struct_id") * 7919 + F.col("unp_id") * 104729) % 1000003
-    return twosample.capped(members(spark, d), CAP, F.floor(turn / 1000), [turn, *IDENTITY]).select("condition", "subgroup", "rank", "phi", "psi")
-
-
 def plan(spark, d) -> DataFrame:
-    return twosample.pair_plan(sizes(spark, d), "cc", 1, CAP)
+    return twosample.pair_plan(sizes(spark, d), "cc")
 
 
 SIZES = fx.RESIDUES + """, sz AS (SELECT secondary AS condition, aa, codon, count(*) AS n FROM good GROUP BY ALL),
@@ -41,14 +41,11 @@ ac AS (SELECT condition, aa, sum(n)::BIGINT AS n, min(n) AS least FROM sz GROUP
 PAIRS = fx.RESIDUES + """, samp AS (SELECT secondary AS condition, codon AS subgroup, phi, psi, row_number() OVER (PARTITION BY secondary, codon ORDER BY (struct_id*7919+unp_id*104729)%1000003, struct_id, unp_id, unp_idx) AS rank FROM good),
 sub AS (SELECT condition, subgroup, count(*) AS n FROM samp GROUP BY ALL),
 pr AS (SELECT a.condition, a.subgroup AS s1, b.subgroup AS s2, a.n AS n1, b.n AS n2 FROM sub a JOIN sub b ON a.condition=b.condition AND split_part(a.subgroup,'-',1)=split_part(b.subgroup,'-',1) AND a.subgroup<=b.subgroup)"""
-#: The same with sizes, and ranks, of at most the pair's cap.
-CAPPED = PAIRS.replace("a.n AS n1, b.n AS n2", f"least(a.n, b.n, {CAP}) AS n1, least(a.n, b.n, {CAP}) AS n2")
 
-
-def _sums(value: str, pairs: str = PAIRS, upto: str = "") -> str:
+def _sums(value: str) -> str:
     rows = lambda a, b, more: f"""SELECT pr.condition, s1, s2, sum({value}) AS v FROM (SELECT pr.condition, s1, s2, pow(least(abs(x.phi-y.phi),360-abs(x.phi-y.phi)),2)+pow(least(abs(x.psi-y.psi),360-abs(x.psi-y.psi)),2) AS d2
- FROM pr JOIN samp x ON x.condition=pr.condition AND x.subgroup={a} JOIN samp y ON y.condition=pr.condition AND y.subgroup={b} {more} WHERE true {upto}) pr GROUP BY ALL"""
-    return f"""{pairs}, w1 AS ({rows('s1', 's1', 'AND x.rank<y.rank')}), w2 AS ({rows('s2', 's2', 'AND x.rank<y.rank')}), b AS ({rows('s1', 's2', '')}),
+ FROM pr JOIN samp x ON x.condition=pr.condition AND x.subgroup={a} JOIN samp y ON y.condition=pr.condition AND y.subgroup={b} {more}) pr GROUP BY ALL"""
+    return f"""{PAIRS}, w1 AS ({rows('s1', 's1', 'AND x.rank<y.rank')}), w2 AS ({rows('s2', 's2', 'AND x.rank<y.rank')}), b AS ({rows('s1', 's2', '')}),
 p AS (SELECT pr.condition, pr.s1, pr.s2, n1, n2, coalesce(w1.v,0) AS w1, coalesce(w2.v,0) AS w2, b.v AS b FROM pr LEFT JOIN w1 USING (condition, s1, s2) LEFT JOIN w2 USING (condition, s1, s2) JOIN b USING (condition, s1, s2))"""
 
 
@@ -75,9 +72,9 @@ def pair_tw2(spark, d):
     return twosample.tw2(plan(spark, d), members(spark, d)).select("condition", "s1", "s2", "n1", "n2", r("stat"))
 
 
-@query("pair_mmd", f"""WITH {_sums(f'exp(-0.5*pow({RAD2},2))', CAPPED, 'AND x.rank<=n1 AND y.rank<=n1')} SELECT condition, s1, s2, n1, n2, round((2*w1+n1)/(n1*n1)+(2*w2+n2)/(n2*n2)-2*b/(n1*n2),7)+0.0 AS stat FROM p""")
+@query("pair_mmd", f"""WITH {_sums(f'exp(-0.5*pow({RAD2},2))')} SELECT condition, s1, s2, n1, n2, round((2*w1+n1)/(n1*n1)+(2*w2+n2)/(n2*n2)-2*b/(n1*n2),7)+0.0 AS stat FROM p""")
 def pair_mmd(spark, d):
-    return twosample.mmd2(plan(spark, d), sample(spark, d)).select("condition", "s1", "s2", "n1", "n2", r("stat", 7))
+    return twosample.mmd2(plan(spark, d), members(spark, d)).select("condition", "s1", "s2", "n1", "n2", r("stat", 7))
 
 
 def _grid(source: str, by: str) -> str:
@@ -198,8 +195,8 @@ def match_structs(spark, d):
     return matching.struct_table(match_group(spark, d)["matches"], structs).drop("n_residues")
 
 
-@query("equal_environments", f"""WITH {WINDOW}, bad AS (SELECT mw.ref_id, mw.query_id, mw.ref_idx FROM mw JOIN alignments c ON c.ref_id=mw.ref_id AND c.query_id=mw.query_id AND abs(c.col-mw.ref_idx)=2 WHERE c.ref_name<>c.query_name)
-SELECT ref_id, query_id, ref_idx FROM mw WHERE NOT EXISTS (SELECT 1 FROM bad b WHERE b.ref_id=mw.ref_id AND b.query_id=mw.query_id AND b.ref_idx=mw.ref_idx)""")
+@query("equal_environments", f"""WITH {WINDOW}, bad AS (SELECT ref_id, query_id, col + o AS ref_idx FROM alignments CROSS JOIN (VALUES (-2), (2)) t(o) WHERE ref_name<>query_name)
+SELECT mw.ref_id, mw.query_id, mw.ref_idx FROM mw ANTI JOIN bad ON bad.ref_id=mw.ref_id AND bad.query_id=mw.query_id AND bad.ref_idx=mw.ref_idx""")
 def equal_environments(spark, d):
     a = fx.alignments(spark, d)
     w = matching.match_windows(a, 1, 1)
@@ -298,10 +295,11 @@ def tuple_freq_z(spark, d):
     return t.select("codons", "aas", "n_aa", "n_cc", r("p_cc", 8), r("p_ind", 8), r("ratio"), r("z_score", 5), r("z_wald", 5))
 
 
-@query("tuple_freq_p")
+@query("tuple_freq_p", f"""WITH {TUPLE}, tz AS (SELECT codons, aas, CASE WHEN sqrt(q*(1-q)/n_aa)>1e-9 THEN (p-q)/sqrt(q*(1-q)/n_aa) END AS z FROM tq)
+SELECT codons, aas, round(z,5)+0.0 AS z_score, round({ratios.norm_cdf_sql('z')},9)+0.0 AS p_lower FROM tz""")
 def tuple_freq_p(spark, d):
     t = tuples.tuple_freq(residue_tuples(spark, d), lambda c: F.split_part(c, F.lit("-"), F.lit(1)))
-    return t.select("codons", "aas", "z_score", ratios.norm_cdf(F.col("z_score")).alias("p_lower"))
+    return t.select("codons", "aas", ratios.norm_cdf(F.col("z_score")).alias("p_lower"), "z_score").select("codons", "aas", r("z_score", 5), r("p_lower", 9))
 
 
 @query("histogram", "SELECT least(floor(l_quantity/10),4)::INT AS bin, 10.0::DOUBLE*least(floor(l_quantity/10),4) AS lo, 10.0::DOUBLE*least(floor(l_quantity/10),4)+10 AS hi, count(*) AS n, round(count(*)/(SELECT count(*) FROM lineitem WHERE l_quantity BETWEEN 0 AND 50),9) AS p FROM lineitem WHERE l_quantity BETWEEN 0 AND 50 GROUP BY ALL")
@@ -325,9 +323,22 @@ def product_histogram(spark, d):
     return tuples.product_histogram(shares(spark, d), 2).select("value", r("p", 9))
 
 
-@query("bootstrap_histogram")
+def _poisson_sql(column: str) -> str:
+    """A Poisson(1) number from a uniform one."""
+    p, total, out = 0.36787944117144233, 0.0, []
+    for i in range(1, 9):
+        total += p
+        out.append(f"({column}>{total!r}::DOUBLE)::INT")
+        p /= i
+    return "+".join(out)
+
+
+@query("bootstrap_histogram", f"""WITH {fx.RESIDUES}, h AS (SELECT codon AS value, {hashes.number_sql(1, 'struct_id', 'unp_idx')} AS h, b FROM good, range(1, 26) t(b)),
+n AS (SELECT b, value, sum({_poisson_sql('u')}) AS n FROM (SELECT *, turn/{hashes.PRIME}.0::DOUBLE AS u FROM {hashes.turned_sql('h', 'h + b * 7919')}) GROUP BY ALL),
+p AS (SELECT value, n/sum(n) OVER (PARTITION BY b) AS p FROM n)
+SELECT value, round(sum(p)/25,9)+0.0 AS p, round(sqrt(greatest(sum(p*p)/25-pow(sum(p)/25,2),0)),7)+0.0 AS std FROM p GROUP BY 1""")
 def bootstrap_histogram(spark, d):
-    return tuples.bootstrap_histogram(good(spark, d), "codon", ["struct_id", "unp_idx"], 25)
+    return tuples.bootstrap_histogram(good(spark, d), "codon", ["struct_id", "unp_idx"], 25).select("value", r("p", 9), r("std", 7))
 
 
 @query("proportion_intervals", f"""WITH {fx.RESIDUES}, c AS (SELECT secondary, count(*) AS n, count(*) FILTER (codon_score<1) AS k FROM residues GROUP BY 1)
@@ -414,25 +425,99 @@ def sub_clusters(spark, d):
 # --- random procedures and jobs -----------------------------------------------------------------------------------
 
 
-@query("permutation_pvalues")
+#: Of a statistic, the expression over one (side 1) and other (side 2) sums of a labelling; n members a side.
+_TW_SQL = "CASE WHEN n>1 AND w1/(n*n*(n-1))+w2/(n*n*(n-1))>1e-12 THEN (c/(n*n)-w1/(n*n)-w2/(n*n))/(w1/(n*n*(n-1))+w2/(n*n*(n-1))) ELSE 0 END"
+_MMD_SQL = "(2*w1+n)/(n*n)+(2*w2+n)/(n*n)-2*c/(n*n)"
+
+
+def _permutation_sql(statistic: str, value: str, bootstraps: int, permutations: int, k_min: int, k_th: int, n_max: int, seed: int = 0) -> str:
+    """Draws, labellings, statistics and stops of bootstrap_permutation; value: of the squared distance d2 in radians."""
+    pair = "condition, s1, s2"
+    number = hashes.number_sql
+    return f"""WITH {PAIRS}, mem AS (SELECT secondary AS condition, codon AS subgroup, phi, psi, row_number() OVER (PARTITION BY secondary, codon ORDER BY {number(seed, *IDENTITY_SQL)}, {', '.join(IDENTITY_SQL)}) AS rank FROM good),
+dr AS (SELECT {pair}, b, side, k, least(n1, n2, {n_max}) AS n, CASE side WHEN 1 THEN s1 ELSE s2 END AS subgroup, {number(seed, 'condition', 's1', 's2', 'b', 'side', 'k')} % (CASE side WHEN 1 THEN n1 ELSE n2 END) + 1 AS rank
+ FROM pr, range(1, {bootstraps + 1}) tb(b), (VALUES (1), (2)) ts(side), unnest(range(1, least(n1, n2, {n_max}) + 1)) tk(k)),
+pt AS (SELECT {pair}, b, (side-1)*n+k-1 AS pos, side, n, phi, psi FROM dr JOIN mem USING (condition, subgroup, rank)),
+d2 AS (SELECT x.condition, x.s1, x.s2, x.b, x.pos AS p, y.pos AS q, {value} AS v FROM (SELECT x.*, y.pos, (pow(least(abs(x.phi-y.phi),360-abs(x.phi-y.phi)),2)+pow(least(abs(x.psi-y.psi),360-abs(x.psi-y.psi)),2))*pow(pi()/180,2) AS d2, y.pos AS ypos FROM pt x JOIN pt y USING ({pair}, b) WHERE x.pos<y.pos) x, LATERAL (SELECT x.ypos AS pos) y),
+lb AS (SELECT {pair}, b, n, pos, 0 AS i, side=1 AS one FROM pt UNION ALL
+ SELECT {pair}, b, n, pos, i, row_number() OVER (PARTITION BY {pair}, b, i ORDER BY turn, pos)<=n AS one FROM {hashes.turned_sql(f"(SELECT *, {number(seed, 'condition', 's1', 's2')} % {hashes.PRIME} AS start FROM pt, range(1, {permutations + 1}) ti(i))", "start + b * 7919 + i * 104729 + pos * 15485863")}),
+su AS (SELECT d2.condition, d2.s1, d2.s2, d2.b, x.i, any_value(x.n)::DOUBLE AS n, coalesce(sum(v) FILTER (x.one AND y.one),0) AS w1, coalesce(sum(v) FILTER (NOT x.one AND NOT y.one),0) AS w2, coalesce(sum(v) FILTER (x.one<>y.one),0) AS c
+ FROM d2 JOIN lb x ON x.condition=d2.condition AND x.s1=d2.s1 AND x.s2=d2.s2 AND x.b=d2.b AND x.pos=d2.p JOIN lb y ON y.condition=d2.condition AND y.s1=d2.s1 AND y.s2=d2.s2 AND y.b=d2.b AND y.pos=d2.q AND y.i=x.i GROUP BY 1,2,3,4,5),
+st AS (SELECT {pair}, b, i, {statistic} AS stat FROM su), se AS (SELECT {pair}, b, stat AS seen FROM st WHERE i=0),
+cu AS (SELECT *, sum(hit) OVER (PARTITION BY {pair}, b ORDER BY i) AS own FROM (SELECT {pair}, b, i, seen, (stat>=seen-{twosample.TIE}*abs(seen))::INT AS hit FROM st JOIN se USING ({pair}, b) WHERE i>0)),
+en AS (SELECT {pair}, b, any_value(seen) AS seen, coalesce(min(i) FILTER (i>={k_min} AND own+1>={k_th}), {permutations}) AS done FROM cu GROUP BY ALL),
+re AS (SELECT {pair}, b, seen, sum(own) OVER w AS hits, sum(done) OVER w AS done FROM (SELECT en.*, own FROM en JOIN cu ON cu.condition=en.condition AND cu.s1=en.s1 AND cu.s2=en.s2 AND cu.b=en.b AND cu.i=en.done) WINDOW w AS (PARTITION BY {pair} ORDER BY b)),
+la AS (SELECT {pair}, coalesce(min(b) FILTER (done>={k_min} AND hits+1>={k_th}), {bootstraps}) AS last FROM re GROUP BY ALL)
+SELECT {pair}, round(avg(seen) FILTER (b<=last),6)+0.0 AS ddist, round((max(hits) FILTER (b=last)+1)/(max(done) FILTER (b=last)+1),9) AS pval FROM re JOIN la USING ({pair}) GROUP BY ALL"""
+
+
+def _tests(spark, d, statistic: str, **how) -> DataFrame:
+    return twosample.bootstrap_permutation(plan(spark, d), members(spark, d), IDENTITY, statistic, **how).select("condition", "s1", "s2", r("ddist"), F.round("pval", 9).alias("pval"))
+
+
+TW_TEST = {"bootstraps": 1, "permutations": 60, "k_min": 30, "k_th": 15, "n_max": 40}
+MMD_TEST = {"bootstraps": 4, "permutations": 40, "k_min": 20, "k_th": 12, "n_max": 30}
+
+
+@query("permutation_pvalues", _permutation_sql(_TW_SQL, "d2", **TW_TEST))
 def permutation_pvalues(spark, d):
-    return twosample.bootstrap_permutation(plan(spark, d), members(spark, d), IDENTITY, "tw", permutations=100)
+    return _tests(spark, d, "tw", **TW_TEST)
 
 
-@query("bootstrap_pvalues")
+@query("bootstrap_pvalues", _permutation_sql(_MMD_SQL, "exp(-0.5*d2*d2)", **MMD_TEST))
 def bootstrap_pvalues(spark, d):
-    return twosample.bootstrap_permutation(plan(spark, d), members(spark, d), IDENTITY, "mmd", bootstraps=5, permutations=50, k_min=30, k_th=20, n_max=100)
+    return _tests(spark, d, "mmd", **MMD_TEST)
+
+
+@query("torus_permutations")
+def torus_permutations(spark, d):
+    """p of the mean projected Wasserstein statistic over four geodesics, by permutations."""
+    return _tests(spark, d, "torus_p", bootstraps=3, permutations=100, k_min=50, k_th=20, n_max=100)
+
+
+def _shuffled_sql(source: str, column: str, by: str, key: list[str], seed: int) -> str:
+    order = lambda k: f"row_number() OVER (PARTITION BY {by} ORDER BY {hashes.number_sql(k, *key)}, {', '.join(key)}) AS _r"
+    return f"(SELECT a.* EXCLUDE (_r) REPLACE (b._l AS {column}) FROM (SELECT *, {order(seed)} FROM {source}) a JOIN (SELECT {by}, {column} AS _l, {order(seed + 1)} FROM {source}) b USING ({by}, _r))"
+
+
+def _position_sql(direction: tuple[int, int]) -> str:
+    a, b, i, j = twosample._winding(direction)
+    x, y = "(phi/360.0::DOUBLE+0.5::DOUBLE)", "(psi/360.0::DOUBLE+0.5::DOUBLE)"
+    t = f"(({a}*{x}+{b}*{y}-floor({a}*{y}-{b}*{x}+0.5::DOUBLE)*{a * i + b * j})/{float(a * a + b * b)}::DOUBLE)"
+    return f"({t}-floor({t}))"
 
 
-@query("projection_test")
+def _circle_sql(source: str, direction: tuple[int, int]) -> str:
+    """condition, s1, s2, stat of circle_wasserstein; source: condition, subgroup, phi, psi. Pairs are in pr."""
+    side = lambda k: f"SELECT pr.condition, s1, s2, n1, n2, {k} AS side, {_position_sql(direction)} AS u FROM pr JOIN {source} m ON m.condition=pr.condition AND m.subgroup=s{k}"
+    return f"""(SELECT condition, s1, s2, any_value(n1*n2/(n1+n2))*(sum(f*f/n1-f*(hi*hi-lo*lo)+(hi*hi*hi-lo*lo*lo)/3)-pow(sum(f/n1-(hi*hi-lo*lo)/2),2)) AS stat
+ FROM (SELECT *, (k-1)/n1 AS lo, k/n1 AS hi FROM (SELECT *, row_number() OVER (PARTITION BY condition, s1, s2 ORDER BY u) AS k FROM
+  (SELECT *, count(*) FILTER (side=2) OVER (PARTITION BY condition, s1, s2 ORDER BY u RANGE UNBOUNDED PRECEDING)/n2 AS f FROM ({side(1)} UNION ALL {side(2)})) WHERE side=1)) GROUP BY ALL)"""
+
+
+def _labels_sql(seed: int) -> str:
+    return _shuffled_sql("(SELECT secondary AS condition, codon AS subgroup, aa, phi, psi, struct_id, unp_id, unp_idx FROM good)", "subgroup", "condition, aa", IDENTITY_SQL, seed)
+
+
+NULL_SEEDS, NULL_DIRECTION = (10, 20), (1, 1)
+
+
+@query("projection_test", f"""WITH {PAIRS}, null_sample AS ({' UNION ALL '.join(f"SELECT stat AS value FROM {_circle_sql(_labels_sql(s), NULL_DIRECTION)}" for s in NULL_SEEDS)}),
+g AS ({' UNION ALL '.join(f"SELECT * FROM {_circle_sql('samp', g)}" for g in twosample.GEODESICS)}),
+p AS (SELECT *, (SELECT count(*) FROM null_sample WHERE value>g.stat)/(SELECT count(*) FROM null_sample) AS pval FROM g)
+SELECT condition, s1, s2, round(avg(stat),6)+0.0 AS stat, round(least(1,{len(twosample.GEODESICS)}*min(pval)),9) AS pval FROM p GROUP BY ALL""")
 def projection_test(spark, d):
-    null = spark.range(1, 200).select((F.lit(0.02) * F.log(200.0 / F.col("id"))).alias("value"))
-    return twosample.projection_test(plan(spark, d), members(spark, d), null)
+    """Against the statistics of one direction under labels shuffled within each condition and amino acid."""
+    m, pairs = members(spark, d), plan(spark, d)
+    ensure_checkpoints(spark)
+    nulls = [twosample.circle_wasserstein(pairs, twosample.shuffle_labels(m, "subgroup", ["condition", "aa"], IDENTITY, s), [twosample.geodesic_position(NULL_DIRECTION)]) for s in NULL_SEEDS]
+    null = nulls[0].union(nulls[1]).select(F.col("stat").alias("value")).checkpoint()  # read three times
+    return twosample.projection_test(pairs, m, null).select("condition", "s1", "s2", r("stat"), F.round("pval", 9).alias("pval"))
 
 
-@query("shuffled_labels", f"WITH {fx.RESIDUES} SELECT aa, codon, count(*) AS n FROM residues GROUP BY ALL")
+@query("shuffled_labels", f"WITH {fx.RESIDUES} SELECT struct_id, unp_id, unp_idx, aa, codon FROM {_shuffled_sql('residues', 'codon', 'aa', IDENTITY_SQL, 0)}")
 def shuffled_labels(spark, d):
-    return twosample.shuffle_labels(fx.residues(spark, d), "codon", ["aa"], ["struct_id", "unp_idx"]).groupBy("aa", "codon").agg(F.count("*").alias("n"))
+    return twosample.shuffle_labels(told_apart(fx.residues(spark, d)), "codon", ["aa"], IDENTITY).select("struct_id", "unp_id", "unp_idx", "aa", "codon")
 
 
 @query("pointwise_job")
