@@ -61,6 +61,25 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]
     return pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(at.tobytes()), pa.py_buffer(_TO_LOWER[inside].tobytes())), counts
 
 
+def term_counts(text: Column) -> Column:
+    """How many terms a text has, with repeats."""
+
+    def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            n = []
+            for _, _, data, offsets in chunks(b, BLOCK_BYTES):
+                inside = _INSIDE[data]
+                first = inside.copy()
+                first[1:] &= ~inside[:-1]
+                first[offsets[:-1][np.diff(offsets) > 0]] = inside[offsets[:-1][np.diff(offsets) > 0]]
+                upto = np.concatenate([[0], np.cumsum(first)])
+                n.append(upto[offsets[1:]] - upto[offsets[:-1]])
+            yield pa.array(np.concatenate(n) if n else np.zeros(0, np.int64), pa.int64())
+
+    counted.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(releasing(counted), "bigint")(text)
+
+
 def block_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """terms, and of each list (by term, then tf): its term, tf and size; and the documents' places, list by list."""
     all_terms, counts = tokens(data, offsets)
@@ -97,7 +116,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def build(docs: DataFrame) -> tuple[DataFrame, int, int]:
     """The index of all documents (a stored table), N and L."""
-    sized = docs.select("doc_id", "text", F.regexp_count("text", F.lit(TERM)).cast("bigint").alias("terms")).where("terms > 0")
+    sized = docs.select("doc_id", "text", term_counts(F.col("text")).alias("terms")).where("terms > 0")
     n_docs, total = sized.agg(F.count("*"), F.coalesce(F.sum("terms"), F.lit(0))).first()
     m = F.expr(f"50 + (50 * terms * {n_docs}L) div {max(total, 1)}L")
     dealt = sized.select("doc_id", "text", m.alias("m")).hint("rebalance", "m").sortWithinPartitions("m")
