@@ -28,6 +28,8 @@ from .shared import discard, releasing, scratch, stored
 from .textio import chunks, mix, row_of, span_hashes
 
 SHINGLE, ROWS, BANDS, PASSES, BINS, THRESHOLD = 5, 6, 23, 3, 46, 0.8
+#: Words of a line's odd sketch, and text for each part of the bands' space.
+WORDS, PART_BYTES = 8, 1 << 21
 _TIMES = mix(np.arange(PASSES, dtype=np.uint64), 21) | np.uint64(1)
 _PLACES = mix(np.arange(SHINGLE, dtype=np.uint64), 22) | np.uint64(1)
 _EMPTY = np.uint32(0xFFFFFFFF)
@@ -110,19 +112,22 @@ def signatures(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for lo, _, data, offsets in chunks(b.column("text"), 1 << 17):
+        for lo, _, data, offsets in chunks(b.column("text"), 1 << 18):
             start, end, number, text = spans(data, offsets)
             keep = np.flatnonzero(end > start)
-            if not len(keep):
-                continue
-            start, end, number, text = start[keep], end[keep], number[keep], text[keep]
-            node = span_hashes(data, start, end).view(np.int64)
-            bands = pa.FixedSizeListArray.from_arrays(pa.array(signatures(data, start, end).ravel()), BANDS).cast(pa.list_(pa.int64()))
-            take = pa.array(text + lo)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(take), b.column("t").take(take), pa.array(number.astype(np.int32)), pa.array(node), bands], ["doc_id", "t", "line", "node", "buckets"])
+            node = span_hashes(data, start[keep], end[keep]).view(np.int64)
+            take = pa.array(text[keep] + lo)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(take), b.column("t").take(take), pa.array(number[keep].astype(np.int32)), pa.array(node)], ["doc_id", "t", "line", "node"])
 
 
-_SCHEMA = "doc_id bigint, t bigint, line int, node bigint, buckets array<bigint>"
+def _placed(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The lines that are not blank, each once in a chunk, how many bands each has, and these."""
+    for _, _, data, offsets in chunks(b.column("text"), 1 << 17):
+        start, end, _, _ = spans(data, offsets)
+        keep = np.flatnonzero(end > start)
+        node, once = np.unique(span_hashes(data, start[keep], end[keep]).view(np.int64), return_index=True)
+        if len(once):
+            yield node, np.full(len(once), BANDS), signatures(data, start[keep[once]], end[keep[once]]).ravel()
 
 
 def _contents(sieve: neardup.Sieve):
@@ -138,7 +143,7 @@ def _contents(sieve: neardup.Sieve):
                 start, end, node = start[keep], end[keep], node[keep]
                 h, n = distinct_shingles(data, start, end)
                 text = pa.array([data[i:j].tobytes().decode("utf-8") for i, j in zip(start, end, strict=True)], pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(node), text, *neardup.described(h, n)], ["node", "text", *neardup.ABOUT])
+                yield pa.RecordBatch.from_arrays([pa.array(node), text, *neardup.described(h, n, WORDS)], ["node", "text", *neardup.about(WORDS)])
 
     return contents
 
@@ -184,11 +189,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, t (hash of the text), lines: for each document that loses lines, their numbers from 0, ascending."""
     rows = _keyed(docs)
-    lines = stored(rows.mapInArrow(releasing(_lines), _SCHEMA), "lines")
-    members = neardup.shared_buckets(lines)
+    texts = rows.select("text").where(F.col("text").isNotNull())
+    members = neardup.shared_buckets(texts, _placed, neardup.parts_for(texts, PART_BYTES))
     sieve = neardup.Sieve(members, "node")
-    contents = rows.select("text").mapInArrow(releasing(_contents(sieve)), f"node bigint, text string, {neardup.ABOUT_SCHEMA}")
-    contents = stored(contents.groupBy("node").agg(*[F.first(c).alias(c) for c in ("text", *neardup.ABOUT)]), "line_texts")
+    contents = texts.mapInArrow(releasing(_contents(sieve)), f"node bigint, text string, {neardup.about_schema(WORDS)}")
+    contents = stored(contents.groupBy("node").agg(*[F.first(c).alias(c) for c in ("text", *neardup.about(WORDS))]), "line_texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
         left = contents.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
@@ -196,8 +201,9 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         both = pairs.join(right, "b").join(left, "a").select("a", "b", "la", "lb", "text_a", "text_b")
         return both.sortWithinPartitions("a").mapInArrow(releasing(_verified(threshold)), "a bigint, b bigint, la bigint, lb bigint")
 
-    labels = neardup.classes(members, contents, verify, threshold)
+    labels = neardup.classes(members, contents, verify, threshold, WORDS)
     discard(members, contents)
+    lines = stored(rows.mapInArrow(releasing(_lines), "doc_id bigint, t bigint, line int, node bigint"), "lines")
     # A line that has others like it: its group (its class's label, else itself) and the least id in the group.
     own = lines.groupBy("node").agg(F.count("*").alias("times"), F.min("doc_id").alias("least"))
     classed = stored(labels.union(labels.select("label", "label").distinct()), "classed")

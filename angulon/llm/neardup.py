@@ -7,11 +7,16 @@ bucket's least: this finds the large classes, and buckets whose nodes share a cl
 found link joins become one, and a bucket is done when its remaining nodes share a class. A group of thousands of
 copies takes about as many comparisons as it has nodes.
 
-Where a leader meets a node, an odd sketch decides first: BITS bits, of which bit ``hash mod BITS`` is turned over for
-each of a node's parts (shingles). Each bit in which two sketches differ stands for at least one part that only one of
-the nodes has, which bounds their likeness from above; pairs whose bound is below the threshold never leave the join.
-The bound is exact: no link between different classes is lost. Large buckets are dealt out by a salt of the node, to
-which their leaders are copied.
+Where a leader meets a node, an odd sketch decides first: a number of bits, of which bit ``hash mod bits`` is turned over
+for each of a node's parts (shingles). Each bit in which two sketches differ stands for at least one part that only one
+of the nodes has, which bounds their likeness from above. Sketches of nodes with many parts fill up; so a pair is also
+ruled out if more bits differ than a pair at the threshold would have, by SIGMAS standard deviations (a chance of 1e-9
+for a pair at the threshold; much less above it). Pairs ruled out never leave the join. Large buckets are dealt out by a
+salt of the node, to which their leaders are copied.
+
+Buckets are found by one exchange of packed keys: a task sorts what it has by parts of the key space, and each part is
+read by one task in turn, which keeps one node for each key seen once and gives out the nodes of keys seen again. What a
+task holds is bounded by the distinct keys of a part, whose number the caller sets by the size of the input.
 """
 
 from __future__ import annotations
@@ -24,49 +29,66 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import discard, few, free_exchanges, stored
-from .textio import row_of
+from .shared import discard, few, free_exchanges, releasing, stored
+from .textio import mix, row_of
 
-FIRST_LEADERS, MORE_LEADERS, SALT_ROWS, WORDS = 2, 8, 256, 8
+FIRST_LEADERS, MORE_LEADERS, SALT_ROWS, SIGMAS = 2, 8, 256, 6.0
 #: One of so many buckets takes part in the first round.
 EARLY = 6
-BITS = 64 * WORDS
-#: The columns that describe a node: number of its parts, and their odd sketch.
-ABOUT = ["size", *(f"w{k}" for k in range(WORDS))]
-ABOUT_SCHEMA = ", ".join(f"{c} bigint" for c in ABOUT)
+#: Keys that a task packs at once, and that a part's reader merges at once.
+PACKED, MERGED = 1 << 20, 1 << 19
+#: A packed key: what is left of a bucket within its part, and the node.
+ENTRY = np.dtype([("rest", "V5"), ("node", "<i8")])
 
 
-def described(keys: np.ndarray, counts: np.ndarray) -> list[pa.Array]:
-    """The columns ABOUT of nodes with the given part hashes (distinct within a node) and numbers of parts."""
-    at = (keys >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)
+def about(words: int) -> list[str]:
+    """The columns that describe a node: number of its parts, and their odd sketch of ``words`` 64-bit words."""
+    return ["size", *(f"w{k}" for k in range(words))]
+
+
+def about_schema(words: int) -> str:
+    return ", ".join(f"{c} bigint" for c in about(words))
+
+
+def described(keys: np.ndarray, counts: np.ndarray, words: int) -> list[pa.Array]:
+    """The columns ``about`` of nodes with the given part hashes (distinct within a node) and numbers of parts."""
+    bits = 64 * words
+    at = (keys >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)
     ends = np.concatenate([[0], np.cumsum(counts)])
-    words = []
-    for k in range(0, max(len(counts), 1), 1 << 13):
-        some = counts[k : k + (1 << 13)]
-        cells = row_of(some) * BITS + at[ends[k] : ends[k + len(some)]]
-        bits = (np.bincount(cells, minlength=len(some) * BITS) & 1).astype(np.uint8).reshape(len(some), BITS)
-        words.append(np.packbits(bits, axis=1, bitorder="little").view("<i8"))
-    words = np.concatenate(words).reshape(len(counts), WORDS)
-    return [pa.array(counts.astype(np.int64)), *(pa.array(np.ascontiguousarray(words[:, k])) for k in range(WORDS))]
-
-
-def _within(threshold: float) -> Column:
-    """Whether the odd sketches leave room for the threshold, of columns ABOUT and the same with ``a_``."""
-    apart = sum((F.bit_count(F.col(f"w{k}").bitwiseXOR(F.col(f"a_w{k}"))) for k in range(1, WORDS)), F.bit_count(F.col("w0").bitwiseXOR(F.col("a_w0"))))
+    out = []
+    step = max(1, (1 << 22) // bits)
+    for k in range(0, max(len(counts), 1), step):
+        some = counts[k : k + step]
+        cells = row_of(some) * bits + at[ends[k] : ends[k + len(some)]]
+        odd = (np.bincount(cells, minlength=len(some) * bits) & 1).astype(np.uint8).reshape(len(some), bits)
+        out.append(np.packbits(odd, axis=1, bitorder="little").view("<i8"))
+    made = np.concatenate(out).reshape(len(counts), words)
+    return [pa.array(counts.astype(np.int64)), *(pa.array(np.ascontiguousarray(made[:, k])) for k in range(words))]
+
+
+def _within(threshold: float, words: int) -> Column:
+    """Whether the odd sketches leave room for the threshold, of columns ``about`` and the same with ``a_``."""
+    bits = 64.0 * words
+    differ = sum((F.bit_count(F.col(f"w{k}").bitwiseXOR(F.col(f"a_w{k}"))) for k in range(1, words)), F.bit_count(F.col("w0").bitwiseXOR(F.col("a_w0"))))
     both = F.col("size") + F.col("a_size")
-    apart = F.greatest(apart, F.abs(F.col("size") - F.col("a_size")))
-    return both - apart >= threshold * (both + apart) - 1e-9
+    apart = F.greatest(differ, F.abs(F.col("size") - F.col("a_size")))
+    most = both * ((1 - threshold) / (1 + threshold))  # parts that only one node of a pair at the threshold has
+    usual = bits / 2 * (1 - F.exp(-2 * most / bits)) + SIGMAS * F.sqrt(bits / 4 * (1 - F.exp(-4 * most / bits))) + 1
+    return (apart <= most + 1e-9) & (differ <= usual)
+
+
+def _is_forest_of_stars(edges: DataFrame, n: int) -> bool:
+    """Whether every node is either below one other or above others."""
+    ends = edges.select("u", F.lit(1).alias("below"), F.lit(0).alias("above")).union(edges.select("v", F.lit(0), F.lit(1)))
+    nodes = few(ends, 2 * n).groupBy("u").agg(F.sum("below").alias("below"), F.sum("above").alias("above"))
+    return nodes.where("below > 1 OR (below > 0 AND above > 0)").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, label: each node of the edges (a, b) but the least of its component, which is the label. Large and small stars in turn."""
+    """node, label: each node of the edges (a, b) but the least of its component, which is the label. Large and small
+    stars in turn, until every component is one star."""
     stars = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars")
-    mark = None
-    while True:
-        now = stars.agg(F.count("*"), F.sum(F.hash("u", "v").cast("bigint"))).first()
-        if now == mark or not now[0]:
-            return stars.select(F.col("u").alias("node"), F.col("v").alias("label"))
-        mark, n = now, now[0]
+    while (n := stars.count()) and not _is_forest_of_stars(stars, n):
         both = few(stars, n).union(few(stars.select("v", "u"), n))
         least = few(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), n)
         large = few(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), n)
@@ -74,52 +96,143 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         old, stars = stars, stored(few(few(small, n).distinct(), n), "stars")
         discard(old)
-
-
-def shared_buckets(placed: DataFrame) -> DataFrame:
-    """bucket, node, n: the distinct pairs of buckets that hold n > 1 nodes, from rows of node and buckets (an array).
-
-    Counts by bucket are summed before the exchange, so a bucket of which a third of all rows have a copy is no heavier
-    than others. Rows of other buckets are left out where they are read, as far as a bitmap of fixed size can tell.
-    """
-    counts = placed.select(F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    repeated = stored(counts.select("bucket"), "repeated")
-    sieve = Sieve(repeated, "bucket")
-
-    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return stars.select(F.col("u").alias("node"), F.col("v").alias("label"))
+
+
+#: Of a batch, its nodes, how many buckets each has, and these, one after another.
+Placed = Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]
+
+
+def _packed(place: Placed, parts: int):
+    """part, entries: what a task has for each part of the key space, packed."""
+    width = np.uint64((1 << 64) // parts + 1)
+
+    def flush(nodes: list[np.ndarray], keys: list[np.ndarray]) -> pa.RecordBatch:
+        key, node = np.concatenate(keys), np.concatenate(nodes)
+        order = np.lexsort((node, key))
+        key, node = key[order], node[order]
+        new = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
+        key, node = key[new], node[new]
+        part = key // width
+        rest = (key - part * width) >> np.uint64(max(0, int(width).bit_length() - 40))
+        entries = np.empty(len(key), ENTRY)
+        entries["rest"] = np.ascontiguousarray(rest.view(np.uint8).reshape(-1, 8)[:, :5]).view("V5").ravel()
+        entries["node"] = node
+        first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        ends = np.r_[first[1:], len(key)]
+        data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(np.r_[first, len(key)].astype(np.int64) * ENTRY.itemsize), pa.py_buffer(entries.tobytes())]).cast(pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int64)), pa.array(ends - first), data], ["part", "n", "entries"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, keys, held = [], [], 0
         for b in batches:
-            lists = b.column("buckets")
-            flat, n = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
-            keep = sieve.may_hold(flat)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("node").to_numpy(), n)[keep]), pa.array(flat[keep])], ["node", "bucket"])
-
-    pairs = stored(placed.select("node", "buckets").mapInArrow(passing, "node bigint, bucket bigint").distinct(), "placed")
+            for node, counts, key in place(b):
+                nodes.append(np.repeat(node, counts))
+                keys.append(key.view(np.uint64))
+                held += len(key)
+                if held >= PACKED:
+                    yield flush(nodes, keys)
+                    nodes, keys, held = [], [], 0
+        if held:
+            yield flush(nodes, keys)
+
+    return packed
+
+
+class _Part:
+    """The keys of a part seen so far: sorted, with the node of a key that has one node only."""
+
+    def __init__(self, number: int) -> None:
+        self.number, self.key, self.node, self.again = number, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
+        self.waiting: list[np.ndarray] = []
+        self.held = 0
+
+    def add(self, entries: bytes) -> Iterator[pa.RecordBatch]:
+        self.waiting.append(np.frombuffer(entries, ENTRY))
+        self.held += len(self.waiting[-1])
+        if self.held >= MERGED:
+            yield from self.merge()
+
+    def merge(self) -> Iterator[pa.RecordBatch]:
+        """Gives out the pairs of keys that have two nodes by now: the new ones, and the one kept of keys new to it."""
+        if not self.waiting:
+            return
+        entries = np.concatenate(self.waiting)
+        rest = np.zeros((len(entries), 8), np.uint8)
+        rest[:, :5] = np.ascontiguousarray(entries["rest"]).view(np.uint8).reshape(-1, 5)
+        key = np.concatenate([self.key, rest.view(np.uint64).ravel()])
+        node = np.concatenate([self.node, entries["node"]])
+        given = np.concatenate([self.again, np.zeros(len(entries), bool)])  # keys given out before have no node left
+        kept = np.concatenate([np.ones(len(self.key), bool), np.zeros(len(entries), bool)])
+        order = np.lexsort((node, ~given, key))
+        key, node, given, kept = key[order], node[order], given[order], kept[order]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        size = np.diff(np.r_[first, len(key)])
+        other = np.add.reduceat(np.r_[False, (key[1:] == key[:-1]) & (node[1:] != node[:-1])].astype(np.int64), first) > 0
+        again = given[first] | other
+        new = ~given & np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]) | given[:-1]]
+        out = np.repeat(again, size) & new
+        if out.any():
+            bucket = mix(key[out] + np.uint64(self.number * 0x9E3779B97F4A7C15 % (1 << 64)), 5).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(node[out])], ["bucket", "node"])
+        self.key, self.node, self.again = key[first], node[first], again
+        self.waiting, self.held = [], 0
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    part = None
+    for b in batches:  # by part
+        for number, entries in zip(b.column("part").to_pylist(), b.column("entries"), strict=True):
+            if part is None or number != part.number:
+                if part is not None:
+                    yield from part.merge()
+                part = _Part(number)
+            yield from part.add(entries.as_buffer())
+    if part is not None:
+        yield from part.merge()
+
+
+def shared_buckets(rows: DataFrame, place: Placed, parts: int) -> DataFrame:
+    """bucket, node, n: the distinct pairs of buckets that hold n > 1 nodes.
+
+    Equal entries of a task's chunk are one, so a bucket of which a third of all rows have a copy of one node is no
+    heavier than others; one with very many nodes is given out as it is read.
+    """
+    packed = rows.mapInArrow(releasing(_packed(place, parts)), "part bigint, n bigint, entries binary")
+    found = packed.repartition("part").sortWithinPartitions("part").mapInArrow(releasing(_merged), "bucket bigint, node bigint")
+    pairs = stored(found.distinct(), "placed")
     sizes = pairs.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = stored(pairs.join(sizes, "bucket").select("bucket", "node", "n"), "buckets")
-    discard(repeated, pairs)
+    discard(pairs)
     free_exchanges(members.sparkSession)
     return members
 
 
+def parts_for(texts: DataFrame, part_bytes: int) -> int:
+    """Into how many parts the keys of texts (column text) are cut: one for each ``part_bytes`` of text."""
+    size = texts.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+    return max(16, -(-size // part_bytes))
+
+
 def _mixed(members: DataFrame) -> DataFrame:
     """The buckets whose nodes do not all share one label."""
     return members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
 
 
-def classes(members: DataFrame, about: DataFrame, verify: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
+def classes(members: DataFrame, nodes: DataFrame, verify: Callable[[DataFrame], DataFrame], threshold: float, words: int) -> DataFrame:
     """node, label for every node that has a link: label is the least node of its class, which is not listed itself.
 
-    members: distinct (bucket, node, n), as shared_buckets gives them. about: node and the columns ABOUT, one row a
+    members: distinct (bucket, node, n), as shared_buckets gives them. nodes: node and the columns ``about``, one row a
     node. verify: of pairs (a, b, la, lb), those whose nodes a and b are similar.
     """
-    about = about.select("node", *ABOUT)
+    nodes = nodes.select("node", *about(words))
     salts = F.greatest(F.ceil(F.col("n") / SALT_ROWS), F.lit(1)).cast("int")
     dealt = members.select("bucket", salts.alias("salts"), F.pmod(F.hash("node"), salts).alias("salt"), "node")
 
     def links_of(members: DataFrame, leaders: DataFrame, n: int) -> DataFrame:
-        """Verified pairs of leaders (bucket, salts, a_...) and later members in other classes; n: number of members."""
+        """Verified pairs of leaders (bucket, salts, a_...) and later members in other classes; n: most pairs there are."""
         everywhere = leaders.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-        pairs = members.join(everywhere, ["bucket", "salt"]).where((F.col("node") > F.col("a_node")) & (F.col("label") != F.col("a_label")) & _within(threshold))
+        pairs = members.join(everywhere, ["bucket", "salt"]).where((F.col("node") > F.col("a_node")) & (F.col("label") != F.col("a_label")) & _within(threshold, words))
         pairs = few(pairs.select(F.col("a_node").alias("a"), F.col("node").alias("b"), F.col("a_label").alias("la"), F.col("label").alias("lb")), n)
         # texts are compared in as many tasks as Spark takes: a few tasks would hold many of them at once
         return stored(verify(pairs.distinct()), "links")
@@ -127,22 +240,22 @@ def classes(members: DataFrame, about: DataFrame, verify: Callable[[DataFrame],
     def moves(links: DataFrame) -> DataFrame:
         return components(links.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("to"))
 
-    early = stored(dealt.where(F.pmod("bucket", F.lit(EARLY)) == 0).join(about, "node").withColumn("label", F.col("node")), "early")
+    early = stored(dealt.where(F.pmod("bucket", F.lit(EARLY)) == 0).join(nodes, "node").withColumn("label", F.col("node")), "early")
     least = early.groupBy("bucket").agg(F.min("node").alias("node"))
-    leaders = early.join(least, ["bucket", "node"], "left_semi").select("bucket", "salts", *[F.col(c).alias(f"a_{c}") for c in ("node", "label", *ABOUT)])
+    leaders = early.join(least, ["bucket", "node"], "left_semi").select("bucket", "salts", *[F.col(c).alias(f"a_{c}") for c in ("node", "label", *about(words))])
     links = links_of(early, leaders, early.count())
     found = stored(moves(links).select(F.col("label").alias("node"), F.col("to").alias("label")), "found")
     members = stored(dealt.join(found, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
     discard(early, links)
-    open_still = stored(members.join(_mixed(members), "bucket", "left_semi").join(about, "node"), "members")
+    open_still = stored(members.join(_mixed(members), "bucket", "left_semi").join(nodes, "node"), "members")
     discard(members)
     free_exchanges(open_still.sparkSession)
     members, wanted = open_still, FIRST_LEADERS
     while n := members.count():  # of a stored table: read off its files
         first = few(members.withColumn("r", F.row_number().over(Window.partitionBy("bucket", "salt").orderBy("node"))).where(F.col("r") <= wanted), n)
         leaders = few(first.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy("node"))).where(F.col("r") <= wanted), n)
-        leaders = stored(leaders.select("bucket", "salts", *[F.col(c).alias(f"a_{c}") for c in ("node", "label", *ABOUT)]), "leaders")
-        links = links_of(members, leaders, n)
+        leaders = stored(leaders.select("bucket", "salts", *[F.col(c).alias(f"a_{c}") for c in ("node", "label", *about(words))]), "leaders")
+        links = links_of(members, leaders, n * wanted)
         old = [members, leaders, links]
         if not links.isEmpty():
             moved = moves(links)

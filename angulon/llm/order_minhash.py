@@ -27,6 +27,8 @@ from .shared import discard, releasing, scratch, stored
 from .textio import LOWER_CODES, chunks, mix, row_of, span_hashes, words
 
 K, L, SKETCHES, THRESHOLD = 5, 6, 30, 0.8
+#: Words of a document's odd sketch, and text for each part of the sketches' space.
+WORDS, PART_BYTES = 32, 1 << 24
 #: Short documents' sketches take fewer shingles; a pair whose sizes the threshold allows has one kind in common.
 L_SHORT, SHORT = 2, (12, 14)
 _TIMES = np.uint64(0x9E3779B97F4A7C15)
@@ -100,19 +102,19 @@ def sketches(keys: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for lo, hi, data, offsets in chunks(b.column("text"), 1 << 18):
-            start, end, counts = words(data, offsets)
-            keys, n = shingles(span_hashes(data, start, end, LOWER_CODES), counts)
-            keys = labelled(keys, n)
-            of_many, of_few = n >= SHORT[0], n <= SHORT[1]
-            many, few = np.zeros((2, hi - lo, SKETCHES), np.int64)
-            for made, pick, size in ((many, of_many, L), (few, of_few, L_SHORT)):
-                made[pick] = sketches(keys[np.repeat(pick, n)], n[pick], size)
-            both = np.concatenate([many, few], axis=1)[np.repeat(np.column_stack([of_many, of_few]), SKETCHES, axis=1)]
-            at = pa.array(np.concatenate([[0], np.cumsum(SKETCHES * (of_many.astype(np.int64) + of_few))]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), b.column("node").slice(lo, hi - lo), pa.ListArray.from_arrays(at, pa.array(both))], ["doc_id", "node", "sketches"])
+def _placed(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Nodes, how many sketches each has, and the sketches."""
+    node = b.column("node").to_numpy()
+    for lo, hi, data, offsets in chunks(b.column("text"), 1 << 18):
+        start, end, counts = words(data, offsets)
+        keys, n = shingles(span_hashes(data, start, end, LOWER_CODES), counts)
+        keys = labelled(keys, n)
+        of_many, of_few = n >= SHORT[0], n <= SHORT[1]
+        both = np.zeros((2, hi - lo, SKETCHES), np.int64)
+        for made, pick, size in ((both[0], of_many, L), (both[1], of_few, L_SHORT)):
+            made[pick] = sketches(keys[np.repeat(pick, n)], n[pick], size)
+        held = np.repeat(np.column_stack([of_many, of_few]), SKETCHES, axis=1)
+        yield node[lo:hi], held.sum(axis=1), np.concatenate([both[0], both[1]], axis=1)[held]
 
 
 def _contents(sieve: neardup.Sieve):
@@ -127,7 +129,7 @@ def _contents(sieve: neardup.Sieve):
                 keys, n = shingles(span_hashes(data, start, end, LOWER_CODES), counts)
                 keys = labelled(keys, n)
                 at = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(node[keep[lo:hi]]), pa.ListArray.from_arrays(at, pa.array(keys.view(np.int64))), *neardup.described(mix(keys, 13), n)], ["node", "parts", *neardup.ABOUT])
+                yield pa.RecordBatch.from_arrays([pa.array(node[keep[lo:hi]]), pa.ListArray.from_arrays(at, pa.array(keys.view(np.int64))), *neardup.described(mix(keys, 13), n, WORDS)], ["node", "parts", *neardup.about(WORDS)])
 
     return contents
 
@@ -178,11 +180,11 @@ def with_node(docs: DataFrame) -> DataFrame:
 def classes_of(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, node (hash of the text), class_id of each distinct (doc_id, text): the least id of its class; kept is true for one of each class."""
     rows = with_node(docs)
-    sketched = stored(rows.mapInArrow(releasing(_sketched), "doc_id bigint, node bigint, sketches array<bigint>"), "sketches")
-    members = neardup.shared_buckets(sketched.select("node", F.col("sketches").alias("buckets")))
+    texts = rows.select("node", "text")
+    members = neardup.shared_buckets(texts, _placed, neardup.parts_for(texts, PART_BYTES))
     sieve = neardup.Sieve(members, "node")
-    contents = rows.select("node", "text").mapInArrow(releasing(_contents(sieve)), f"node bigint, parts array<bigint>, {neardup.ABOUT_SCHEMA}")
-    contents = stored(contents.groupBy("node").agg(*[F.first(c).alias(c) for c in ("parts", *neardup.ABOUT)]), "parts")
+    contents = texts.mapInArrow(releasing(_contents(sieve)), f"node bigint, parts array<bigint>, {neardup.about_schema(WORDS)}")
+    contents = stored(contents.groupBy("node").agg(*[F.first(c).alias(c) for c in ("parts", *neardup.about(WORDS))]), "parts")
 
     def verify(pairs: DataFrame) -> DataFrame:
         left = contents.select(F.col("node").alias("a"), F.col("parts").alias("parts_a"))
@@ -190,14 +192,14 @@ def classes_of(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         both = pairs.join(right, "b").join(left, "a").select("a", "b", "la", "lb", "parts_a", "parts_b")
         return both.sortWithinPartitions("a").mapInArrow(releasing(_verified(threshold)), "a bigint, b bigint, la bigint, lb bigint")
 
-    labels = neardup.classes(members, contents, verify, threshold)
-    ids = sketched.select("doc_id", "node").distinct().join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labels = neardup.classes(members, contents, verify, threshold, WORDS)
+    ids = rows.select("doc_id", "node").distinct().join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     first = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "node")
     heads = ids.groupBy("label").agg(F.min(first).alias("head"))
     ids = ids.join(heads, "label")
     found = ids.select("doc_id", "node", F.col("head.doc_id").alias("class_id"), (F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("node") == F.col("head.node"))).alias("kept"))
     found = stored(found, "classes")
-    discard(sketched, members, contents, labels)
+    discard(members, contents, labels)
     return found
 
 
