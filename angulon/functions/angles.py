@@ -86,23 +86,31 @@ def circ_centroid(phi: str, psi: str) -> list[Column]:
     return [circ_mean(phi).alias(phi), circ_mean(psi).alias(psi), circ_std(phi).alias(f"{phi}_std"), circ_std(psi).alias(f"{psi}_std")]
 
 
-def frechet_axis(df: DataFrame, by: list[str], angle: str, out: str) -> DataFrame:
-    """Per group the point with the least mean squared arc to the members, and the root of that.
+def frechet_axis(df: DataFrame, by: list[str], angle: str, out: str, arcs: int = 1024) -> DataFrame:
+    """Per group the point with the least mean squared arc to the members, and the root of that. Degrees from -180 on.
 
     With the members sorted, the minimiser is the mean after moving the first k of them once around, for some k; each
-    candidate's cost follows from prefix sums. Equal costs: least absolute value, then the lesser.
+    candidate's cost follows from prefix sums. These come in two levels: sums of arcs, of which a group has ``arcs`` at
+    most, and within an arc over its distinct angles; so no window holds more than an arc. Equal costs: least absolute
+    value, then the lesser.
     """
-    own = df.where(F.col(angle).isNotNull()).select(*by, F.col(angle).cast("double").alias("_x"))
+    own = df.where(F.col(angle).isNotNull()).groupBy(*by, F.col(angle).cast("double").alias("_x")).agg(F.count("*").alias("_w"))
+    own = own.withColumn("_arc", F.floor((F.col("_x") + 180.0) * (arcs / 360.0)))
+    x, w = F.col("_x"), F.col("_w")
+    sums = own.groupBy(*by, "_arc").agg(F.sum("_w").alias("_n"), F.sum(x * w).alias("_s"), F.sum(x * x * w).alias("_q"))
     group = Window.partitionBy(*by)
-    order = group.orderBy("_x")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    k, n = F.row_number().over(order) - 1, F.count("*").over(group)
-    total, squares = F.sum("_x").over(group), F.sum(F.col("_x") * F.col("_x")).over(group)
-    moved = F.coalesce(F.sum("_x").over(before), F.lit(0.0))
-    mean = (total + 360.0 * k) / n
-    cost = (squares + 720.0 * moved + 129600.0 * k) / n - mean * mean
+    upto = group.orderBy("_arc").rowsBetween(Window.unboundedPreceding, -1)
+    before = [F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(f"{c}_before") for c in ("_n", "_s")]
+    sums = sums.select(*[F.col(c).alias(f"_{c}_of") for c in by], F.col("_arc").alias("_arc_of"), *before, *[F.sum(c).over(group).alias(f"{c}_all") for c in ("_n", "_s", "_q")])
+    both = own.join(sums, [F.col(c).eqNullSafe(F.col(f"_{c}_of")) for c in by] + [F.col("_arc") == F.col("_arc_of")])
+    here = Window.partitionBy(*by, "_arc").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
+    k = F.col("_n_before") + F.coalesce(F.sum("_w").over(here), F.lit(0))
+    moved = F.col("_s_before") + F.coalesce(F.sum(x * w).over(here), F.lit(0.0))
+    n = F.col("_n_all")
+    mean = (F.col("_s_all") + 360.0 * k) / n
+    cost = (F.col("_q_all") + 720.0 * moved + 129600.0 * k) / n - mean * mean
     wrapped = mean - 360.0 * F.floor((mean + 180.0) / 360.0)
-    rows = own.select(*by, F.round(F.greatest(cost, F.lit(0.0)), 9).alias("_c"), F.round(wrapped, 9).alias("_m"))
+    rows = both.select(*by, F.round(F.greatest(cost, F.lit(0.0)), 9).alias("_c"), F.round(wrapped, 9).alias("_m"))
     best = rows.groupBy(*by).agg(F.min(F.struct("_c", F.abs("_m").alias("_a"), "_m")).alias("_b"))
     return best.select(*by, F.col("_b._m").alias(out), F.sqrt("_b._c").alias(f"{out}_std"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -131,6 +133,40 @@ def aligned_similarity(pairs: DataFrame, seq_a: str, seq_b: str) -> DataFrame:
     return pairs.withColumn("similarity", score(seq_a, seq_b))
 
 
+def aligned_pairs(df: DataFrame, threshold: float, alphabet: list[str], key: str = "struct_id", seq: str = "seq", block_rows: int = 2000) -> DataFrame:
+    """Pairs a < b (the upper triangle) whose aligned similarity is at least the threshold t (above 0), with it.
+
+    No alignment is longer than the shorter sequence, nor than the letters both have, so before any alignment a pair is
+    ruled out by its lengths (n >= t * t * m) and by its counts of letters; letters beyond the alphabet count together.
+    Sequences are cut into classes of length such that only equal and neighbouring classes can meet, and each class into
+    blocks of about ``block_rows`` sequences by hash; each pair of blocks is a share of its own, so tasks grow with the
+    input. Empty and null sequences are similar to none.
+    """
+    count = lambda c: F.length(seq) - F.length(F.replace(F.col(seq), F.lit(c), F.lit("")))
+    rows = df.where(F.length(seq) > 0).select(F.col(key).alias("id"), F.col(seq).alias("s"), F.length(seq).alias("n"), F.array(*[count(c) for c in alphabet]).alias("letters"))
+    rest = F.col("n") - F.aggregate("letters", F.lit(0), lambda x, y: x + y)
+    step = max(-2 * math.log(threshold), 1e-3)
+    rows = rows.withColumns({"letters": F.array_append("letters", rest), "class": F.floor(F.log(F.col("n").cast("double")) / step + 1e-9).cast("int")})
+    sizes = rows.groupBy("class").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))  # classes grow with the log of the length
+    following = sizes.select((F.col("class") - 1).alias("class"), F.col("blocks").alias("after"))
+    before = sizes.select((F.col("class") + 1).alias("class"), F.col("blocks").alias("prior"))
+    plan = sizes.join(following, "class", "left").join(before, "class", "left")
+    rows = rows.join(F.broadcast(plan), "class").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    upto = lambda n: F.when(F.coalesce(n, F.lit(0)) > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    own, other = F.col("class"), F.col("block")
+    # shares: (class of the one side, class of the other, block, block)
+    left = F.concat(F.transform(upto(F.col("blocks")), lambda b: F.struct(own.alias("c"), own.alias("d"), other.alias("x"), b.alias("y"))), F.transform(upto(F.col("after")), lambda b: F.struct(own.alias("c"), (own + 1).alias("d"), other.alias("x"), b.alias("y"))))
+    right = F.concat(F.transform(upto(F.col("blocks")), lambda b: F.struct(own.alias("c"), own.alias("d"), b.alias("x"), other.alias("y"))), F.transform(upto(F.col("prior")), lambda b: F.struct((own - 1).alias("c"), own.alias("d"), b.alias("x"), other.alias("y"))))
+    side = lambda shares, k: rows.select(F.explode(shares).alias("share"), *[F.col(c).alias(f"{c}{k}") for c in ("id", "s", "n", "letters")])
+    both = side(left, 1).join(side(right, 2), "share")
+    one = (F.col("share.c") < F.col("share.d")) | (F.col("id1") < F.col("id2"))
+    product = (F.col("n1") * F.col("n2")).cast("double")
+    common = F.aggregate(F.zip_with("letters1", "letters2", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    both = both.where(one & (F.least("n1", "n2") >= threshold * threshold * F.greatest("n1", "n2") - 1e-9)).where(common >= threshold * F.sqrt(product) - 1e-9)
+    done = aligned_similarity(both, "s1", "s2").where(F.col("similarity") >= threshold - 1e-12)
+    return done.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b"), "similarity")
+
+
 def select_nonredundant(nodes: DataFrame, similar: DataFrame, key: str = "id", threshold: float = 0.7) -> DataFrame:
     """A maximal set of nodes no two of which have a similarity above the threshold.
 

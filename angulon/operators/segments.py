@@ -183,6 +183,14 @@ def propensity_pairs(df: DataFrame, segs: DataFrame, offsets=(0, 1), alphabet: l
     return grid.select("off", "side", "aa", "n", share.alias("freq"), (share / F.col("base")).alias("propensity"))
 
 
+def _window_residue(df: DataFrame, standard: list[str]) -> Column:
+    """Whether a residue may be in a window of contacts."""
+    good = F.col("res_name").isin(standard) & F.col("res_hflag").isNull() & F.col("res_icode").isNull()
+    for c in ("contact_ooc", "contact_non_aa"):
+        good = good & (F.coalesce(c, F.lit(0)) == 0) if c in df.columns else good
+    return good
+
+
 def contact_windows(df: DataFrame, context: int = 2, smax: float | None = None, standard: list[str] = STANDARD) -> DataFrame:
     """Windows of 2 central residues and ``context`` on each side that are consecutive, standard, no ligands and without
     gaps; smax bounds the central residues' contact_smax (no contacts: 0).
@@ -192,9 +200,7 @@ def contact_windows(df: DataFrame, context: int = 2, smax: float | None = None,
     """
     w = 2 * context + 2
     span = _along().rowsBetween(0, w - 1)
-    good = F.col("res_name").isin(standard) & F.col("res_hflag").isNull() & F.col("res_icode").isNull()
-    for c in ("contact_ooc", "contact_non_aa"):
-        good = good & (F.coalesce(c, F.lit(0)) == 0) if c in df.columns else good
+    good = _window_residue(df, standard)
     centre = _along().rowsBetween(context, context + 1)
     if "codon_score" in df.columns:
         df = df.withColumn("_score", F.min(F.coalesce("codon_score", F.lit(0.0))).over(centre))
@@ -208,15 +214,29 @@ def contact_windows(df: DataFrame, context: int = 2, smax: float | None = None,
     return df.select("struct_id", F.col("pos").alias("start"), "seq", "smax")
 
 
-def contact_window_sweep(df: DataFrame, contexts: list[int], bounds: list[float]) -> DataFrame:
-    """Number of windows for each context and bound."""
-    parts = [contact_windows(df, c).select(F.lit(c).alias("context"), "smax") for c in contexts]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.union(p)
-    counts = every.groupBy("context").agg(*[F.count_if(F.col("smax") <= b).alias(f"b{k}") for k, b in enumerate(bounds)])
-    pairs = F.explode(F.array(*[F.struct(F.lit(float(b)).alias("bound"), F.col(f"b{k}").alias("n")) for k, b in enumerate(bounds)]))
-    return counts.select("context", pairs.alias("x")).select("context", "x.*")
+def contact_window_sweep(df: DataFrame, contexts: list[int], bounds: list[float], standard: list[str] = STANDARD) -> DataFrame:
+    """Number of ``contact_windows`` for each context and bound, in one pass for any number of them.
+
+    The good residues fall into runs of consecutive positions. A pair of central residues has every context up to the
+    lesser of what its run holds on either side; pairs are counted by that context and by bound, and the counts, at most
+    one row for each context, are summed up over the contexts they allow.
+    """
+    cells = df.where(_window_residue(df, standard)).withColumn("_run", F.col("pos") - F.row_number().over(_along()))
+    run = Window.partitionBy("struct_id", "_run")
+    next_one = run.orderBy("pos")
+    smax = F.coalesce("contact_smax", F.lit(0))
+    cells = cells.withColumns({"_first": F.min("pos").over(run), "_last": F.max("pos").over(run), "_smax": F.greatest(smax, F.lead(smax).over(next_one))})
+    if "codon_score" in df.columns:
+        score = F.coalesce("codon_score", F.lit(0.0))
+        cells = cells.withColumn("_score", F.least(score, F.lead(score).over(next_one)))
+    pairs = cells.where(F.col("pos") < F.col("_last"))
+    pairs = pairs.where("_score = 1") if "codon_score" in df.columns else pairs
+    most = F.least(F.col("pos") - F.col("_first"), F.col("_last") - F.col("pos") - 1, F.lit(max(contexts)))
+    counts = pairs.groupBy(most.alias("most")).agg(*[F.count_if(F.col("_smax") <= b).alias(f"b{k}") for k, b in enumerate(bounds)])
+    allowed = F.filter(F.array(*map(F.lit, contexts)), lambda c: c <= F.col("most"))
+    counts = counts.select(F.explode(allowed).alias("context"), *[f"b{k}" for k in range(len(bounds))]).groupBy("context").agg(*[F.sum(f"b{k}").alias(f"b{k}") for k in range(len(bounds))])
+    each = F.explode(F.array(*[F.struct(F.lit(float(b)).alias("bound"), F.col(f"b{k}").alias("n")) for k, b in enumerate(bounds)]))
+    return counts.select("context", each.alias("x")).select("context", "x.*")
 
 
 def neighbourhood_filter(df: DataFrame, margin: int, columns: list[str]) -> DataFrame:

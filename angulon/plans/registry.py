@@ -452,3 +452,4 @@ def interaction_summary(spark, d):
 
 from . import registry_stats  # noqa: E402, F401, I001  (these register their queries here)
 from . import registry_more  # noqa: E402, F401
+from . import registry_io  # noqa: E402, F401

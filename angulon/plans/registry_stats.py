@@ -368,6 +368,13 @@ def aligned_similarity(spark, d):
     return redundancy.aligned_similarity(c.join(refs, "block"), "seq", "ref_seq").select("ref_id", "struct_id", "similarity")
 
 
+@query("aligned_pairs")
+def aligned_pairs(spark, d):
+    """All pairs of structures whose sequences align to at least 0.65 of the root of their lengths' product, each once."""
+    c = fx.chain(spark, d).groupBy("struct_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "res_name"))), lambda x: x["res_name"]), "").alias("seq"))
+    return redundancy.aligned_pairs(c, 0.65, ["A", "C", "D", "E", "X"])
+
+
 @query("nonredundant_set")
 def nonredundant_set(spark, d):
     t = fx.tokens(spark, d)
@@ -417,9 +424,11 @@ def kmeans_medoids(spark, d):
 
 @query("sub_clusters")
 def sub_clusters(spark, d):
-    a = fx.atoms(spark, d)
+    """Representatives of the sub-clusters, with the chain and place of their medoids."""
+    ensure_checkpoints(spark)
+    a = fx.atoms(spark, d).checkpoint()
     done, _ = clusters.kmeans_medoids(a, "atom_id", ["x", "y", "z"], 4)
-    return clusters.sub_clusters(a, done, "atom_id", ["x", "y", "z"], 3)
+    return clusters.sub_clusters(a, done.checkpoint(), "atom_id", ["x", "y", "z"], 3, ["chain", "x", "y", "z"])
 
 
 # --- random procedures and jobs -----------------------------------------------------------------------------------

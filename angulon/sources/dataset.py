@@ -95,16 +95,43 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.trim(ident).alias("id"), F.trim(rest).alias("description"), F.regexp_replace(seq, r"\s", "").alias("sequence"))
 
 
-def typed_wide(df: DataFrame, prefix_types: dict[str, str], default: str = "string") -> DataFrame:
-    """Columns cast by the prefix of their names; array types split on semicolons."""
+#: What a column of a wide table holds, by the first of these parts that its name has.
+ROLES = (("phis", "array<double>"), ("psis", "array<double>"), ("contexts", "array<int>"), ("idxs", "array<int>"), ("res_ids", "array<string>"), ("codons", "array<string>"), ("phi", "double"), ("psi", "double"), ("norm", "double"))
+
+
+def role(name: str) -> str:
+    """The type of a column of a wide table by its name; text where no part says otherwise."""
+    return next((kind for part, kind in ROLES if part in name), "string")
+
+
+def typed_wide(df: DataFrame, types: dict[str, str]) -> DataFrame:
+    """Columns of text cast to the types; arrays are split on semicolons."""
 
     def cast(c: str) -> Column:
-        kind = next((t for p, t in prefix_types.items() if c.startswith(p)), default)
-        return (F.transform(F.split(F.col(c), ";"), lambda x: x.cast(kind[6:-1])) if kind.startswith("array<") else F.col(c).cast(kind)).alias(c)
+        kind = types[c]
+        if not kind.startswith("array<"):
+            return F.col(c).cast(kind).alias(c)
+        return F.when(F.col(c) != "", F.transform(F.split(F.col(c), ";"), lambda x: F.nullif(x, F.lit("")).cast(kind[6:-1]))).alias(c)
 
     return df.select(*map(cast, df.columns))
 
 
+def read_wide(spark: SparkSession, path: str, columns: list[str] | None = None, types: dict[str, str] | None = None) -> DataFrame:
+    """A wide CSV table, its columns typed by their names (``role``) or by ``types``, read once and only as far as wanted.
+
+    The header alone is read to know the columns; a wanted or typed column that it lacks is an error. Missing values and
+    empty lists are null.
+    """
+    names = spark.read.option("header", True).csv(path).columns
+    wanted = columns if columns is not None else names
+    unknown = [c for c in [*wanted, *(types or {})] if c not in names]
+    if unknown:
+        raise ValueError(f"no such columns: {', '.join(unknown)}; there are {', '.join(names)}")
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
+    text = spark.read.schema(schema).option("header", True).option("nullValue", "").csv(path).select(*wanted)
+    return typed_wide(text, {c: (types or {}).get(c) or role(c) for c in wanted})
+
+
 def apply_per_structure(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     """A user's function of each structure's pandas frame."""
     return df.groupBy("struct_id").applyInPandas(fn, schema)
