@@ -64,6 +64,16 @@ def group_codon(aac: Column | str, by: str) -> Column:
     return F.concat(aac_aa(aac), F.lit("-*"), F.lit("") if by == "any" else F.substring(aac_codon(aac), -1, 1))
 
 
+def group_tuple(t: Column | str, position: int, by: str) -> Column:
+    """A tuple with one of its codons grouped across amino acids: ``*`` (by ``any``), or ``*T`` for A-GCT (by
+    ``last_nucleotide``). position: from 0, or from -1 backwards."""
+    items = tuple_items(t)
+    at = F.size(items) + position if position < 0 else F.lit(position)
+    grouped = F.lit("*") if by == "any" else None
+    star = lambda x: grouped if grouped is not None else F.concat(F.lit("*"), F.substring(aac_codon(x), -1, 1))
+    return tuple_name(F.transform(items, lambda x, i: F.when(i == at, star(x)).otherwise(x)))
+
+
 def split_id(pdb_id: Column | str) -> list[Column]:
     """base, chain and entity of ``1ABC:A`` or ``1ABC:1``; anything else is an error."""
     x = F.upper(F.col(pdb_id) if isinstance(pdb_id, str) else pdb_id)

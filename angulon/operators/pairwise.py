@@ -53,11 +53,12 @@ def normalised(d: DataFrame, value: str = "d2_mean") -> DataFrame:
 
 
 def correlation(x: DataFrame, y: DataFrame, aa1: Column, aa2: Column, value: str = "d2_mean") -> DataFrame:
-    """Correlation of two distance tables (condition, c1, c2, value) over the pairs of one amino acid, and over ALL."""
+    """Correlation of two distance tables (condition, c1, c2, value) over the synonymous pairs: of each amino acid, and of
+    all of them (ALL). A single pair has none."""
     both = x.select("condition", "c1", "c2", F.col(value).alias("x")).join(y.select("condition", "c1", "c2", F.col(value).alias("y")), ["condition", "c1", "c2"])
-    both = both.withColumn("aa", F.when(aa1 == aa2, aa1))
+    both = both.withColumn("aa", aa1).where(aa1 == aa2)
     r = F.when(F.count("*") > 1, F.corr("x", "y"))
-    each = both.where("aa IS NOT NULL").groupBy("condition", "aa").agg(F.count("*").alias("n"), r.alias("r"))
+    each = both.groupBy("condition", "aa").agg(F.count("*").alias("n"), r.alias("r"))
     return each.union(both.groupBy("condition").agg(F.count("*").alias("n"), r.alias("r")).select("condition", F.lit("ALL").alias("aa"), "n", "r"))
 
 

@@ -21,13 +21,14 @@ from .kde import kde_grid
 from .ranks import hash_rank
 
 
-def pair_plan(sizes: DataFrame, kind: str, n_min: int = 1, n_max: int | None = None, n_max_aa: int | None = None) -> DataFrame:
+def pair_plan(sizes: DataFrame, kind: str, n_min: int = 1, n_max: int | None = None, n_max_aa: int | None = None, self_test: bool = True) -> DataFrame:
     """Subgroup pairs to compare, with the cap on their samples. sizes: condition, aa, codon, n.
 
     kind: ``aa`` (amino acids among themselves), ``aac`` (each codon against its amino acid), ``cc`` (synonymous codons).
     The pairs come from the list of subgroups, never from their members. The cap of aa is n_max; with n_max_aa, that of
     aac and cc is the least codon of the acid in the condition, at least 2 and at most n_max; without, it is the lesser
-    of the sizes, at most n_max, if n_max is given.
+    of the sizes, at most n_max, if n_max is given. Tuples of acids (joined by _) are compared among those with the same
+    first acid. Without self_test no subgroup is compared with itself.
     """
     acids = sizes.groupBy("condition", "aa").agg(F.sum("n").alias("n"), F.min("n").alias("least"))
     fine = sizes.select("condition", "aa", F.col("codon").alias("s"), "n")
@@ -36,13 +37,16 @@ def pair_plan(sizes: DataFrame, kind: str, n_min: int = 1, n_max: int | None = N
     if kind == "aa":
         a = acids.select("condition", F.col("aa").alias("s1"), F.col("n").alias("n1"))
         b = acids.select("condition", F.col("aa").alias("s2"), F.col("n").alias("n2"))
-        out = a.join(b, "condition").where((F.col("s1") <= F.col("s2")) & big & (F.col("n2") >= n_min))
+        first = lambda c: F.split_part(c, F.lit("_"), F.lit(1))
+        alike = ~F.col("s1").contains("_") | (first("s1") == first("s2"))
+        out = a.join(b, "condition").where((F.col("s1") <= F.col("s2")) & big & (F.col("n2") >= n_min) & alike)
+        out = out if self_test else out.where("s1 <> s2")
         return out.select("condition", "s1", "s2", "n1", "n2", F.lit(n_max).cast("bigint").alias("cap"))
     if kind == "aac":
         out = fine.join(least, ["condition", "aa"]).select("condition", "least", F.col("aa").alias("s1"), F.col("s").alias("s2"), F.col("n_aa").alias("n1"), F.col("n").alias("n2"))
     elif kind == "cc":
         a, b = fine.toDF("condition", "aa", "s1", "n1"), fine.toDF("condition", "aa", "s2", "n2")
-        out = a.join(b, ["condition", "aa"]).where("s1 <= s2").join(least, ["condition", "aa"])
+        out = a.join(b, ["condition", "aa"]).where("s1 <= s2" if self_test else "s1 < s2").join(least, ["condition", "aa"])
     else:
         raise ValueError(kind)
     top = F.lit(n_max).cast("bigint")
@@ -156,12 +160,22 @@ def mmd2(pairs: DataFrame, members: DataFrame, sigma: float = 1.0, error: float
     return both.groupBy("condition", "s1", "s2").agg(F.max("n1").alias("n1"), F.max("n2").alias("n2"), F.sum(part).alias("stat"))
 
 
-def kde_l1(pairs: DataFrame, members: DataFrame, bins: int, sigma: float) -> DataFrame:
-    """L1 distance of the two sides' densities on a bins x bins grid; one density a subgroup, of all its members."""
+def _densities(pairs: DataFrame, members: DataFrame, bins: int, sigma: float, gap) -> DataFrame:
+    """Per pair the sum over a bins x bins grid of ``gap`` of both sides' densities, one a subgroup, of all its members."""
     grid = kde_grid(members, ["condition", "subgroup"], bins, sigma)
     side = lambda k: grid.select("condition", F.col("subgroup").alias(f"s{k}"), "i", "j", F.col("p").alias(f"p{k}"))
     both = pairs.select("condition", "s1", "s2").join(side(1), ["condition", "s1"]).join(side(2), ["condition", "s2", "i", "j"])
-    return both.groupBy("condition", "s1", "s2").agg(F.sum(F.abs(F.col("p1") - F.col("p2"))).alias("stat"))
+    return both.groupBy("condition", "s1", "s2").agg(F.sum(gap(F.col("p1") - F.col("p2"))).alias("stat"))
+
+
+def kde_l1(pairs: DataFrame, members: DataFrame, bins: int, sigma: float) -> DataFrame:
+    """L1 distance of the two sides' densities."""
+    return _densities(pairs, members, bins, sigma, F.abs)
+
+
+def kde_d2(pairs: DataFrame, members: DataFrame, bins: int, sigma: float) -> DataFrame:
+    """Squared L2 distance of the two sides' densities."""
+    return _densities(pairs, members, bins, sigma, lambda d: d * d)
 
 
 #: Directions of the closed geodesics that projection tests take unless others are given.

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import codons
 from ..operators import matching, multiplicity, pairwise, redundancy, segments, tuples, twosample
 from ..operators.kde import kde_grid
 from ..sources import metadata
@@ -20,23 +21,38 @@ def collection_summary(df: DataFrame) -> DataFrame:
     return df.agg(*[F.sum(c).alias(c) for c in df.columns if c.startswith("n_")])
 
 
-def pointwise(residues: DataFrame, k: int = 1, kind: str = "cc", n_min: int = 5, n_max: int = 50, statistic: str = "tw", bootstraps: int = 1, permutations: int = 100, q: float = 0.05, bins: int = 16, sigma: float = 30.0, seed: int = 0) -> dict[str, DataFrame]:
-    """Filter, collapse redundancy, build tuples, count, test all planned pairs and control false discoveries.
+def codon_members(residues: DataFrame, k: int = 1, kind: str = "cc", randomize: str | None = None, group_by: str | None = None, group_at: int = 0, key: list[str] | None = None, seed: int = 0) -> dict[str, DataFrame]:
+    """What pairs are planned from and tested on: members (condition, subgroup, aa, phi, psi, unp_id, unp_idx, secondary),
+    likelihoods and sizes.
 
-    Besides each condition, all residues together are the condition ANY. n_max bounds the size of a resample only.
+    Residues are filtered and, if asked, their codons permuted within each amino acid (randomize ``aa``), or each amino
+    acid and structure (``aa_ss``), by numbers of their key; redundant ones are collapsed, tuples of k built, and one codon
+    of each tuple grouped (group_by ``any`` or ``last_nucleotide``, at the place group_at). Besides each structure, all
+    members together are the condition ANY. kind says which subgroups there are: codons, acids, or both.
     """
-    one = redundancy.aggregate_redundant(redundancy.quality_filter(residues))
+    good = redundancy.quality_filter(residues)
+    if randomize:
+        good = twosample.shuffle_labels(good, "codon", {"aa": ["aa"], "aa_ss": ["aa", "secondary"]}[randomize], key or ["struct_id", "unp_id", "unp_idx"], seed)
+    one = redundancy.aggregate_redundant(good)
     made = tuples.build_tuples(one.where("phi IS NOT NULL AND psi IS NOT NULL"), k)
-    made = made.select(F.col("secondary").alias("condition"), F.col("codon").alias("subgroup"), F.regexp_replace("codon", r"-[^_]*", "").alias("aa"), "phi", "psi", "unp_id", "unp_idx")
-    codons = made.select("condition", "aa", F.col("subgroup").alias("codon"))
-    likely = tuples.likelihoods(codons, codons.select("codon").distinct(), "codon", "condition")
-    made = made.select("*", F.explode(F.array("condition", F.lit("ANY"))).alias("_c")).withColumn("condition", F.col("_c")).drop("_c")
+    made = made.withColumn("codon", codons.group_tuple("codon", group_at, group_by)) if group_by else made
+    made = made.select("secondary", F.col("secondary").alias("condition"), F.col("codon").alias("subgroup"), codons.tuple_to_aas("codon").alias("aa"), "phi", "psi", "unp_id", "unp_idx")
+    seen = made.select("condition", "aa", F.col("subgroup").alias("codon"))
+    likely = tuples.likelihoods(seen, seen.select("codon").distinct(), "codon", "condition")
+    made = made.withColumn("condition", F.explode(F.array("condition", F.lit("ANY"))))
     sizes = made.groupBy("condition", "aa", F.col("subgroup").alias("codon")).agg(F.count("*").alias("n"))
-    plan = twosample.pair_plan(sizes, kind, n_min, n_max)
     members = {"cc": made, "aa": made.withColumn("subgroup", F.col("aa")), "aac": made.unionByName(made.withColumn("subgroup", F.col("aa")))}[kind]
-    tests = twosample.bootstrap_permutation(plan, members, ["unp_id", "unp_idx", "subgroup", "phi", "psi"], statistic, bootstraps, permutations, n_max=n_max, seed=seed)
-    table = multiplicity.significance_table(tests, members, q)
-    return {"sizes": sizes, "likelihoods": likely, "plan": plan, "tests": tests, "significance": table, "density": kde_grid(members, ["condition", "subgroup"], bins, sigma)}
+    return {"members": members, "likelihoods": likely, "sizes": sizes}
+
+
+def pointwise(residues: DataFrame, k: int = 1, kind: str = "cc", n_min: int = 5, n_max: int = 50, n_max_aa: int | None = None, self_test: bool = True, statistic: str = "tw", bootstraps: int = 1, permutations: int = 100, k_min: int = 100, k_th: int = 50, q: float = 0.05, bins: int = 16, sigma: float = 30.0, seed: int = 0, **how) -> dict[str, DataFrame]:
+    """Filter, randomise, collapse redundancy, build and group tuples, count, test all planned pairs, control false
+    discoveries and estimate densities. n_max bounds the size of a resample only. how: of ``codon_members``."""
+    made = codon_members(residues, k, kind, seed=seed, **how)
+    plan = twosample.pair_plan(made["sizes"], kind, n_min, n_max, n_max_aa, self_test)
+    tests = twosample.bootstrap_permutation(plan, made["members"], ["unp_id", "unp_idx", "secondary", "subgroup"], statistic, bootstraps, permutations, k_min, k_th, n_max, seed)
+    table = multiplicity.significance_table(tests, made["members"], q)
+    return made | {"plan": plan, "tests": tests, "significance": table, "density": kde_grid(made["members"], ["condition", "subgroup"], bins, sigma)}
 
 
 def match_pairs(residues: DataFrame) -> DataFrame:
@@ -47,9 +63,25 @@ def match_pairs(residues: DataFrame) -> DataFrame:
     return a.join(b, ["unp_id", "unp_idx", "condition"]).where("codon1 <= codon2")
 
 
+def comparable_pairs(residues: DataFrame) -> DataFrame:
+    """Match pairs with the condition they are compared under, where they have one: residues of one protein's position
+    that code for the same acid, in the same structure class, where the position's codons are unambiguous.
+
+    residues: unp_id, unp_idx, aa, codon, codon_score, secondary (a class), phi, psi.
+    """
+    g = residues.groupBy("unp_id", "unp_idx", "secondary", "aa", "codon").agg(F.array_sort(F.collect_list(F.struct("phi", "psi"))).alias("m"), F.min("codon_score").alias("score"))
+    side = lambda k: g.select("unp_id", "unp_idx", F.col("secondary").alias(f"ss{k}"), F.col("aa").alias(f"aa{k}"), F.col("codon").alias(f"codon{k}"), F.col("m.phi").alias(f"phis{k}"), F.col("m.psi").alias(f"psis{k}"), F.col("score").alias(f"score{k}"))
+    both = side(1).join(side(2), ["unp_id", "unp_idx"]).where("codon1 <= codon2")
+    kind = F.when(F.col("codon1") == F.col("codon2"), "SAME").when(F.col("aa1") == F.col("aa2"), "SILENT").otherwise("MUTATION")
+    options = F.when(F.least("score1", "score2") < 1, F.array("codon1", F.lit("?"))).otherwise(F.array("codon1"))
+    both = both.withColumns({"type": kind, "options": options})
+    return both.withColumn("condition", pairwise.condition_group("type", "ss1", "ss2", "options")).where("condition IS NOT NULL")
+
+
 def pairwise_distances(residues: DataFrame, samples: int = 0, seed: int = 1) -> DataFrame:
-    """Codon distances, corrected by the codons' own."""
-    return pairwise.corrected(pairwise.codon_pair_d2(match_pairs(redundancy.quality_filter(residues)), samples, seed))
+    """Codon distances of the comparable pairs, corrected by the codons' own."""
+    good = redundancy.quality_filter(residues, strict=False)
+    return pairwise.corrected(pairwise.codon_pair_d2(comparable_pairs(good), samples, seed))
 
 
 def unmodelled(chain: DataFrame, length: int = 3, alphabet: list[str] = segments.STANDARD) -> dict[str, DataFrame]:
@@ -67,12 +99,10 @@ def match_group(alignments: DataFrame, residues: DataFrame, context: int = 1, ho
     residues: struct_id, pos, unp_id, codon, phi, psi.
     """
     w = matching.match_windows(alignments, context)
-    from ..functions.codons import match_type
-
     ref = residues.select(F.col("struct_id").alias("ref_id"), F.col("pos").alias("ref_idx"), F.col("unp_id").alias("ru"), F.col("codon").alias("rc"), F.col("res_name").alias("rn"))
     qry = residues.select(F.col("struct_id").alias("query_id"), F.col("pos").alias("ref_idx"), "unp_id", "codon", "res_name", "phi", "psi")
     m = w.join(ref, ["ref_id", "ref_idx"]).join(qry, ["query_id", "ref_idx"])
-    kind = match_type(F.col("ref_id") == F.col("query_id"), F.col("ru") == F.col("unp_id"), F.col("rn") == F.col("res_name"), F.col("rc") == F.col("codon"))
+    kind = codons.match_type(F.col("ref_id") == F.col("query_id"), F.col("ru") == F.col("unp_id"), F.col("rn") == F.col("res_name"), F.col("rc") == F.col("codon"))
     m = m.withColumn("type", kind).where("type IS NOT NULL").select("ref_id", "ref_idx", "query_id", "unp_id", F.col("ref_idx").alias("unp_idx"), "codon", "type", "phi", "psi")
     own = residues.join(m.select(F.col("ref_id").alias("struct_id"), F.col("ref_idx").alias("pos")).distinct(), ["struct_id", "pos"])
     own = own.select(F.col("struct_id").alias("ref_id"), F.col("pos").alias("ref_idx"), F.col("struct_id").alias("query_id"), "unp_id", F.col("pos").alias("unp_idx"), "codon", F.lit("REFERENCE").alias("type"), "phi", "psi")
@@ -87,7 +117,11 @@ def select_structures(structs: DataFrame, predicate: Column, filters: list[tuple
     return tagged.where("rejected_by IS NULL").drop("rejected_by"), report
 
 
-def compare_tables(pointwise_table: DataFrame, pairwise_table: DataFrame) -> DataFrame:
-    """Correlation of pointwise and pairwise distances (condition, c1, c2, d2_mean) per amino acid and over all."""
-    aa = lambda c: F.split_part(c, F.lit("-"), F.lit(1))
-    return pairwise.correlation(pointwise_table, pairwise_table, aa("c1"), aa("c2"))
+def compare_distances(residues: DataFrame, bins: int = 16, sigma: float = 30.0, n_min: int = 1) -> DataFrame:
+    """Per condition and amino acid, and for all: the correlation of the pointwise distances of synonymous codons (of
+    their densities) with the pairwise ones (of their residues at one position, corrected)."""
+    made = codon_members(residues)
+    plan = twosample.pair_plan(made["sizes"], "cc", n_min)
+    pointwise_table = twosample.kde_d2(plan, made["members"], bins, sigma).select("condition", F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.col("stat").alias("d2"))
+    pairwise_table = pairwise_distances(residues).select("condition", "c1", "c2", F.col("delta").alias("d2"))
+    return pairwise.correlation(pointwise_table, pairwise_table, codons.aac_aa("c1"), codons.aac_aa("c2"), "d2")

@@ -11,11 +11,11 @@ from ..operators import clusters, kde, matching, multiplicity, pairwise, redunda
 from ..sources import metadata
 from . import fixtures as fx
 from . import jobs
-from .registry import good, query, r
+from .registry import CENTROID, good, query, r
 
 BINS, SIGMA, BLOCKS = 16, 30.0, 16
 #: What tells residues' rows apart: integers, so that numbers drawn from them are the same in any engine.
-HUNDREDTHS = {"phi_c": "phi", "psi_c": "psi"}
+HUNDREDTHS = {"phi_100": "phi", "psi_100": "psi"}
 IDENTITY = ["struct_id", "unp_id", "unp_idx", *HUNDREDTHS]
 IDENTITY_SQL = ["struct_id", "unp_id", "unp_idx", *(f"CAST(round({c}*100) AS BIGINT)" for c in HUNDREDTHS.values())]
 
@@ -242,7 +242,16 @@ def codon_pair_d2_all(spark, d):
     return pairwise.codon_pair_d2(jobs.match_pairs(good(spark, d))).select("condition", "c1", "c2", r("d2_mean"), r("d2_std"), "n")
 
 
-@query("codon_pair_d2_corrected", f"WITH {D2} SELECT d.condition, d.c1, d.c2, round(d.d2_mean-(a.d2_mean+b.d2_mean)/2,6)+0.0 AS delta FROM d2 d JOIN d2 a ON a.condition=d.condition AND a.c1=d.c1 AND a.c2=d.c1 JOIN d2 b ON b.condition=d.condition AND b.c1=d.c2 AND b.c2=d.c2")
+#: Distances of the pairs that code for one acid, in one structure class, at positions without ambiguous codons.
+COMPARABLE = fx.RESIDUES + """, kn AS (SELECT * REPLACE (CASE secondary WHEN 'H' THEN 'HELIX' WHEN 'E' THEN 'SHEET' WHEN 'T' THEN 'TURN' WHEN 'S' THEN 'OTHER' END AS secondary) FROM residues WHERE secondary<>'-'),
+ok AS (SELECT *, min(codon_score) OVER (PARTITION BY unp_id, unp_idx, secondary, aa, codon) AS score FROM kn),
+pm AS (SELECT a.secondary AS condition, a.unp_id, a.unp_idx, a.codon AS c1, b.codon AS c2, avg(pow(least(abs(a.phi-b.phi),360-abs(a.phi-b.phi)),2)+pow(least(abs(a.psi-b.psi),360-abs(a.psi-b.psi)),2)) AS d2
+ FROM ok a JOIN ok b ON a.unp_id=b.unp_id AND a.unp_idx=b.unp_idx AND a.secondary=b.secondary AND a.codon<=b.codon AND a.aa=b.aa WHERE a.score=1 AND b.score=1 GROUP BY ALL),
+d2 AS (SELECT condition, c1, c2, avg(d2) AS d2_mean, stddev_pop(d2) AS d2_std, count(*) AS n FROM pm GROUP BY ALL),
+dc AS (SELECT d.condition, d.c1, d.c2, d.d2_mean-(a.d2_mean+b.d2_mean)/2 AS delta FROM d2 d JOIN d2 a ON a.condition=d.condition AND a.c1=d.c1 AND a.c2=d.c1 JOIN d2 b ON b.condition=d.condition AND b.c1=d.c2 AND b.c2=d.c2)"""
+
+
+@query("codon_pair_d2_corrected", f"WITH {COMPARABLE} SELECT condition, c1, c2, round(delta,6)+0.0 AS delta FROM dc")
 def codon_pair_d2_corrected(spark, d):
     return jobs.pairwise_distances(fx.residues(spark, d)).select("condition", "c1", "c2", r("delta"))
 
@@ -257,11 +266,14 @@ def codon_pair_d2_sampled(spark, d):
     return pairwise.codon_pair_d2(jobs.match_pairs(good(spark, d)), 25)
 
 
-@query("distance_correlation", f"""WITH {D2}, v AS (SELECT condition, c1, c2, d2_mean AS x, d2_std AS y, CASE WHEN split_part(c1,'-',1)=split_part(c2,'-',1) THEN split_part(c1,'-',1) END AS aa FROM d2)
-SELECT condition, aa, count(*) AS n, round(CASE WHEN count(*)>1 THEN corr(x,y) END,6)+0.0 AS r FROM v WHERE aa IS NOT NULL GROUP BY ALL UNION ALL SELECT condition, 'ALL', count(*), round(corr(x,y),6)+0.0 FROM v GROUP BY condition""")
+@query("distance_correlation", f"""WITH {COMPARABLE.replace(fx.RESIDUES, CENTROID)}, mk AS (SELECT condition AS secondary, codon AS subgroup, phi, psi FROM agg WHERE phi IS NOT NULL AND psi IS NOT NULL),
+mm AS (SELECT *, secondary AS condition FROM mk UNION ALL SELECT *, 'ANY' FROM mk), {_grid('mm', 'condition, subgroup')},
+pt AS (SELECT a.condition, a.subgroup AS c1, b.subgroup AS c2, sum(pow(a.p-b.p,2)) AS d2 FROM grid a JOIN grid b ON a.condition=b.condition AND a.i=b.i AND a.j=b.j AND a.subgroup<=b.subgroup AND split_part(a.subgroup,'-',1)=split_part(b.subgroup,'-',1) GROUP BY ALL),
+v AS (SELECT pt.condition, split_part(pt.c1,'-',1) AS aa, pt.d2 AS x, dc.delta AS y FROM pt JOIN dc USING (condition, c1, c2))
+SELECT condition, aa, count(*) AS n, round(CASE WHEN count(*)>1 THEN corr(x,y) END,6)+0.0 AS r FROM v GROUP BY ALL UNION ALL SELECT condition, 'ALL', count(*), round(CASE WHEN count(*)>1 THEN corr(x,y) END,6)+0.0 FROM v GROUP BY condition""")
 def distance_correlation(spark, d):
-    t = pairwise.codon_pair_d2(jobs.match_pairs(good(spark, d)))
-    return jobs.compare_tables(t, t.drop("d2_mean").withColumnRenamed("d2_std", "d2_mean")).select("condition", "aa", "n", r("r"))
+    """Pointwise distances of synonymous codons against pairwise ones."""
+    return jobs.compare_distances(fx.residues(spark, d), BINS, SIGMA).select("condition", "aa", "n", r("r"))
 
 
 @query("linear_fit", f"""WITH {fx.RESIDUES}, s AS (SELECT aa, (phi-min(phi) OVER w)/nullif(max(phi) OVER w-min(phi) OVER w,0) AS x, (bfactor-min(bfactor) OVER w)/nullif(max(bfactor) OVER w-min(bfactor) OVER w,0) AS y FROM residues WINDOW w AS (PARTITION BY aa))
@@ -439,11 +451,17 @@ _TW_SQL = "CASE WHEN n>1 AND w1/(n*n*(n-1))+w2/(n*n*(n-1))>1e-12 THEN (c/(n*n)-w
 _MMD_SQL = "(2*w1+n)/(n*n)+(2*w2+n)/(n*n)-2*c/(n*n)"
 
 
-def _permutation_sql(statistic: str, value: str, bootstraps: int, permutations: int, k_min: int, k_th: int, n_max: int, seed: int = 0) -> str:
-    """Draws, labellings, statistics and stops of bootstrap_permutation; value: of the squared distance d2 in radians."""
+GOOD_MEMBERS = "(SELECT *, secondary AS condition, codon AS subgroup FROM good)"
+
+
+def _permutation_sql(statistic: str, value: str, bootstraps: int, permutations: int, k_min: int, k_th: int, n_max: int, seed: int = 0, head: str = PAIRS, source: str = GOOD_MEMBERS, key: list[str] = IDENTITY_SQL) -> str:
+    """Draws, labellings, statistics and stops of bootstrap_permutation; value: of the squared distance d2 in radians.
+
+    head: the tables that make the pairs pr and the members, whose rows ``key`` tells apart; source: the members.
+    """
     pair = "condition, s1, s2"
     number = hashes.number_sql
-    return f"""WITH {PAIRS}, mem AS (SELECT secondary AS condition, codon AS subgroup, phi, psi, row_number() OVER (PARTITION BY secondary, codon ORDER BY {number(seed, *IDENTITY_SQL)}, {', '.join(IDENTITY_SQL)}) AS rank FROM good),
+    return f"""WITH {head}, mem AS (SELECT condition, subgroup, phi, psi, row_number() OVER (PARTITION BY condition, subgroup ORDER BY {number(seed, *key)}, {', '.join(key)}) AS rank FROM {source}),
 dr AS (SELECT {pair}, b, side, k, least(n1, n2, {n_max}) AS n, CASE side WHEN 1 THEN s1 ELSE s2 END AS subgroup, {number(seed, 'condition', 's1', 's2', 'b', 'side', 'k')} % (CASE side WHEN 1 THEN n1 ELSE n2 END) + 1 AS rank
  FROM pr, range(1, {bootstraps + 1}) tb(b), (VALUES (1), (2)) ts(side), unnest(range(1, least(n1, n2, {n_max}) + 1)) tk(k)),
 pt AS (SELECT {pair}, b, (side-1)*n+k-1 AS pos, side, n, phi, psi FROM dr JOIN mem USING (condition, subgroup, rank)),
@@ -529,9 +547,44 @@ def shuffled_labels(spark, d):
     return twosample.shuffle_labels(told_apart(fx.residues(spark, d)), "codon", ["aa"], IDENTITY).select("struct_id", "unp_id", "unp_idx", "aa", "codon")
 
 
-@query("pointwise_job")
+#: Members of the pointwise job with single codons, their sizes and the pairs of synonymous ones.
+POINTWISE = CENTROID + """, mk AS (SELECT condition AS secondary, codon AS subgroup, split_part(codon,'-',1) AS aa, phi, psi, unp_id, unp_idx FROM agg WHERE phi IS NOT NULL AND psi IS NOT NULL),
+mm AS (SELECT *, secondary AS condition FROM mk UNION ALL SELECT *, 'ANY' FROM mk), sub AS (SELECT condition, aa, subgroup, count(*) AS n FROM mm GROUP BY ALL),
+pr AS (SELECT a.condition, a.subgroup AS s1, b.subgroup AS s2, a.n AS n1, b.n AS n2 FROM sub a JOIN sub b ON a.condition=b.condition AND a.aa=b.aa AND a.subgroup<=b.subgroup WHERE a.n>=5 AND b.n>=5)"""
+POINTWISE_TEST = {"bootstraps": 2, "permutations": 50, "k_min": 25, "k_th": 12, "n_max": 30}
+_TESTS = _permutation_sql(_TW_SQL, "d2", **POINTWISE_TEST, head=POINTWISE, source="mm", key=["unp_id", "unp_idx", "secondary", "subgroup"])
+
+
+@query("pointwise_job", f"""WITH {POINTWISE}, t AS ({_TESTS}), ce AS (SELECT condition, subgroup, count(*) AS n, degrees(atan2(avg(sin(radians(phi))),avg(cos(radians(phi))))) AS phi, degrees(atan2(avg(sin(radians(psi))),avg(cos(radians(psi))))) AS psi FROM mm GROUP BY ALL),
+j AS (SELECT t.*, a.n AS n1, b.n AS n2, sqrt(pow(least(abs(a.phi-b.phi),360-abs(a.phi-b.phi)),2)+pow(least(abs(a.psi-b.psi),360-abs(a.psi-b.psi)),2)) AS d12 FROM t JOIN ce a ON a.condition=t.condition AND a.subgroup=s1 JOIN ce b ON b.condition=t.condition AND b.subgroup=s2),
+l AS (SELECT *, row_number() OVER (PARTITION BY condition ORDER BY pval)*0.9::DOUBLE/count(*) OVER (PARTITION BY condition) AS line FROM j), h AS (SELECT *, coalesce(max(CASE WHEN pval<=line THEN line END) OVER (PARTITION BY condition),0) AS th FROM l)
+SELECT condition, s1, s2, n1, n2, round(d12,5)+0.0 AS d12, ddist, pval, pval<=th AS significant FROM h""")
 def pointwise_job(spark, d):
-    return jobs.pointwise(fx.residues(spark, d))["significance"]
+    """The whole pointwise analysis of single codons, with all residues together as the condition ANY."""
+    t = jobs.pointwise(fx.residues(spark, d), q=0.9, **POINTWISE_TEST)["significance"]
+    return t.select("condition", "s1", "s2", "n1", "n2", r("d12", 5), r("ddist"), F.round("pval", 9).alias("pval"), "significant")
+
+
+#: Centroids of residues whose codons are permuted within each acid and structure, in pairs of neighbours, the first codon grouped.
+RANDOMISED = CENTROID.replace("FROM good", f"FROM {_shuffled_sql('good', 'codon', 'aa, secondary', IDENTITY_SQL, 3)}").replace("JOIN good m ON", f"JOIN {_shuffled_sql('good', 'codon', 'aa, secondary', IDENTITY_SQL, 3)} m ON")
+GROUPED = RANDOMISED + """, w AS (SELECT *, lead(unp_idx) OVER o AS i1, lead(condition) OVER o AS c1, lead(codon) OVER o AS k1 FROM agg WHERE phi IS NOT NULL AND psi IS NOT NULL WINDOW o AS (PARTITION BY unp_id ORDER BY unp_idx, condition, codon)),
+t AS (SELECT condition, '*' || right(codon,1) || '_' || k1 AS codon, '*' || right(codon,1) || '_' || split_part(k1,'-',1) AS aa FROM w WHERE i1=unp_idx+1 AND c1=condition),
+tm AS (SELECT * FROM t UNION ALL SELECT 'ANY', codon, aa FROM t), sz AS (SELECT condition, aa, codon, count(*) AS n FROM tm GROUP BY ALL)"""
+GROUPING = {"k": 2, "randomize": "aa_ss", "group_by": "last_nucleotide", "group_at": 0, "key": IDENTITY, "seed": 3}
+
+
+@query("pointwise_sizes", f"WITH {GROUPED} SELECT * FROM sz")
+def pointwise_sizes(spark, d):
+    """Sizes of pairs of neighbouring codons whose codons were permuted, the first grouped by its last nucleotide."""
+    return jobs.codon_members(told_apart(fx.residues(spark, d)), **GROUPING)["sizes"]
+
+
+@query("pointwise_pairs", f"""WITH {GROUPED}, ac AS (SELECT condition, aa, sum(n)::BIGINT AS n FROM sz GROUP BY ALL)
+SELECT a.condition, a.aa AS s1, b.aa AS s2, a.n AS n1, b.n AS n2 FROM ac a JOIN ac b ON a.condition=b.condition AND a.aa<b.aa AND split_part(a.aa,'_',1)=split_part(b.aa,'_',1) WHERE a.n>=3 AND b.n>=3""")
+def pointwise_pairs(spark, d):
+    """Pairs of acids' tuples that are tested: those with the same first item, none with itself."""
+    sizes = jobs.codon_members(told_apart(fx.residues(spark, d)), **GROUPING)["sizes"]
+    return twosample.pair_plan(sizes, "aa", 3, self_test=False).select("condition", "s1", "s2", "n1", "n2")
 
 
 @query("unmodelled_job")
