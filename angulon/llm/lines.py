@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import neardup
-from .shared import discard, releasing, scratch, stored
+from .shared import discard, few, releasing, scratch, stored
 from .textio import chunks, mix, row_of, span_hashes
 
 SHINGLE, ROWS, BANDS, PASSES, BINS, THRESHOLD = 5, 6, 23, 3, 46, 0.8
@@ -195,10 +195,10 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     contents = texts.mapInArrow(releasing(_contents(sieve)), f"node bigint, text string, {neardup.about_schema(WORDS)}")
     contents = stored(contents.groupBy("node").agg(*[F.first(c).alias(c) for c in ("text", *neardup.about(WORDS))]), "line_texts")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        left = contents.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-        right = contents.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-        both = pairs.join(right, "b").join(left, "a").select("a", "b", "la", "lb", "text_a", "text_b")
+    def verify(pairs: DataFrame, n: int) -> DataFrame:
+        own = contents.select("node", "text")
+        both = pairs.join(neardup.needed(own, pairs, "b", n), "b").join(neardup.needed(own, pairs, "a", n), "a").select("a", "b", "la", "lb", "text_a", "text_b")
+        both = few(both, n * neardup.PAIR_ROWS)
         return both.sortWithinPartitions("a").mapInArrow(releasing(_verified(threshold)), "a bigint, b bigint, la bigint, lb bigint")
 
     labels = neardup.classes(members, contents, verify, threshold, WORDS)

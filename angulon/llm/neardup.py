@@ -3,7 +3,7 @@
 A bucket holds nodes that may be similar. Every pair within a bucket is either shown not to be similar, or verified, or
 already in one class, without listing all pairs of a group. First, in a part of the buckets, every node meets the
 bucket's least: this finds the large classes, and buckets whose nodes share a class are done. In the others the next
-2 * 8**r nodes, their leaders, meet in round r the later ones that are not yet in the leader's class; classes that a
+4 * 16**r nodes, their leaders, meet in round r the later ones that are not yet in the leader's class; classes that a
 found link joins become one, and a bucket is done when its remaining nodes share a class. A group of thousands of
 copies takes about as many comparisons as it has nodes.
 
@@ -32,7 +32,9 @@ from pyspark.sql.window import Window
 from .shared import discard, few, free_exchanges, releasing, stored
 from .textio import mix, row_of
 
-FIRST_LEADERS, MORE_LEADERS, SALT_ROWS, SIGMAS = 2, 8, 256, 6.0
+FIRST_LEADERS, MORE_LEADERS, SALT_ROWS, SIGMAS = 4, 16, 256, 6.0
+#: So many rows of small tables a pair to be verified counts for; pairs up to which their nodes are broadcast.
+PAIR_ROWS, BROADCAST_PAIRS = 10, 300_000
 #: One of so many buckets takes part in the first round.
 EARLY = 6
 #: Keys that a task packs at once, and that a part's reader merges at once.
@@ -81,7 +83,7 @@ def _is_forest_of_stars(edges: DataFrame, n: int) -> bool:
     """Whether every node is either below one other or above others."""
     ends = edges.select("u", F.lit(1).alias("below"), F.lit(0).alias("above")).union(edges.select("v", F.lit(0), F.lit(1)))
     nodes = few(ends, 2 * n).groupBy("u").agg(F.sum("below").alias("below"), F.sum("above").alias("above"))
-    return nodes.where("below > 1 OR (below > 0 AND above > 0)").isEmpty()
+    return few(nodes, n).where("below > 1 OR (below > 0 AND above > 0)").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -219,11 +221,18 @@ def _mixed(members: DataFrame) -> DataFrame:
     return members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
 
 
-def classes(members: DataFrame, nodes: DataFrame, verify: Callable[[DataFrame], DataFrame], threshold: float, words: int) -> DataFrame:
+def needed(contents: DataFrame, pairs: DataFrame, side: str, n: int) -> DataFrame:
+    """The rows of ``contents`` (node, ...) whose node is on a side of the n pairs. Where these are few they are broadcast,
+    and nothing else of the contents is exchanged."""
+    rows = contents.withColumnsRenamed({c: f"{c}_{side}" for c in contents.columns if c != "node"}).withColumnRenamed("node", side)
+    return rows.join(F.broadcast(pairs.select(side).distinct()), side, "left_semi") if n <= BROADCAST_PAIRS else rows
+
+
+def classes(members: DataFrame, nodes: DataFrame, verify: Callable[[DataFrame, int], DataFrame], threshold: float, words: int) -> DataFrame:
     """node, label for every node that has a link: label is the least node of its class, which is not listed itself.
 
     members: distinct (bucket, node, n), as shared_buckets gives them. nodes: node and the columns ``about``, one row a
-    node. verify: of pairs (a, b, la, lb), those whose nodes a and b are similar.
+    node. verify: of distinct pairs (a, b, la, lb), and their number, those whose nodes a and b are similar.
     """
     nodes = nodes.select("node", *about(words))
     salts = F.greatest(F.ceil(F.col("n") / SALT_ROWS), F.lit(1)).cast("int")
@@ -233,9 +242,14 @@ def classes(members: DataFrame, nodes: DataFrame, verify: Callable[[DataFrame],
         """Verified pairs of leaders (bucket, salts, a_...) and later members in other classes; n: most pairs there are."""
         everywhere = leaders.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
         pairs = members.join(everywhere, ["bucket", "salt"]).where((F.col("node") > F.col("a_node")) & (F.col("label") != F.col("a_label")) & _within(threshold, words))
-        pairs = few(pairs.select(F.col("a_node").alias("a"), F.col("node").alias("b"), F.col("a_label").alias("la"), F.col("label").alias("lb")), n)
-        # texts are compared in as many tasks as Spark takes: a few tasks would hold many of them at once
-        return stored(verify(pairs.distinct()), "links")
+        pairs = pairs.select(F.col("a_node").alias("a"), F.col("node").alias("b"), F.col("a_label").alias("la"), F.col("label").alias("lb"))
+        pairs = stored(few(few(pairs, n).distinct(), n), "pairs")
+        found = pairs.count()
+        if not found:
+            return pairs
+        links = stored(verify(few(pairs, found * PAIR_ROWS), found), "links")
+        discard(pairs)
+        return links
 
     def moves(links: DataFrame) -> DataFrame:
         return components(links.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("to"))
@@ -255,7 +269,7 @@ def classes(members: DataFrame, nodes: DataFrame, verify: Callable[[DataFrame],
         first = few(members.withColumn("r", F.row_number().over(Window.partitionBy("bucket", "salt").orderBy("node"))).where(F.col("r") <= wanted), n)
         leaders = few(first.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy("node"))).where(F.col("r") <= wanted), n)
         leaders = stored(leaders.select("bucket", "salts", *[F.col(c).alias(f"a_{c}") for c in ("node", "label", *about(words))]), "leaders")
-        links = links_of(members, leaders, n * wanted)
+        links = links_of(members, leaders, n * max(1, wanted // 16))
         old = [members, leaders, links]
         if not links.isEmpty():
             moved = moves(links)

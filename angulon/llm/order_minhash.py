@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import neardup
-from .shared import discard, releasing, scratch, stored
+from .shared import discard, few, releasing, scratch, stored
 from .textio import LOWER_CODES, chunks, mix, row_of, span_hashes, words
 
 K, L, SKETCHES, THRESHOLD = 5, 6, 30, 0.8
@@ -186,10 +186,10 @@ def classes_of(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     contents = texts.mapInArrow(releasing(_contents(sieve)), f"node bigint, parts array<bigint>, {neardup.about_schema(WORDS)}")
     contents = stored(contents.groupBy("node").agg(*[F.first(c).alias(c) for c in ("parts", *neardup.about(WORDS))]), "parts")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        left = contents.select(F.col("node").alias("a"), F.col("parts").alias("parts_a"))
-        right = contents.select(F.col("node").alias("b"), F.col("parts").alias("parts_b"))
-        both = pairs.join(right, "b").join(left, "a").select("a", "b", "la", "lb", "parts_a", "parts_b")
+    def verify(pairs: DataFrame, n: int) -> DataFrame:
+        own = contents.select("node", "parts")
+        both = pairs.join(neardup.needed(own, pairs, "b", n), "b").join(neardup.needed(own, pairs, "a", n), "a").select("a", "b", "la", "lb", "parts_a", "parts_b")
+        both = few(both, n * neardup.PAIR_ROWS)
         return both.sortWithinPartitions("a").mapInArrow(releasing(_verified(threshold)), "a bigint, b bigint, la bigint, lb bigint")
 
     labels = neardup.classes(members, contents, verify, threshold, WORDS)
