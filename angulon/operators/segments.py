@@ -254,9 +254,9 @@ def same_ss_pairs(df: DataFrame) -> DataFrame:
     return df.withColumn("pair_ss", F.when(F.lag("secondary").over(_along()) == F.col("secondary"), F.col("secondary")))
 
 
-def his_tags(segs: DataFrame) -> DataFrame:
-    """Terminal segments that hold a histidine tag."""
-    return segs.where(F.col("seg_seq").contains("HHHHHH") & (F.col("seg_type") != "inter"))
+def his_tags(segs: DataFrame, tag: str = "HHHHHH") -> DataFrame:
+    """Terminal segments that hold a tag, of six histidines unless another is given."""
+    return segs.where(F.col("seg_seq").contains(tag) & (F.col("seg_type") != "inter"))
 
 
 def labelled_filters(segs: DataFrame) -> DataFrame:

@@ -147,11 +147,11 @@ def location_sigma(spark, d):
     return df.select("secondary", "n", r("sigma", 8))
 
 
-@query("cross_bond", f"""WITH {fx.RESIDUES} SELECT struct_id, unp_id, unp_idx, codon, phi, psi, lead(phi) OVER (PARTITION BY struct_id ORDER BY unp_idx, unp_id, codon, phi, psi) AS phi_next FROM residues""")
+@query("cross_bond", f"""WITH {fx.RESIDUES} SELECT struct_id, unp_id, unp_idx, codon, lead(phi) OVER (PARTITION BY struct_id ORDER BY unp_idx, unp_id, codon, phi, psi) AS phi_next, psi AS psi_here, (phi+psi)/2 AS omega_here FROM residues""")
 def cross_bond(spark, d):
     w = Window.partitionBy("struct_id").orderBy("unp_idx", "unp_id", "codon", "phi", "psi")
-    df = angles.cross_bond(fx.residues(spark, d).withColumn("omega", F.lit(180.0)), w)
-    return df.select("struct_id", "unp_id", "unp_idx", "codon", "phi", "psi", "phi_next")
+    df = angles.cross_bond(fx.residues(spark, d).withColumn("omega", (F.col("phi") + F.col("psi")) / 2), w)
+    return df.select("struct_id", "unp_id", "unp_idx", "codon", "phi_next", "psi_here", "omega_here")
 
 
 @query("same_ss_pairs", f"""WITH {fx.RESIDUES}, l AS (SELECT *, lag(secondary) OVER (PARTITION BY struct_id ORDER BY unp_idx, unp_id, codon, phi, psi) AS s0 FROM residues)
@@ -176,10 +176,11 @@ def codon_names(spark, d):
 k AS (SELECT DISTINCT codon || '_' || k1 AS t, split_part(codon,'-',1) || '_' || split_part(k1,'-',1) AS aas FROM t WHERE i1=unp_idx+1 AND c1=condition)
 SELECT a.t AS t1, b.t AS t2, a.aas FROM k a JOIN k b ON a.aas=b.aas AND a.t<b.t""")
 def synonymous_tuples(spark, d):
+    """Among tuples with the same first acid, those that code for the same acids."""
     t = tuples.build_tuples(best_residues(spark, d), 2).select(F.col("codon").alias("t")).distinct()
-    t = t.select("t", codons.tuple_to_aas("t").alias("aas"))
-    both = t.toDF("t1", "aas").join(t.toDF("t2", "aas"), "aas").where("t1 < t2")
-    return both.where(codons.is_synonymous("t1", "t2")).select("t1", "t2", "aas")
+    t = t.withColumn("first", codons.aac_aa("t"))
+    both = t.toDF("t1", "first").join(t.toDF("t2", "first"), "first").where("t1 < t2")
+    return both.where(codons.is_synonymous("t1", "t2")).select("t1", "t2", codons.tuple_to_aas("t1").alias("aas"))
 
 
 # --- chains -------------------------------------------------------------------------------------------------------
@@ -226,10 +227,10 @@ def short_structure_segments(spark, d):
     return segments.short_structures(segs(spark, d), st, 400, (3, 15))
 
 
-@query("his_tag_segments", f"WITH {SEG} SELECT seg_type, count(*) AS n FROM seg WHERE NOT (contains(seg_seq,'HHHHHH') AND seg_type<>'inter') GROUP BY 1")
+@query("his_tag_segments", f"WITH {SEG} SELECT seg_type, count(*) AS n FROM seg WHERE NOT (contains(seg_seq,'AC') AND seg_type<>'inter') GROUP BY 1")
 def his_tag_segments(spark, d):
     s = segs(spark, d)
-    return s.join(segments.his_tags(s).select("struct_id", "seg_idx"), ["struct_id", "seg_idx"], "left_anti").groupBy("seg_type").agg(F.count("*").alias("n"))
+    return s.join(segments.his_tags(s, "AC").select("struct_id", "seg_idx"), ["struct_id", "seg_idx"], "left_anti").groupBy("seg_type").agg(F.count("*").alias("n"))
 
 
 RATIO = SEG + """,
@@ -441,13 +442,23 @@ def residue_contacts(spark, d):
     return contacts.residue_contacts(near(spark, d)).select("src", "contact_count", "contact_smax", "n_ooc", "n_non_aa", r("dist_min"))
 
 
-@query("interaction_summary", f"""WITH {CONTACTS}, e AS (SELECT * FROM rc WHERE src<tgt), b AS (SELECT src, tgt, sc, tc, dist FROM e UNION ALL SELECT tgt, src, tc, sc, dist FROM e)
-SELECT sc AS s_chain, src AS s_seq, count(*) AS contact_count, round(min(dist),6) AS dist_min, round(max(dist),6) AS dist_max, min(CASE WHEN sc=tc THEN abs(src-tgt) END) AS seq_min, max(CASE WHEN sc=tc THEN abs(src-tgt) END) AS seq_max,
- count(DISTINCT CASE WHEN sc<>tc THEN tc END)::INT AS n_ooc FROM b GROUP BY 1,2""")
+#: Edges with waters, bases (names of two letters), edges that are proximal only, and edges that interact with water.
+EDGES = CONTACTS + """, nm AS (SELECT *, CASE WHEN src%13=0 THEN 'HOH' WHEN src%7=0 THEN 'DA' ELSE 'ALA' END AS sr, CASE WHEN tgt%13=0 THEN 'HOH' WHEN tgt%7=0 THEN 'DA' ELSE 'ALA' END AS tr FROM rc WHERE src<tgt),
+e AS (SELECT * FROM nm WHERE (src+tgt)%5<>0 AND (src*3+tgt)%11<>0 AND sr<>'HOH' AND tr<>'HOH'),
+b AS (SELECT src, tgt, sc, tc, sr, tr, dist FROM e UNION ALL SELECT tgt, src, tc, sc, tr, sr, dist FROM e)"""
+
+
+@query("interaction_summary", f"""WITH {EDGES} SELECT sc AS s_chain, src AS s_seq, sr AS s_res, count(*) AS contact_count, round(min(dist),6) AS dist_min, round(max(dist),6) AS dist_max, min(CASE WHEN sc=tc THEN abs(src-tgt) END) AS seq_min, max(CASE WHEN sc=tc THEN abs(src-tgt) END) AS seq_max,
+ count(DISTINCT CASE WHEN sc<>tc THEN tc END)::INT AS n_ooc, coalesce(string_agg(DISTINCT CASE WHEN tr='DA' THEN tc || ':DA' || tgt END, ' ' ORDER BY CASE WHEN tr='DA' THEN tc || ':DA' || tgt END),'') AS non_aa, count(DISTINCT CASE WHEN tr='ALA' THEN tgt END)::INT AS n_aas,
+ CASE WHEN bool_or((src+tgt)%5=1) THEN 'hbond proximal vdw' ELSE 'proximal vdw' END AS types FROM b GROUP BY 1,2,3""")
 def interaction_summary(spark, d):
-    e = near(spark, d).where("src < tgt").select(F.col("src_chain").alias("bgn_chain"), F.col("src").alias("bgn_seq"), F.lit("ALA").alias("bgn_res"), F.col("tgt_chain").alias("end_chain"), F.col("tgt").alias("end_seq"), F.lit("ALA").alias("end_res"), F.array(F.lit("vdw"), F.lit("proximal")).alias("contact"), F.col("dist").alias("distance"), F.lit("INTER").alias("interacting"))
+    name = lambda c: F.when(F.col(c) % 13 == 0, "HOH").when(F.col(c) % 7 == 0, "DA").otherwise("ALA")
+    both = F.col("src") + F.col("tgt")
+    kinds = F.when(both % 5 == 0, F.array(F.lit("proximal"))).when(both % 5 == 1, F.array(F.lit("vdw"), F.lit("hbond"), F.lit("proximal"))).otherwise(F.array(F.lit("vdw"), F.lit("proximal")))
+    wet = F.when((F.col("src") * 3 + F.col("tgt")) % 11 == 0, "SELECTION_WATER").otherwise("INTRA_SELECTION")
+    e = near(spark, d).where("src < tgt").select(F.col("src_chain").alias("bgn_chain"), F.col("src").alias("bgn_seq"), name("src").alias("bgn_res"), F.col("tgt_chain").alias("end_chain"), F.col("tgt").alias("end_seq"), name("tgt").alias("end_res"), kinds.alias("contact"), F.col("dist").alias("distance"), wet.alias("interacting"))
     s = contacts.interaction_summary(e)
-    return s.select("s_chain", "s_seq", "contact_count", r("dist_min"), r("dist_max"), "seq_min", "seq_max", F.size("contact_ooc").alias("n_ooc"))
+    return s.select("s_chain", "s_seq", "s_res", "contact_count", r("dist_min"), r("dist_max"), "seq_min", "seq_max", F.size("contact_ooc").alias("n_ooc"), F.array_join("contact_non_aa", " ").alias("non_aa"), F.size("contact_aas").alias("n_aas"), F.array_join("contact_types", " ").alias("types"))
 
 
 from . import registry_stats  # noqa: E402, F401, I001  (these register their queries here)

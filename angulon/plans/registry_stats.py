@@ -319,20 +319,25 @@ def histogram(spark, d):
     return tuples.histogram(fx.table(spark, d, "lineitem"), "l_quantity", [0, 10, 20, 30, 40, 50]).select("bin", "lo", "hi", "n", r("p", 9))
 
 
-@query("relative_histogram", f"""WITH {fx.RESIDUES}, h AS (SELECT codon AS value, count(*)/(SELECT count(*) FROM good) AS p FROM good GROUP BY ALL), g AS (SELECT split_part(value,'-',1) AS parent, sum(p) AS pp FROM h GROUP BY 1)
-SELECT parent, value, round(p/pp,9) AS p FROM h JOIN g ON split_part(value,'-',1)=parent""")
+SHARES = fx.RESIDUES + """, h AS (SELECT codon AS value, count(*)/(SELECT count(*) FROM good) AS p, sqrt(count(*)::DOUBLE)/(SELECT count(*) FROM good) AS std FROM good GROUP BY ALL)"""
+
+
+@query("relative_histogram", f"""WITH {SHARES}, g AS (SELECT split_part(value,'-',1) AS parent, sum(p) AS pp, sqrt(sum(std*std)) AS ps FROM h GROUP BY 1)
+SELECT parent, value, round(p/pp,9) AS p, round(p/pp*sqrt(pow(std/p,2)+pow(ps/pp,2)),9) AS std FROM h JOIN g ON split_part(value,'-',1)=parent""")
 def relative_histogram(spark, d):
-    return tuples.relative_histogram(shares(spark, d), F.split_part("value", F.lit("-"), F.lit(1))).select("parent", "value", r("p", 9))
+    return tuples.relative_histogram(shares(spark, d), F.split_part("value", F.lit("-"), F.lit(1))).select("parent", "value", r("p", 9), r("std", 9))
 
 
 def shares(spark, d) -> DataFrame:
+    """Shares of the codons, with the deviation of a count."""
     h = good(spark, d).groupBy(F.col("codon").alias("value")).agg(F.count("*").alias("n"))
-    return h.select("value", (F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1)))).alias("p"), F.lit(0.0).alias("std"))
+    total = F.sum("n").over(Window.partitionBy(F.lit(1)))
+    return h.select("value", (F.col("n") / total).alias("p"), (F.sqrt(F.col("n").cast("double")) / total).alias("std"))
 
 
-@query("product_histogram", f"WITH {fx.RESIDUES}, h AS (SELECT codon AS value, count(*)/(SELECT count(*) FROM good) AS p FROM good GROUP BY ALL) SELECT a.value||'_'||b.value AS value, round(a.p*b.p,9) AS p FROM h a, h b")
+@query("product_histogram", f"""WITH {SHARES} SELECT a.value||'_'||b.value AS value, round(a.p*b.p,9) AS p, round(a.p*b.p*sqrt(pow(a.std/a.p,2)+pow(b.std/b.p,2)),9) AS std FROM h a, h b""")
 def product_histogram(spark, d):
-    return tuples.product_histogram(shares(spark, d), 2).select("value", r("p", 9))
+    return tuples.product_histogram(shares(spark, d), 2).select("value", r("p", 9), r("std", 9))
 
 
 def _poisson_sql(column: str) -> str:
@@ -406,16 +411,20 @@ def ensure_checkpoints(spark) -> None:
 
 
 @query("canonize", """WITH e AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM embeddings),
-g AS (SELECT vec_id, [v[4]-v[1],v[5]-v[2],v[6]-v[3]] AS n, [v[7]-v[4],v[8]-v[5],v[9]-v[6]] AS a, [v[10]-v[1],v[11]-v[2],v[12]-v[3]] AS o FROM e),
-z AS (SELECT *, [-(n[2]*a[3]-n[3]*a[2]), -(n[3]*a[1]-n[1]*a[3]), -(n[1]*a[2]-n[2]*a[1])] AS zz FROM g)
-SELECT vec_id, round(list_dot_product(o,n)/sqrt(list_dot_product(n,n)),6)+0.0 AS x, round(list_dot_product(o,zz)/sqrt(list_dot_product(zz,zz)),6)+0.0 AS z, round(list_dot_product(o,o),6)+0.0 AS norm2 FROM z""")
+g AS (SELECT vec_id, v, [v[13]-v[7],v[14]-v[8],v[15]-v[9]] AS n, [v[16]-v[13],v[17]-v[14],v[18]-v[15]] AS a FROM e),
+z AS (SELECT *, [-(n[2]*a[3]-n[3]*a[2]), -(n[3]*a[1]-n[1]*a[3]), -(n[1]*a[2]-n[2]*a[1])] AS zz FROM g),
+u AS (SELECT vec_id, v, [q/sqrt(list_dot_product(n,n)) FOR q IN n] AS x, [q/sqrt(list_dot_product(zz,zz)) FOR q IN zz] AS z FROM z),
+y AS (SELECT *, [z[2]*x[3]-z[3]*x[2], z[3]*x[1]-z[1]*x[3], z[1]*x[2]-z[2]*x[1]] AS y FROM u),
+o AS (SELECT vec_id, k, x, y, z, [v[3*k+1]-v[7],v[3*k+2]-v[8],v[3*k+3]-v[9]] AS o FROM y, range(0,8) t(k))
+SELECT vec_id, k::INT AS atom, round(list_dot_product(o,x),6)+0.0 AS x, round(list_dot_product(o,y),6)+0.0 AS y, round(list_dot_product(o,z),6)+0.0 AS z FROM o""")
 def canonize(spark, d):
+    """N, CA, C and O of two residues in turn, in the frame of the bond between them."""
     e = fx.table(spark, d, "embeddings")
-    p = lambda k: F.array(*[F.col("embedding")[k + i].cast("double") for i in range(3)])
-    e = e.select("vec_id", p(0).alias("c"), p(3).alias("n"), p(6).alias("ca"), p(9).alias("o"))
-    o = clusters.canonize([F.col("o")], F.col("c"), F.col("n"), F.col("ca"))[0]
-    e = e.select("vec_id", o.alias("p"))
-    return e.select("vec_id", F.col("p")[0].alias("x"), F.col("p")[2].alias("z"), angles.dot(F.col("p"), F.col("p")).alias("norm2")).select("vec_id", r("x"), r("z"), r("norm2"))
+    at = lambda k: F.array(*[F.col("embedding")[3 * k + i].cast("double") for i in range(3)])
+    e = e.select("vec_id", *[at(k).alias(f"a{k}") for k in range(8)])
+    places = clusters.canonize([F.col(f"a{k}") for k in range(8)], F.col("a2"), F.col("a4"), F.col("a5"))
+    p = e.select("vec_id", F.posexplode(F.array(*places)).alias("atom", "p"))
+    return p.select("vec_id", "atom", *[F.col("p")[i].alias(c) for i, c in enumerate("xyz")]).select("vec_id", "atom", r("x"), r("y"), r("z"))
 
 
 @query("dihedrals", """WITH e AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM embeddings),
