@@ -148,15 +148,24 @@ def _contents(sieve: neardup.Sieve):
     return contents
 
 
+#: Bits of a shingle's hash that tell it from others of its line.
+_TOLD = 44
+
+
 def distinct_shingles(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingle hashes of each line, and their number."""
+    """The distinct shingle hashes (their first _TOLD bits) of each line, and their number."""
     h, n = shingle_hashes(data, start, end)
-    row = row_of(n)
-    order = np.lexsort((h, row))
-    h, row = h[order], row[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-    return h[new], np.bincount(row[new], minlength=len(n))
+    low = np.uint64(64 - _TOLD)
+    keys, counts = [], []
+    for lo in range(0, len(n), 1 << 20):  # a row number and a hash in one word, so that one sort does
+        some = n[lo : lo + (1 << 20)]
+        first = int(n[:lo].sum())
+        row = row_of(some).astype(np.uint64)
+        word = np.sort((row << np.uint64(_TOLD)) | (h[first : first + len(row)] >> low))
+        word = word[np.r_[True, word[1:] != word[:-1]]] if len(word) else word
+        keys.append((word & np.uint64((1 << _TOLD) - 1)) << low)
+        counts.append(np.bincount((word >> np.uint64(_TOLD)).astype(np.int64), minlength=len(some)))
+    return (np.concatenate(keys), np.concatenate(counts)) if keys else (h, n)
 
 
 def shingle_set(line: str) -> set[str]:

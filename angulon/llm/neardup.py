@@ -105,13 +105,25 @@ def components(edges: DataFrame) -> DataFrame:
 Placed = Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]
 
 
+def _in_order(key: np.ndarray, *then: np.ndarray) -> np.ndarray:
+    """The order by key, then by the others: most keys come once, so the others are compared for the rest alone."""
+    order = np.argsort(key)
+    sorted_key = key[order]
+    same = sorted_key[1:] == sorted_key[:-1]
+    run = np.flatnonzero(np.r_[False, same] | np.r_[same, False])
+    if len(run):
+        some = order[run]
+        order[run] = some[np.lexsort((*[t[some] for t in reversed(then)], key[some]))]
+    return order
+
+
 def _packed(place: Placed, parts: int):
     """part, entries: what a task has for each part of the key space, packed."""
     width = np.uint64((1 << 64) // parts + 1)
 
     def flush(nodes: list[np.ndarray], keys: list[np.ndarray]) -> pa.RecordBatch:
         key, node = np.concatenate(keys), np.concatenate(nodes)
-        order = np.lexsort((node, key))
+        order = _in_order(key, node)
         key, node = key[order], node[order]
         new = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
         key, node = key[new], node[new]
@@ -166,7 +178,7 @@ class _Part:
         node = np.concatenate([self.node, entries["node"]])
         given = np.concatenate([self.again, np.zeros(len(entries), bool)])  # keys given out before have no node left
         kept = np.concatenate([np.ones(len(self.key), bool), np.zeros(len(entries), bool)])
-        order = np.lexsort((node, ~given, key))
+        order = _in_order(key, ~given, node)
         key, node, given, kept = key[order], node[order], given[order], kept[order]
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         size = np.diff(np.r_[first, len(key)])
