@@ -22,35 +22,29 @@ def quality_filter(df: DataFrame, strict: bool = True, consolidate: bool = True)
     return df.where(keep & (F.col("codon_score") == 1) if strict else keep)
 
 
-def aggregate_redundant(df: DataFrame, how: str = "cent", min_size: int = 1, condition: str | None = "secondary", resolution: str = "resolution") -> DataFrame:
+def aggregate_redundant(df: DataFrame, how: str = "cent", min_size: int = 1, condition: str | None = "secondary", resolution: str = "resolution", spread: bool = True) -> DataFrame:
     """One row for each (condition, unp_id, unp_idx, codon): angles, group size and spread.
 
     A group is dropped if it has an angle missing, more than one secondary structure or fewer than ``min_size``
     members. how: ``cent`` gives the circular centroid, ``res`` the member of the best resolution (ties: least
-    struct_id), ``none`` every member. std is the root mean squared torus distance to the angles given.
+    struct_id), ``none`` every member. std is the root mean squared torus distance to the angles given, for which the
+    members are read again; without ``spread`` it is null and one exchange does.
     """
     df = df.withColumn("condition", F.col(condition) if condition else F.lit("ANY"))
-    part = df.groupBy(*KEY, "secondary").agg(
-        F.count("*").alias("n"),
-        F.min((F.col("phi").isNotNull() & F.col("psi").isNotNull()).cast("int")).alias("whole"),
-        *[F.sum(f(F.radians(c))).alias(f"{g}_{c}") for c in ("phi", "psi") for g, f in (("s", F.sin), ("c", F.cos))],
-    )
-    total = [F.sum(c).alias(c) for c in ("s_phi", "c_phi", "s_psi", "c_psi")]
-    groups = part.groupBy(*KEY).agg(F.sum("n").alias("group_size"), F.min("whole").alias("whole"), F.count("secondary").alias("n_ss"), F.max("secondary").alias("secondary"), *total)
-    groups = groups.where((F.col("group_size") >= min_size) & (F.col("whole") == 1) & (F.col("n_ss") <= 1))
-    mean = lambda c: F.when(F.hypot(f"s_{c}", f"c_{c}") / F.col("group_size") >= 1e-9, F.degrees(F.atan2(f"s_{c}", f"c_{c}"))).alias(f"{c}_c")
-    groups = groups.select(*[F.col(k).alias(f"_{k}") for k in KEY], F.col("secondary").alias("_secondary"), "group_size", mean("phi"), mean("psi"))
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in KEY]
-    own = df.join(groups, same)
+    best = [F.min(F.struct(F.coalesce(resolution, F.lit(float("-inf"))), "struct_id", "phi", "psi")).alias("top")] if how == "res" else []
+    sums = [F.sum(f(F.radians(c))).alias(f"{g}_{c}") for c in ("phi", "psi") for g, f in (("s", F.sin), ("c", F.cos))] if how == "cent" else []
+    whole = F.min((F.col("phi").isNotNull() & F.col("psi").isNotNull()).cast("int"))
+    groups = df.groupBy(*KEY).agg(F.count("*").alias("group_size"), whole.alias("whole"), F.min("secondary").alias("_least"), F.max("secondary").alias("_secondary"), *sums, *best)
+    one_class = F.col("_least").isNull() | (F.col("_least") == F.col("_secondary"))
+    groups = groups.where((F.col("group_size") >= min_size) & (F.col("whole") == 1) & one_class)
+    mean = lambda c: F.when(F.hypot(f"s_{c}", f"c_{c}") / F.col("group_size") >= 1e-9, F.degrees(F.atan2(f"s_{c}", f"c_{c}")))
+    place = {"cent": mean, "res": lambda c: F.col(f"top.{c}"), "none": lambda c: F.lit(None).cast("double")}[how]
+    groups = groups.select(*[F.col(k).alias(f"_{k}") for k in KEY], "_secondary", "group_size", place("phi").alias("phi_c"), place("psi").alias("psi_c"))
+    if not spread and how != "none":
+        return groups.select(*[F.col(f"_{k}").alias(k) for k in KEY], F.col("_secondary").alias("secondary"), "group_size", F.col("phi_c").alias("phi"), F.col("psi_c").alias("psi"), F.lit(None).cast("double").alias("std"))
+    own = df.join(groups, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in KEY])
     if how == "none":
         return own.select(*KEY, F.col("_secondary").alias("secondary"), "group_size", "phi", "psi")
-    if how == "res":
-        # the best resolution, then the least id and angles among the members that have it: numbers, so hashed aggregates
-        best = own.groupBy(*KEY).agg(F.min(F.coalesce(resolution, F.lit(float("-inf")))).alias("_best"))
-        best = best.select(*[F.col(k).alias(f"_b_{k}") for k in KEY], "_best")
-        top = own.join(best, [F.col(k).eqNullSafe(F.col(f"_b_{k}")) for k in KEY] + [F.coalesce(resolution, F.lit(float("-inf"))) == F.col("_best")])
-        top = top.groupBy(*[F.col(k).alias(f"_c_{k}") for k in KEY]).agg(F.min(F.struct("struct_id", "phi", "psi")).alias("top"))
-        own = own.join(top, [F.col(k).eqNullSafe(F.col(f"_c_{k}")) for k in KEY]).withColumns({"phi_c": F.col("top.phi"), "psi_c": F.col("top.psi")})
     d2 = angles.torus_distance("phi", "psi", "phi_c", "psi_c", squared=True)
     # the members share their group's values; avg and max of numbers need no list of members
     out = own.groupBy(*KEY, F.col("_secondary").alias("secondary"), "group_size").agg(F.max("phi_c").alias("phi"), F.max("psi_c").alias("psi"), F.sqrt(F.avg(d2)).alias("std"))

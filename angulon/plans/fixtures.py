@@ -2,11 +2,37 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; only where that is unset in a local session, as in tests, a folder of its own."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        import tempfile
+
+        path = f"file://{tempfile.mkdtemp(prefix='checkpoint-')}"
+        spark.sparkContext.setCheckpointDir(path)
+    return path.rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder, for plans that read it several times."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -115,8 +141,8 @@ def is_reference(struct_id: str = "struct_id") -> Column:
     return F.substring(struct_id, 2, 20).cast("bigint") % 20 == 0
 
 
-def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = chain(spark, sf_dir)
+def alignments(spark: SparkSession, sf_dir: str, chains: DataFrame | None = None) -> DataFrame:
+    c = chain(spark, sf_dir) if chains is None else chains
     r = c.where(is_reference()).select(F.col("struct_id").alias("ref_id"), "pos", F.col("res_name").alias("ref_name"), F.col("res_icode").alias("ri"), F.col("bfactor").alias("rb"))
     q = c.select(F.col("struct_id").alias("query_id"), "pos", F.col("res_name").alias("query_name"), F.col("res_icode").alias("qi"))
     star = F.when(F.col("ri").isNotNull() | F.col("qi").isNotNull(), " ").when(F.col("ref_name") == F.col("query_name"), "*").when(F.col("rb") <= 20, "*").otherwise(".")

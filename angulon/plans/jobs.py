@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,21 +95,21 @@ def unmodelled(chain: DataFrame, length: int = 3, alphabet: list[str] = segments
     return {"segments": kept, "context": context, "single": segments.propensity_single(chain, kept), "pairs": segments.propensity_pairs(chain, kept, (0, 1), alphabet)}
 
 
-def match_group(alignments: DataFrame, residues: DataFrame, context: int = 1, how: str = "circ") -> dict[str, DataFrame]:
+def match_group(alignments: DataFrame, residues: DataFrame, context: int = 1, how: str = "circ", keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> dict[str, DataFrame]:
     """Windows of aligned columns typed against the reference, grouped, and paired with the reference's group.
 
-    residues: struct_id, pos, unp_id, codon, phi, psi.
+    residues: struct_id, pos, unp_id, codon, phi, psi. keep: writes what is read several times, and gives it back.
     """
     w = matching.match_windows(alignments, context)
     ref = residues.select(F.col("struct_id").alias("ref_id"), F.col("pos").alias("ref_idx"), F.col("unp_id").alias("ru"), F.col("codon").alias("rc"), F.col("res_name").alias("rn"))
     qry = residues.select(F.col("struct_id").alias("query_id"), F.col("pos").alias("ref_idx"), "unp_id", "codon", "res_name", "phi", "psi")
     m = w.join(ref, ["ref_id", "ref_idx"]).join(qry, ["query_id", "ref_idx"])
     kind = codons.match_type(F.col("ref_id") == F.col("query_id"), F.col("ru") == F.col("unp_id"), F.col("rn") == F.col("res_name"), F.col("rc") == F.col("codon"))
-    m = m.withColumn("type", kind).where("type IS NOT NULL").select("ref_id", "ref_idx", "query_id", "unp_id", F.col("ref_idx").alias("unp_idx"), "codon", "type", "phi", "psi")
+    m = keep(m.withColumn("type", kind).where("type IS NOT NULL").select("ref_id", "ref_idx", "query_id", "unp_id", F.col("ref_idx").alias("unp_idx"), "codon", "type", "phi", "psi"), "matches")
     own = residues.join(m.select(F.col("ref_id").alias("struct_id"), F.col("ref_idx").alias("pos")).distinct(), ["struct_id", "pos"])
     own = own.select(F.col("struct_id").alias("ref_id"), F.col("pos").alias("ref_idx"), F.col("struct_id").alias("query_id"), "unp_id", F.col("pos").alias("unp_idx"), "codon", F.lit("REFERENCE").alias("type"), "phi", "psi")
     every = m.unionByName(own)
-    groups = matching.group_matches(every, how)
+    groups = keep(matching.group_matches(every, how), "groups")
     return {"matches": every, "groups": groups, "pairs": matching.reference_pairs(groups), "counts": matching.match_counts(every)}
 
 

@@ -70,7 +70,7 @@ best AS (SELECT g.secondary AS condition, g.unp_id, g.unp_idx, g.codon, count(*)
 
 
 def best_residues(spark, d):
-    return redundancy.aggregate_redundant(metadata.with_resolution(good(spark, d), fx.structs(spark, d)), how="res")
+    return redundancy.aggregate_redundant(metadata.with_resolution(good(spark, d), fx.structs(spark, d)), how="res", spread=False)
 
 
 @query("redundancy_best_resolution", f"WITH {BEST} SELECT condition, unp_id, unp_idx, codon, group_size, phi, psi FROM best")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import ranks, segments
@@ -14,18 +12,11 @@ from .registry import good, query, r
 from .registry_stats import ensure_checkpoints
 
 
-def folder(spark, name: str) -> str:
-    """A new folder below the one that driver and executors share."""
-    ensure_checkpoints(spark)
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("wide_round_trip", f"""WITH {fx.RESIDUES}, g AS (SELECT unp_id, unp_idx, secondary AS condition, codon, count(*) AS n, sum(phi) AS phi, min(psi) AS psi FROM good GROUP BY ALL)
 SELECT CAST(a.unp_id AS VARCHAR) AS unp_id, a.condition, a.codon AS codon1, b.codon AS codon2, a.n::INT AS n1, b.n::INT AS n2, round(a.phi,2)+0.0 AS phi1, b.psi+0.0 AS psi2, a.unp_idx::INT AS idx FROM g a JOIN g b ON a.unp_id=b.unp_id AND a.unp_idx=b.unp_idx AND a.condition=b.condition AND a.codon<=b.codon""")
 def wide_round_trip(spark, d):
     """Match pairs written as a wide CSV table with lists, and read back by the roles of some of its columns."""
-    at = folder(spark, "wide")
+    at = fx.new_folder(spark, "wide")
     m = jobs.match_pairs(good(spark, d)).withColumn("unp_idxs", F.transform("phis1", lambda x: F.col("unp_idx")))
     dataset.write_table(m.drop("unp_idx"), at)
     back = dataset.read_wide(spark, at, ["unp_id", "condition", "codon1", "codon2", "phis1", "psis2", "unp_idxs"])
@@ -36,7 +27,7 @@ def wide_round_trip(spark, d):
 @query("fasta_round_trip", f"""WITH {fx.CHAIN} SELECT struct_id AS id, 'chain of ' || struct_id AS description, string_agg(res_name, '' ORDER BY pos) AS sequence FROM chain GROUP BY struct_id""")
 def fasta_round_trip(spark, d):
     """Every chain written as a FASTA record with lines of 60 letters, and read back."""
-    at = folder(spark, "fasta")
+    at = fx.new_folder(spark, "fasta")
     c = fx.chain(spark, d).groupBy("struct_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "res_name"))), lambda x: x["res_name"]), "").alias("s"))
     lines = F.regexp_replace("s", r"(.{60})(?=.)", "$1\n")
     c.select(F.concat(F.lit(">ENA|"), "struct_id", F.lit("|"), "struct_id", F.lit(".1 chain of "), "struct_id", F.lit("\n"), lines)).write.text(at)
@@ -46,7 +37,7 @@ def fasta_round_trip(spark, d):
 @query("union_materialized", f"""WITH {fx.RESIDUES} SELECT struct_id, unp_id, unp_idx, secondary, phi, CASE WHEN secondary IN ('H','E') THEN psi END AS psi, CASE WHEN secondary NOT IN ('H','E') THEN bfactor END AS bfactor FROM residues""")
 def union_materialized(spark, d):
     """Two tables of which each lacks a column, joined, stored under a digest of the arguments, and read from there."""
-    at = folder(spark, "materialized")
+    at = fx.new_folder(spark, "materialized")
     df = fx.residues(spark, d)
     key = ["struct_id", "unp_id", "unp_idx", "secondary", "phi"]
     one = df.where("secondary IN ('H','E')").select(*key, "psi")
@@ -59,7 +50,7 @@ def union_materialized(spark, d):
 @query("rounded_round_trip", f"WITH {fx.RESIDUES} SELECT struct_id, unp_id, unp_idx, codon, round(phi/7,3)+0.0 AS phi, bfactor FROM residues")
 def rounded_round_trip(spark, d):
     """Residues written with three decimals as CSV and read back with their types."""
-    at = folder(spark, "residues")
+    at = fx.new_folder(spark, "residues")
     df = fx.residues(spark, d).select("struct_id", "unp_id", "unp_idx", "codon", (F.col("phi") / 7).alias("phi"), F.col("bfactor").cast("double").alias("bfactor"))
     dataset.write_table(df, at)
     kinds = {"struct_id": "bigint", "unp_id": "bigint", "unp_idx": "bigint", "bfactor": "double"}

@@ -24,16 +24,22 @@ def told_apart(df: DataFrame) -> DataFrame:
     return df.withColumns({k: F.round(F.col(c) * 100).cast("bigint") for k, c in HUNDREDTHS.items()})
 
 
+def kept_members(spark, d) -> DataFrame:
+    return fx.kept(members(spark, d), "members")
+
+
 def members(spark, d) -> DataFrame:
     return told_apart(good(spark, d)).select(F.col("secondary").alias("condition"), F.col("codon").alias("subgroup"), "aa", "phi", "psi", *IDENTITY)
 
 
-def sizes(spark, d) -> DataFrame:
-    return members(spark, d).groupBy("condition", "aa", F.col("subgroup").alias("codon")).agg(F.count("*").alias("n"))
+def sizes(spark, d, m: DataFrame | None = None) -> DataFrame:
+    m = members(spark, d) if m is None else m
+    return m.groupBy("condition", "aa", F.col("subgroup").alias("codon")).agg(F.count("*").alias("n"))
 
 
-def plan(spark, d) -> DataFrame:
-    return twosample.pair_plan(sizes(spark, d), "cc")
+def plan(spark, d, m: DataFrame | None = None) -> DataFrame:
+    """All pairs of synonymous codons; their table is written once, as most plans read it more than once."""
+    return fx.kept(twosample.pair_plan(sizes(spark, d, m), "cc"), "pairs")
 
 
 SIZES = fx.RESIDUES + """, sz AS (SELECT secondary AS condition, aa, codon, count(*) AS n FROM good GROUP BY ALL),
@@ -69,7 +75,8 @@ def pair_plan_aac(spark, d):
 
 @query("pair_tw2", f"""WITH {_sums(RAD2)} SELECT condition, s1, s2, n1, n2, round(CASE WHEN n1>1 AND n2>1 AND w1/(n1*n1*(n1-1))+w2/(n2*n2*(n2-1))>1e-12 THEN (b/(n1*n2)-w1/(n1*n1)-w2/(n2*n2))/(w1/(n1*n1*(n1-1))+w2/(n2*n2*(n2-1))) ELSE 0 END,6)+0.0 AS stat FROM p""")
 def pair_tw2(spark, d):
-    return twosample.tw2(plan(spark, d), members(spark, d)).select("condition", "s1", "s2", "n1", "n2", r("stat"))
+    m = kept_members(spark, d)
+    return twosample.tw2(plan(spark, d, m), m).select("condition", "s1", "s2", "n1", "n2", r("stat"))
 
 
 @query("pair_mmd", f"""WITH {_sums(f'exp(-0.5*pow({RAD2},2))')} SELECT condition, s1, s2, n1, n2, round((2*w1+n1)/(n1*n1)+(2*w2+n2)/(n2*n2)-2*b/(n1*n2),7)+0.0 AS stat FROM p""")
@@ -132,8 +139,8 @@ l AS (SELECT *, row_number() OVER (PARTITION BY condition ORDER BY pval)*0.9::DO
 h AS (SELECT *, coalesce(max(CASE WHEN pval<=line THEN line END) OVER (PARTITION BY condition),0) AS th FROM l)
 SELECT condition, s1, s2, n1, n2, round(d12,5)+0.0 AS d12, round(pval,9) AS pval, pval<=th AS significant, round(th,9)+0.0 AS threshold, n_tests, count(*) FILTER (pval<=th) OVER (PARTITION BY condition) AS n_rejected FROM h""")
 def significance_table(spark, d):
-    m = members(spark, d)
-    p = twosample.torus_sums(plan(spark, d), m).withColumn("b", F.col("b") * (3.141592653589793 / 180) ** 2)
+    m = kept_members(spark, d)
+    p = twosample.torus_sums(plan(spark, d, m), m).withColumn("b", F.col("b") * (3.141592653589793 / 180) ** 2)
     tests = p.select("condition", "s1", "s2", (F.col("n1") * F.col("n2") / (F.col("n1") * F.col("n2") + F.col("b"))).alias("pval"), F.col("b").alias("ddist"))
     t = multiplicity.significance_table(tests, m, 0.9)
     return t.select("condition", "s1", "s2", "n1", "n2", r("d12", 5), F.round("pval", 9).alias("pval"), "significant", r("threshold", 9), "n_tests", "n_rejected")
@@ -148,8 +155,8 @@ WINDOW = CHAIN_RES + """, aw AS (SELECT *, lag(col) OVER w AS c0, lead(col) OVER
 mw AS (SELECT ref_id, query_id, col AS ref_idx, ref_name AS ref_seq, query_name AS query_seq FROM aw WHERE c0=col-1 AND c2=col+1 AND t0='*' AND t2='*' AND star<>' ' AND 'X' NOT IN (ref_name,query_name,r0,r2,q0,q2) AND (ref_name<>query_name OR star='*'))"""
 
 
-def chain_residues(spark, d) -> DataFrame:
-    c = fx.chain(spark, d)
+def chain_residues(spark, d, chains: DataFrame | None = None) -> DataFrame:
+    c = fx.chain(spark, d) if chains is None else chains
     angle = lambda k: (F.floor(F.coalesce("bfactor", F.lit(0.0)) * k) % 360).cast("double") - 179.5
     return c.select("struct_id", "pos", "res_name", F.concat(F.lit("p"), (F.substring("struct_id", 2, 20).cast("bigint") % 4).cast("string")).alias("unp_id"), F.concat("res_name", F.lit("-"), (F.col("pos") % 2).cast("string")).alias("codon"), angle(7).alias("phi"), angle(13).alias("psi"))
 
@@ -169,7 +176,8 @@ g AS (SELECT g0.*, r.phi AS rphi, r.psi AS rpsi FROM g0 JOIN g0 r ON r.is_ref=1
 
 
 def match_group(spark, d):
-    return jobs.match_group(fx.alignments(spark, d), chain_residues(spark, d))
+    c = fx.kept(fx.chain(spark, d), "chain")
+    return jobs.match_group(fx.alignments(spark, d, c), fx.kept(chain_residues(spark, d, c), "residues"), keep=fx.kept)
 
 
 @query("match_groups", f"""WITH {GROUPS} SELECT ref_id, ref_idx, unp_id, unp_idx, codon, is_ref=1 AS ref_group, group_size, round(phi,5)+0.0 AS phi, round(psi,5)+0.0 AS psi,
@@ -400,14 +408,8 @@ def nonredundant_set(spark, d):
 
 
 def ensure_checkpoints(spark) -> None:
-    """Checkpoints go to spark.checkpoint.dir; only where that is unset in a local session, as in tests, to a folder of its own."""
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
-        return
-    if spark.sparkContext.master.split("[")[0] != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    import tempfile
-
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    """Checkpoints go to spark.checkpoint.dir, or, in a local session without it, to a folder of its own."""
+    fx.shared_folder(spark)
 
 
 @query("canonize", """WITH e AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM embeddings),
@@ -488,7 +490,8 @@ SELECT {pair}, round(avg(seen) FILTER (b<=last),6)+0.0 AS ddist, round((max(hits
 
 
 def _tests(spark, d, statistic: str, **how) -> DataFrame:
-    return twosample.bootstrap_permutation(plan(spark, d), members(spark, d), IDENTITY, statistic, **how).select("condition", "s1", "s2", r("ddist"), F.round("pval", 9).alias("pval"))
+    m = kept_members(spark, d)
+    return twosample.bootstrap_permutation(plan(spark, d, m), m, IDENTITY, statistic, **how).select("condition", "s1", "s2", r("ddist"), F.round("pval", 9).alias("pval"))
 
 
 TW_TEST = {"bootstraps": 1, "permutations": 60, "k_min": 30, "k_th": 15, "n_max": 40}
@@ -544,10 +547,11 @@ p AS (SELECT *, (SELECT count(*) FROM null_sample WHERE value>g.stat)/(SELECT co
 SELECT condition, s1, s2, round(avg(stat),6)+0.0 AS stat, round(least(1,{len(twosample.GEODESICS)}*min(pval)),9) AS pval FROM p GROUP BY ALL""")
 def projection_test(spark, d):
     """Against the statistics of one direction under labels shuffled within each condition and amino acid."""
-    m, pairs = members(spark, d), plan(spark, d)
-    ensure_checkpoints(spark)
+    m = kept_members(spark, d)
+    pairs = plan(spark, d, m)
     nulls = [twosample.circle_wasserstein(pairs, twosample.shuffle_labels(m, "subgroup", ["condition", "aa"], IDENTITY, s), [twosample.geodesic_position(NULL_DIRECTION)]) for s in NULL_SEEDS]
-    null = nulls[0].union(nulls[1]).select(F.col("stat").alias("value")).checkpoint()  # read three times
+    null = nulls[0].union(nulls[1]).select(F.col("stat").alias("value"))
+    null = fx.kept(null, "null")  # read three times
     return twosample.projection_test(pairs, m, null).select("condition", "s1", "s2", r("stat"), F.round("pval", 9).alias("pval"))
 
 
