@@ -63,24 +63,41 @@ def test_components(spark):
     assert [got.get(i, i) for i in range(340)] == want
 
 
+def word_likeness(a, b):
+    """By the longest common subsequence of runs of five words."""
+    x, y = ([tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if w else [] for w in ((a or "").lower().split(), (b or "").lower().split()))
+    if not x or not y:
+        return float(len(x) == len(y))
+    if max(len(x), len(y)) > 1000 or min(len(x), len(y)) < 0.5 * max(len(x), len(y)):
+        return float(x == y)
+    row = [0] * (len(y) + 1)
+    for u in x:
+        before = 0
+        for j, v in enumerate(y):
+            before, row[j + 1] = row[j + 1], before + 1 if u == v else max(row[j + 1], row[j])
+    return row[-1] / (len(x) + len(y) - row[-1])
+
+
+def plain_line_dedup(texts):
+    """The remaining text by place in the list; places that lose all their lines are absent."""
+    rows = [(i, k, x.strip(" \t\r\x0b\x0c")) for i, t in enumerate(texts) for k, x in enumerate((t or "").split("\n"))]
+    rows = [x for x in rows if x[2]]
+    same = [(i, j) for i, j in combinations(range(len(rows)), 2) if lines.likeness(lines.shingle_set(rows[i][2]), lines.shingle_set(rows[j][2])) >= 0.8]
+    keep = {rows[i][:2] for i in set(union(len(rows), same))}
+    out = {}
+    for i, t in enumerate(texts):
+        own = (t or "").split("\n")
+        inked = [k for k, x in enumerate(own) if x.strip(" \t\r\x0b\x0c")]
+        if not inked or any((i, k) in keep for k in inked):
+            out[i] = None if t is None else "\n".join(x for k, x in enumerate(own) if k not in inked or (i, k) in keep)
+    return out
+
+
 @pytest.mark.parametrize("salt_rows", [1, 256])
 def test_near_duplicates(spark, monkeypatch, salt_rows):
     monkeypatch.setattr(neardup, "SALT_ROWS", salt_rows)
     texts = corpus()
-
-    def likeness(a, b):
-        x, y = ([tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if w else [] for w in ((a or "").lower().split(), (b or "").lower().split()))
-        d = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-        if not x or not y:
-            return float(len(x) == len(y))
-        if max(len(x), len(y)) > 1000 or min(len(x), len(y)) < 0.5 * max(len(x), len(y)):
-            return float(x == y)
-        for i, u in enumerate(x):
-            for j, v in enumerate(y):
-                d[i + 1][j + 1] = d[i][j] + 1 if u == v else max(d[i][j + 1], d[i + 1][j])
-        return d[-1][-1] / (len(x) + len(y) - d[-1][-1])
-
-    want = union(len(texts), [(i, j) for i, j in combinations(range(len(texts)), 2) if likeness(texts[i], texts[j]) >= 0.8])
+    want = union(len(texts), [(i, j) for i, j in combinations(range(len(texts)), 2) if word_likeness(texts[i], texts[j]) >= 0.8])
     df = frame(spark, texts).withColumn("node", F.lit("clash")).withColumn("class_id", F.lit(0))
     got = {r.doc_id: (r.class_id, r.kept) for r in order_minhash.classes_of(df).collect()}
     assert {i: c for i, (c, _) in got.items()} == dict(enumerate(want)) and {i for i, (_, k) in got.items() if k} == set(want)
@@ -100,17 +117,7 @@ def test_many_texts_without_words_are_one_class(spark):
 def test_lines(spark, monkeypatch, salt_rows):
     monkeypatch.setattr(neardup, "SALT_ROWS", salt_rows)
     texts = [t for t in corpus(5) if t is None or len(t) < 9000]
-    rows = [(i, k, x.strip(" \t\r\x0b\x0c")) for i, t in enumerate(texts) for k, x in enumerate((t or "").split("\n"))]
-    rows = [x for x in rows if x[2]]
-    same = [(i, j) for i, j in combinations(range(len(rows)), 2) if lines.likeness(lines.shingle_set(rows[i][2]), lines.shingle_set(rows[j][2])) >= 0.8]
-    label = union(len(rows), same)
-    keep = {rows[i][:2] for i in set(label)}
-    want = {}
-    for i, t in enumerate(texts):
-        own = (t or "").split("\n")
-        inked = [k for k, x in enumerate(own) if x.strip(" \t\r\x0b\x0c")]
-        if not inked or any((i, k) in keep for k in inked):
-            want[i] = None if t is None else "\n".join(x for k, x in enumerate(own) if k not in inked or (i, k) in keep)
+    want = plain_line_dedup(texts)
     got = {r.doc_id: r.text for r in lines.dedup(frame(spark, texts).union(frame(spark, texts[:2])).withColumns({n: F.lit(7) for n in ("key", "line", "T", "_lines", "_cut", "may", "gone")})).collect()}
     assert got == want
     assert lines.dedup(frame(spark, []).where("false")).count() == 0
@@ -407,21 +414,68 @@ def test_windows_cover_every_word():
         assert len(begin) == k[0] >= 1 and set(range(n)) == {w for b, s in zip(begin, size) for w in range(b, b + s)} and (size <= toxicity.WINDOW).all()
 
 
-def test_pipeline(spark, tmp_path):
+def plain_copies(docs, turns):
+    """How often each of (doc_id, text, source) is taken: temperature mixing by a plain search of the exponent."""
+    size, total = {}, 0
+    for _, t, source in docs:
+        size[source] = size.get(source, 0) + len(t.split())
+    total = sum(size.values())
+    share = {s: n / total for s, n in size.items()}
+
+    def weights(a):
+        z = sum(p**a for p in share.values())
+        return {s: p**a / z for s, p in share.items()}
+
+    even = lambda a: -sum(w * math.log(w) for w in weights(a).values()) >= 0.95 * math.log(len(share)) - 1e-12
+    fits = lambda a: all(w * total / size[s] <= 4 + 1e-9 for s, w in weights(a).items())
+    lo, hi = 0.0, 1.0
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if even(mid) else (lo, mid)
+    assert fits(lo)  # so the entropy alone decides here
+    out = {}
+    for s, w in weights(1.0 if even(1.0) else lo).items():
+        budget = math.floor(w * total + 0.5)
+        passes, rest = divmod(budget, size[s])
+        own = sorted((d for d in docs if d[2] == s), key=lambda d: turns[d[0], passes + 1])
+        upto, going = 0, True
+        for i, t, _ in own:
+            upto += len(t.split())
+            going = going and upto <= rest
+            out[i] = passes + going
+    return out
+
+
+def test_pipeline_equals_a_plain_version(spark, tmp_path):
+    public = pytest.importorskip("public_tokenizers")
+    tokenizer = pytest.importorskip("tokenizers").Tokenizer.from_file(public.path("word_bpe_49k.json"))
+    tokenizer.no_padding()
+    tokenizer.no_truncation()
     rng = random.Random(8)
-    texts = [" ".join(rng.choice(WORDS) + rng.choice("abcdefgh") for _ in range(40)) for _ in range(150)]
+    texts = ["\n".join(" ".join(rng.choice(WORDS) + rng.choice("abcdefgh") for _ in range(14)) for _ in range(3)) for _ in range(110)]
     texts = [t if i % 5 else t.upper().replace(" ", "!! ") for i, t in enumerate(texts)]
-    texts += [texts[1], texts[2] + " and more", texts[3] + "\n" + texts[4]]
-    docs = frame(spark, texts).withColumn("source", F.concat(F.lit("s"), (F.col("doc_id") % 2).cast("string")))
+    texts += [texts[1], texts[2] + " and more", texts[3] + "\n" + texts[4], texts[6].replace("a", "o", 1), texts[7].split("\n")[0] + "\n" + texts[8]]
+    docs = frame(spark, texts).withColumn("source", F.when(F.col("doc_id") % 7 == 0, "rare").when(F.col("doc_id") % 3 == 0, "some").otherwise("much"))
     docs.write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(i, int(i % 5 > 0), 0) for i in range(150)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    at = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    kept = []
-    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        before, at = at, stage(spark, at, str(tmp_path))
-        if k < 4:
-            assert at.columns == before.columns
-        kept.append({r.doc_id for r in at.select("doc_id").collect()})
-    assert kept[0] == {i for i in range(153) if i >= 150 or i % 5} and kept[1] == kept[0] - {150, 151, 152} == kept[2]
-    final = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
-    assert set(final) <= kept[2] and all(r.n_tokens == len(r.ids) > 0 for r in final.values())
+    labels = spark.createDataFrame([(i, int(i % 5 > 0), 0) for i in range(110)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    source = {r.doc_id: r.source for r in docs.collect()}
+    model = quality.train(docs, labels.where(corpus_pipeline.id_remainder("doc_id", 4) != 2))
+    score = lambda t: model.score(*quality.features(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())])))[0]
+    left = {i: t for i, t in enumerate(texts) if score(t) >= corpus_pipeline.ACCEPT}
+    assert set(left) == {i for i in range(len(texts)) if i >= 110 or i % 5}
+    ids = sorted(left)
+    left = {ids[k]: t for k, t in plain_line_dedup([left[i] for i in ids]).items()}
+    ids = sorted(left)
+    label = union(len(ids), [(i, j) for i, j in combinations(range(len(ids)), 2) if word_likeness(left[ids[i]], left[ids[j]]) >= 0.8])
+    left = {ids[k]: left[ids[k]] for k in set(label)}
+    rows = [(i, t, source[i]) for i, t in left.items()]
+    hashed = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("t", F.xxhash64("text"))
+    turns = {(r.doc_id, e): r[f"u{e}"] for r in hashed.select("doc_id", *[mixing.turn(F.lit(e), 1).alias(f"u{e}") for e in range(1, 6)]).collect() for e in range(1, 6)}
+    want = []
+    for i, times in plain_copies(rows, turns).items():
+        encoded = tokenizer.encode(left[i], add_special_tokens=False).ids
+        digest = hashlib.sha256(tokenizer.decode(encoded, skip_special_tokens=False).encode()).hexdigest()
+        want += [(i, source[i], len(encoded), encoded, digest)] * times
+    got = [tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "source", "n_tokens", "ids", "decoded_sha256").collect()]
+    assert sorted(got) == sorted(want) and len({r[0] for r in want}) < len(want)
