@@ -266,10 +266,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     once = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "label")).alias("x"))
     texts, got, size = [], [], 0
     for r in once.select("doc_id", "x.label", "x.text").sort(F.xxhash64("doc_id"), "doc_id").toLocalIterator():
-        size += len(r.text)
-        if size > most_bytes:
-            break
-        texts.append(r.text.encode())
+        own = r.text.encode()
+        if size + len(own) > most_bytes:  # shorter ones may still fit
+            continue
+        size += len(own)
+        texts.append(own)
         got.append(r.label)
     return fit(texts, np.array(got, np.float64))
 
