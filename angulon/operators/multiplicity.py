@@ -60,3 +60,13 @@ def split_names(df: DataFrame, column: str, k: int) -> DataFrame:
 def matching(df: DataFrame, column: str, pattern: str) -> DataFrame:
     """Rows whose whole name fits the pattern."""
     return df.where(F.col(column).rlike(f"^(?:{pattern})$"))
+
+
+def result_set(a: DataFrame, b: DataFrame, key: list[str], how: str) -> DataFrame:
+    """Rows of two result sets with the columns of ``a``: ``union`` (of ``b`` those whose key ``a`` lacks), ``intersection``
+    (of ``a`` those whose key ``b`` has) or ``subtraction`` (of ``a`` those whose key ``b`` lacks). Keys are null-safe."""
+    side = lambda df: df.select(*[F.col(k).alias(f"_{k}") for k in key]).distinct()
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]
+    if how == "union":
+        return a.unionByName(b.join(side(a), same, "left_anti").select(*a.columns))
+    return a.join(side(b), same, {"intersection": "left_semi", "subtraction": "left_anti"}[how])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import ranks, segments
+from ..operators import multiplicity, ranks, segments
 from ..sources import dataset, metadata
 from . import fixtures as fx
 from . import jobs
@@ -74,3 +74,13 @@ def segment_order(spark, d):
     ensure_checkpoints(spark)
     s = segments.segments(fx.chain(spark, d)).select("struct_id", "seg_start", "seg_len")
     return ranks.ordinal(s, F.desc("seg_len"), "struct_id", "seg_start")
+
+
+@query("result_sets", f"""WITH {fx.STRUCTS}, a AS (SELECT struct_id, resolution FROM structs WHERE resolution<=2.0), b AS (SELECT struct_id, resolution FROM structs WHERE seq_len>=100)
+SELECT 'union' AS how, * FROM (SELECT * FROM a UNION SELECT * FROM b) UNION ALL SELECT 'intersection', * FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'subtraction', * FROM (SELECT * FROM a EXCEPT SELECT * FROM b)""")
+def result_sets(spark, d):
+    """Structures of good resolution and long ones: together, in both, and in the first alone."""
+    s = fx.structs(spark, d).select("struct_id", "resolution", "seq_len")
+    a, b = s.where("resolution <= 2.0").drop("seq_len"), s.where("seq_len >= 100").drop("seq_len")
+    one = lambda how: multiplicity.result_set(a, b, ["struct_id"], how).select(F.lit(how).alias("how"), "struct_id", "resolution")
+    return one("union").union(one("intersection")).union(one("subtraction"))

@@ -180,10 +180,12 @@ def match_group(spark, d):
     return jobs.match_group(fx.alignments(spark, d, c), fx.kept(chain_residues(spark, d, c), "residues"), keep=fx.kept)
 
 
-@query("match_groups", f"""WITH {GROUPS} SELECT ref_id, ref_idx, unp_id, unp_idx, codon, is_ref=1 AS ref_group, group_size, round(phi,5)+0.0 AS phi, round(psi,5)+0.0 AS psi,
- round(sqrt(pow(least(abs(phi-rphi),360-abs(phi-rphi)),2)+pow(least(abs(psi-rpsi),360-abs(psi-rpsi)),2)),5)+0.0 AS ang_dist FROM g""")
+@query("match_groups", f"""WITH {GROUPS}, sp AS (SELECT g0.ref_id, g0.ref_idx, g0.unp_id, g0.unp_idx, g0.codon, any_value(is_ref) AS is_ref, avg(pow(least(abs(m.phi-g0.phi),360-abs(m.phi-g0.phi)),2)+pow(least(abs(m.psi-g0.psi),360-abs(m.psi-g0.psi)),2)) AS v FROM g0 JOIN m USING (ref_id, ref_idx, unp_id, unp_idx, codon) GROUP BY 1,2,3,4,5)
+SELECT g.ref_id, g.ref_idx, g.unp_id, g.unp_idx, g.codon, g.is_ref=1 AS ref_group, group_size, round(phi,5)+0.0 AS phi, round(psi,5)+0.0 AS psi,
+ round(sqrt(pow(least(abs(phi-rphi),360-abs(phi-rphi)),2)+pow(least(abs(psi-rpsi),360-abs(psi-rpsi)),2)),5)+0.0 AS ang_dist, round(sqrt(sp.v*rs.v),4)+0.0 AS norm_factor
+ FROM g JOIN sp ON sp.ref_id=g.ref_id AND sp.ref_idx=g.ref_idx AND sp.unp_id=g.unp_id AND sp.unp_idx=g.unp_idx AND sp.codon=g.codon JOIN sp rs ON rs.is_ref=1 AND rs.ref_id=g.ref_id AND rs.ref_idx=g.ref_idx""")
 def match_groups(spark, d):
-    return match_group(spark, d)["groups"].select("ref_id", "ref_idx", "unp_id", "unp_idx", "codon", "ref_group", "group_size", r("phi", 5), r("psi", 5), r("ang_dist", 5))
+    return match_group(spark, d)["groups"].select("ref_id", "ref_idx", "unp_id", "unp_idx", "codon", "ref_group", "group_size", r("phi", 5), r("psi", 5), r("ang_dist", 5), r("norm_factor", 4))
 
 
 @query("match_counts", f"""WITH {GROUPS} SELECT ref_id, count(*) FILTER (type='VARIANT') AS n_variant, count(*) FILTER (type='SAME') AS n_same, count(*) FILTER (type='SILENT') AS n_silent, count(*) FILTER (type='MUTATION') AS n_mutation,
@@ -197,10 +199,10 @@ def reference_pairs(spark, d):
     return match_group(spark, d)["pairs"].select("ref_id", "ref_idx", "unp_id", "codon", "group_size", "ref_codon")
 
 
-@query("match_structs", f"WITH {GROUPS} SELECT query_id, min(unp_id) AS unp_id, count(*) AS n_matches, max(type IN ('REFERENCE','VARIANT')) AS ref_group FROM m GROUP BY 1")
+@query("match_structs", f"WITH {GROUPS}, nr AS (SELECT struct_id AS query_id, count(*) AS n_residues FROM chain GROUP BY 1) SELECT query_id, min(unp_id) AS unp_id, count(*) AS n_matches, max(type IN ('REFERENCE','VARIANT')) AS ref_group, any_value(n_residues) AS n_residues FROM m JOIN nr USING (query_id) GROUP BY 1")
 def match_structs(spark, d):
     structs = fx.chain(spark, d).groupBy("struct_id").agg(F.count("*").alias("n_residues"))
-    return matching.struct_table(match_group(spark, d)["matches"], structs).drop("n_residues")
+    return matching.struct_table(match_group(spark, d)["matches"], structs)
 
 
 @query("equal_environments", f"""WITH {WINDOW}, bad AS (SELECT ref_id, query_id, col + o AS ref_idx FROM alignments CROSS JOIN (VALUES (-2), (2)) t(o) WHERE ref_name<>query_name)
@@ -366,12 +368,14 @@ def bootstrap_histogram(spark, d):
     return tuples.bootstrap_histogram(good(spark, d), "codon", ["struct_id", "unp_idx"], 25).select("value", r("p", 9), r("std", 7))
 
 
-@query("proportion_intervals", f"""WITH {fx.RESIDUES}, c AS (SELECT secondary, count(*) AS n, count(*) FILTER (codon_score<1) AS k FROM residues GROUP BY 1)
-SELECT secondary, k, n, round(greatest((k/n+1.96*1.96/(2*n)-1.96*sqrt(k/n*(1-k/n)/n+1.96*1.96/(4*n*n)))/(1+1.96*1.96/n),0),8)+0.0 AS lo, round(least((k/n+1.96*1.96/(2*n)+1.96*sqrt(k/n*(1-k/n)/n+1.96*1.96/(4*n*n)))/(1+1.96*1.96/n),1),8)+0.0 AS hi FROM c""")
+@query("proportion_intervals", f"""WITH {fx.RESIDUES}, c AS (SELECT secondary, count(*) AS n, count(*) FILTER (codon_score<1) AS k, 1.96::DOUBLE AS z FROM residues GROUP BY 1), p AS (SELECT *, k/n AS p, 2*k+z*z AS base, 4*k*(1-k/n) AS f FROM c)
+SELECT secondary, k, n, round(greatest((p+z*z/(2*n)-z*sqrt(p*(1-p)/n+z*z/(4*n*n)))/(1+z*z/n),0),8)+0.0 AS lo, round(least((p+z*z/(2*n)+z*sqrt(p*(1-p)/n+z*z/(4*n*n)))/(1+z*z/n),1),8)+0.0 AS hi,
+ round(greatest((base-(z*sqrt(greatest(z*z-1/n+f+(4*p-2),0))+1))/(2*(n+z*z)),0),8)+0.0 AS lo_cc, round(least((base+(z*sqrt(greatest(z*z-1/n+f-(4*p-2),0))+1))/(2*(n+z*z)),1),8)+0.0 AS hi_cc FROM p""")
 def proportion_intervals(spark, d):
     c = fx.residues(spark, d).groupBy("secondary").agg(F.count("*").alias("n"), F.count_if(F.col("codon_score") < 1).alias("k"))
-    lo, hi = ratios.proportion_interval(F.col("k"), F.col("n"), 1.96)
-    return c.select("secondary", "k", "n", lo.alias("lo"), hi.alias("hi")).select("secondary", "k", "n", r("lo", 8), r("hi", 8))
+    plain, corrected = (ratios.proportion_interval(F.col("k"), F.col("n"), 1.96, how) for how in ("wilson", "wilson_cc"))
+    c = c.select("secondary", "k", "n", *[v.alias(x) for v, x in zip((*plain, *corrected), ("lo", "hi", "lo_cc", "hi_cc"), strict=True)])
+    return c.select("secondary", "k", "n", *[r(x, 8) for x in ("lo", "hi", "lo_cc", "hi_cc")])
 
 
 # --- similarity and clusters --------------------------------------------------------------------------------------
