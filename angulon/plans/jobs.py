@@ -113,10 +113,21 @@ def match_group(alignments: DataFrame, residues: DataFrame, context: int = 1, ho
     return {"matches": every, "groups": groups, "pairs": matching.reference_pairs(groups), "counts": matching.match_counts(every)}
 
 
-def select_structures(structs: DataFrame, predicate: Column, filters: list[tuple[str, Column]]) -> tuple[DataFrame, DataFrame]:
-    """Search, then reject by the filters: the kept rows and the report."""
+def select_structures(structs: DataFrame, predicate: Column, filters: list[tuple[str, Column]], sequences: DataFrame | None = None, similarity: float = 1.0, alphabet: list[str] = segments.STANDARD) -> tuple[DataFrame, DataFrame]:
+    """Search, reject by the filters, and keep the structures of a set of proteins no two of which are too similar: the
+    kept rows and the report of what the filters rejected.
+
+    sequences: unp_id, seq. Proteins are too similar if their aligned similarity is above ``similarity``; with 1, or
+    without sequences, all stay. Proteins without a sequence are similar to none.
+    """
     tagged, report = metadata.rejection_report(structs.where(predicate), filters)
-    return tagged.where("rejected_by IS NULL").drop("rejected_by"), report
+    kept = tagged.where("rejected_by IS NULL").drop("rejected_by")
+    if sequences is None or similarity >= 1:
+        return kept, report
+    proteins = kept.select("unp_id").distinct()
+    similar = redundancy.aligned_pairs(sequences.join(proteins, "unp_id", "left_semi"), similarity, alphabet, "unp_id")
+    chosen = redundancy.select_nonredundant(proteins, similar, "unp_id", similarity)
+    return kept.join(chosen, "unp_id", "left_semi").select(*kept.columns), report
 
 
 def compare_distances(residues: DataFrame, bins: int = 16, sigma: float = 30.0, n_min: int = 1) -> DataFrame:

@@ -615,6 +615,16 @@ def structure_job(spark, d):
     return jobs.select_structures(fx.structs(spark, d), metadata.resolution_at_most(3.0), filters)[0].select("struct_id", "unp_id")
 
 
+@query("dataset_job")
+def dataset_job(spark, d):
+    """The structures of good resolution that pass the filters, of proteins whose histories of methods are not alike."""
+    ensure_checkpoints(spark)
+    s = fx.structs(spark, d)
+    history = s.groupBy("unp_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("deposition_date", "struct_id", "method"))), lambda x: x["method"]), "").alias("seq"))
+    filters = [("length", F.col("seq_len") >= 90), ("method", F.col("method") != "P")]
+    return jobs.select_structures(s, metadata.resolution_at_most(2.5), filters, history, 0.9, ["F", "O", "P"])[0].select("struct_id", "unp_id")
+
+
 @query("match_types", f"""WITH {CHAIN_RES} SELECT CASE WHEN r.struct_id=q.struct_id THEN 'REFERENCE' WHEN r.unp_id=q.unp_id AND r.res_name=q.res_name AND r.codon=q.codon THEN 'VARIANT' WHEN r.unp_id=q.unp_id AND r.res_name=q.res_name THEN NULL WHEN r.unp_id=q.unp_id THEN 'ALTERATION'
  WHEN r.codon=q.codon THEN 'SAME' WHEN r.res_name=q.res_name THEN 'SILENT' ELSE 'MUTATION' END AS type, count(*) AS n FROM cr r JOIN cr q ON r.pos=q.pos WHERE CAST(substr(r.struct_id,2) AS BIGINT)%20=0 GROUP BY 1""")
 def match_types(spark, d):

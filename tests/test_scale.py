@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from angulon.functions import angles
 from angulon.operators import clusters, contacts, ranks, redundancy, segments
+from angulon.plans import jobs
 from angulon.sources import dataset
 
 
@@ -86,6 +87,22 @@ def test_aligned_pairs_lose_none(spark, threshold, block_rows):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want) and len(want) > 10
 
 
+def test_selected_structures_are_of_a_maximal_set_of_unlike_proteins(spark):
+    rng = random.Random(9)
+    base = ["".join(rng.choice("ACDEFGH") for _ in range(20)) for _ in range(6)]
+    seqs = [(u, base[u % 6] if u < 6 else "".join(c if rng.random() < 0.9 else "K" for c in base[u % 6])) for u in range(18)]
+    structs = spark.createDataFrame([(i, i % 20, 1.0 + i % 4, 80 + i) for i in range(60)], "struct_id int, unp_id int, resolution double, seq_len int")
+    kept, report = jobs.select_structures(structs, F.col("resolution") < 4, [("length", F.col("seq_len") >= 90)], spark.createDataFrame(seqs, "unp_id int, seq string"), 0.75, list("ACDEFGHK"))
+    rows = kept.collect()
+    fit = {i: i % 20 for i in range(60) if i % 4 < 3 and i >= 10}
+    chosen, seq = {r.unp_id for r in rows}, dict(seqs)
+    like = lambda a, b: a in seq and b in seq and plain_lcs(seq[a], seq[b]) / 20 > 0.75
+    assert {r.struct_id for r in rows} == {i for i, u in fit.items() if u in chosen} and kept.columns == structs.columns
+    assert not any(like(a, b) for a, b in itertools.combinations(chosen, 2))
+    assert all(u in chosen or any(like(u, c) for c in chosen) for u in set(fit.values())) and len(chosen) < len(set(fit.values()))
+    assert {r.filter: r.n for r in report.collect()} == {"length": sum(i % 4 < 3 for i in range(10)), "rejected": sum(i % 4 < 3 for i in range(10)), "total": 45}
+
+
 def test_nested_clusters(spark):
     rng = random.Random(5)
     rows = [(i, i % 2, rng.gauss(10 * (i % 6), 0.5), rng.gauss(-5 * (i % 3), 0.5)) for i in range(240)] + [(900, 0, None, 1.0), (901, None, 1.0, 1.0)]
