@@ -86,10 +86,10 @@ def pairwise_distances(residues: DataFrame, samples: int = 0, seed: int = 1) ->
     return pairwise.corrected(pairwise.codon_pair_d2(comparable_pairs(good), samples, seed))
 
 
-def unmodelled(chain: DataFrame, length: int = 3, alphabet: list[str] = segments.STANDARD) -> dict[str, DataFrame]:
+def unmodelled(chain: DataFrame, length: int = 3, alphabet: list[str] = segments.STANDARD, tag: str = "HHHHHH") -> dict[str, DataFrame]:
     """Segments without tags and repetitions, their contexts, and the propensities of residues in and around them."""
     every = segments.segments(chain)
-    tags = segments.his_tags(every).select("struct_id", "seg_idx")
+    tags = segments.his_tags(every, tag).select("struct_id", "seg_idx")
     kept = redundancy.dedup_keep_first(every.join(tags, ["struct_id", "seg_idx"], "left_anti"), ["seg_start", "seg_seq"], ["struct_id", "seg_idx"])
     context = kept.join(segments.segment_context(chain, kept, length, "res_name"), ["struct_id", "seg_idx"])
     return {"segments": kept, "context": context, "single": segments.propensity_single(chain, kept), "pairs": segments.propensity_pairs(chain, kept, (0, 1), alphabet)}

@@ -11,7 +11,7 @@ from ..operators import clusters, kde, matching, multiplicity, pairwise, redunda
 from ..sources import metadata
 from . import fixtures as fx
 from . import jobs
-from .registry import CENTROID, good, query, r
+from .registry import AA, CENTROID, SEG, good, query, r
 
 BINS, SIGMA, BLOCKS = 16, 30.0, 16
 #: What tells residues' rows apart: integers, so that numbers drawn from them are the same in any engine.
@@ -604,9 +604,25 @@ def pointwise_pairs(spark, d):
     return twosample.pair_plan(sizes, "aa", 3, self_test=False).select("condition", "s1", "s2", "n1", "n2")
 
 
-@query("unmodelled_job")
+#: Segments without tags (AC at an end) and repetitions.
+KEPT = SEG + """, kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seg_start, seg_seq ORDER BY struct_id, seg_idx) AS k FROM seg WHERE NOT (contains(seg_seq,'AC') AND seg_type<>'inter')) WHERE k=1)"""
+
+
+def unmodelled(spark, d) -> dict[str, DataFrame]:
+    return jobs.unmodelled(fx.chain(spark, d), 2, ["A", "C", "D", "E"], "AC")
+
+
+@query("unmodelled_job", f"""WITH {KEPT}, {AA[len(fx.CHAIN) + 2:]}, i AS (SELECT aa, count(*) AS seg_n FROM (SELECT unnest(string_split(seg_seq,'')) AS aa FROM kept) WHERE aa<>'' GROUP BY 1),
+j AS (SELECT aa, seg_n, seg_n/sum(seg_n) OVER () AS seg_freq FROM i) SELECT fr.aa, fr.n, round(freq,9) AS freq, seg_n, round(seg_freq,9) AS seg_freq, round(seg_freq/freq,6) AS propensity FROM fr JOIN j USING (aa) WHERE length(fr.aa)=1""")
 def unmodelled_job(spark, d):
-    return jobs.unmodelled(fx.chain(spark, d), 2, ["A", "C", "D", "E"])["single"]
+    return unmodelled(spark, d)["single"].select("aa", "n", r("freq", 9), "seg_n", r("seg_freq", 9), r("propensity"))
+
+
+@query("unmodelled_context", f"""WITH {KEPT} SELECT kept.struct_id, seg_idx, seg_type, seg_seq, max(CASE WHEN pos=seg_start-2 THEN res_name END) AS m2, max(CASE WHEN pos=seg_start-1 THEN res_name END) AS m1,
+ max(CASE WHEN pos=seg_start+seg_len THEN res_name END) AS p1, max(CASE WHEN pos=seg_start+seg_len+1 THEN res_name END) AS p2 FROM kept JOIN chain ON kept.struct_id=chain.struct_id GROUP BY ALL""")
+def unmodelled_context(spark, d):
+    """What stands around the segments that the job keeps."""
+    return unmodelled(spark, d)["context"].select("struct_id", "seg_idx", "seg_type", "seg_seq", "m2", "m1", "p1", "p2")
 
 
 @query("structure_job", f"WITH {fx.STRUCTS} SELECT struct_id, unp_id FROM structs WHERE resolution<=3.0 AND seq_len>=90 AND method<>'F'")
