@@ -10,7 +10,7 @@ Forward-backward runs over blocks of BLOCK words at once: each block's product o
 block to block within each text, then the words of all blocks in step. So a text of any length takes few passes.
 
 The lexicon is counted by Spark over all training texts: the LEXICON words with the largest sum of relative frequencies in
-the languages (ties by hash), counts of all of them. Weights and transitions are fitted on a bounded sample: of about
+the languages, by steps of a 16th of a power of 2 (within the last step by hash), with counts of all of them. Weights and transitions are fitted on a bounded sample: of about
 ``sample`` texts, as many of each language, PIECES pieces of PIECE words each from anywhere in the text. Half of the
 training sequences are single pieces, half are joined from pieces of several languages, which teaches the transitions.
 
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .shared import discard, releasing, stored
 from .textio import CODES, LOWER_CODES, chunks, mix, row_of, runs, span_hashes, sums_by_row
 
-BITS, LEXICON, BUCKETS, BLOCK, PIECE, PIECES, CHUNK = 15, 20_000, 6, 64, 24, 4, 1 << 19
+BITS, LEXICON, BUCKETS, BLOCK, PIECE, PIECES, CHUNK, STEPS = 15, 20_000, 6, 64, 24, 4, 1 << 19, 16
 NONE = "und"
 _INSIDE = np.zeros(256, bool)
 _INSIDE[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -302,7 +302,23 @@ def lexicon_of(docs: DataFrame, languages: list[str], sizes: dict[str, int]) ->
 
     counts = docs.mapInArrow(releasing(counted), "h bigint, code bigint, n bigint").groupBy("h").agg(*[F.sum(F.when(F.col("code") == k, F.col("n")).otherwise(0)).alias(f"c{k}") for k in range(n)])
     share = sum((F.col(f"c{k}") / F.lit(float(sizes[languages[k]])) for k in range(1, n)), F.col("c0") / F.lit(float(sizes[languages[0]])))
-    rows = counts.orderBy(share.desc(), "h").limit(LEXICON).collect()
+    counts = stored(counts.withColumn("share", share).withColumn("step", F.floor(F.log2("share") * STEPS)), "words")
+    # steps of the share from the top down until they hold enough words: what is above the last step reaches the driver
+    held, lowest = 0, None
+    for r in sorted(counts.groupBy("step").agg(F.count("*").alias("n")).collect(), key=lambda r: -r.step):  # STEPS rows a power of 2
+        held, lowest = held + r.n, r.step
+        if held >= LEXICON:
+            break
+    rows = counts.where(F.col("step") > lowest).collect() if lowest is not None else []
+    last = counts.where(F.col("step") == lowest) if lowest is not None else counts.limit(0)
+    # of the last step itself only as many by hash as are wanting, found within ranges of the hash
+    wanting = LEXICON - len(rows)
+    size = last.count()
+    if size > 2 * wanting:
+        low = -(1 << 63)
+        last = last.where(F.col("h") < low + int((1 << 64) * min(1.0, 2 * (wanting + 100) / size)))
+    rows += last.orderBy("h").limit(wanting).collect()
+    discard(counts)
     if not rows:
         return Lexicon(np.zeros(0, np.uint64), np.zeros((0, n), np.int64))
     keys = np.array([r.h for r in rows], np.int64).view(np.uint64)
