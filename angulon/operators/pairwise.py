@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import angles
+from ..functions import angles, hashes
 
 
 def condition_group(types: str, ss_ref: str, ss: str, options: str) -> Column:
@@ -15,18 +15,19 @@ def condition_group(types: str, ss_ref: str, ss: str, options: str) -> Column:
     return F.when(ok, F.col(ss))
 
 
-def codon_pair_d2(matches: DataFrame, samples: int = 0, seed: int = 1) -> DataFrame:
+def codon_pair_d2(matches: DataFrame, samples: int = 0, seed: int = 1, key: tuple[str, ...] = ("unp_id", "unp_idx", "condition", "codon1", "codon2")) -> DataFrame:
     """Per condition and unordered pair of codons the mean and deviation of the squared torus distance (squared degrees).
 
     matches: condition, codon1, codon2, phis1, psis1, phis2, psis2 (arrays). Each match weighs the same. samples = 0
-    takes all pairs of members of a match; else that many draws of one member of each side, by hash.
+    takes all pairs of members of a match; else that many draws of one member of each side, by numbers of the match's key
+    (columns of integers and strings) that any engine can repeat.
     """
-    m = matches.select("condition", F.least("codon1", "codon2").alias("c1"), F.greatest("codon1", "codon2").alias("c2"), F.arrays_zip(F.col("phis1").alias("phi"), F.col("psis1").alias("psi")).alias("m1"), F.arrays_zip(F.col("phis2").alias("phi"), F.col("psis2").alias("psi")).alias("m2"))
+    m = matches.select(*[F.col(c).alias(f"_{c}") for c in (key if samples else ())], "condition", F.least("codon1", "codon2").alias("c1"), F.greatest("codon1", "codon2").alias("c2"), F.arrays_zip(F.col("phis1").alias("phi"), F.col("psis1").alias("psi")).alias("m1"), F.arrays_zip(F.col("phis2").alias("phi"), F.col("psis2").alias("psi")).alias("m2"))
     m = m.where((F.size("m1") > 0) & (F.size("m2") > 0))
     if samples:
-        draw = lambda a, b: F.element_at(a, (F.pmod(F.xxhash64(F.lit(seed), a, b), F.size(a)) + 1).cast("int"))
+        draw = lambda a, side: F.element_at(a, (hashes.number(seed, *[f"_{c}" for c in key], "b", side) % F.size(a) + 1).cast("int"))
         rows = m.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(samples))))
-        rows = rows.withColumns({"x": draw(F.col("m1"), F.col("b")), "y": draw(F.col("m2"), -F.col("b"))})
+        rows = rows.withColumns({"x": draw("m1", 1), "y": draw("m2", 2)})
         d2 = angles.torus_distance("x.phi", "x.psi", "y.phi", "y.psi", squared=True)
         means = rows.groupBy("condition", "c1", "c2", "b").agg(F.avg(d2).alias("d2"))
         return means.groupBy("condition", "c1", "c2").agg(F.avg("d2").alias("d2_mean"), F.stddev_pop("d2").alias("d2_std"))

@@ -271,9 +271,16 @@ def codon_pair_d2_norm(spark, d):
     return pairwise.normalised(pairwise.codon_pair_d2(jobs.match_pairs(good(spark, d)))).select("condition", "c1", "c2", r("norm"))
 
 
-@query("codon_pair_d2_sampled")
+def _drawn_sql(member: str, side: int) -> str:
+    return f"{member}[{hashes.number_sql(1, 'a.unp_id', 'a.unp_idx', 'a.condition', 'a.codon', 'b.codon', 'k', side)} % len({member}) + 1]"
+
+
+@query("codon_pair_d2_sampled", f"""WITH {fx.RESIDUES}, g AS (SELECT unp_id, unp_idx, secondary AS condition, codon, list({{'phi': phi, 'psi': psi}} ORDER BY phi, psi) AS m FROM good GROUP BY ALL),
+x AS (SELECT a.condition, a.codon AS c1, b.codon AS c2, k, {_drawn_sql('a.m', 1)} AS x, {_drawn_sql('b.m', 2)} AS y FROM g a JOIN g b ON a.unp_id=b.unp_id AND a.unp_idx=b.unp_idx AND a.condition=b.condition AND a.codon<=b.codon, range(1, 26) t(k)),
+s AS (SELECT condition, c1, c2, k, avg(pow(least(abs(x.phi-y.phi),360-abs(x.phi-y.phi)),2)+pow(least(abs(x.psi-y.psi),360-abs(x.psi-y.psi)),2)) AS d2 FROM x GROUP BY ALL)
+SELECT condition, c1, c2, round(avg(d2),6)+0.0 AS d2_mean, round(stddev_pop(d2),5)+0.0 AS d2_std FROM s GROUP BY ALL""")
 def codon_pair_d2_sampled(spark, d):
-    return pairwise.codon_pair_d2(jobs.match_pairs(good(spark, d)), 25)
+    return pairwise.codon_pair_d2(jobs.match_pairs(good(spark, d)), 25).select("condition", "c1", "c2", r("d2_mean"), r("d2_std", 5))
 
 
 @query("distance_correlation", f"""WITH {COMPARABLE.replace(fx.RESIDUES, CENTROID)}, mk AS (SELECT condition AS secondary, codon AS subgroup, phi, psi FROM agg WHERE phi IS NOT NULL AND psi IS NOT NULL),
