@@ -268,6 +268,11 @@ def fit(texts: list[bytes], labels: np.ndarray, languages: list[str], lexicon: L
     return m
 
 
+def least_hashes(some: int, size: int) -> int:
+    """The signed 64-bit hash up to which about ``some`` of ``size`` hashes lie; the greatest there is, where that is all."""
+    return min(-(1 << 63) + (some << 64) // max(size, 1), (1 << 63) - 1)
+
+
 def lexicon_of(docs: DataFrame, languages: list[str], sizes: dict[str, int]) -> Lexicon:
     """Counted over all texts of ``docs`` (text, lang); sizes: texts of each language."""
     n = len(languages)
@@ -315,8 +320,7 @@ def lexicon_of(docs: DataFrame, languages: list[str], sizes: dict[str, int]) ->
     wanting = LEXICON - len(rows)
     size = last.count()
     if size > 2 * wanting:
-        low = -(1 << 63)
-        last = last.where(F.col("h") < low + int((1 << 64) * min(1.0, 2 * (wanting + 100) / size)))
+        last = last.where(F.col("h") <= least_hashes(2 * (wanting + 100), size))
     rows += last.orderBy("h").limit(wanting).collect()
     discard(counts)
     if not rows:

@@ -132,3 +132,15 @@ def test_ranks_equal_a_plain_search(spark, monkeypatch, group, docs_a_block, add
         monkeypatch.setattr(ranked, name, v)
     found = ranked.rank_all(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), 10)
     assert sorted(tuple(r) for r in found.collect()) == plain_ranks(docs, items, 10)
+
+
+def test_a_step_with_barely_more_words_than_wanted_is_cut_by_hash(spark, monkeypatch):
+    monkeypatch.setattr(code_switch, "LEXICON", 20)
+    for n in (45, 230, 900):  # all of one share; up to 240 the least hashes wanted are all there are
+        docs = spark.createDataFrame([(" ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}" for k in range(n)), "aa")], "text string, lang string")
+        found = code_switch.lexicon_of(docs, ["aa"], {"aa": 1})
+        data = np.frombuffer(docs.first().text.encode(), np.uint8)
+        start, end, _ = code_switch.words(data, np.array([0, len(data)]))
+        want = sorted(np.unique(code_switch.word_hashes(data, start, end)).view(np.int64).tolist())[:20]
+        assert sorted(found.keys.view(np.int64).tolist()) == want
+    assert code_switch.least_hashes(300, 200) == (1 << 63) - 1 and code_switch.least_hashes(1, 2) == 0
