@@ -39,13 +39,13 @@ from .textio import chunks, row_of, runs
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BLOCK_DOCS, BLOCK_BYTES, TOP, FIRST, GROUP = 4096, 1 << 20, 50, 3, 500_000
 #: Postings that are added up at once.
-ADDED = 1 << 21
+ADDED = 1 << 19
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _INSIDE = np.zeros(256, bool)
 _INSIDE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _TO_LOWER = np.arange(256, dtype=np.uint8)
 _TO_LOWER[65:91] += 32
-INDEX_SCHEMA = "block bigint, m bigint, docs array<bigint>, terms array<string>, list_term array<int>, list_tf array<int>, list_size array<int>, postings array<int>"
+INDEX_SCHEMA = "block bigint, m bigint, docs array<bigint>, terms array<string>, list_term array<int>, list_tf array<int>, list_size array<smallint>, postings array<smallint>"
 
 
 def terms_of(text: Column) -> Column:
@@ -109,7 +109,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for i, j, data, offsets in chunks(part.column("text"), BLOCK_BYTES):
                     terms, term, tf, size, doc = block_of(data, offsets)
                     ids = part.column("doc_id").slice(i, j - i)
-                    lists = [_one(v, pa.int32()) for v in (term, tf, size, doc)]
+                    lists = [_one(v, kind) for v, kind in ((term, pa.int32()), (tf, pa.int32()), (size, pa.int16()), (doc, pa.int16()))]  # BLOCK_DOCS fits 16 bits
                     yield pa.RecordBatch.from_arrays([pa.array([made], pa.int64()), pa.array([m[lo]], pa.int64()), _one(ids, pa.int64()), _one(terms, pa.string()), *lists], ["block", "m", "docs", "terms", "list_term", "list_tf", "list_size", "postings"])
                     made += 1
 
@@ -146,7 +146,7 @@ class Block:
         known = pc.fill_null(pc.index_in(column("terms"), value_set=items.terms), -1).to_numpy()
         term, size = known[column("list_term").to_numpy()], column("list_size").to_numpy().astype(np.int64)
         kept = term >= 0
-        self.postings = column("postings").to_numpy()[np.repeat(kept, size)]
+        self.of_lists = lambda: column("postings").to_numpy()[np.repeat(kept, size)]
         self.term, self.tf, self.size = term[kept], column("list_tf").to_numpy()[kept].astype(np.int64), size[kept]
 
     def df(self, n: int) -> np.ndarray:
@@ -169,7 +169,7 @@ class Block:
         size = self.size[order]
         ends = np.cumsum(self.size)
         at = _ranges(ends[order] - size, size)
-        doc, impact = self.postings[at], np.repeat(self.impact[order], size)
+        doc, impact = self.of_lists()[at], np.repeat(self.impact[order], size)
         begin = np.cumsum(held) - held
         pick = np.flatnonzero(wanted[items.pair_item] & (held[items.pair_term] > 0))
         pick = pick[np.argsort(items.pair_item[pick], kind="stable")]

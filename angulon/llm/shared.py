@@ -66,7 +66,7 @@ def few(df: DataFrame, rows: int) -> DataFrame:
 
 
 #: Memory of a worker process below which it keeps what it has.
-KEPT_MB = 250
+KEPT_MB = 120
 
 
 def release_memory() -> None:

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from angulon.llm import code_switch, ranked, whitening
@@ -144,3 +145,12 @@ def test_a_step_with_barely_more_words_than_wanted_is_cut_by_hash(spark, monkeyp
         want = sorted(np.unique(code_switch.word_hashes(data, start, end)).view(np.int64).tolist())[:20]
         assert sorted(found.keys.view(np.int64).tolist()) == want
     assert code_switch.least_hashes(300, 200) == (1 << 63) - 1 and code_switch.least_hashes(1, 2) == 0
+
+
+def test_blocks_hold_documents_in_16_bits_and_their_lists_are_read_to_score_only(spark):
+    index, _, _ = ranked.build(spark.createDataFrame([(k, f"a b{k % 3} c{k}") for k in range(40)], "doc_id long, text string"))
+    assert {index.schema[c].dataType.elementType.simpleString() for c in ("postings", "list_size")} == {"smallint"}
+    assert ranked.BLOCK_DOCS <= 1 << 15
+    row = index.toArrow().combine_chunks().to_batches()[0].slice(0, 1)
+    block = ranked.Block(row, ranked.Items([Row(item_id=1, terms=["a"])]))
+    assert not any(isinstance(v, np.ndarray) and v.dtype == np.int16 for v in vars(block).values()) and len(block.of_lists()) == len(block.docs)
