@@ -76,9 +76,7 @@ class Bpe:
         made = json.loads(spec)
         vocab, merges = made["model"]["vocab"], made["model"]["merges"]
         self.special = {x["content"]: x["id"] for x in made["added_tokens"]}
-        self.strings = [""] * (max([*vocab.values(), *self.special.values()]) + 1)
-        for token, i in [*vocab.items(), *self.special.items()]:
-            self.strings[i] = token
+        self.strings = strings_of(spec)
         self.merged = {}
         for rank, pair in enumerate(merges):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
@@ -159,7 +157,21 @@ class Bpe:
         return np.frombuffer(b"".join(np.array([self.special[p]], "<u4").tobytes() if k % 2 else self._plain(p) for k, p in enumerate(parts)), "<u4")
 
     def decode(self, ids: np.ndarray) -> str:
-        return " ".join(map(self.strings.__getitem__, ids.tolist()))
+        return decoded(self.strings, ids)
+
+
+def strings_of(spec: str) -> list[str]:
+    """The string of each id: all that decoding takes."""
+    made = json.loads(spec)
+    tokens = [*made["model"]["vocab"].items(), *((x["content"], x["id"]) for x in made["added_tokens"])]
+    strings = [""] * (max(i for _, i in tokens) + 1)
+    for token, i in tokens:
+        strings[i] = token
+    return strings
+
+
+def decoded(strings: list[str], ids: np.ndarray) -> str:
+    return " ".join(map(strings.__getitem__, ids.tolist()))
 
 
 class _Shipped:
@@ -171,12 +183,20 @@ class _Shipped:
         """The tokenizer, for one task: a worker process, which runs other tasks later, does not keep it."""
         return Bpe(self.broadcast.value)
 
+    def strings(self) -> list[str]:
+        return strings_of(self.broadcast.value)
+
 
 def _text_udf(of, kind: str):
     of.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(releasing(of), kind)
 
 
+def _listed(ids: list[np.ndarray]) -> pa.Array:
+    at = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, "<u4"), *ids]).astype(np.int32)))
+
+
 def encode_column(text: Column, path: str, spark) -> Column:
     """The ids of each text, as array<int>."""
     shipped = _Shipped(spark, path)
@@ -184,9 +204,7 @@ def encode_column(text: Column, path: str, spark) -> Column:
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = shipped.built()
         for b in batches:
-            ids = [bpe.encode(t.as_py()) for t in b]
-            at = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            yield pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, "<u4"), *ids]).astype(np.int32)))
+            yield _listed([bpe.encode(t.as_py()) for t in b])
 
     return _text_udf(encoded, "array<int>")(text)
 
@@ -195,12 +213,33 @@ def decode_column(ids: Column, path: str, spark) -> Column:
     """The decoded text of each array of ids; null stands for none."""
     shipped = _Shipped(spark, path)
 
-    def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        bpe = shipped.built()
+    def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        strings = shipped.strings()
         for b in batches:
-            yield pa.array([bpe.decode(np.asarray(x.values if x.is_valid else [], np.int64)) for x in b], pa.string())
+            yield pa.array([decoded(strings, np.asarray(x.values if x.is_valid else [], np.int64)) for x in b], pa.string())
 
-    return _text_udf(decoded, "string")(ids)
+    return _text_udf(texts, "string")(ids)
+
+
+#: Rows whose ids and decoded texts are held at once.
+ROWS = 500
+
+
+def encode_digest_column(text: Column, path: str, spark) -> Column:
+    """The ids of each text and the digest of the text decoded from them, by one tokenizer in one pass."""
+    shipped = _Shipped(spark, path)
+
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        bpe = shipped.built()
+        for b in batches:
+            parts = []
+            for lo in range(0, len(b), ROWS):
+                ids = [bpe.encode(t.as_py()) for t in b[lo : lo + ROWS]]
+                digests = pa.array([sha256(bpe.decode(x).encode()).hexdigest() for x in ids], pa.string())
+                parts.append(pa.StructArray.from_arrays([_listed(ids), digests], ["ids", "decoded_sha256"]))
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("ids", pa.list_(pa.int32())), ("decoded_sha256", pa.string())]))
+
+    return _text_udf(both, "struct<ids:array<int>,decoded_sha256:string>")(text)
 
 
 DIGEST = pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])

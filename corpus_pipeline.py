@@ -49,8 +49,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    made = docs.select("doc_id", "source", bpe.encode_column(F.col("text"), path, spark).alias("ids"))
-    return made.select("doc_id", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2(F.encode(bpe.decode_column(F.col("ids"), path, spark), "UTF-8"), 256).alias("decoded_sha256"))
+    made = docs.select("doc_id", "source", bpe.encode_digest_column(F.col("text"), path, spark).alias("d"))
+    return made.select("doc_id", "source", F.size("d.ids").cast("bigint").alias("n_tokens"), "d.ids", "d.decoded_sha256")
 
 
 STAGES = [("quality_classifier", keep_good), ("line_dedup", drop_lines), ("near_dedup", drop_copies), ("mixing", mix_sources), ("bpe", encode)]

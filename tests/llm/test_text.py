@@ -1,12 +1,14 @@
 """Byte views, BPE, FLAC and URL filter against the library, exact round trips and plain versions."""
 
 import random
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from angulon.llm import bpe, flac, textio, urls
 
 public = pytest.importorskip("public_tokenizers")
@@ -182,3 +184,15 @@ def test_digest_collisions(monkeypatch):
     monkeypatch.setattr(urls, "digest", lambda key: len(key) % 2)
     index = urls.DigestArray(["a x", "bb x", "cc y"], ["1", "2", "3"])
     assert [index.values[i] if i >= 0 else None for i in index.find(["cc y", "a x", "dd z", "bb x"])] == ["3", "1", None, "2"]
+
+
+def test_ids_and_digest_come_from_one_tokenizer(spark, encoder):
+    rows = [(k, t) for k, t in enumerate([None, "", "Hello wörld", *texts(1200)])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("s"))
+    out = corpus_pipeline.encode(spark, df, "")
+    want = [encoder.encode(t) for _, t in rows]
+    got = sorted(out.collect(), key=lambda r: r.doc_id)
+    assert [(r.n_tokens, r.ids, r.decoded_sha256) for r in got] == [(len(x), x.tolist(), sha256(encoder.decode(x).encode()).hexdigest()) for x in want]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert out.columns == ["doc_id", "source", "n_tokens", "ids", "decoded_sha256"] and corpus_pipeline.encode(spark, df.where("false"), "").count() == 0
