@@ -6,11 +6,13 @@ A k-mer is K neighbours in it; it is a closed syncmer if the least of the hashes
 is the first or the last of them, which depends on nothing outside the k-mer. Syncmers with their places are the
 anchors for positional matching.
 
-A fingerprint holds the distinct anchors (of equal ones the first) whose hash is among the LEAST least or below a fixed
-SHARE of all hashes: it grows with the text, and texts of up to LEAST distinct anchors have all of theirs. As text it is
-each anchor's hash and place in hexadecimal. The likeness of two fingerprints matches anchors by position: of those
+A whole fingerprint, as the query makes them, holds all distinct anchors (of equal ones the first); its likeness to
+another is exact. A bounded one, which ``add_sketch`` makes unless asked for a whole one, holds those whose hash is
+among the LEAST least or below a fixed SHARE of all hashes: texts of up to LEAST distinct anchors have all of theirs. As
+text it is each anchor's hash and place in hexadecimal. The likeness of two fingerprints matches anchors by position: of those
 that both could hold, the common ones in the order of the first text, each of which must come after the one before it
-in the second text too, over all: an estimate of the Jaccard likeness of all anchors, less what is out of order.
+in the second text too, over all: the Jaccard likeness of all anchors, less what is out of order (of bounded fingerprints an
+estimate of it).
 
 Null and empty texts, and texts of white space only, share one fingerprint, that of the marks alone. Texts may be of any
 length. Repeated rows get equal results; each row keeps its place in the result; other columns play no part.
@@ -22,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .neardup import parts_for
 from .shared import stored
 
 K, S, LEAST, SHARE = 5, 2, 64, 1 / 16
@@ -30,6 +33,8 @@ ENDS = r"eaEA048\x{250}-\x{10FFFF}"
 _BELOW = -(1 << 63) + int((1 << 64) * SHARE)
 _ALL = (1 << 63) - 1
 _NULL_ID = -(1 << 63)
+#: Text of a range of documents that a window takes.
+RANGE_BYTES = 1 << 22
 
 
 def _steps(df: DataFrame, text: str, name: str) -> DataFrame:
@@ -56,14 +61,16 @@ def _kmer(name: str, i: Column) -> Column:
     return F.xxhash64(*[F.get(F.col(f"{name}_h"), i + j) for j in range(K)])
 
 
-def add_sketch(df: DataFrame, text: str, out: str) -> DataFrame:
+def add_sketch(df: DataFrame, text: str, out: str, whole: bool = False) -> DataFrame:
     """Adds ``out``: the fingerprint's anchors as (h, p), ascending, and ``out``_to: the greatest hash it could hold.
 
-    Scratch columns begin with ``out``.
+    whole: all distinct anchors. Scratch columns begin with ``out``.
     """
     df = _steps(df, text, out)
     df = df.withColumn(f"{out}_s", F.sort_array(F.transform(f"{out}_p", lambda i: F.struct(_kmer(out, i).alias("h"), (i - (K - 1)).cast("int").alias("p")))))
     df = df.withColumn(f"{out}_d", F.filter(f"{out}_s", lambda x, i: (i == 0) | (F.get(F.col(f"{out}_s"), i - 1)["h"] != x["h"])))
+    if whole:
+        return df.withColumn(out, F.col(f"{out}_d")).withColumn(f"{out}_to", F.lit(_ALL)).drop(*[f"{out}_{c}" for c in "hpsd"])
     df = df.withColumn(f"{out}_n", F.greatest(F.lit(LEAST), F.size(F.filter(f"{out}_d", lambda x: x["h"] < F.lit(_BELOW)))))
     df = df.withColumn(out, F.slice(f"{out}_d", F.lit(1), F.col(f"{out}_n")))
     to = F.when(F.size(f"{out}_d") <= F.col(f"{out}_n"), F.lit(_ALL)).otherwise(F.greatest(F.element_at(out, -1)["h"], F.lit(_BELOW - 1)))
@@ -127,3 +134,42 @@ def with_edits(docs: DataFrame) -> DataFrame:
     n = F.length("text")
     both = both.select("doc_id", "count", "next_id", n.cast("bigint").alias("n_chars"), F.concat(F.expr("left(text, length(text) - cut)"), "given").alias("edited"), "sketch", "sketch_to", "next_sketch", "next_sketch_to")
     return add_sketch(both, "edited", "edited_sketch").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("count").cast("int")))).drop("_copy", "count")
+
+
+def _ranges(rows: DataFrame) -> tuple[Column, Column, int]:
+    """The number of each row's range of keys (k, t), counted from the greatest, whether it holds its range's greatest
+    key, and how many ranges there are: one for about RANGE_BYTES of text. Only their greatest keys reach the driver."""
+    parts = parts_for(rows, RANGE_BYTES)
+    ranged = rows.select("k", "t").repartitionByRange(parts, F.desc("k"), F.desc("t")).withColumn("part", F.spark_partition_id())
+    heads = sorted(((r.head.k, r.head.t) for r in ranged.groupBy("part").agg(F.max(F.struct("k", "t")).alias("head")).collect()), reverse=True)
+    key = F.struct("k", "t")
+    bounds = F.array(*[F.struct(F.lit(k).cast("bigint").alias("k"), F.lit(t).cast("bigint").alias("t")) for k, t in heads]) if heads else F.array(key)
+    steps = F.array(*[F.lit(1 << n) for n in reversed(range(max(len(heads), 1).bit_length()))])
+    # the last range whose greatest key is not below this one, by halving
+    number = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(bounds, at + step) >= key, at + step).otherwise(at))
+    return number, F.get(bounds, number) == key, max(len(heads), 1)
+
+
+def with_whole_edits(docs: DataFrame) -> DataFrame:
+    """As ``with_edits``, by whole fingerprints.
+
+    Texts are dealt out once, by ranges of their keys; within a range a window finds the next document with its
+    fingerprint, and the last of a range takes the first of the range after, from a table with one row a range.
+    """
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.select("*", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NULL_ID)).alias("k"), F.xxhash64("text").alias("t"))
+    number, leads, ranges = _ranges(rows)
+    one = rows.withColumn("range", number).repartition("range").groupBy("range", "k", "t").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("count"))
+    one = add_sketch(one, "text", "sketch", whole=True)
+    down = Window.partitionBy("range").orderBy(F.desc("k"), F.desc("t"))
+    one = one.withColumns({"follows_k": F.lead("k").over(down), "follows_id": F.lead("doc_id").over(down), "follows_text": F.lead("text").over(down), "follows_sketch": F.lead("sketch").over(down)})
+    first = rows.where(leads).select(number.alias("first_range"), F.col("doc_id").alias("first_id"), F.col("text").alias("first_text")).dropDuplicates(["first_range"])
+    first = add_sketch(first, "first_text", "first_sketch", whole=True).drop("first_sketch_to")
+    last = F.col("follows_k").isNull()
+    both = one.join(F.broadcast(first), F.when(last, (F.col("range") + 1) % ranges) == F.col("first_range"), "left")
+    both = both.withColumns({f"next_{c}": F.when(last, F.col(f"first_{c}")).otherwise(F.col(f"follows_{c}")) for c in ("id", "text", "sketch")})
+    n = F.length("text")
+    cut = F.floor(n / 3).cast("int")
+    both = both.withColumn("cut", cut).withColumn("edited", F.concat(F.expr("left(text, length(text) - cut)"), F.expr("left(next_text, cut)")))
+    both = both.select("doc_id", "count", "next_id", n.cast("bigint").alias("n_chars"), "edited", "sketch", "sketch_to", "next_sketch", F.lit(_ALL).alias("next_sketch_to"))
+    return add_sketch(both, "edited", "edited_sketch", whole=True).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("count").cast("int")))).drop("_copy", "count")

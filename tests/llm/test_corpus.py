@@ -5,6 +5,7 @@ import math
 import random
 import struct
 import zlib
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -13,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from angulon.llm import fingerprints, lines, maxent, mixing, neardup, order_minhash, quality, toxicity
+from angulon.llm import fingerprints, lines, maxent, mixing, neardup, order_minhash, quality, queries, toxicity
 from angulon.llm.textio import LOWER_CODES, mix, span_hashes
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
@@ -200,6 +201,28 @@ def test_fingerprints(spark):
     assert fingerprints.with_edits(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("range_bytes", [1 << 22, 40])
+def test_whole_fingerprints_hold_every_anchor(spark, monkeypatch, tmp_path, range_bytes):
+    monkeypatch.setattr(fingerprints, "LEAST", 1 << 40)  # of the plain version: nothing is left out
+    monkeypatch.setattr(fingerprints, "RANGE_BYTES", range_bytes)
+    texts = [*corpus(7), None, "alpha beta " * 30 + "tail", "가나다라마바사" * 9, " ".join(f"w{i * 7919}" for i in range(900))]
+    rows = [(i * 7 << 40, t) for i, t in enumerate(texts)]
+    spark.createDataFrame([*rows, rows[0]], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op4_syncmers(spark, str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in got) == Counter([i for i, _ in rows] + [0])
+    plain = [plain_sketch(t or "") for t in texts]
+    written = lambda s: " ".join(f"{h & (1 << 64) - 1:016x}@{p & 0xFFFFFFFF:x}" for h, p in sorted(s[0].items()))
+    for r in got:
+        i = r.doc_id // (7 << 40)
+        own, nxt = texts[i] or "", texts[i - 1] or ""
+        edited = own[: len(own) - len(own) // 3] + nxt[: len(own) // 3]
+        other = plain_sketch(edited)
+        assert (r.next_id, r.n_chars, r.edited_sha256) == (rows[i - 1][0], len(own), hashlib.sha256(edited.encode()).hexdigest())
+        assert (r.fingerprint, r.edited_fingerprint) == (written(plain[i]), written(other))
+        assert r.near_edited == pytest.approx(plain_likeness(plain[i], other)) and r.near_next == pytest.approx(plain_likeness(plain[i], plain[i - 1]))
+    assert max(len(p) for p, _ in plain) > 300
+
+
 def test_mixing(spark):
     rng = random.Random(3)
     rows = [(i, "w " * rng.randint(0, 30), "big" if rng.random() < 0.7 else rng.choice(["a", "b", None])) for i in range(600)]
