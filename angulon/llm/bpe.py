@@ -1,7 +1,7 @@
 """BPE encoding and decoding by dynamic programming over prefixes.
 
-For every prefix of a word the last token of its encoding is unique. An automaton of all tokens (``ahocorasick``)
-reports the tokens that end at each position, longest first; the one that is compatible with the last token of the
+For every prefix of a word the last token of its encoding is unique. An automaton of all tokens (``Automaton``)
+has the tokens that end at each position, longest first; the one that is compatible with the last token of the
 prefix before it is stored, and following these back from the end gives the exact ids. Two tokens are compatible if
 encoding their joined text gives back just these two, which shows at the seam; the answers are remembered.
 
@@ -12,8 +12,9 @@ no decoder, asks for. Null counts as the empty text: no ids, empty decoded text.
 length but for the text and its ids: caches of words and of token pairs are emptied when full, and what a task has
 built goes with it. Repeated rows get equal ids; other columns play no part.
 
-The matcher is an Aho-Corasick automaton over the vocabulary, that is, a trie with suffix links: like a suffix
-automaton of the vocabulary it gives all tokens that end at a position, but it holds whole tokens only.
+The matcher is an Aho-Corasick automaton over the vocabulary: like a suffix automaton of the vocabulary it gives all
+tokens that end at a position, but it holds whole tokens only. Its states are the tokens' prefixes; a step from one is
+found, by dropping first characters, when a text first takes it, and remembered, so that no task builds the whole.
 """
 
 from __future__ import annotations
@@ -25,7 +26,6 @@ from collections.abc import Iterator
 from hashlib import sha256
 from struct import pack
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -54,12 +54,12 @@ def shown_bytes() -> list[str]:
 class _Remembered(dict):
     """A memory of a function's values, bounded in keys and, where these are strings, in their characters together."""
 
-    def __init__(self, make, most: int = CACHE) -> None:
-        self.make, self.most, self.held = make, most, 0
+    def __init__(self, make, most: int = CACHE, size=len) -> None:
+        self.make, self.most, self.size, self.held = make, most, size, 0
 
     def __missing__(self, key):
         value = self.make(key)
-        size = len(key)
+        size = self.size(key)
         if size > LONG:
             return value
         self.held += size
@@ -70,6 +70,32 @@ class _Remembered(dict):
         return value
 
 
+#: Characters have 21 bits.
+_CHARACTER = 21
+
+
+class Automaton:
+    """Of tokens (text to id): states are numbers, 0 the one without a prefix; ``step`` leads from a state (shifted by
+    _CHARACTER) and a character to the next, ``ending`` has the (length, id) of the tokens that end there, longest first."""
+
+    def __init__(self, tokens: dict[str, int]) -> None:
+        self.tokens = tokens
+        self.prefixes = {t[:k] for t in tokens for k in range(1, len(t) + 1)}
+        self.texts, self.numbers, self.ending = [""], {"": 0}, [()]
+        self.step = _Remembered(self._step, 2 * CACHE, lambda _: 1)
+
+    def _step(self, key: int) -> int:
+        text = self.texts[key >> _CHARACTER] + chr(key & ((1 << _CHARACTER) - 1))
+        while text and text not in self.prefixes:
+            text = text[1:]
+        if text not in self.numbers:
+            self.numbers[text] = len(self.texts)
+            self.texts.append(text)
+            ends = (text[k:] for k in range(len(text)))
+            self.ending.append(tuple((len(t), self.tokens[t]) for t in ends if t in self.tokens))
+        return self.numbers[text]
+
+
 class Bpe:
     def __init__(self, spec: str) -> None:
         """spec: the tokenizer file's JSON text."""
@@ -87,8 +113,7 @@ class Bpe:
         self.bytes = dict(enumerate(shown_bytes()))
         self.ended = made["model"].get("end_of_word_suffix") or ""
         self.size = [0] * len(self.strings)
-        self.automaton = ahocorasick.Automaton()
-        made_of = {i for i in vocab.values() if self.rank[i] < 0}
+        made_of, texts = {i for i in vocab.values() if self.rank[i] < 0}, {}
         for token, i in sorted(vocab.items(), key=lambda x: self.rank[x[1]]):
             if i not in made_of:  # tokens whose own text is encoded otherwise never occur
                 a, b = self.parts[i]
@@ -98,10 +123,11 @@ class Bpe:
             ends = bool(self.ended) and token.endswith(self.ended) and token != self.ended
             text = token[: -len(self.ended)] + END if ends else token
             self.size[i] = len(text)
-            self.automaton.add_word(text, (len(text), i))
-        self.automaton.make_automaton()
+            texts[text] = i
+        self.automaton = Automaton(texts)
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.fits = _Remembered(self._fits, 2 * CACHE)
+        self.start = len(self.strings)  # stands for no token before
+        self.fits = _Remembered(self._fits, 2 * CACHE, lambda _: 1)
         self.word = _Remembered(self._word)
         self.stretch = _Remembered(lambda s: b"".join(map(self.word.__getitem__, WORD.findall(s))))
 
@@ -121,17 +147,24 @@ class Bpe:
             else:
                 limit, b = self.rank[b] + 1, self.parts[b][0]
 
-    def _fits(self, pair: tuple[int, int]) -> bool:
-        return self._quiet(*pair, len(self.merged))
+    def _fits(self, pair: int) -> bool:
+        """Of two tokens, packed in one number."""
+        a, b = divmod(pair, self.start)
+        return a == self.start or self._quiet(a, b, len(self.merged))
 
     def _word(self, word: str) -> bytes:
         shown = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.bytes) + (END if self.ended else "")
-        last, fits, size = [-1] * (len(shown) + 1), self.fits, self.size
-        for end, (length, token) in self.automaton.iter(shown):
-            if last[end + 1] < 0:
-                before = last[end + 1 - length]
-                if end + 1 == length or (before >= 0 and fits[before, token]):
-                    last[end + 1] = token
+        fits, size, start, step, ending = self.fits, self.size, self.start, self.automaton.step, self.automaton.ending
+        last, state = [start], 0  # of each prefix, the empty one first
+        for at, character in enumerate(map(ord, shown), 1):
+            state = step[state << _CHARACTER | character]
+            for length, token in ending[state]:
+                before = last[at - length]
+                if before >= 0 and fits[before * start + token]:
+                    last.append(token)
+                    break
+            else:
+                last.append(-1)
         ids, at = [], len(shown)
         while at:
             ids.append(last[at])

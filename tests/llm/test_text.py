@@ -50,6 +50,17 @@ def test_bpe_equals_the_tokenizer(encoder):
         assert encoder.decode(encoder.encode(t)) == want.decode(e.ids, skip_special_tokens=False)
 
 
+def test_bpe_automaton(encoder):
+    tokens = encoder.automaton.tokens
+    made = bpe.Automaton(tokens)
+    for t in texts(200):
+        shown, state = t.lower().replace(" ", bpe.END), 0
+        for at, c in enumerate(shown, 1):
+            state = made.step[state << 21 | ord(c)]
+            assert [i for _, i in made.ending[state]] == [tokens[shown[k:at]] for k in range(max(0, at - 80), at) if shown[k:at] in tokens]
+    assert len(made.texts) < len(made.prefixes) / 4  # states that no text led to are not made
+
+
 def test_bpe_columns(spark, encoder):
     rows = [(None,), ("",), ("Hello wörld",)]
     path = public.path("word_bpe_49k.json")
