@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .shared import releasing, stored
 from .textio import LOWER_CODES, chunks, mix, row_of, span_hashes, sums_by_row, words
 
-WAYS, ROW_BITS, HEAD, UPDATES, SLICE, WIDE = 16, 15, 1 << 18, 3, 1 << 15, 1 << 17
+WAYS, ROW_BITS, HEAD, UPDATES, SLICE, WIDE, NARROW = 16, 15, 1 << 18, 3, 1 << 15, 1 << 15, 1 << 13
 CELLS = WAYS * WAYS
 ROWS, BLOCK_ROWS, FAN_IN = 1 << ROW_BITS, 512, 32
 _END, _START = np.uint64(0), mix(np.array([1], np.uint64), 41)[0]
@@ -89,8 +89,9 @@ def features(keys: np.ndarray, counts: np.ndarray) -> list[list[np.ndarray]]:
     return out
 
 
-#: Rows of the features' counts, then of the biases'.
+#: Rows of the features' counts, then of the biases'. Where each of the three features' rows begin, and their end.
 WHOLE = ROWS + WAYS
+_FROM = (0, ROWS >> 2, ROWS >> 1, ROWS)
 
 
 @dataclass
@@ -106,7 +107,7 @@ class Weights:
         for r in rows[1:]:
             odds += w[r]
         e = np.exp(odds, out=odds)
-        return e, e.sum(axis=1)
+        return e, np.einsum("ij->i", e)
 
     def log10_cell(self, keys: np.ndarray, rows: list[list[np.ndarray]]) -> np.ndarray:
         out = np.zeros(len(keys))
@@ -153,12 +154,15 @@ def _expect(tables: list[np.ndarray], w: Weights, rows: list[list[np.ndarray]])
     for factor, table in enumerate(tables):
         for k in range(0, len(rows[factor][0]), WIDE):
             some = [r[k : k + WIDE] for r in rows[factor]]
-            e, total = w.exponentials(factor, some)
-            share = np.ascontiguousarray((e / total[:, None]).T)
+            share = np.empty((WAYS, len(some[0])))
+            for j in range(0, len(some[0]), NARROW):
+                e, total = w.exponentials(factor, [r[j : j + NARROW] for r in some])
+                np.divide(e.T, total, out=share[:, j : j + NARROW])
+            parts = [(r - lo, lo, hi) for r, lo, hi in zip(some[1:], _FROM[:-1], _FROM[1:], strict=True)]
             for c in range(WAYS):
                 table[c, ROWS:] += np.bincount(some[0], share[c], minlength=WAYS)
-                for r in some[1:]:
-                    table[c, :ROWS] += np.bincount(r, share[c], minlength=ROWS)
+                for r, lo, hi in parts:
+                    table[c, lo:hi] += np.bincount(r, share[c], minlength=hi - lo)
 
 
 _TABLES = "block int, part int, sums binary"

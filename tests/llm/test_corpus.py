@@ -521,3 +521,27 @@ def test_stored_tables_come_from_small_batches(spark):
     got = stored(df.mapInArrow(sizes, "n bigint, bytes bigint"), "sizes").collect()
     assert sum(r.n for r in got) == 300 and max(r.bytes for r in got) < 2 * BATCH_BYTES
     assert spark.conf.get(key) == before
+
+
+def test_maxent_expected_counts():
+    """Expected counts equal a plain sum, and the work on them stays in a few MB."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    keys, counts = rng.integers(0, 1 << 63, 150_000).astype(np.uint64), np.array([1, 99_999, 50_000])
+    rows = maxent.features(keys, counts)
+    w = maxent.Weights([rng.normal(size=(maxent.WHOLE, maxent.WAYS)).astype(np.float32) for _ in range(2)])
+    got = [np.zeros((maxent.WAYS, maxent.WHOLE)) for _ in range(2)]
+    tracemalloc.start()
+    maxent._expect(got, w, rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    for factor in range(2):
+        own, *three = rows[factor]
+        odds = w.tables[factor][maxent.ROWS + own].astype(float) + sum(w.tables[factor][r].astype(float) for r in three)
+        share = np.exp(odds) / np.exp(odds).sum(axis=1, keepdims=True)
+        want = np.zeros((maxent.WHOLE, maxent.WAYS))
+        for r in (own + maxent.ROWS, *three):
+            np.add.at(want, r, share)
+        assert np.allclose(got[factor].T, want, rtol=1e-4, atol=1e-4)
+    assert peak < 12 << 20
