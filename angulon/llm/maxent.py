@@ -36,7 +36,9 @@ from pyspark.sql import functions as F
 from .shared import releasing, stored
 from .textio import LOWER_CODES, chunks, mix, row_of, span_hashes, sums_by_row, words
 
-WAYS, ROW_BITS, HEAD, UPDATES, SLICE, WIDE, NARROW = 16, 15, 1 << 18, 3, 1 << 15, 1 << 15, 1 << 13
+WAYS, ROW_BITS, HEAD, UPDATES, WIDE, NARROW = 16, 15, 1 << 18, 3, 1 << 15, 1 << 13
+#: Bytes of text that become tokens at once under given weights, about WIDE tokens: their arrays fit the cache.
+CHUNK = 3 << 16
 CELLS = WAYS * WAYS
 ROWS, BLOCK_ROWS, FAN_IN = 1 << ROW_BITS, 512, 32
 _END, _START = np.uint64(0), mix(np.array([1], np.uint64), 41)[0]
@@ -103,19 +105,21 @@ class Weights:
     def exponentials(self, factor: int, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """exp of the log odds of each outcome, and their sum."""
         w = self.tables[factor]
-        odds = w[ROWS + rows[0]]
+        # Rows are always within the table; "clip" spares the copy that a check of them needs.
+        odds = np.take(w[ROWS:], rows[0], axis=0, mode="clip")
+        more = np.empty_like(odds)
         for r in rows[1:]:
-            odds += w[r]
+            odds += np.take(w, r, axis=0, out=more, mode="clip")
         e = np.exp(odds, out=odds)
         return e, np.einsum("ij->i", e)
 
     def log10_cell(self, keys: np.ndarray, rows: list[list[np.ndarray]]) -> np.ndarray:
         out = np.zeros(len(keys))
         kinds = outcomes(keys)
-        for k in range(0, len(keys), SLICE):
+        for k in range(0, len(keys), NARROW):
             for factor in range(2):
-                e, total = self.exponentials(factor, [r[k : k + SLICE] for r in rows[factor]])
-                out[k : k + SLICE] += np.log10(e[np.arange(len(e)), kinds[factor][k : k + SLICE]] / total)
+                e, total = self.exponentials(factor, [r[k : k + NARROW] for r in rows[factor]])
+                out[k : k + NARROW] += np.log10(e[np.arange(len(e)), kinds[factor][k : k + NARROW]] / total)
         return out
 
 
@@ -176,7 +180,7 @@ def _tables(shipped):
 
         made = [np.zeros((WHOLE, WAYS) if shipped is None else (WAYS, WHOLE)) for _ in range(2)]
         for b in batches:
-            for _, _, data, offsets in chunks(b.column("text")):
+            for _, _, data, offsets in chunks(b.column("text"), 1 << 20 if shipped is None else CHUNK):
                 keys, counts = tokens(data, offsets)
                 rows = features(keys, counts)
                 if shipped is None:
@@ -270,7 +274,7 @@ def _scored(shipped):
         m: Model = shipped.value
         gain = np.log10(m.head_counts + 1.0)
         for b in batches:
-            for lo, hi, data, offsets in chunks(b.column("text")):
+            for lo, hi, data, offsets in chunks(b.column("text"), CHUNK):
                 keys, counts = tokens(data, offsets)
                 part = m.weights.log10_cell(keys, features(keys, counts)) - m.log10_cell_total[(keys & np.uint64(CELLS - 1)).astype(np.int64)]
                 at = np.minimum(np.searchsorted(m.head_keys, keys), max(len(m.head_keys) - 1, 0))

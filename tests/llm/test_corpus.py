@@ -526,3 +526,31 @@ def test_maxent_expected_counts():
             np.add.at(want, r, share)
         assert np.allclose(got[factor].T, want, rtol=1e-4, atol=1e-4)
     assert peak < 12 << 20
+
+
+def test_maxent_weights_are_looked_up_in_time():
+    """Looking up and adding up weights takes well below the time of plain indexing, with the same sums."""
+    import time
+
+    rng = np.random.default_rng(5)
+    w = maxent.Weights([rng.normal(size=(maxent.WHOLE, maxent.WAYS)).astype(np.float32) for _ in range(2)])
+    rows = [rng.integers(0, n, maxent.NARROW) for n in (maxent.WAYS, maxent.ROWS, maxent.ROWS, maxent.ROWS)]
+
+    def plain():
+        odds = w.tables[0][maxent.ROWS + rows[0]]
+        for r in rows[1:]:
+            odds += w.tables[0][r]
+        e = np.exp(odds, out=odds)
+        return e, np.einsum("ij->i", e)
+
+    def seconds(of):
+        took = []
+        for _ in range(30):
+            began = time.perf_counter()
+            of()
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    for a, b in zip(w.exponentials(0, rows), plain(), strict=True):
+        assert np.allclose(a, b, rtol=1e-5)
+    assert seconds(lambda: w.exponentials(0, rows)) < 0.7 * seconds(plain)
