@@ -33,6 +33,9 @@ ENDS = r"eaEA048\x{250}-\x{10FFFF}"
 _BELOW = -(1 << 63) + int((1 << 64) * SHARE)
 _ALL = (1 << 63) - 1
 _NULL_ID = -(1 << 63)
+_LOW = 0xFFFFFFFF
+#: White space (\s) spelled out: in a class, single characters cost one look-up together.
+_WHITE = r" \t\n\x0B\f\r"
 #: Text of a range of documents that a window takes.
 RANGE_BYTES = 1 << 22
 
@@ -44,7 +47,7 @@ def _steps(df: DataFrame, text: str, name: str) -> DataFrame:
     """
     h, m, p = f"{name}_h", f"{name}_m", f"{name}_p"
     marks = F.array(*[F.lit(-1).cast("bigint")] * (K - 1))
-    pieces = F.transform(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(rf"[^\s{ENDS}]*[{ENDS}]|[^\s{ENDS}]+"), F.lit(0)), lambda x: F.xxhash64(x))
+    pieces = F.transform(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(rf"[^{_WHITE}{ENDS}]++[{ENDS}]?+|[{ENDS}]"), F.lit(0)), lambda x: F.xxhash64(x))
     df = df.withColumn(h, F.concat(marks, pieces, marks))
     inner = F.zip_with(F.slice(h, 1, F.size(h) - 1), F.slice(h, 2, F.size(h) - 1), lambda a, b: F.xxhash64(a, b))
     df = df.withColumn(m, inner)
@@ -68,7 +71,8 @@ def add_sketch(df: DataFrame, text: str, out: str, whole: bool = False) -> DataF
     """
     df = _steps(df, text, out)
     df = df.withColumn(f"{out}_s", F.sort_array(F.transform(f"{out}_p", lambda i: F.struct(_kmer(out, i).alias("h"), (i - (K - 1)).cast("int").alias("p")))))
-    df = df.withColumn(f"{out}_d", F.filter(f"{out}_s", lambda x, i: (i == 0) | (F.get(F.col(f"{out}_s"), i - 1)["h"] != x["h"])))
+    again = F.size(F.array_distinct(F.col(f"{out}_s")["h"])) < F.size(f"{out}_s")
+    df = df.withColumn(f"{out}_d", F.when(again, F.filter(f"{out}_s", lambda x, i: (i == 0) | (F.get(F.col(f"{out}_s"), i - 1)["h"] != x["h"]))).otherwise(F.col(f"{out}_s")))
     if whole:
         return df.withColumn(out, F.col(f"{out}_d")).withColumn(f"{out}_to", F.lit(_ALL)).drop(*[f"{out}_{c}" for c in "hpsd"])
     df = df.withColumn(f"{out}_n", F.greatest(F.lit(LEAST), F.size(F.filter(f"{out}_d", lambda x: x["h"] < F.lit(_BELOW)))))
@@ -85,19 +89,26 @@ def anchors(docs: DataFrame) -> DataFrame:
 
 
 def fingerprint(sketch: str) -> Column:
-    return F.array_join(F.transform(sketch, lambda x: F.concat(F.lpad(F.lower(F.hex(x["h"])), 16, "0"), F.lit("@"), F.lower(F.hex(x["p"].cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))))), " ")
+    return F.lower(F.array_join(F.transform(sketch, lambda x: F.concat(F.lpad(F.hex(x["h"]), 16, "0"), F.lit("@"), F.hex(x["p"].cast("bigint").bitwiseAND(F.lit(_LOW))))), " "))
 
 
-def add_likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
-    """Adds ``out``, the likeness of two fingerprints (columns of ``add_sketch``)."""
+def add_likeness(df: DataFrame, a: str, b: str, out: str, whole: bool = False) -> DataFrame:
+    """Adds ``out``, the likeness of two fingerprints (columns of ``add_sketch``). whole: both are whole."""
     to = F.least(f"{a}_to", f"{b}_to")
-    side = lambda c, k: F.transform(F.filter(c, lambda x: x["h"] <= to), lambda x: F.struct(x["h"].alias("h"), F.lit(k).alias("k"), x["p"].alias("p")))
-    df = df.withColumn(f"{out}_u", F.sort_array(F.concat(side(a, 0), side(b, 1))))
-    beside = F.zip_with(F.slice(f"{out}_u", F.lit(1), F.size(f"{out}_u") - 1), F.slice(f"{out}_u", F.lit(2), F.size(f"{out}_u")), lambda x, y: F.when(x["h"] == y["h"], F.struct(x["p"].alias("p"), y["p"].alias("q"))))
-    df = df.withColumn(f"{out}_m", F.sort_array(F.filter(beside, lambda x: x.isNotNull())))
-    onward = F.zip_with(f"{out}_m", F.slice(f"{out}_m", F.lit(2), F.size(f"{out}_m") + 1), lambda x, y: y["q"] > x["q"])
+    held = lambda c: F.col(c) if whole else F.filter(c, lambda x: x["h"] <= to)
+    df = df.withColumns({f"{out}_a": held(a), f"{out}_b": held(b)})
+    side = lambda c, k: F.arrays_zip(F.col(c)["h"].alias("h"), F.array_repeat(F.lit(k), F.size(c)).alias("k"), F.col(c)["p"].alias("p"))
+    # null where no anchor is common, as of most neighbours
+    common = F.arrays_overlap(F.col(f"{out}_a")["h"], F.col(f"{out}_b")["h"])
+    df = df.withColumn(f"{out}_u", F.when(common, F.sort_array(F.concat(side(f"{out}_a", 0), side(f"{out}_b", 1)))))
+    # the places of a common anchor as one number: sorted as such, they are in the order of the first text
+    places = lambda x, y: F.when(x["h"] == y["h"], F.shiftleft(x["p"].cast("bigint"), 32) + y["p"] + K)
+    beside = F.zip_with(F.slice(f"{out}_u", F.lit(1), F.size(f"{out}_u") - 1), F.slice(f"{out}_u", F.lit(2), F.size(f"{out}_u")), places)
+    df = df.withColumn(f"{out}_m", F.sort_array(F.array_compact(beside)))
     n = F.size(f"{out}_m")
-    return df.withColumn(out, F.when(n == 0, 0.0).otherwise((1 + F.size(F.filter(onward, lambda x: x))) / (F.size(f"{out}_u") - n))).drop(f"{out}_u", f"{out}_m")
+    second = lambda x: x.bitwiseAND(F.lit(_LOW))
+    onward = F.zip_with(F.slice(f"{out}_m", F.lit(1), n - 1), F.slice(f"{out}_m", F.lit(2), n), lambda x, y: second(y) > second(x))
+    return df.withColumn(out, F.when(F.col(f"{out}_m").isNull(), 0.0).otherwise((1 + F.size(F.filter(onward, lambda x: x))) / (F.size(f"{out}_u") - n))).drop(*[f"{out}_{c}" for c in "abum"])
 
 
 def next_keys(keys: DataFrame) -> DataFrame:

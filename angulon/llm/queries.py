@@ -32,8 +32,8 @@ def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, and their likeness to each other and to the next one's."""
     df = fingerprints.with_whole_edits(documents(spark, sf_dir))
-    df = fingerprints.add_likeness(df, "sketch", "edited_sketch", "near_edited")
-    df = fingerprints.add_likeness(df, "sketch", "next_sketch", "near_next")
+    df = fingerprints.add_likeness(df, "sketch", "edited_sketch", "near_edited", whole=True)
+    df = fingerprints.add_likeness(df, "sketch", "next_sketch", "near_next", whole=True)
     return df.select(
         "doc_id",
         "n_chars",

@@ -554,3 +554,21 @@ def test_maxent_weights_are_looked_up_in_time():
     for a, b in zip(w.exponentials(0, rows), plain(), strict=True):
         assert np.allclose(a, b, rtol=1e-5)
     assert seconds(lambda: w.exponentials(0, rows)) < 0.7 * seconds(plain)
+
+
+def test_whole_likeness_equals_the_general_one(spark):
+    """Texts with all, some (moved and in order), one and no anchors in common."""
+    long = " ".join(f"w{n * n % 97}rd{n}" for n in range(60))
+    pairs = [(long, long), (long, long[200:] + long[:200]), (long, long[:150] + "x" * 9 + "mn" * 40), (long, "zzz qqq jjj"), ("", ""), ("", long)]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    df = fingerprints.add_sketch(fingerprints.add_sketch(df, "a", "x", whole=True), "b", "y", whole=True)
+    df = fingerprints.add_likeness(fingerprints.add_likeness(df, "x", "y", "v"), "x", "y", "u", whole=True)
+    got = [(r.v, r.u, plain_whole_likeness(r.x, r.y)) for r in df.collect()]
+    assert all(v == u == w for v, u, w in got) and got[0][0] == 1.0
+
+
+def plain_whole_likeness(x, y):
+    first, second = {r.h: r.p for r in x}, {r.h: r.p for r in y}
+    places = sorted((first[h], second[h]) for h in first.keys() & second.keys())
+    onward = sum(b[1] > a[1] for a, b in zip(places, places[1:]))
+    return (1 + onward) / (len(first) + len(second) - len(places)) if places else 0.0
