@@ -1,11 +1,11 @@
 """What near-duplicate operators share: classes of similar nodes from buckets of candidates.
 
 A bucket holds nodes that may be similar. Every pair within a bucket is either shown not to be similar, or verified, or
-already in one class, without listing all pairs of a group. First, in a part of the buckets, every node meets the
-bucket's least: this finds the large classes, and buckets whose nodes share a class are done. In the others the next
-4 * 16**r nodes, their leaders, meet in round r the later ones that are not yet in the leader's class; classes that a
-found link joins become one, and a bucket is done when its remaining nodes share a class. A group of thousands of
-copies takes about as many comparisons as it has nodes.
+already in one class, without listing all pairs of a group. First every node meets one of each of its buckets, the node
+that was read first: pairs that many buckets give are compared once, and buckets of two nodes, or whose nodes share a
+class by now, are done. In the others the next 4 * 16**r nodes, their leaders, meet in round r the later ones that are
+not yet in the leader's class; classes that a found link joins become one, and a bucket is done when its remaining nodes
+share a class. A group of thousands of copies takes a few comparisons for each of its nodes.
 
 Where a leader meets a node, an odd sketch decides first: a number of bits, of which bit ``hash mod bits`` is turned over
 for each of a node's parts (shingles). Each bit in which two sketches differ stands for at least one part that only one
@@ -15,8 +15,8 @@ for a pair at the threshold; much less above it). Pairs ruled out never leave th
 salt of the node, to which their leaders are copied.
 
 Buckets are found by one exchange of packed keys: a task sorts what it has by parts of the key space, and each part is
-read by one task in turn, which keeps one node for each key seen once and gives out the nodes of keys seen again. What a
-task holds is bounded by the distinct keys of a part, whose number the caller sets by the size of the input.
+read by one task in turn, which keeps the first node of each key and gives out the later ones with it. What a task holds
+is bounded by the distinct keys of a part, whose number the caller sets by the size of the input.
 """
 
 from __future__ import annotations
@@ -35,8 +35,6 @@ from .textio import mix, row_of
 FIRST_LEADERS, MORE_LEADERS, SALT_ROWS, SIGMAS = 4, 16, 256, 6.0
 #: So many rows of small tables a pair to be verified counts for; pairs up to which their nodes are broadcast.
 PAIR_ROWS, BROADCAST_PAIRS = 10, 300_000
-#: One of so many buckets takes part in the first round.
-EARLY = 6
 #: Keys that a task packs at once, and that a part's reader merges at once.
 PACKED, MERGED = 1 << 20, 1 << 19
 #: A packed key: what is left of a bucket within its part, and the node.
@@ -154,7 +152,7 @@ def _packed(place: Placed, parts: int):
 
 
 class _Part:
-    """The keys of a part seen so far: sorted, with the node of a key that has one node only."""
+    """The keys of a part seen so far, sorted, each with its first node, and whether others were given out."""
 
     def __init__(self, number: int) -> None:
         self.number, self.key, self.node, self.again = number, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
@@ -165,10 +163,10 @@ class _Part:
         self.waiting.append(np.frombuffer(entries, ENTRY))
         self.held += len(self.waiting[-1])
         if self.held >= MERGED:
-            yield from self.merge()
+            yield from self.merge(False)
 
-    def merge(self) -> Iterator[pa.RecordBatch]:
-        """Gives out the pairs of keys that have two nodes by now: the new ones, and the one kept of keys new to it."""
+    def merge(self, last: bool) -> Iterator[pa.RecordBatch]:
+        """Gives out the new nodes of keys that have another first one."""
         if not self.waiting:
             return
         entries = np.concatenate(self.waiting)
@@ -176,20 +174,21 @@ class _Part:
         rest[:, :5] = np.ascontiguousarray(entries["rest"]).view(np.uint8).reshape(-1, 5)
         key = np.concatenate([self.key, rest.view(np.uint64).ravel()])
         node = np.concatenate([self.node, entries["node"]])
-        given = np.concatenate([self.again, np.zeros(len(entries), bool)])  # keys given out before have no node left
-        kept = np.concatenate([np.ones(len(self.key), bool), np.zeros(len(entries), bool)])
-        order = _in_order(key, ~given, node)
-        key, node, given, kept = key[order], node[order], given[order], kept[order]
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        new = np.concatenate([np.zeros(len(self.key), bool), np.ones(len(entries), bool)])
+        again = np.concatenate([self.again, np.zeros(len(entries), bool)])
+        order = _in_order(key, new, node)
+        key, node, again = key[order], node[order], again[order]
+        same = np.r_[False, key[1:] == key[:-1]]
+        first = np.flatnonzero(~same)
         size = np.diff(np.r_[first, len(key)])
-        other = np.add.reduceat(np.r_[False, (key[1:] == key[:-1]) & (node[1:] != node[:-1])].astype(np.int64), first) > 0
-        again = given[first] | other
-        new = ~given & np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]) | given[:-1]]
-        out = np.repeat(again, size) & new
+        out = same & (node != np.repeat(node[first], size)) & np.r_[True, node[1:] != node[:-1]]
+        count = np.add.reduceat(out.astype(np.int64), first)
+        again = again[first]
         if out.any():
             bucket = mix(key[out] + np.uint64(self.number * 0x9E3779B97F4A7C15 % (1 << 64)), 5).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(node[out])], ["bucket", "node"])
-        self.key, self.node, self.again = key[first], node[first], again
+            more = np.repeat(again | (count > 1) | (not last), size)[out]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.repeat(node[first], size)[out]), pa.array(node[out]), pa.array(more)], ["bucket", "a", "b", "more"])
+        self.key, self.node, self.again = key[first], node[first], again | (count > 0)
         self.waiting, self.held = [], 0
 
 
@@ -199,29 +198,32 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, entries in zip(b.column("part").to_pylist(), b.column("entries"), strict=True):
             if part is None or number != part.number:
                 if part is not None:
-                    yield from part.merge()
+                    yield from part.merge(True)
                 part = _Part(number)
             yield from part.add(entries.as_buffer())
     if part is not None:
-        yield from part.merge()
+        yield from part.merge(True)
 
 
 def shared_buckets(rows: DataFrame, place: Placed, parts: int) -> DataFrame:
-    """bucket, node, n: the distinct pairs of buckets that hold n > 1 nodes.
+    """bucket, a, b, more: for each bucket its first node a with every other one b; ``more`` is true at least where a
+    bucket has more than two nodes. A row may come more than once.
 
     Equal entries of a task's chunk are one, so a bucket of which a third of all rows have a copy of one node is no
     heavier than others; one with very many nodes is given out as it is read.
     """
     packed = rows.mapInArrow(releasing(_packed(place, parts)), "part bigint, n bigint, entries binary")
-    found = packed.repartition("part").sortWithinPartitions("part").mapInArrow(releasing(_merged), "bucket bigint, node bigint")
-    pairs = stored(found.distinct(), "placed")
-    sizes = pairs.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = stored(pairs.join(sizes, "bucket").select("bucket", "node", "n"), "buckets")
-    discard(pairs)
+    found = packed.repartition("part").sortWithinPartitions("part").mapInArrow(releasing(_merged), "bucket bigint, a bigint, b bigint, more boolean")
+    members = stored(found, "buckets")
     free_exchanges(members.sparkSession)
     return members
 
 
+def nodes_of(members: DataFrame) -> DataFrame:
+    """node: those of the rows that shared_buckets gives, not distinct."""
+    return members.select(F.explode(F.array("a", "b")).alias("node"))
+
+
 def parts_for(texts: DataFrame, part_bytes: int) -> int:
     """Into how many parts the keys of texts (column text) are cut: one for each ``part_bytes`` of text."""
     size = texts.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
@@ -229,8 +231,8 @@ def parts_for(texts: DataFrame, part_bytes: int) -> int:
 
 
 def _mixed(members: DataFrame) -> DataFrame:
-    """The buckets whose nodes do not all share one label."""
-    return members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
+    """bucket, n: the buckets whose nodes do not all share one label, and their number of nodes."""
+    return members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("bucket", "n")
 
 
 def needed(contents: DataFrame, pairs: DataFrame, side: str, n: int) -> DataFrame:
@@ -243,19 +245,20 @@ def needed(contents: DataFrame, pairs: DataFrame, side: str, n: int) -> DataFram
 def classes(members: DataFrame, nodes: DataFrame, verify: Callable[[DataFrame, int], DataFrame], threshold: float, words: int) -> DataFrame:
     """node, label for every node that has a link: label is the least node of its class, which is not listed itself.
 
-    members: distinct (bucket, node, n), as shared_buckets gives them. nodes: node and the columns ``about``, one row a
+    members: (bucket, a, b, more), as shared_buckets gives them. nodes: node and the columns ``about``, one row a
     node. verify: of distinct pairs (a, b, la, lb), and their number, those whose nodes a and b are similar.
     """
     nodes = nodes.select("node", *about(words))
-    salts = F.greatest(F.ceil(F.col("n") / SALT_ROWS), F.lit(1)).cast("int")
-    dealt = members.select("bucket", salts.alias("salts"), F.pmod(F.hash("node"), salts).alias("salt"), "node")
-
     def links_of(members: DataFrame, leaders: DataFrame, n: int) -> DataFrame:
         """Verified pairs of leaders (bucket, salts, a_...) and later members in other classes; n: most pairs there are."""
         everywhere = leaders.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
         pairs = members.join(everywhere, ["bucket", "salt"]).where((F.col("node") > F.col("a_node")) & (F.col("label") != F.col("a_label")) & _within(threshold, words))
         pairs = pairs.select(F.col("a_node").alias("a"), F.col("node").alias("b"), F.col("a_label").alias("la"), F.col("label").alias("lb"))
-        pairs = stored(few(few(pairs, n).distinct(), n), "pairs")
+        return linked(few(few(pairs, n).distinct(), n))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The verified ones of distinct pairs."""
+        pairs = stored(pairs, "pairs")
         found = pairs.count()
         if not found:
             return pairs
@@ -266,15 +269,16 @@ def classes(members: DataFrame, nodes: DataFrame, verify: Callable[[DataFrame, i
     def moves(links: DataFrame) -> DataFrame:
         return components(links.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("to"))
 
-    early = stored(dealt.where(F.pmod("bucket", F.lit(EARLY)) == 0).join(nodes, "node").withColumn("label", F.col("node")), "early")
-    least = early.groupBy("bucket").agg(F.min("node").alias("node"))
-    leaders = early.join(least, ["bucket", "node"], "left_semi").select("bucket", "salts", *[F.col(c).alias(f"a_{c}") for c in ("node", "label", *about(words))])
-    links = links_of(early, leaders, early.count())
+    firsts = members.select(F.least("a", "b").alias("a_node"), F.greatest("a", "b").alias("node")).distinct()
+    firsts = firsts.join(nodes.select(*[F.col(c).alias(f"a_{c}") for c in nodes.columns]), "a_node").join(nodes, "node").where(_within(threshold, words))
+    links = linked(firsts.select(F.col("a_node").alias("a"), F.col("node").alias("b"), F.col("a_node").alias("la"), F.col("node").alias("lb")))
     found = stored(moves(links).select(F.col("label").alias("node"), F.col("to").alias("label")), "found")
-    members = stored(dealt.join(found, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
-    discard(early, links)
-    open_still = stored(members.join(_mixed(members), "bucket", "left_semi").join(nodes, "node"), "members")
-    discard(members)
+    labelled = members.where("more").select("bucket", F.explode(F.array("a", "b")).alias("node")).distinct().join(found, "node", "left")
+    labelled = stored(labelled.select("bucket", "node", F.coalesce("label", "node").alias("label")), "labelled")
+    salts = F.greatest(F.ceil(F.col("n") / SALT_ROWS), F.lit(1)).cast("int")
+    dealt = labelled.join(_mixed(labelled), "bucket").select("bucket", salts.alias("salts"), F.pmod(F.hash("node"), salts).alias("salt"), "node", "label")
+    open_still = stored(dealt.join(nodes, "node"), "members")
+    discard(links, labelled)
     free_exchanges(open_still.sparkSession)
     members, wanted = open_still, FIRST_LEADERS
     while n := members.count():  # of a stored table: read off its files

@@ -182,7 +182,7 @@ def classes_of(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = with_node(docs)
     texts = rows.select("node", "text")
     members = neardup.shared_buckets(texts, _placed, neardup.parts_for(texts, PART_BYTES))
-    sieve = neardup.Sieve(members, "node")
+    sieve = neardup.Sieve(neardup.nodes_of(members), "node")
     contents = texts.mapInArrow(releasing(_contents(sieve)), f"node bigint, parts array<bigint>, {neardup.about_schema(WORDS)}")
     contents = stored(contents.groupBy("node").agg(*[F.first(c).alias(c) for c in ("parts", *neardup.about(WORDS))]), "parts")
 

@@ -9,6 +9,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -572,3 +573,32 @@ def plain_whole_likeness(x, y):
     places = sorted((first[h], second[h]) for h in first.keys() & second.keys())
     onward = sum(b[1] > a[1] for a, b in zip(places, places[1:]))
     return (1 + onward) / (len(first) + len(second) - len(places)) if places else 0.0
+
+
+def test_a_part_gives_each_bucket_out_as_a_star():
+    part = neardup._Part(3)
+    out = []
+    for turn, own in enumerate([[(1, 10), (2, 20), (2, 21), (4, 40), (4, 41), (4, 42)], [(1, 10), (2, 22), (2, 21), (5, 50)]]):
+        entries = np.zeros(len(own), neardup.ENTRY)
+        entries["rest"] = np.array([k for k, _ in own], "<u8").view(np.uint8).reshape(-1, 8)[:, :5].copy().view("V5").ravel()
+        entries["node"] = [v for _, v in own]
+        [*part.add(entries.tobytes())]
+        out.append([(r["a"], r["b"], r["more"]) for b in part.merge(turn == 1) for r in b.to_pylist()])
+    assert sorted(out[0]) == [(20, 21, True), (40, 41, True), (40, 42, True)]  # not the last: any bucket may grow
+    assert sorted(out[1]) == [(20, 21, True), (20, 22, True)]
+
+
+def test_line_spans_shingles_and_bands():
+    texts = ["  a line \t\n" + " " * 40 + "x" + "\t" * 30 + "\n\n \n" + "é" * 9, "", " " * 50, "ab", "tail" + " " * 20]
+    data, ends = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)])
+    start, end, number, text = lines.spans(data, ends)
+    want = [(i, k, x.strip(" \t\r\x0b\x0c")) for i, t in enumerate(texts) for k, x in enumerate(t.split("\n"))]
+    assert [(i, k, data[a:b].tobytes().decode()) for i, k, a, b in zip(text.tolist(), number.tolist(), start, end, strict=True)] == want
+    x = ["one line of some words", "abc", "aaaaaaaaaa", "another line, with é"]
+    y = ["one line of some Words", "abd", "aaaaaaa", "another line, with e"]
+    both, either = lines.common(pa.array(x), pa.array(y))
+    sets = [(lines.shingle_set(a), lines.shingle_set(b)) for a, b in zip(x, y, strict=True)]
+    assert both.tolist() == [len(a & b) for a, b in sets] and either.tolist() == [len(a | b) for a, b in sets]
+    one = np.frombuffer(b"qaaaaaaaaaaaa", np.uint8)  # two shingles; and one of these alone: half of the bins, none missing
+    signs = lines.signatures(one, np.array([0, 1, 1]), np.array([13, 13, 9]))
+    assert signs.shape == (3, lines.BANDS) and (signs[1] == signs[2]).all() and not (signs[0] == signs[1]).all()
