@@ -63,6 +63,20 @@ def dihedral(p1: Column, p2: Column, p3: Column, p4: Column) -> Column:
     return F.atan2(dot(scaled(b1, F.sqrt(dot(b2, b2))), n2), dot(n1, n2))
 
 
+def exact_sum(x: Column) -> Column:
+    """Aggregate: the sum of numbers within [-1, 1], each to 2**-64, the same whatever their order; at most 2**31 rows.
+
+    Sines that cancel add up to 0, not to a remainder whose sign depends on the order: at 180 degrees the sign of the
+    mean is that of this sum.
+    """
+    high = (x * 2.0**32).try_cast("bigint")
+    low = ((x * 2.0**32 - high) * 2.0**32).try_cast("bigint")
+    high, low = F.sum(high), F.sum(low)
+    carry = F.shiftright(low, 32)
+    total = (high + carry) / F.lit(2.0**32) + (low - F.shiftleft(carry, 32)) / F.lit(2.0**64)
+    return F.when(F.max(F.isnan(x)), F.lit(float("nan"))).otherwise(total)
+
+
 def _mean_parts(a: Column | str) -> tuple[Column, Column]:
     r = F.radians(_col(a))
     return F.avg(F.sin(r)), F.avg(F.cos(r))
@@ -70,8 +84,9 @@ def _mean_parts(a: Column | str) -> tuple[Column, Column]:
 
 def circ_mean(a: Column | str) -> Column:
     """Aggregate: direction of the mean of unit vectors. Nulls are skipped; without a direction null."""
-    s, c = _mean_parts(a)
-    return F.when(F.hypot(s, c) > NO_DIRECTION, F.degrees(F.atan2(s, c)))
+    r = F.radians(_col(a))
+    s, c = exact_sum(F.sin(r)), exact_sum(F.cos(r))
+    return F.when(F.hypot(s, c) / F.count(_col(a)) > NO_DIRECTION, F.degrees(F.atan2(s, c)))
 
 
 def circ_std(a: Column | str) -> Column:

@@ -32,7 +32,7 @@ def aggregate_redundant(df: DataFrame, how: str = "cent", min_size: int = 1, con
     """
     df = df.withColumn("condition", F.col(condition) if condition else F.lit("ANY"))
     best = [F.min(F.struct(F.coalesce(resolution, F.lit(float("-inf"))), "struct_id", "phi", "psi")).alias("top")] if how == "res" else []
-    sums = [F.sum(f(F.radians(c))).alias(f"{g}_{c}") for c in ("phi", "psi") for g, f in (("s", F.sin), ("c", F.cos))] if how == "cent" else []
+    sums = [angles.exact_sum(f(F.radians(c))).alias(f"{g}_{c}") for c in ("phi", "psi") for g, f in (("s", F.sin), ("c", F.cos))] if how == "cent" else []
     whole = F.min((F.col("phi").isNotNull() & F.col("psi").isNotNull()).cast("int"))
     groups = df.groupBy(*KEY).agg(F.count("*").alias("group_size"), whole.alias("whole"), F.min("secondary").alias("_least"), F.max("secondary").alias("_secondary"), *sums, *best)
     one_class = F.col("_least").isNull() | (F.col("_least") == F.col("_secondary"))

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from angulon.functions import angles, codons, ratios
+from angulon.operators import redundancy
 
 
 def one(spark, *cols):
@@ -89,3 +90,17 @@ def test_intervals(spark):
     got = one(spark, lo, hi, ratios.none_seen_bound(F.lit(100), 0.05), ratios.norm_cdf(F.lit(1.96)), *ratios.ratio(F.lit(6.0), F.lit(0.6), F.lit(3.0), F.lit(float("nan"))))
     assert got[0] == pytest.approx(0.4902, abs=1e-3) and got[1] == pytest.approx(0.9433, abs=1e-3)
     assert got[2] == pytest.approx(0.029957, abs=1e-5) and got[3] == pytest.approx(0.975, abs=1e-3) and got[4] == 2 and got[5] == pytest.approx(0.2)
+
+
+def test_means_across_180_do_not_depend_on_the_order(spark):
+    halves = [-135.0, -133.0, -114.0, -112.0, -22.0, -1.0]
+    both = halves + [-x for x in halves]
+    orders = [sorted(both), sorted(both, key=abs), halves[::-1] + [-x for x in halves], sorted(both)[::-1], [170.0, -180.0, -170.0], [-180.0, 170.0, -170.0], [170.0, -170.0, -180.0]]
+    df = frame(spark, {f"g{i}": [(x, x) for x in order] for i, order in enumerate(orders)}).coalesce(1)
+    got = {r.g: r.m for r in df.groupBy("g").agg(angles.circ_mean("phi").alias("m")).collect()}
+    assert got == {f"g{i}": 180.0 if i < 4 else -180.0 for i in range(len(orders))}
+    rows = df.select(F.lit("HELIX").alias("secondary"), F.lit(1).alias("unp_id"), F.lit(1).alias("unp_idx"), F.col("g").alias("codon"), "phi", "psi")
+    assert {r.codon: (r.phi, r.psi) for r in redundancy.aggregate_redundant(rows).collect()} == {g: (m, m) for g, m in got.items()}
+    sums = [0.1, -1e-17, float("nan"), None]
+    r = spark.createDataFrame([(i, x) for i, x in enumerate(sums)], "i int, x double").agg(angles.exact_sum(F.when(F.col("i") != 2, F.col("x"))), angles.exact_sum(F.col("x"))).first()
+    assert abs(r[0] - 0.1) < 1e-15 and math.isnan(r[1])
