@@ -164,7 +164,7 @@ def test_equal_sequences_are_aligned_once_and_give_all_their_pairs(spark):
     assert held.count() > 9 and {i for r in held.collect() for i in r.ids} == {f"s{i}" for i in range(40)}
 
 
-@pytest.mark.parametrize(("threshold", "block"), [(0.5, 8_000_000), (0.7, 40), (0.9, 40)])
+@pytest.mark.parametrize(("threshold", "block"), [(0.5, 5_000_000), (0.7, 40), (0.9, 40)])
 def test_similar_sets_lose_none(spark, threshold, block):
     rng = random.Random(8)
     words = [f"w{k}" for k in range(400)]
