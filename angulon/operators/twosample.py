@@ -7,11 +7,12 @@ numbers that any engine can repeat (functions/hashes).
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from math import gcd, pi
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -136,21 +137,60 @@ def kernel_weights(sigma: float, error: float) -> np.ndarray:
     raise ValueError(f"a kernel of width {sigma} needs more than {FREQUENCIES} frequencies for an error of {error}")
 
 
+def _wave_sums(batches: Iterator[pa.RecordBatch], k: int, most: int = 2000) -> Iterator[pa.RecordBatch]:
+    """Of condition, subgroup, x, y (radians) per subgroup and p < k the rows and, for q < k, the sums of the products of
+    cos and sin of p x with those of q y. Sums of more than ``most`` subgroups are given out before the end."""
+    held: dict[tuple, tuple[int, np.ndarray]] = {}
+
+    def given() -> Iterator[pa.RecordBatch]:
+        for (condition, subgroup), (n, total) in held.items():
+            v = total.reshape(2, k, 2, k).transpose(1, 3, 0, 2).reshape(k, 4 * k)
+            yield pa.RecordBatch.from_arrays([pa.array([condition] * k, kinds[0]), pa.array([subgroup] * k, kinds[1]), pa.array(range(k), pa.int32()), pa.array([n] * k, pa.int64()), pa.array(v.tolist(), pa.list_(pa.float64()))], ["condition", "subgroup", "p", "n", "v"])
+        held.clear()
+
+    kinds = [pa.string(), pa.string()]
+    for batch in batches:
+        kinds = [batch["condition"].type, batch["subgroup"].type]
+        codes, names = [], []
+        for c in ("condition", "subgroup"):
+            d = batch[c].dictionary_encode("encode")
+            codes.append(d.indices.to_numpy().astype(np.int64))
+            names.append(d.dictionary.to_pylist())
+        code = codes[0] * max(1, len(names[1])) + codes[1]
+        order = np.argsort(code, kind="stable")
+        x, y = (np.exp(1j * batch[c].to_numpy()[order]) for c in "xy")
+        waves = []
+        for z in (x, y):
+            powers = np.ones((k, len(z)), dtype=complex)
+            for p in range(1, k):
+                np.multiply(powers[p - 1], z, out=powers[p])
+            waves.append(np.concatenate((powers.real, powers.imag)))
+        groups, starts = np.unique(code[order], return_index=True)
+        for g, at, end in zip(groups.tolist(), starts.tolist(), [*starts[1:].tolist(), len(code)], strict=True):
+            key = (names[0][g // max(1, len(names[1]))], names[1][g % max(1, len(names[1]))])
+            n, total = held.get(key, (0, 0.0))
+            held[key] = (n + end - at, total + waves[0][:, at:end] @ waves[1][:, at:end].T)
+        if len(held) > most:
+            yield from given()
+    yield from given()
+
+
 def mmd2(pairs: DataFrame, members: DataFrame, sigma: float = 1.0, error: float = 1e-9) -> DataFrame:
     """Biased squared maximum mean discrepancy of all members with the kernel exp(-(d2)^2 / (2 sigma^2)), d2 the squared
     distance in radians, up to ``error``.
 
     The kernel is a function of the differences of both angles, so it is a sum of products of cosines, and the statistic
     a weighted sum of squared differences of the two sides' mean waves: linear in the members, and no pair of them is
-    formed. A member's waves of one axis are scalars of its row; sums are partial before the exchange.
+    formed. A task adds up its members' waves by subgroup, as products of matrices, before the exchange.
     """
     w = kernel_weights(sigma, error)
     k = len(w)
     spark = members.sparkSession
-    wave = lambda c, f, p: f(F.radians(c) * p)
-    rows = members.where("phi IS NOT NULL AND psi IS NOT NULL").select("condition", "subgroup", F.posexplode(F.array(*[F.struct(wave("phi", F.cos, p).alias("c"), wave("phi", F.sin, p).alias("s")) for p in range(k)])).alias("p", "x"), *[wave("psi", f, q).alias(f"{n}{q}") for q in range(k) for n, f in (("c", F.cos), ("s", F.sin))])
     products = [(a, b, q) for q in range(k) for a in "cs" for b in "cs"]
-    sums = rows.groupBy("condition", "subgroup", "p").agg(F.count("*").alias("n"), *[F.sum(F.col(f"x.{a}") * F.col(f"{b}{q}")).alias(f"{a}{b}{q}") for a, b, q in products])
+    kinds = dict(members.dtypes)
+    rows = members.where("phi IS NOT NULL AND psi IS NOT NULL").select("condition", "subgroup", F.radians("phi").alias("x"), F.radians("psi").alias("y"))
+    sums = rows.mapInArrow(lambda batches: _wave_sums(batches, k), f"condition {kinds['condition']}, subgroup {kinds['subgroup']}, p int, n bigint, v array<double>")
+    sums = sums.groupBy("condition", "subgroup", "p").agg(F.sum("n").alias("n"), *[F.sum(F.col("v")[i]).alias(f"{a}{b}{q}") for i, (a, b, q) in enumerate(products)])
     means = sums.select("condition", "subgroup", "p", "n", F.array(*[F.col(f"{a}{b}{q}") / F.col("n") for a, b, q in products]).alias("v"))
     side = lambda j: means.select("condition", F.col("subgroup").alias(f"s{j}"), "p", F.col("n").alias(f"n{j}"), F.col("v").alias(f"v{j}"))
     weights = spark.createDataFrame([(p, [float(w[p, q]) for _, _, q in products]) for p in range(k)], "p int, w array<double>")

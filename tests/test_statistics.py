@@ -149,3 +149,22 @@ def test_permutations_tell_samples_apart(spark):
     for name in ("tw", "mmd", "torus_p"):
         p = {(r.s1, r.s2): r.pval for r in twosample.bootstrap_permutation(pairs_of(spark, "ABC").where("s1 < s2"), df, ["k"], name, permutations=99, k_min=99, n_max=40).collect()}
         assert p["A", "B"] > 0.1 > 0.02 >= p["A", "C"]
+
+
+@pytest.mark.parametrize("most", [1, 100])
+def test_waves_of_batches_add_up(most):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    rows = [(None if i % 7 == 0 else f"c{i % 2}", f"s{i % 3}", *rng.uniform(-3, 3, 2)) for i in range(90)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[k : k + 40], strict=True)], ["condition", "subgroup", "x", "y"]) for k in (0, 40, 80)]
+    got = {}
+    for b in twosample._wave_sums(iter(batches), 4, most):
+        for r in b.to_pylist():
+            n, v = got.get((r["condition"], r["subgroup"], r["p"]), (0, 0.0))
+            got[r["condition"], r["subgroup"], r["p"]] = (n + r["n"], v + np.array(r["v"]))
+    for (c, s, p), (n, v) in got.items():
+        own = [(x, y) for a, b, x, y in rows if (a, b) == (c, s)]
+        want = [sum(f(p * x) * g(q * y) for x, y in own) for q in range(4) for f in (np.cos, np.sin) for g in (np.cos, np.sin)]
+        assert n == len(own) and np.allclose(v, want, atol=1e-9)
+    assert sum(n for (_, _, p), (n, _) in got.items() if p == 2) == 90
