@@ -189,3 +189,9 @@ def test_pairs_of_sets_are_checked_without_carrying_all_sets(spark):
     for r in seen:
         counts[r.c] = r["count"]
     assert redundancy.similar_sets(sets, counts, 0.7, "rep").count() < 120
+
+
+def test_sets_without_common_grams_have_no_pairs(spark):
+    tokens = spark.createDataFrame([(i, f"w{i}_{k}") for i in range(5) for k in range(6 + 40 * (i > 2))], "doc_id long, tok string")
+    assert redundancy.ngram_similarity(tokens, 0.7).count() == 0
+    assert {r.doc_id for r in redundancy.nonredundant_sets(tokens, 0.5).collect()} == set(range(5))
